@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, langid, mixing, toxicity, warc
+from . import ann, bpe, chat, exact, langid, mixing, substring, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -26,6 +26,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -71,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE, "op4_exact_dedup": exact.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT}
+    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT}
 
 
 CHAT = r"""

@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from .common import written
 
 POSITIVES, UNLABELLED, FEATURES, MODELS = 4_000, 12_000, 2_048, 3
-EPOCHS, BATCH, RATE, DECAY = 40, 512, 0.02, 3e-4
-#: A feature has to be in so many positives, and so many times as often in positives as in unlabelled texts.
-LEAST, RATIO = 4, 3.5
+EPOCHS, BATCH, RATE, DECAY = 60, 512, 0.02, 5e-5
+#: A feature has to be so many times as often in positives as in unlabelled texts, and so many standard deviations more often.
+RATIO, SURE = 2.5, 4.0
 KEPT = 300_000
 
 
@@ -128,7 +128,8 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = sample.mapInArrow(count, "name string, p long, u long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate = (F.col("p") + 0.5) / (n[True] + 1.0), (F.col("u") + 0.5) / (n[False] + 1.0)
     gain = F.col("p") * F.log(rate[0] / rate[1])
-    counts = counts.where((F.col("p") >= LEAST) & (rate[0] >= RATIO * rate[1]))
+    chance = n[True] * rate[1]
+    counts = counts.where((rate[0] >= RATIO * rate[1]) & (F.col("p") - chance >= SURE * F.sqrt(chance + 1)))
     names = [r.name for r in counts.orderBy(F.desc(gain), "name").limit(FEATURES).select("name").collect()]
     names += [f"\0{i}" for i in range(-len(names) % 8)]
 
