@@ -106,13 +106,12 @@ class Blocks:
 
     def map_with(self, marks: DataFrame, function, schema: str) -> DataFrame:
         """function(block, table of the marks for it) yields record batches; marks has a column block. Every block runs, also without marks."""
-        every = self.spark.range(0, self.count, 1, max(1, min(self.count, 64))).select(F.col("id").cast("int").alias("block"))
-        both = every.unionByName(marks, allowMissingColumns=True)
+        every = self.spark.range(0, self.count, 1, max(1, min(self.count, 64))).select(F.col("id").cast("int").alias("block"), F.lit(False).alias("given"))
+        both = every.unionByName(marks.withColumn("given", F.lit(True)), allowMissingColumns=True)
 
         def run(table: pa.Table) -> pa.Table:
             block = table.column("block")[0].as_py()
-            some = next((c for c in table.column_names if c != "block"), None)
-            given = table if some is None else table.filter(table.column(some).is_valid())
+            given = table.filter(table.column("given"))
             out = list(function(block, given))
             return pa.Table.from_batches(out) if out else None
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, langid, mixing, substring, toxicity, warc
+from . import ann, bpe, chat, exact, jaccard, langid, mixing, substring, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -56,6 +56,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text"), model).drop("text")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     index = warc.Index.build(warc.write_archive(pages))
@@ -75,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT}
+    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT}
 
 
 CHAT = r"""
