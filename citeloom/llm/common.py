@@ -119,7 +119,8 @@ class Blocks:
         from pyspark.sql.types import StructType
 
         empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-        return both.groupBy("block").applyInArrow(_or_empty(run, empty), schema)
+        # a fixed number of partitions: the marks are few bytes, the work is in reading the blocks
+        return both.repartition(max(1, self.count), "block").groupBy("block").applyInArrow(_or_empty(run, empty), schema)
 
 
 def _or_empty(run, empty):
