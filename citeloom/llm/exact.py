@@ -47,6 +47,7 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", digest_all: b
     rows = written(rows, "exact-hashes")
     best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r")))
     whole = rows.where("_left").groupBy(F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_size"), best.alias("_best")).where("_size > 1")
+    whole = written(whole, "exact-groups")  # a table of its own: adaptive execution can then split the rows' side of the join
     rows = rows.join(whole, (F.col("text_sha256") == F.col("_sha")) & F.col("_left"), "left")
     alone = F.col("_sha").isNull()
     kept = alone | (F.col("_row") == F.col("_best.r"))
