@@ -86,6 +86,7 @@ def write_archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     groups = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("to"), F.count("*").alias("_n")).where("_n > 1")
+    groups = written(groups, "payload-groups")  # a table of its own: adaptive execution can then split the pages' side of the join
     rows = rows.join(groups, F.col("digest") == F.col("_d"), "left")
     revisit = F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to"))
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "bytes", "digest", F.when(revisit, F.col("to")).alias("to"))
