@@ -210,6 +210,7 @@ class Join:
         """Edges a, b between classes that connect what is similar."""
         by_shingle = candidates.select("class", F.explode("prefix").alias("s"))
         low = by_shingle.groupBy(F.col("s").alias("t")).agg(F.min("class").alias("m"), F.count("*").alias("k")).where("k > 1")
+        low = written(low, "shingles")  # a table of its own: adaptive execution can then split a shingle of many sets
         meet = by_shingle.join(low, F.col("s") == F.col("t")).select(F.col("class").alias("a"), F.col("m").alias("b")).distinct()
         groups = written(components(meet), "groups")
         step = math.log(100 / self.percent) + 1e-9 if self.percent < 100 else 1.0
