@@ -56,7 +56,7 @@ def unique_codes(table: DataFrame, code: str, description: str) -> DataFrame:
 
 def apply_decisions(items: DataFrame, decisions: DataFrame, group: str) -> DataFrame:
     """items(group, idx, value) with decisions(group, idx, pos, action, value): the last decision for a place counts; drop removes, update sets the value if given, places that no decision names stay."""
-    last = decisions.groupBy(F.col(group).alias("_g"), F.col("idx").alias("_i")).agg(F.max_by(F.struct("action", "value"), "pos").alias("d"))
+    last = decisions.groupBy(F.col(group).alias("_g"), F.col("idx").alias("_i")).agg(F.max_by(F.struct("action", "value"), F.struct("pos", "action", "value")).alias("d"))
     rows = items.join(last, (F.col(group) == F.col("_g")) & (F.col("idx") == F.col("_i")), "left").where("d IS NULL OR d.action <> 'drop'")
     return rows.select(group, "idx", F.when(F.col("d.action") == "update", F.coalesce("d.value", "value")).otherwise(F.col("value")).alias("value"))
 

@@ -373,7 +373,7 @@ def code_by_description(spark, sf):
     return E.unique_codes(_t(spark, sf, "part").withColumn("description", F.concat("p_name", "p_size")), "p_brand", "description")
 
 
-@query("""WITH i AS (SELECT l_orderkey AS grp, l_linenumber AS idx, l_returnflag AS value FROM lineitem), d AS (SELECT l_orderkey AS grp, l_linenumber AS idx, arg_max(CASE l_linestatus WHEN 'O' THEN 'drop' ELSE 'update' END, l_suppkey) AS action FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2)
+@query("""WITH i AS (SELECT l_orderkey AS grp, l_linenumber AS idx, l_returnflag AS value FROM lineitem), d AS (SELECT l_orderkey AS grp, l_linenumber AS idx, arg_max(CASE l_linestatus WHEN 'O' THEN 'drop' ELSE 'update' END, (l_suppkey, CASE l_linestatus WHEN 'O' THEN 'drop' ELSE 'update' END)) AS action FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2)
 SELECT i.grp, i.idx, CASE WHEN action = 'update' THEN 'X' ELSE value END AS value FROM i LEFT JOIN d ON i.grp = d.grp AND i.idx = d.idx WHERE action IS DISTINCT FROM 'drop'""")
 def cleanup_decisions(spark, sf):
     rows = _t(spark, sf, "lineitem")
