@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Bounds of the sample that codes are learned on, of a shard and of a group of queries, in rows.
-SAMPLE, SHARD, GROUP = 20_000, 65_536, 16_384
+#: Bounds of the sample that codes are learned on, of a shard and of a group of queries, in rows. With fewer queries
+#: groups are smaller, SPREAD of them, but of LEAST rows or more.
+SAMPLE, SHARD, GROUP, SPREAD, LEAST = 20_000, 65_536, 16_384, 64, 512
 BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -119,7 +120,6 @@ def best(codes: Codes, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.nda
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = 0.97) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of queries its k nearest rows of df by inner product, itself left out."""
-    spark = df.sparkSession
     rows = usable(df, key, vector)
     lengths = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").head(1)
     dim, n = (lengths[0].dim, lengths[0].n) if lengths else (1, 0)
@@ -127,8 +127,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     asked = usable(queries, key, vector).where(F.size("vector") == dim)
     sample = rows.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(SAMPLE).select("vector").toArrow()
     codes = Codes(_matrix(sample.column("vector"), dim), k, share)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD))
-    groups = max(1, -(-asked.count() // GROUP))
+    shards, n_asked = max(1, -(-n // SHARD)), asked.count()
+    groups = max(1, -(-n_asked // min(GROUP, max(LEAST, n_asked // SPREAD))))
     index = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
