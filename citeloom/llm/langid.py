@@ -8,7 +8,7 @@ features, landmarks and coefficients are multiplied once: batches are scored by
 weights, however many landmarks there are.
 
 The model is fitted on the driver on a bounded sample: PER_CLASS texts of each language, by the order of their id's
-digest, and TRAIN texts in all; executors send features (BUCKETS / 8 bytes a text), never texts. Landmarks are the
+digest, of the TRAIN most frequent languages, and TRAIN texts in all; executors send features (BUCKETS / 8 bytes a text), never texts. Landmarks are the
 first LANDMARKS of them in that order.
 
 Defined results: `und` and score 0 for a null text or one without a letter; a text too short for any n-gram scores 0
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import drawn
+
 #: Hash buckets of the features, bounds of the sample, landmarks, and the ridge.
 BUCKETS, PER_CLASS, TRAIN, LANDMARKS, RIDGE = 1 << 15, 400, 3000, 400, 0.05
 BATCH = 64
@@ -79,6 +81,8 @@ class Model:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fits on rows whose text and lang aren't null. Samples in the order of a digest of the key."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("at"), F.col(text).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN)
+    rows = rows.join(F.broadcast(sizes), "lang").where(drawn(F.col("at"), PER_CLASS, F.col("n")))  # TRAIN rows at most are broadcast
     order = Window.partitionBy("lang").orderBy("at", F.md5("text"))
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_CLASS)
 
