@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drawn, written
 
 #: Bounds of the sample that codes are learned on, of a shard and of a group of queries, in rows. With fewer queries
 #: groups are smaller, SPREAD of them, but of LEAST rows or more.
@@ -125,7 +125,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     dim, n = (lengths[0].dim, lengths[0].n) if lengths else (1, 0)
     rows = written(rows.where(F.size("vector") == dim), "vectors")
     asked = usable(queries, key, vector).where(F.size("vector") == dim)
-    sample = rows.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(SAMPLE).select("vector").toArrow()
+    digest = F.md5(F.col("vec_id").cast("string"))
+    sample = rows.where(drawn(digest, SAMPLE, F.lit(n))).orderBy(digest).limit(SAMPLE).select("vector").toArrow()
     codes = Codes(_matrix(sample.column("vector"), dim), k, share)
     shards, n_asked = max(1, -(-n // SHARD)), asked.count()
     groups = max(1, -(-n_asked // min(GROUP, max(LEAST, n_asked // SPREAD))))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import drawn, written
 
 POSITIVES, UNLABELLED, FEATURES, MODELS = 4_000, 12_000, 2_048, 3
 EPOCHS, BATCH, RATE, DECAY = 60, 512, 0.02, 5e-5
@@ -103,11 +103,11 @@ def train_one(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Scorer:
     """df: texts to learn from; labels(key, label): 1 for confirmed ones. Rows of labels with a null are left out."""
     told = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k IS NOT NULL AND _y IS NOT NULL").groupBy("_k").agg(F.max("_y").alias("_y"))
-    share = told.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
-    prior = float(np.clip(share or 0.0, 0.01, 0.5))
+    labelled = told.agg(F.avg((F.col("_y") == 1).cast("double")).alias("share"), F.count_if(F.col("_y") == 1).alias("n")).first()
+    prior = float(np.clip(labelled.share or 0.0, 0.01, 0.5))
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("at"))
-    positive = rows.join(told.where("_y = 1"), F.col("_key") == F.col("_k"), "left_semi").orderBy("at").limit(POSITIVES).select("text", F.lit(True).alias("pos"))
-    unlabelled = rows.orderBy("at").limit(UNLABELLED).select("text", F.lit(False).alias("pos"))
+    positive = rows.join(told.where("_y = 1"), F.col("_key") == F.col("_k"), "left_semi").where(drawn(F.col("at"), POSITIVES, F.lit(labelled.n))).orderBy("at").limit(POSITIVES).select("text", F.lit(True).alias("pos"))
+    unlabelled = rows.where(drawn(F.col("at"), UNLABELLED, F.lit(rows.count()))).orderBy("at").limit(UNLABELLED).select("text", F.lit(False).alias("pos"))
     sample = written(positive.unionAll(unlabelled).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "toxicity-sample")
 
     def count(batches):
