@@ -177,24 +177,33 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     return _with(df, "decoded", T.BinaryType(), ids, make)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Columns of df but text, with n_tokens, ids_sha256 and decoded_sha256, ids decoded as soon as they are made so that neither ids nor bytes leave the worker."""
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Columns of df but text, with n_tokens, ids_sha256 and decoded_sha256, and ids if they are wanted. Ids are decoded as soon as they are made, so that one worker with one table does both and no bytes leave it."""
     from hashlib import sha256
 
-    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    made = ("n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else []))
     keep = [c for c in df.columns if c != text and c not in made]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if keep_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         c = codec(path, pattern)
         names = list(map(str, range(len(c.table))))
         for batch in batches:
-            n, a, b = [], [], []
-            for t in batch.column(text):
-                ids = c.encode(t.as_py())
-                n.append(len(ids))
-                a.append(sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                b.append(sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [*keep, *made])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                n, a, b, flat = [], [], [], []
+                for t in part.column(text):
+                    ids = c.encode(t.as_py())
+                    n.append(len(ids))
+                    a.append(sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                    b.append(sha256(c.decode(ids)).hexdigest())
+                    if keep_ids:
+                        flat.append(np.array(ids, np.int32))
+                columns = [*(part.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n], dtype=np.int32)), pa.array(np.concatenate(flat))))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
 
     return df.select(*keep, F.col(text)).mapInArrow(run, schema)

@@ -62,6 +62,9 @@ def test_bpe_is_tiktoken(spark, odd):
     again = {(r.doc_id, r.n_chars): r for r in bpe.round_trip(odd.select("doc_id", "n_chars", "text"), RANKS, P.PATTERN).collect()}
     for r in got:
         assert again[r.doc_id, r.n_chars].ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
+    whole = bpe.round_trip(odd.withColumn("ids", F.lit("clash")), RANKS, P.PATTERN, keep_ids=True).collect()
+    assert sorted((list(r.ids), r.n_tokens) for r in whole) == sorted((list(r.ids), len(r.ids)) for r in got)
+    assert bpe.round_trip(odd.limit(0), RANKS, P.PATTERN, keep_ids=True).count() == 0
     assert bpe.encode(odd.limit(0), RANKS, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         bpe.serialise({b"a": 0, b"b": 2})
