@@ -243,7 +243,8 @@ class Join:
             found = link(t.column("class").to_pylist(), t.column("n").to_numpy(), sets, sides, percent, across)
             return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
 
-        return rows.groupBy("g", "unit").applyInArrow(run, "a binary, b binary")
+        # without this the join's partitions by g alone would do for the groups, and all units of a group would meet in one task
+        return rows.repartition("g", "unit").groupBy("g", "unit").applyInArrow(run, "a binary, b binary")
 
     def rows(self) -> DataFrame:
         """block, row, doc_id, n and component (its smallest doc_id) of every row."""
