@@ -64,7 +64,7 @@ class CountTree:
         spread = np.argsort(-points.astype(np.float32).var(0))[:2] if len(points) else []
         order = np.lexsort([*(points[:, g] for g in spread[::-1]), sizes]) if len(points) else np.zeros(0, int)
         self.order = order
-        self.levels = [(points[order].astype(np.int32), sizes[order], sizes[order])]
+        self.levels = [(points[order], sizes[order], sizes[order])]
         while len(self.levels[-1][0]) > FAN:
             top, low, high = self.levels[-1]
             at = np.arange(0, len(top), FAN)
@@ -86,9 +86,9 @@ class CountTree:
 
 def link(keys: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], sides: list, percent: int, across: bool) -> list[tuple[bytes, bytes]]:
     """Edges that connect all sets whose similarity is high enough; across: only between different sides."""
-    points = np.zeros((len(sets), GROUPS), np.uint16)
+    points = np.zeros((len(sets), GROUPS), np.int32)
     for row, s in zip(points, sets):
-        row += np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint16)
+        row += np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
     up = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -103,7 +103,7 @@ def link(keys: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], sides: li
     tree = CountTree(points[pool], sizes[pool])
     for i in np.flatnonzero(~first) if across else range(len(sets)):
         own, n = sets[i], int(sizes[i])
-        for j in pool[tree.near(points[i].astype(np.int32), n, percent)].tolist():
+        for j in pool[tree.near(points[i], n, percent)].tolist():
             if (not across and j >= i) or root(i) == root(j):
                 continue
             a, b = (own, sets[j]) if len(own) <= len(sets[j]) else (sets[j], own)
