@@ -128,6 +128,20 @@ class Blocks:
         # a fixed number of partitions: the marks are few bytes, the work is in reading the blocks
         return both.repartition(max(1, self.count), "block").groupBy("block").applyInArrow(_or_empty(run, empty), schema)
 
+    def take(self, stay: DataFrame) -> DataFrame:
+        """The rows of the table, whole, whose places stay(block, row) has."""
+        read = self.reader(self.schema.names)
+
+        def run(block: int, given: pa.Table):
+            rows = np.array(sorted(r for some in given.column("rows").to_pylist() for r in some), np.int64)
+            at = 0
+            for batch in read(block):
+                own = rows[np.searchsorted(rows, at) : np.searchsorted(rows, at + batch.num_rows)] - at
+                at += batch.num_rows
+                yield batch.take(pa.array(own))
+
+        return self.map_with(stay.groupBy("block").agg(F.collect_list("row").alias("rows")), run, self.schema.simpleString()[7:-1])
+
 
 def _or_empty(run, empty):
     def wrapped(table: pa.Table) -> pa.Table:

@@ -273,18 +273,7 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5
     rows = j.rows()
     best = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component")), F.struct("block", "row")))
     stay = rows.where("n > 0").groupBy("component").agg(best.alias("at")).where("at IS NOT NULL").select("at.block", "at.row")
-    stay = stay.unionByName(rows.where("n = 0").select("block", "row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
-    read = j.blocks.reader(df.columns)
-
-    def run(block: int, given: pa.Table):
-        rows = np.array(sorted(r for some in given.column("rows").to_pylist() for r in some), np.int64)
-        at = 0
-        for batch in read(block):
-            own = rows[np.searchsorted(rows, at) : np.searchsorted(rows, at + batch.num_rows)] - at
-            at += batch.num_rows
-            yield batch.take(pa.array(own))
-
-    return j.blocks.map_with(stay, run, df.schema.simpleString()[7:-1])
+    return j.blocks.take(stay.unionByName(rows.where("n = 0").select("block", "row")))
 
 
 ORACLE = r"""

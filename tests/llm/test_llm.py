@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -98,6 +99,9 @@ def test_exact_dedup(spark, odd):
     assert sum(r.kept for r in got) == len({norm(t) for t in texts}) == exact.dedup(odd).count()
     empty = [r for r in got if r.text_sha256 == hashlib.sha256(b"").hexdigest()]
     assert {r.keep_id for r in empty} == {3} and {r.group_size for r in empty} == {4}
+    some = exact.groups(odd.withColumn("kept", F.lit("clash"))).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in some) == Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
+    assert all(r.group_size == 1 for r in some if r.text_sha256 is None) and exact.groups(odd.limit(0)).columns == exact.groups(odd).columns
     assert {r.keep_id for r in got if r.doc_id == 4} == {4} and exact.dedup(odd).columns == odd.columns
     assert exact.groups(odd.limit(0)).count() == 0 and exact.dedup(odd.limit(0)).count() == 0
 
