@@ -114,3 +114,23 @@ def test_ingest_upserts_new_files(spark, tmp_path):
     spark.createDataFrame([("1", "a", "new")], rows.schema).write.parquet(str(tmp_path / "in"))
     ingest(spark, str(tmp_path / "in"), rows.schema, store, "spans", str(tmp_path / "ck")).awaitTermination()
     assert [r.text for r in store.by_document("spans", "a").collect()] == ["new"]
+
+
+def test_change_impacts_modes_and_lines(spark):
+    from citeloom.operators import changes as C
+
+    items = spark.createDataFrame(
+        [(1, "a", "limit_change", "1", None, "2", ["s2", "s1"], ["s1"]), (1, "b", "renewal_submission_update", None, "3", "4", None, None), (2, "a", "cancellation", None, None, None, ["s1"], []), (3, "a", "certificate_endorsement_request", None, None, None, ["gone"], [])],
+        "case_id int, item_id string, kind string, before_value string, requested_value string, after_value string, source_span_ids array<string>, source_ids array<string>",
+    )
+    sources = spark.createDataFrame([(1, "s1", "F9", "x"), (1, "s2", None, "A"), (2, "s1", "", "x")], "case_id int, source_id string, form_number string, label string")
+    made = C.impacts(items, sources)
+    got = {(r.case_id, r.item_id): (r.requested_value, r.endorsement_required, r.approval_required, r.forms, r.source_span_ids) for r in made.collect()}
+    assert got == {(1, "a"): ("2", True, True, ["A", "F9"], ["s1", "s2"]), (1, "b"): ("3", False, True, [], []), (2, "a"): (None, True, True, [], ["s1"]), (3, "a"): (None, True, False, [], ["gone"])}
+    cases = spark.createDataFrame(
+        [(1, "auto", "raise it", False, False, False), (2, None, "cancel if cheaper", False, False, False), (3, None, None, None, None, None), (4, "hybrid", "", False, False, False), (5, "auto", "", True, False, False)],
+        "case_id int, requested string, request_text string, blocking boolean, conflicting boolean, unclear boolean",
+    )
+    assert {r.case_id: r.mode for r in C.execution_modes(cases, made).collect()} == {1: "market_eval", 2: "hybrid", 3: "deterministic_tree", 4: "hybrid", 5: "hybrid"}
+    lines = spark.createDataFrame([(0, "GL", ["X"], ["P"]), (1, "UN", ["X"], ["P"]), (2, None, ["X", "Y"], ["P"]), (3, None, [], ["UN", "P"]), (4, None, None, ["P", "Q"])], "i int, e string, c array<string>, p array<string>")
+    assert {r.i: r.l for r in lines.select("i", C.line_of_coverage(F.col("e"), F.col("c"), F.col("p")).alias("l")).collect()} == {0: "GL", 1: "X", 2: None, 3: "P", 4: None}
