@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..operators import changes as C
 from ..operators import evidence as E
 from ..operators import ordered as O
 from ..operators import spans as S
@@ -435,3 +436,37 @@ def document_rollup(spark, sf):
     orders = _t(spark, sf, "orders").where("o_orderstatus <> 'P'").select("o_custkey", "o_totalprice", "o_orderdate")
     rows = orders.join(_t(spark, sf, "customer").select("c_custkey"), F.col("c_custkey") == F.col("o_custkey"))
     return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderdate").alias("first"))
+
+
+CHANGES = """WITH i AS (SELECT o_custkey AS case_id, o_orderkey::VARCHAR AS item_id, CASE o_orderkey % 4 WHEN 0 THEN 'limit_change' WHEN 1 THEN 'cancellation' WHEN 2 THEN 'renewal_submission_update' ELSE 'certificate_endorsement_request' END AS kind FROM orders),
+l AS (SELECT DISTINCT o_custkey AS case_id, l_orderkey::VARCHAR AS item_id, l_orderkey || ':' || l_linenumber AS id, CASE WHEN l_linenumber = 1 THEN l_returnflag ELSE l_linestatus END AS form FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT case_id, item_id, list_sort(list_distinct(list(form))) AS forms, count(DISTINCT id) AS n FROM l GROUP BY ALL),
+m AS (SELECT i.*, coalesce(forms, []) AS forms, coalesce(n, 0) AS n FROM i LEFT JOIN g USING (case_id, item_id))"""
+
+
+def _changes(spark, sf):
+    """Orders as items of their customers' cases, their lines as sources that the items cite."""
+    orders, lines = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    source = F.concat_ws(":", "l_orderkey", "l_linenumber")
+    cited = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(source).alias("source_ids"))
+    kind = F.element_at(F.array(*map(F.lit, ("limit_change", "cancellation", "renewal_submission_update", "certificate_endorsement_request"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    null = F.lit(None).cast("string")
+    items = orders.join(cited, F.col("o_orderkey") == F.col("k"), "left").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").cast("string").alias("item_id"), kind.alias("kind"), null.alias("before_value"), null.alias("requested_value"), null.alias("after_value"), F.lit(None).cast("array<string>").alias("source_span_ids"), "source_ids")
+    named = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sources = named.select(F.col("o_custkey").alias("case_id"), source.alias("source_id"), F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).alias("form_number"), F.col("l_linestatus").alias("label")).distinct()
+    return C.impacts(items, sources)
+
+
+@query(CHANGES + " SELECT case_id, item_id, kind, array_to_string(forms, ',') AS forms, n::BIGINT AS n_sources, kind <> 'renewal_submission_update' AS endorsement_required, kind <> 'certificate_endorsement_request' AS approval_required FROM m")
+def change_impacts(spark, sf):
+    return _changes(spark, sf).select("case_id", "item_id", "kind", F.array_join("forms", ",").alias("forms"), F.size("source_span_ids").cast("long").alias("n_sources"), "endorsement_required", "approval_required")
+
+
+@query(CHANGES + """, f AS (SELECT case_id, bool_or(kind = 'cancellation') AS ending, bool_or(kind = 'limit_change' AND (len(forms) > 1 OR n > 1)) AS many FROM m GROUP BY case_id),
+c AS (SELECT c_custkey AS case_id, CASE WHEN c_custkey % 3 = 0 THEN 'cancel if cheaper' ELSE 'please change' END AS said, c_acctbal < -500 AS conflicting FROM customer)
+SELECT case_id, CASE WHEN conflicting OR (coalesce(ending, false) AND said = 'cancel if cheaper') THEN 'hybrid' WHEN coalesce(many, false) THEN 'market_eval' ELSE 'deterministic_tree' END AS mode FROM c LEFT JOIN f USING (case_id)""")
+def change_execution_modes(spark, sf):
+    said = F.when(F.col("c_custkey") % 3 == 0, "cancel if cheaper").otherwise("please change")
+    no = F.lit(False)
+    cases = _t(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("auto").alias("requested"), said.alias("request_text"), no.alias("blocking"), (F.col("c_acctbal") < -500).alias("conflicting"), no.alias("unclear"))
+    return C.execution_modes(cases, _changes(spark, sf))
