@@ -247,7 +247,7 @@ class Join:
         return rows.repartition("g", "unit").groupBy("g", "unit").applyInArrow(run, "a binary, b binary")
 
     def rows(self) -> DataFrame:
-        """block, row, doc_id, n and component (its smallest doc_id) of every row."""
+        """block, row, doc_id, n, component (its smallest doc_id) and root (one class of the component, null without words) of every row."""
         all_rows = written(self.classes(), "classes")
         some = all_rows.where("n > 0")
         kinds = written(some.groupBy("class").agg(F.min("doc_id").alias("low"), F.min(F.struct("block", "row")).alias("at")), "kinds")
@@ -255,10 +255,12 @@ class Join:
         linked = components(self.links(self.candidates(first)))
         whole = kinds.select("class", "low").join(linked, F.col("class") == F.col("node")).select("class", "low", "root")
         lowest = whole.groupBy(F.col("root").alias("_r")).agg(F.min("low").alias("_low"))
-        whole = whole.join(lowest, F.col("root") == F.col("_r")).select(F.col("class").alias("_class"), F.col("_low"))
-        each = kinds.select(F.col("class").alias("_c"), "low").join(whole, F.col("_c") == F.col("_class"), "left").select("_c", F.coalesce("_low", "low").alias("component"))
+        whole = whole.join(lowest, F.col("root") == F.col("_r")).select(F.col("class").alias("_class"), F.col("_low"), F.col("root").alias("_root"))
+        # a component may have rows of null ids alone, so only whether it is in whole tells whether a class is linked
+        low = F.when(F.col("_root").isNull(), F.col("low")).otherwise(F.col("_low"))
+        each = kinds.select(F.col("class").alias("_c"), "low").join(whole, F.col("_c") == F.col("_class"), "left").select("_c", low.alias("component"), F.coalesce("_root", "_c").alias("root"))
         out = all_rows.join(each, F.col("class") == F.col("_c"), "left")
-        return out.select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+        return out.select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "root")
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
@@ -268,11 +270,11 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5,
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
-    """The rows of df, all columns, of which each component of similar texts keeps one: that of its smallest key, the first in place if several share it. Texts without words stay."""
+    """The rows of df, all columns, of which each component of similar texts keeps one: that of its smallest key (nulls last), the first in place if several share it. Texts without words stay."""
     j = Join(df, text, key, words, percent, **how)
     rows = j.rows()
-    best = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component")), F.struct("block", "row")))
-    stay = rows.where("n > 0").groupBy("component").agg(best.alias("at")).where("at IS NOT NULL").select("at.block", "at.row")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block", "row"))
+    stay = rows.where("n > 0").groupBy("root").agg(best.alias("at")).select("at.block", "at.row")
     return j.blocks.take(stay.unionByName(rows.where("n = 0").select("block", "row")))
 
 

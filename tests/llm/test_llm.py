@@ -187,6 +187,13 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.join(odd.limit(0)).count() == 0 and jaccard.dedup(odd.limit(0)).count() == 0
 
 
+def test_jaccard_dedup_keeps_unlinked_rows_of_null_or_shared_ids(spark):
+    text = lambda k, *more: " ".join([f"{k}{i}" for i in range(40)] + list(more))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b", "z")), (7, text("c")), (7, text("d")), (7, text("d", "z")), (8, text("e")), (None, text("e", "z"))]
+    kept = jaccard.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[6]], key=str)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
