@@ -43,11 +43,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: floa
     before = full.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     total = F.sum("source_size").over(whole)
+    place = F.row_number().over(full)  # sources that tie are filled in the order in which their limits are summed up
     level = (F.lit(float(budget)) * total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     rows = sizes.withColumn("weight", weight).withColumn("limit", F.lit(float(most)) * F.col("source_size"))
-    rows = rows.withColumn("level", level).withColumn("open", F.col("limit") > F.col("level") * F.col("weight"))
-    first = F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), F.col("level")))).over(whole)["level"]
-    return rows.withColumn("first", first).withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("first") * F.col("weight"), F.col("limit")))).drop("limit", "level", "open", "first")
+    rows = rows.withColumns({"level": level, "place": place}).withColumn("open", F.col("limit") > F.col("level") * F.col("weight"))
+    first = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(whole)["level"]
+    return rows.withColumn("first", first).withColumn("target", F.least(F.col("limit"), F.coalesce(F.col("first") * F.col("weight"), F.col("limit")))).drop("limit", "level", "place", "open", "first")
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:

@@ -91,6 +91,29 @@ def test_mixing_targets_and_bounds(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.emit(odd.limit(0)).count() == 0
 
 
+def water_filling(sizes, weights=(5, 2, 1), budget=1.5, most=2.0):
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sorted(sizes))}
+    left, open_, out = budget * sum(sizes.values()), set(sizes), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if most * sizes[s] <= level * weight[s]}
+        if not full:
+            return out | {s: level * weight[s] for s in open_}
+        out |= {s: most * sizes[s] for s in full}
+        left -= sum(out[s] for s in full)
+        open_ -= full
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[500, 200, 100], [1000] * 6, [100, 200, 100, 500, 20, 10], [50, 400, 200, 500]])
+def test_mixing_of_tied_sources(spark, sizes):
+    sizes = {f"s{k}": n for k, n in enumerate(sizes)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(water_filling(sizes)) and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    df = docs(spark, [(i, "w " * 10, "en", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n // 10))])
+    assert abs(mixing.emit(df).count() * 10 - 1.5 * sum(sizes.values())) <= 10 * len(sizes)
+
+
 def test_exact_dedup(spark, odd):
     got = exact.groups(odd.withColumn("kept", F.lit("clash")), digest_all=True).collect()
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
