@@ -12,8 +12,9 @@ the shared shingles of their prefixes.
 Pairs. Within a group, tokens are hashed to GROUPS coordinates and each set is the point of its counts; of two sets at
 most the sum of their points' coordinate minima is shared. An R-tree over the points (each node: the largest count in
 each coordinate, the range of sizes) gives, for each set, those that this bound and the sizes leave; they are verified
-by their sorted hashes. Pairs whose sets are already known to be connected are passed over, as only classes' components
-are asked for; no link between components is lost. A group of more than CHUNK sets is dealt into chunks by size band
+by their sorted hashes. join() and dedup() pass over pairs whose sets are already known to be connected, as only classes'
+components are asked for; links() verifies every pair and counts each class's links within the tasks, so that pairs are
+not written, however many. A group of more than CHUNK sets is dealt into chunks by size band
 and hash, and every two chunks of equal or neighbouring bands meet in a task of their own: exact, and bounded.
 
 Shingles are compared by 64-bit hashes, classes by 128 bits.
@@ -84,8 +85,8 @@ class CountTree:
         return self.order[alive]
 
 
-def link(keys: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], sides: list, percent: int, across: bool) -> list[tuple[bytes, bytes]]:
-    """Edges that connect all sets whose similarity is high enough; across: only between different sides."""
+def link(keys: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], sides: list, percent: int, across: bool, counts: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    """Edges that connect all sets whose similarity is high enough; across: only between different sides. counts: every pair is verified, and each set's links are added to it."""
     points = np.zeros((len(sets), GROUPS), np.int32)
     for row, s in zip(points, sets):
         row += np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
@@ -104,13 +105,16 @@ def link(keys: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], sides: li
     for i in np.flatnonzero(~first) if across else range(len(sets)):
         own, n = sets[i], int(sizes[i])
         for j in pool[tree.near(points[i], n, percent)].tolist():
-            if (not across and j >= i) or root(i) == root(j):
+            if (not across and j >= i) or (counts is None and root(i) == root(j)):
                 continue
             a, b = (own, sets[j]) if len(own) <= len(sets[j]) else (sets[j], own)
             both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
             if 100 * both >= percent * (n + int(sizes[j]) - both):
-                up[root(i)] = root(j)
-                out.append((keys[i], keys[j]))
+                if counts is not None:
+                    counts[[i, j]] += 1
+                if root(i) != root(j):
+                    up[root(i)] = root(j)
+                    out.append((keys[i], keys[j]))
     return out
 
 
@@ -206,8 +210,8 @@ class Join:
         marks = marks.unionByName(told.withColumn("rows", F.lit(None).cast("array<int>")))
         return written(self.blocks.map_with(marks, pick, "class binary, n long, prefix array<long>, shared binary"), "candidates")
 
-    def links(self, candidates: DataFrame) -> DataFrame:
-        """Edges a, b between classes that connect what is similar."""
+    def links(self, candidates: DataFrame, every: bool = False) -> DataFrame:
+        """Edges a, b between classes that connect what is similar. every: also rows a = b with n, a class's links in one task; each similar pair meets in one task alone."""
         by_shingle = candidates.select("class", F.explode("prefix").alias("s"))
         low = by_shingle.groupBy(F.col("s").alias("t")).agg(F.min("class").alias("m"), F.count("*").alias("k")).where("k > 1")
         low = written(low, "shingles")  # a table of its own: adaptive execution can then split a shingle of many sets
@@ -240,27 +244,37 @@ class Join:
             if across and u["kind"] == 1:
                 sides = [s[1] for s in sides]
             sets = [np.frombuffer(s, np.uint64) for s in t.column("shared").to_pylist()]
-            found = link(t.column("class").to_pylist(), t.column("n").to_numpy(), sets, sides, percent, across)
-            return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
+            keys, counts = t.column("class").to_pylist(), np.zeros(len(sets), np.int64) if every else None
+            found = [(a, b, 0) for a, b in link(keys, t.column("n").to_numpy(), sets, sides, percent, across, counts)]
+            if every:
+                found += [(k, k, n) for k, n in zip(keys, counts.tolist()) if n]
+            a, b, n = zip(*found) if found else ((), (), ())
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(n, pa.int64())})
 
         # without this the join's partitions by g alone would do for the groups, and all units of a group would meet in one task
-        return rows.repartition("g", "unit").groupBy("g", "unit").applyInArrow(run, "a binary, b binary")
+        return rows.repartition("g", "unit").groupBy("g", "unit").applyInArrow(run, "a binary, b binary, n long")
 
-    def rows(self) -> DataFrame:
-        """block, row, doc_id, n, component (its smallest doc_id) and root (one class of the component, null without words) of every row."""
+    def rows(self, every: bool = False) -> DataFrame:
+        """block, row, doc_id, n, component (its smallest doc_id) and root (one class of the component, null without words) of every row; every: also links, how many other classes its own is similar to."""
         all_rows = written(self.classes(), "classes")
         some = all_rows.where("n > 0")
         kinds = written(some.groupBy("class").agg(F.min("doc_id").alias("low"), F.min(F.struct("block", "row")).alias("at")), "kinds")
         first = kinds.groupBy(F.col("at.block").alias("block")).agg(F.collect_list("at.row").alias("rows"))
-        linked = components(self.links(self.candidates(first)))
+        links = self.links(self.candidates(first), every)
+        links = written(links, "links") if every else links
+        linked = components(links)
         whole = kinds.select("class", "low").join(linked, F.col("class") == F.col("node")).select("class", "low", "root")
         lowest = whole.groupBy(F.col("root").alias("_r")).agg(F.min("low").alias("_low"))
         whole = whole.join(lowest, F.col("root") == F.col("_r")).select(F.col("class").alias("_class"), F.col("_low"), F.col("root").alias("_root"))
         # a component may have rows of null ids alone, so only whether it is in whole tells whether a class is linked
         low = F.when(F.col("_root").isNull(), F.col("low")).otherwise(F.col("_low"))
         each = kinds.select(F.col("class").alias("_c"), "low").join(whole, F.col("_c") == F.col("_class"), "left").select("_c", low.alias("component"), F.coalesce("_root", "_c").alias("root"))
+        if every:
+            counts = links.where("a = b").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("links"))
+            each = each.join(counts, F.col("_c") == F.col("_a"), "left").drop("_a")
         out = all_rows.join(each, F.col("class") == F.col("_c"), "left")
-        return out.select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "root")
+        more = [F.coalesce("links", F.lit(0)).alias("links")] if every else []
+        return out.select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "root", *more)
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
@@ -269,6 +283,12 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5,
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def links(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
+    """join() with n_links of every row: how many other classes (texts of unlike sets) are similar to its own, each counted once however many copies it has; 0 without words."""
+    rows = Join(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", words, percent, **how).rows(every=True)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
+
+
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
     """The rows of df, all columns, of which each component of similar texts keeps one: that of its smallest key (nulls last), the first in place if several share it. Texts without words stay."""
     j = Join(df, text, key, words, percent, **how)

@@ -217,6 +217,21 @@ def test_jaccard_dedup_keeps_unlinked_rows_of_null_or_shared_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[6]], key=str)
 
 
+@pytest.mark.parametrize("chunk", [8, 512])
+def test_jaccard_counts_every_link(spark, odd, chunk):
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(90)]
+    rows = [(i, " ".join([*base[: 90 - i % 4], f"x{i}", *(f"y{rng.randrange(10**5)}" for _ in range(i % 9))])) for i in range(40)]
+    rows += [(40, rows[0][1]), (None, rows[1][1].upper()), (41, "a b"), (42, None)]
+    sets = [frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    like = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
+    want = [(d, sum(like(s, o) for o in set(sets) if o) if s else 0) for (d, _), s in zip(rows, sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.links(df, words=4, percent=85, chunk=chunk)
+    assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert max(n for _, n in want) > 20 and sorted(map(tuple, got.drop("n_links").collect()), key=str) == sorted(brute_jaccard(rows, 4, 85), key=str)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
