@@ -93,13 +93,23 @@ b AS (SELECT 'attachment', item_id::VARCHAR, 0.95::DOUBLE FROM benchmark WHERE i
 u AS (SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM t UNION ALL SELECT * FROM b)
 SELECT source, id, relevance, row_number() OVER (ORDER BY relevance DESC, source || '|' || id) AS rank FROM u ORDER BY rank LIMIT 20""")
 def evidence_union_topk(spark, sf):
+    return _evidence(spark, sf, "doc_id < 100", "item_id < 3")
+
+
+@query(None)
+def evidence_union_topk_whole(spark, sf):
+    """evidence_union_topk over all documents of src3 and all attachments."""
+    return _evidence(spark, sf, "true", "true")
+
+
+def _evidence(spark, sf, documents, attachments):
     docs, rel = _t(spark, sf, "documents"), T.lexical_relevance(F.col("text"), T.tokens(F.lit(ASK)))
     made = lambda df, source, key, score: df.select(F.lit(source).alias("source"), key.cast("string").alias("id"), F.lit(score).alias("relevance"))
     rows = made(docs.where(rel >= 0.6), "chunk", F.col("doc_id"), 0.8)
-    rows = rows.unionByName(made(docs.where("source = 'src3' AND doc_id < 100"), "document", F.col("doc_id"), 0.9))
+    rows = rows.unionByName(made(docs.where("source = 'src3'").where(documents), "document", F.col("doc_id"), 0.9))
     turns = _t(spark, sf, "conversations").where(rel >= 0.4).orderBy("conv_id", "turn").limit(5)
     rows = rows.unionByName(made(turns, "conversation", F.concat_ws(":", "conv_id", "turn"), 0.6))
-    rows = rows.unionByName(made(_t(spark, sf, "benchmark").where("item_id < 3"), "attachment", F.col("item_id"), 0.95))
+    rows = rows.unionByName(made(_t(spark, sf, "benchmark").where(attachments), "attachment", F.col("item_id"), 0.95))
     return O.top_k(rows, None, [F.desc("relevance"), E.order_key(["source", "id"])], 20)
 
 
@@ -156,7 +166,17 @@ def greedy_pack(spark, sf):
 
 @query("SELECT source, key, string_agg(value, ',' ORDER BY doc_id) AS value FROM (SELECT source, doc_id, 'lang' AS key, lang AS value FROM documents WHERE doc_id < 400 UNION ALL SELECT source, doc_id, 'size', n_chars::VARCHAR FROM documents WHERE doc_id < 400) WHERE value IS NOT NULL GROUP BY ALL")
 def metadata_merge(spark, sf):
-    rows = _t(spark, sf, "documents").where("doc_id < 400").select("source", "doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("m"))
+    return _metadata(_t(spark, sf, "documents").where("doc_id < 400"))
+
+
+@query(None)
+def metadata_merge_whole(spark, sf):
+    """metadata_merge over all documents."""
+    return _metadata(_t(spark, sf, "documents"))
+
+
+def _metadata(docs):
+    rows = docs.select("source", "doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("m"))
     return S.merge_metadata(rows, "source", "doc_id", "m")
 
 
@@ -359,7 +379,16 @@ def date_parse(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2)::DOUBLE AS amount FROM lineitem WHERE l_orderkey % 10 = 0")
 def amount_parse(spark, sf):
-    rows = _t(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    return _amounts(_t(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query(None)
+def amount_parse_whole(spark, sf):
+    """amount_parse over all line items."""
+    return _amounts(_t(spark, sf, "lineitem"))
+
+
+def _amounts(rows):
     return rows.select("l_orderkey", "l_linenumber", T.amount(F.concat(F.lit("limit $"), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.lit(" or 5%"))).alias("amount"))
 
 
@@ -395,7 +424,17 @@ def profile_merge(spark, sf):
 j AS (SELECT q.id, arg_min(a.text, a.pos) AS answer FROM q JOIN a ON a.question_id = q.id OR a.field_path = q.path GROUP BY q.id)
 SELECT q.id, q.path, answer, CASE WHEN trim(coalesce(answer, '')) <> '' THEN 'answered' ELSE 'open' END AS status FROM q LEFT JOIN j ON q.id = j.id""")
 def first_answers(spark, sf):
-    questions = _t(spark, sf, "documents").where("doc_id < 300").select(F.col("doc_id").alias("id"), F.concat(F.lit("p"), "doc_id").alias("path"))
+    return _answers(spark, sf, _t(spark, sf, "documents").where("doc_id < 300"))
+
+
+@query(None)
+def first_answers_whole(spark, sf):
+    """first_answers with a question from every document."""
+    return _answers(spark, sf, _t(spark, sf, "documents"))
+
+
+def _answers(spark, sf, docs):
+    questions = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("p"), "doc_id").alias("path"))
     k = F.col("item_id") * 3 % 60
     answers = _t(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.when(F.col("item_id") % 2 == 0, k).alias("question_id"), F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("p"), k)).alias("field_path"), F.when(F.col("item_id") % 5 == 0, " ").otherwise(F.substring("text", 1, 10)).alias("text"))
     return E.first_answers(questions, answers)

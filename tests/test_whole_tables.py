@@ -1,0 +1,53 @@
+"""Queries over whole tables, which have no SQL, against brute force on small tables."""
+
+import os
+
+import pyarrow.parquet as pq
+import pytest
+
+from citeloom.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def table(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+def test_metadata_merge_of_all_documents(spark):
+    want = {}
+    for d in sorted(table("documents"), key=lambda d: d["doc_id"]):
+        for key, value in (("lang", d["lang"]), ("size", d["n_chars"])):
+            if value is not None:
+                want.setdefault((d["source"], key), []).append(str(value))
+    got = {(r.source, r.key): r.value for r in QUERIES["metadata_merge_whole"](spark, SF).collect()}
+    assert got == {k: ",".join(v) for k, v in want.items()}
+
+
+def test_first_answers_of_all_documents(spark):
+    best = {}
+    for b in sorted(table("benchmark"), key=lambda b: b["item_id"]):
+        best.setdefault(b["item_id"] * 3 % 60, " " if b["item_id"] % 5 == 0 else b["text"][:10])
+    want = {(d["doc_id"], f"p{d['doc_id']}", best.get(d["doc_id"]), "answered" if (best.get(d["doc_id"]) or "").strip() else "open") for d in table("documents")}
+    got = [tuple(r) for r in QUERIES["first_answers_whole"](spark, SF).select("id", "path", "answer", "status").collect()]
+    assert len(got) == len(want) == len(table("documents")) and set(got) == want
+
+
+def test_amount_parse_of_all_line_items(spark):
+    want = sorted((x["l_orderkey"], x["l_linenumber"], round(float(x["l_extendedprice"]), 2)) for x in table("lineitem"))
+    got = sorted((r.l_orderkey, r.l_linenumber, r.amount) for r in QUERIES["amount_parse_whole"](spark, SF).collect())
+    assert got == [(a, b, pytest.approx(c, abs=1e-6)) for a, b, c in want]
+
+
+def test_evidence_union_of_all_rows(spark):
+    ask = "the worthless thand, deductible limit".split()
+    share = lambda t: sum(w in (t or "").lower() for w in ask) / 5
+    docs, turns = table("documents"), sorted(table("conversations"), key=lambda c: (c["conv_id"], c["turn"]))
+    rows = [("chunk", str(d["doc_id"]), 0.8) for d in docs if share(d["text"]) >= 0.6]
+    rows += [("document", str(d["doc_id"]), 0.9) for d in docs if d["source"] == "src3"]
+    rows += [("conversation", f"{c['conv_id']}:{c['turn']}", 0.6) for c in turns if share(c["text"]) >= 0.4][:5]
+    rows += [("attachment", str(b["item_id"]), 0.95) for b in table("benchmark")]
+    rows = sorted(rows, key=lambda r: (-r[2], f"{r[0]}|{r[1]}"))[:20]
+    got = [tuple(r) for r in QUERIES["evidence_union_topk_whole"](spark, SF).select("source", "id", "relevance", "rank").orderBy("rank").collect()]
+    assert got == [(*r, k) for k, r in enumerate(rows, 1)]
