@@ -75,6 +75,28 @@ def vector_topk_per_label(spark, sf):
     return O.top_k(_scored(spark, sf), "label", [F.desc("score"), F.col("vec_id")], 3).withColumn("score", F.round("score", 6))
 
 
+def _searches(spark, sf):
+    """Every row whose id is divisible by 100 against all other rows."""
+    rows = _t(spark, sf, "embeddings").withColumn("size", F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))))  # once for each row, not for each pair
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("size").alias("q_size"))
+    size = F.col("size") * F.col("q_size")
+    score = F.when(size == 0, F.lit(0.0)).otherwise(V.dot(F.col("embedding"), F.col("q")) / size)
+    return rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", score.alias("score"))
+
+
+@query(None)
+def vector_topk_queries(spark, sf):
+    """vector_topk for the whole query set."""
+    return O.top_k(_searches(spark, sf).drop("label"), "query_id", [F.desc("score"), F.col("vec_id")], 10).withColumn("score", F.round("score", 6))
+
+
+@query(None)
+def vector_topk_per_label_queries(spark, sf):
+    """vector_topk_per_label for the whole query set."""
+    rows = _searches(spark, sf).withColumn("_g", F.struct("query_id", "label"))
+    return O.top_k(rows, "_g", [F.desc("score"), F.col("vec_id")], 3).drop("_g").withColumn("score", F.round("score", 6))
+
+
 @query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 3")
 def history_last_n(spark, sf):
     return O.last_n(_t(spark, sf, "conversations"), "conv_id", "turn", 3)
