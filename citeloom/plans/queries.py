@@ -259,7 +259,7 @@ def page_ranges(spark, sf):
 @query(f"WITH {INTERVALS} SELECT x.user_id, x.event_id AS left_id, y.event_id AS right_id FROM i x JOIN i y ON x.user_id = y.user_id AND x.a <= y.b AND x.b >= y.a AND x.event_id < y.event_id WHERE x.a // 100000 = y.a // 100000")
 def range_overlap_join(spark, sf):
     x, y = _intervals(spark, sf).alias("x"), _intervals(spark, sf).alias("y")
-    same = (F.col("x.user_id") == F.col("y.user_id")) & (F.floor(F.col("x.a") / 100000) == F.floor(F.col("y.a") / 100000))
+    same = F.col("x.user_id") == F.col("y.user_id")
     over = (F.col("x.a") <= F.col("y.b")) & (F.col("x.b") >= F.col("y.a")) & (F.col("x.event_id") < F.col("y.event_id"))
     return x.join(y, same & over).select(F.col("x.user_id").alias("user_id"), F.col("x.event_id").alias("left_id"), F.col("y.event_id").alias("right_id"))
 
