@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -55,15 +56,16 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 class Blocks:
     """Rows kept in row groups of a table in the shared folder.
 
-    A block is one row group, about block_mb of uncompressed columns, so a task that holds a block's hashes is
-    bounded however large the table is. Blocks never change once written, so a rerun task sees the same rows in
-    the same order; rows are named by (block, position).
+    A block is one row group, about block_mb of uncompressed columns (sizes are looked at every few rows, so long texts
+    don't make it much larger; a single longer row stands alone), so a task that holds a block's hashes is bounded
+    however large the table is. Blocks never change once written, so a rerun task sees the same rows in the same order;
+    rows are named by (block, position).
     """
 
     def __init__(self, df: DataFrame, name: str, block_mb: int = 16):
         spark = df.sparkSession
         path = scratch(spark, name)
-        df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).option("parquet.page.size.row.check.min", 4).option("parquet.page.size.row.check.max", 64).parquet(path)
         files = sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
         self.spark, self.schema = spark, df.schema
         told = spark.sparkContext.broadcast(files)
@@ -183,23 +185,79 @@ def windows(h: np.ndarray, n: int, factor: int) -> np.ndarray:
             width *= 2
 
 
+def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes and their n + 1 bounds; a null has none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
 class WordHashes:
-    """64-bit hashes of words, kept for those seen lately; the table is emptied when it is full."""
-
-    def __init__(self, most: int = 400_000):
-        from xxhash import xxh3_64_intdigest
-
-        self.of, self.most, self.seen = xxh3_64_intdigest, most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        new = set(words).difference(seen)
-        if new:
-            of = self.of
-            seen.update((w, of(w)) for w in new)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the words of a column of texts, computed over its bytes at once.
+
+    A word's hash is the sum of a random number for each byte times a power of an odd base, modulo 2**64, taken as a
+    difference of running sums and brought to the word's start by the inverse power; then mixed with the word's length.
+    The numbers of unlike bytes differ in their lowest eight bits, so no exchange of bytes goes unseen. Hashes of
+    different seeds are independent. Words are what [^\x20\x09-\x0D]+ finds; fold: A-Z count as a-z.
+    """
+
+    PIECE = 1 << 16
+
+    def __init__(self, seed: int = 1, fold: bool = False):
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(0, 1 << 56, 256, np.uint64) << np.uint64(8) | np.arange(256, dtype=np.uint64)
+        if fold:
+            self.table[65:91] = self.table[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.base = int(rng.integers(0, 1 << 61)) << 3 | 5
+        self.power = self.inverse = np.zeros(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.power):
+            with np.errstate(over="ignore"):
+                self.power = np.cumprod(np.full(n, self.base, np.uint64))
+                self.inverse = np.cumprod(np.full(n, pow(self.base, -1, 1 << 64), np.uint64))
+
+    def _cut(self, raw: np.ndarray, ends: np.ndarray, z: int) -> int:
+        """The first place from z on where no word runs over."""
+        edge = int(ends[np.searchsorted(ends, z)]) if z < len(raw) else len(raw)
+        while z < edge:
+            found = np.flatnonzero(self.space[raw[z : min(edge, z + 4096)]])
+            if len(found):
+                return z + int(found[0])
+            z += 4096
+        return edge
+
+    def __call__(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes, flat, and the n + 1 bounds of texts in them."""
+        raw, ends = column_bytes(column)
+        hashes, starts, a = [], [], 0
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True
+        while a < len(raw):
+            z = self._cut(raw, ends, a + self.PIECE)
+            c = raw[a:z]
+            blank = self.space.take(c)
+            lead, trail = edge[a:z].copy(), edge[a + 1 : z + 1].copy()
+            lead[0] = trail[-1] = True
+            lead[1:] |= blank[:-1]
+            trail[:-1] |= blank[1:]
+            begin, stop = np.flatnonzero(lead & ~blank), np.flatnonzero(trail & ~blank) + 1
+            self._powers(len(c))
+            with np.errstate(over="ignore"):
+                total = np.zeros(len(c) + 1, np.uint64)
+                np.cumsum(self.table.take(c) * self.power[: len(c)], out=total[1:])
+                h = (total[stop] - total[begin]) * self.inverse[begin]
+                hashes.append(mix(h + (stop - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            starts.append(begin + a)
+            a = z
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends).astype(np.int64)
 
 
 def parts_of(bytes_: int, spark: SparkSession, part_mb: int) -> int:

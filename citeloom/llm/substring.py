@@ -3,17 +3,19 @@
 Words of a text are hashed, and windows of ANCHOR words only at positions that are, modulo PERIOD, in COVER. Any two
 positions have a shift below PERIOD that brings both onto the cover, so two equal windows of ANCHOR + PERIOD - 1 = 20
 words share an aligned anchor. Anchors seen once in all texts are dropped; around each of the others the windows of 20
-words that hold it are candidates (the match extended to its full length), and only those are hashed in full, to 96
-bits. Of each the earliest (doc_id, start) is found, and a candidate that starts later loses its words.
+words that hold it are candidates (the match extended to its full length), and only those are hashed in full: 64 bits
+made of one hash of each word, and 32 of an independent one. Of each the earliest (doc_id, start) is found, and a candidate that starts later loses its words.
 
 Texts lie in blocks of bounded size in the shared folder; three passes read them. Between passes no text moves: a block
 sends its distinct hashes, sorted and cut into ranges (32 bits an anchor), one row for each range; a range answers with
-one bit for each hash. A passage that a third of all texts share is one hash of each block. Results are exact: that 32
-bits are compared first can only make more candidates.
+one bit for each hash. A passage that a third of all texts share is one hash of each block. There are never more rows
+sent than distinct hashes, and ranges are dealt to as many partitions as there are. That 32 bits are compared first
+can only make more candidates; two unlike windows count as equal with a chance of about 2**-96 a pair.
 
 Defined results: a null text has no words; texts of fewer than 20 words lose none. A null doc_id comes after all others
 and rows with it count as one document. In rows that share a doc_id equal windows of equal start are neither before the
-other, so none is removed for the other's sake. Repeated rows: likewise. Empty tables give empty results.
+other, so none is removed for the other's sake. Repeated rows: likewise. Empty tables give empty results. Other input
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +40,21 @@ _ON[list(COVER)] = True
 
 
 class Texts:
-    """The word hashes of a block: flat, with the bounds of each row and its doc_id."""
+    """The word hashes of a block: flat, with the bounds of each row and its doc_id. twice: also those of an independent function, in more."""
 
-    def __init__(self, read, block: int):
-        hashes, ids, ends = WordHashes(), [], [0]
-        flat = []
+    def __init__(self, read, block: int, twice: bool = False):
+        kinds = [WordHashes(1), WordHashes(2)][: 1 + twice]
+        ids, ends, flat, at = [], [np.zeros(1, np.int64)], [[] for _ in kinds], 0
         for batch in read(block):
-            words: list[bytes] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = text.encode().split() if text else []
-                words += own
-                ids.append(LAST if key is None else key)
-                ends.append(ends[-1] + len(own))
-            flat.append(hashes(words))
-        self.words = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-        self.ids, ends = np.array(ids, np.int64), np.array(ends, np.int64)
+            ids.append(pc.fill_null(batch.column(0), LAST).to_numpy(zero_copy_only=False).astype(np.int64))
+            for out, hashes in zip(flat, kinds):
+                h, bounds = hashes(batch.column(1))
+                out.append(h)
+            ends.append(bounds[1:] + at)
+            at += int(bounds[-1])
+        joined = [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in flat]
+        self.words, self.more = joined[0], joined[-1]
+        self.ids, ends = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(ends)
         self.begin, self.end = ends[:-1], ends[1:]
         self.row = np.repeat(np.arange(len(self.ids)), np.diff(ends))
         self.place = np.arange(len(self.words)) - self.begin[self.row]
@@ -150,13 +153,13 @@ class _Pass:
     """What the second and third pass share: the windows of a block that may be repeated, grouped."""
 
     def __init__(self, read, block: int, first: pa.Table):
-        self.texts = t = Texts(read, block)
+        self.texts = t = Texts(read, block, twice=True)
         at, h = t.anchors()
         own, several = _unique(h)
         repeated = several | _bits(first, len(own))
         starts = t.candidates(at[repeated[np.searchsorted(own, h)]]) if len(own) else np.zeros(0, np.int64)
         a = mix(windows(t.words, WINDOW, P1)[starts]) if len(starts) else np.zeros(0, np.uint64)
-        b = (mix(windows(mix(t.words + np.uint64(1)), WINDOW, P2)[starts]) >> np.uint64(32)).astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
+        b = (mix(windows(t.more, WINDOW, P2)[starts]) >> np.uint64(32)).astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
         key, place = t.ids[t.row[starts]], t.place[starts].astype(np.int32)
         order = np.lexsort((place, key, b, a))
         self.starts, self.a, self.b, self.key, self.place = starts[order], a[order], b[order], key[order], place[order]
@@ -180,9 +183,9 @@ def marks(df: DataFrame, text: str = "text", key: str = "doc_id", block_mb: int
         f = w.first
         yield from send(block, w.a[f], parts, [w.a[f], w.b[f], w.key[f], w.place[f]])
 
-    first = blocks.map(anchors, SENT).groupBy("part").applyInArrow(_in_several, ANSWER)
+    first = blocks.map(anchors, SENT).repartition(parts, "part").groupBy("part").applyInArrow(_in_several, ANSWER)
     first = written(first, "substring-anchors")
-    second = blocks.map_with(first, windows_of, SENT).groupBy("part").applyInArrow(_later, ANSWER)
+    second = blocks.map_with(first, windows_of, SENT).repartition(parts, "part").groupBy("part").applyInArrow(_later, ANSWER)
     return blocks, first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
 
 
