@@ -41,6 +41,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, key: str, table: DataFrame, other: str, count: str, least: int) -> DataFrame:
+    """rows left join table on key = other, where table (one row a key, written) says in count how many rows have the key.
+
+    Keys of more rows than a thousandth of all and than `least` number fewer than 1,000, however large the table: these
+    are broadcast, so that their rows stay where they are and none meets in one task; the others are shuffled.
+    """
+    bound = max(least, int(table.agg(F.sum(count)).first()[0] or 0) // 1000)
+    hot = table.where(F.col(count) > bound)
+    names = F.broadcast(hot.select(F.col(other).alias("_hot")))  # fewer than 1,000 rows
+    marked = rows.join(names, F.col(key) == F.col("_hot"), "left")
+    some = marked.where("_hot IS NOT NULL").drop("_hot").join(F.broadcast(hot), F.col(key) == F.col(other), "left")
+    rest = marked.where("_hot IS NULL").drop("_hot").join(table.where(F.col(count) <= bound), F.col(key) == F.col(other), "left")
+    return rest.unionByName(some)
+
+
 def drawn(digest, wanted: int, rows):
     """Whether a row may be among the `wanted` first of `rows` in the order of an MD5 digest (hex): passes four times as many, so that few rows are sorted or moved."""
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)

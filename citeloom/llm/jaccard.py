@@ -11,17 +11,19 @@ the shared shingles of their prefixes.
 
 Pairs. Within a group, tokens are hashed to GROUPS coordinates and each set is the point of its counts; of two sets at
 most the sum of their points' coordinate minima is shared. An R-tree over the points (each node: the largest count in
-each coordinate, the range of sizes) gives, for each set, those that this bound and the sizes leave; they are verified
-by their sorted hashes. join() and dedup() pass over pairs whose sets are already known to be connected, as only classes'
-components are asked for; links() verifies every pair and counts each class's links within the tasks, so that pairs are
-not written, however many. A group of more than CHUNK sets is dealt into chunks by size band
-and hash, and every two chunks of equal or neighbouring bands meet in a task of their own: exact, and bounded.
+each coordinate, the range of sizes) gives, for each set, those that this bound and the sizes leave. Every pair left is
+verified by its shingles: one by one, or, where most sets of a unit are left with most others, by products of the
+matrix of sets and shingles, whichever costs less. Links are counted for each class within the tasks and only a
+forest that connects similar sets is written, so pairs are not, however many. A group of more than CHUNK sets is dealt
+into chunks by size band and hash, and every two chunks of equal or neighbouring bands meet in a task of their own:
+exact, and bounded. Each similar pair meets in one task alone.
 
 Shingles are compared by 64-bit hashes, classes by 128 bits.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a text of fewer words than a
 shingle has its whole word sequence as one. A component's id is its smallest doc_id, nulls aside; null if all are null.
-Repeated rows are equal sets and share a component. Empty tables give empty results.
+Repeated rows are equal sets and share a component. Empty tables give empty results. join() drops other input columns,
+whatever their names; dedup() returns all of them as they are.
 """
 
 from __future__ import annotations
@@ -35,26 +37,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, WordHashes, mix, parts_of, windows, written
+from .common import Blocks, WordHashes, join_hot, mix, parts_of, windows, written
 from .graph import components
 from .substring import P1, SENT, send
 
-#: Coordinates of a point, sets in a chunk, children of a tree's node.
-GROUPS, CHUNK, FAN = 64, 512, 16
+#: Coordinates of a point, sets in a chunk, children of a tree's node, shingles in a product of matrices.
+GROUPS, CHUNK, FAN, WIDE = 64, 512, 16, 8192
+#: What a pair costs that is verified by itself, and a million of multiplications, in microseconds: these choose between two ways of the same result.
+PAIR, PRODUCT = 15.0, 40.0
 ANSWER = "block int, start long, count int, df binary"
+#: Rows of a class from which it counts as hot when rows get their class's component, at least; of a table of n rows, a thousand classes at most are.
+HOT = 1000
 
 
-def sets_of(texts: list[str | None], words: int, hashes: WordHashes) -> list[np.ndarray]:
+def sets_of(texts: pa.Array, words: int, hashes: WordHashes) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
+    h, bounds = hashes(texts)
+    full = mix(windows(h, words, P1) + np.uint64(words))
     out = []
-    for text in texts:
-        own = text.encode().lower().split() if text else []
-        if not own:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h = hashes(own)
-        n = min(words, len(own))
-        out.append(np.unique(mix(windows(h, n, P1) + np.uint64(n))))
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if z - a >= words:
+            out.append(np.unique(full[a : z - words + 1]))
+        elif z > a:
+            out.append(mix(windows(h[a:z], z - a, P1) + np.uint64(z - a)))
+        else:
+            out.append(h[:0])
     return out
 
 
@@ -85,37 +92,73 @@ class CountTree:
         return self.order[alive]
 
 
-def link(keys: list[bytes], sizes: np.ndarray, sets: list[np.ndarray], sides: list, percent: int, across: bool, counts: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
-    """Edges that connect all sets whose similarity is high enough; across: only between different sides. counts: every pair is verified, and each set's links are added to it."""
-    points = np.zeros((len(sets), GROUPS), np.int32)
-    for row, s in zip(points, sets):
-        row += np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
-    up = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out = []
+def shared_by(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair (i, j) share."""
+    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    flat = np.concatenate([sets[k] for k in used])
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    found, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    wide = int((times > 1).sum())
+    if len(i) * PAIR <= len(used) ** 2 * wide * PRODUCT / 1e6:
+        out = np.zeros(len(i), np.int64)
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+            out[k] = (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum() if len(a) else 0
+        return out
+    place = np.cumsum(times > 1) - 1  # a shingle of one set alone is shared by none
+    keep = (times > 1)[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(used), len(used)), np.float32)
+    for a in range(0, wide, WIDE):
+        x, z = np.searchsorted(column, (a, a + WIDE))
+        rows = np.zeros((len(used), min(WIDE, wide - a)), np.float32)
+        rows[owner[x:z], column[x:z] - a] = 1
+        both += rows @ rows.T
+    return np.rint(both[back[: len(i)], back[len(i) :]]).astype(np.int64)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) of the graph of the edges (i, j)."""
+    low = np.arange(n)
+    while len(i):
+        least = np.minimum(low[i], low[j])
+        before = low.copy()
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        np.minimum.at(low, before[i], least)
+        np.minimum.at(low, before[j], least)
+        low = low[low]
+        if (low[i] == low[j]).all():
+            break
+    while (low[low] != low).any():
+        low = low[low]
+    at = np.flatnonzero(low != np.arange(n))
+    return at, low[at]
+
+
+def link(sizes: np.ndarray, sets: list[np.ndarray], sides: list, percent: int, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges that connect all sets whose similarity is high enough, and how many such others each set has; across: only between different sides."""
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    where = (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) % GROUPS if len(owner) else owner
+    points = np.bincount(owner * GROUPS + where, minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
     first = np.array([s == sides[0] for s in sides]) if across else np.ones(len(sets), bool)
     pool = np.flatnonzero(first)
     tree = CountTree(points[pool], sizes[pool])
-    for i in np.flatnonzero(~first) if across else range(len(sets)):
-        own, n = sets[i], int(sizes[i])
-        for j in pool[tree.near(points[i], n, percent)].tolist():
-            if (not across and j >= i) or (counts is None and root(i) == root(j)):
-                continue
-            a, b = (own, sets[j]) if len(own) <= len(sets[j]) else (sets[j], own)
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
-            if 100 * both >= percent * (n + int(sizes[j]) - both):
-                if counts is not None:
-                    counts[[i, j]] += 1
-                if root(i) != root(j):
-                    up[root(i)] = root(j)
-                    out.append((keys[i], keys[j]))
-    return out
+    left, right = [], []
+    for i in np.flatnonzero(~first).tolist() if across else range(len(sets)):
+        near = pool[tree.near(points[i], int(sizes[i]), percent)]
+        near = near if across else near[near < i]
+        left.append(np.full(len(near), i))
+        right.append(near)
+    i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
+    if not len(i):
+        return i, j, np.zeros(len(sets), np.int64)
+    both = shared_by(sets, i, j)
+    like = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    i, j = i[like], j[like]
+    return *forest(len(sets), i, j), np.bincount(np.concatenate([i, j]), minlength=len(sets))
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
@@ -152,9 +195,9 @@ class Join:
         read, words = self.blocks.reader([self.key, self.text]), self.words
 
         def run(block: int):
-            hashes, at = WordHashes(), 0
+            hashes, at = WordHashes(fold=True), 0
             for batch in read(block):
-                sets = sets_of(batch.column(1).to_pylist(), words, hashes)
+                sets = sets_of(batch.column(1), words, hashes)
                 names = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 n = len(sets)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block] * n, pa.int32()), "row": pa.array(range(at, at + n), pa.int32()), "doc_id": batch.column(0).cast(pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "class": pa.array(names, pa.binary())})
@@ -167,51 +210,61 @@ class Join:
         read, words, percent = self.blocks.reader([self.text]), self.words, self.percent
         parts = parts_of(self.blocks.bytes, self.spark, self.part_mb)
 
-        def sets_at(block: int, rows: set[int]):
-            hashes, at = WordHashes(), 0
-            for batch in read(block):
-                texts = [t for i, t in enumerate(batch.column(0).to_pylist(), at) if i in rows]
+        def sets_at(block: int, given: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            """The sets of the chosen rows, flat, and their sizes."""
+            rows = np.array(sorted(r for some in given.column("rows").to_pylist() if some is not None for r in some), np.int64)
+            hashes, at, sets = WordHashes(fold=True), 0, []
+            for batch in read(block) if len(rows) else ():
+                own = rows[np.searchsorted(rows, at) : np.searchsorted(rows, at + batch.num_rows)] - at
                 at += batch.num_rows
-                yield from sets_of(texts, words, hashes)
-
-        def chosen(given: pa.Table) -> set[int]:
-            return {r for rows in given.column("rows").to_pylist() if rows is not None for r in rows}
+                sets += sets_of(batch.column(0).take(pa.array(own)), words, hashes)
+            return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array(list(map(len, sets)), np.int64)
 
         def tell(block: int, given: pa.Table):
-            sets = list(sets_at(block, chosen(given)))
-            if sets:
-                own, counts = np.unique(np.concatenate(sets), return_counts=True)
+            flat, _ = sets_at(block, given)
+            if len(flat):
+                own, counts = np.unique(flat, return_counts=True)
                 yield from send(block, own, parts, [own.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)])
 
         def pick(block: int, given: pa.Table):
-            sets = list(sets_at(block, chosen(given)))
-            if not sets:
+            flat, size = sets_at(block, given)
+            if not len(flat):
                 return
-            own = np.unique(np.concatenate(sets))
+            own = np.unique(flat)
             level = np.zeros(len(own), np.uint8)
             for start, count, df in zip(*(given.column(c).to_pylist() for c in ("start", "count", "df"))):
                 if df is not None:
                     level[start : start + count] = np.frombuffer(zlib.decompress(df), np.uint8)
-            rows = []
-            for s in sets:
+            ends = np.concatenate(([0], np.cumsum(size)))
+            for a in range(0, len(size), 256):
+                z = min(a + 256, len(size))
+                s, n = flat[ends[a] : ends[z]], size[a:z]
                 held = level[np.searchsorted(own, s)]
-                prefix = len(s) + (-percent * len(s) // 100) + 1
-                room = prefix - int((held == 0).sum())
-                if room > 0 and held.any():
-                    shared, held = s[held > 0], held[held > 0]
-                    order = np.lexsort((shared, held))[:room]
-                    rows.append((blake2b(s.tobytes(), digest_size=16).digest(), len(s), shared[order].view(np.int64).tolist(), shared.tobytes()))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], ["class", "n", "prefix", "shared"])
+                owner = np.repeat(np.arange(z - a), n)
+                alone = np.bincount(owner[held == 0], minlength=z - a)
+                room = n + (-percent * n // 100) + 1 - alone
+                fit = (room > 0) & (alone < n)
+                keep = fit[owner] & (held > 0)
+                shared, held, owner = s[keep], held[keep], owner[keep]
+                order = np.lexsort((shared, held, owner))
+                count = np.bincount(owner, minlength=z - a)
+                begin = np.concatenate(([0], np.cumsum(count)))
+                inside = np.arange(len(order)) - np.repeat(begin[:-1], count) < np.repeat(room, count)
+                prefix, taken = shared[order][inside].view(np.int64), np.bincount(owner[inside], minlength=z - a)
+                which = np.flatnonzero(fit)
+                names = [blake2b(flat[ends[a + k] : ends[a + k + 1]].tobytes(), digest_size=16).digest() for k in which]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(taken[which]))), pa.int32()), pa.array(prefix))
+                held_by = [shared[begin[k] : begin[k + 1]].tobytes() for k in which]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n[which], pa.int64()), lists, pa.array(held_by, pa.binary())], ["class", "n", "prefix", "shared"])
 
         sent = self.blocks.map_with(first_rows, tell, SENT)
-        told = written(sent.groupBy("part").applyInArrow(_frequencies, ANSWER), "frequencies")
+        told = written(sent.repartition(parts, "part").groupBy("part").applyInArrow(_frequencies, ANSWER), "frequencies")
         marks = first_rows.withColumns({"start": F.lit(None).cast("long"), "count": F.lit(None).cast("int"), "df": F.lit(None).cast("binary")})
         marks = marks.unionByName(told.withColumn("rows", F.lit(None).cast("array<int>")))
         return written(self.blocks.map_with(marks, pick, "class binary, n long, prefix array<long>, shared binary"), "candidates")
 
-    def links(self, candidates: DataFrame, every: bool = False) -> DataFrame:
-        """Edges a, b between classes that connect what is similar. every: also rows a = b with n, a class's links in one task; each similar pair meets in one task alone."""
+    def links(self, candidates: DataFrame) -> DataFrame:
+        """Edges a, b between classes that connect what is similar, and rows a = b with n, a class's links in one task; each similar pair meets in one task alone."""
         by_shingle = candidates.select("class", F.explode("prefix").alias("s"))
         low = by_shingle.groupBy(F.col("s").alias("t")).agg(F.min("class").alias("m"), F.count("*").alias("k")).where("k > 1")
         low = written(low, "shingles")  # a table of its own: adaptive execution can then split a shingle of many sets
@@ -244,48 +297,38 @@ class Join:
             if across and u["kind"] == 1:
                 sides = [s[1] for s in sides]
             sets = [np.frombuffer(s, np.uint64) for s in t.column("shared").to_pylist()]
-            keys, counts = t.column("class").to_pylist(), np.zeros(len(sets), np.int64) if every else None
-            found = [(a, b, 0) for a, b in link(keys, t.column("n").to_numpy(), sets, sides, percent, across, counts)]
-            if every:
-                found += [(k, k, n) for k, n in zip(keys, counts.tolist()) if n]
-            a, b, n = zip(*found) if found else ((), (), ())
-            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(n, pa.int64())})
+            a, b, counts = link(t.column("n").to_numpy(), sets, sides, percent, across)
+            own = np.flatnonzero(counts)
+            names = t.column("class").combine_chunks()
+            a, b, n = np.concatenate([a, own]), np.concatenate([b, own]), np.concatenate([np.zeros(len(a), np.int64), counts[own]])
+            return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "n": pa.array(n, pa.int64())})
 
         # without this the join's partitions by g alone would do for the groups, and all units of a group would meet in one task
         return rows.repartition("g", "unit").groupBy("g", "unit").applyInArrow(run, "a binary, b binary, n long")
 
-    def rows(self, every: bool = False) -> DataFrame:
-        """block, row, doc_id, n, component (its smallest doc_id) and root (one class of the component, null without words) of every row; every: also links, how many other classes its own is similar to."""
+    def rows(self) -> DataFrame:
+        """block, row, doc_id, n, component (its smallest doc_id), root (one class of the component, null without words) and links (how many other classes its own is similar to) of every row."""
         all_rows = written(self.classes(), "classes")
         some = all_rows.where("n > 0")
-        kinds = written(some.groupBy("class").agg(F.min("doc_id").alias("low"), F.min(F.struct("block", "row")).alias("at")), "kinds")
+        kinds = written(some.groupBy("class").agg(F.min("doc_id").alias("low"), F.min(F.struct("block", "row")).alias("at"), F.count("*").alias("copies")), "kinds")
         first = kinds.groupBy(F.col("at.block").alias("block")).agg(F.collect_list("at.row").alias("rows"))
-        links = self.links(self.candidates(first), every)
-        links = written(links, "links") if every else links
+        links = written(self.links(self.candidates(first)), "links")
         linked = components(links)
         whole = kinds.select("class", "low").join(linked, F.col("class") == F.col("node")).select("class", "low", "root")
         lowest = whole.groupBy(F.col("root").alias("_r")).agg(F.min("low").alias("_low"))
         whole = whole.join(lowest, F.col("root") == F.col("_r")).select(F.col("class").alias("_class"), F.col("_low"), F.col("root").alias("_root"))
         # a component may have rows of null ids alone, so only whether it is in whole tells whether a class is linked
         low = F.when(F.col("_root").isNull(), F.col("low")).otherwise(F.col("_low"))
-        each = kinds.select(F.col("class").alias("_c"), "low").join(whole, F.col("_c") == F.col("_class"), "left").select("_c", low.alias("component"), F.coalesce("_root", "_c").alias("root"))
-        if every:
-            counts = links.where("a = b").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("links"))
-            each = each.join(counts, F.col("_c") == F.col("_a"), "left").drop("_a")
-        out = all_rows.join(each, F.col("class") == F.col("_c"), "left")
-        more = [F.coalesce("links", F.lit(0)).alias("links")] if every else []
-        return out.select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "root", *more)
+        each = kinds.select(F.col("class").alias("_c"), "low", "copies").join(whole, F.col("_c") == F.col("_class"), "left").select("_c", "copies", low.alias("component"), F.coalesce("_root", "_c").alias("root"))
+        counts = links.where("a = b").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("links"))
+        each = written(each.join(counts, F.col("_c") == F.col("_a"), "left").drop("_a"), "components")
+        out = join_hot(all_rows, "class", each, "_c", "copies", HOT)
+        return out.select("block", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "root", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of df."""
+    """doc_id, n_shingles, component_id and n_links of every row of df: how many other classes (texts of unlike sets) are similar to its own, each counted once however many copies it has; 0 without words."""
     rows = Join(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", words, percent, **how).rows()
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-
-
-def links(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, **how) -> DataFrame:
-    """join() with n_links of every row: how many other classes (texts of unlike sets) are similar to its own, each counted once however many copies it has; 0 without words."""
-    rows = Join(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", words, percent, **how).rows(every=True)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
@@ -305,6 +348,8 @@ t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (na + nb - k)),
 y AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (WITH RECURSIVE c(d, x) AS (SELECT doc_id, doc_id FROM s UNION SELECT c.d, y.b FROM c JOIN y ON c.x = y.a) SELECT d, min(x) AS component_id FROM c GROUP BY d)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN r ON doc_id = d
+r AS (WITH RECURSIVE c(d, x) AS (SELECT doc_id, doc_id FROM s UNION SELECT c.d, y.b FROM c JOIN y ON c.x = y.a) SELECT d, min(x) AS component_id FROM c GROUP BY d),
+k AS (SELECT doc_id, md5(array_to_string(list_sort(s), chr(10))) AS k FROM s),
+l AS (SELECT y.a, count(DISTINCT k.k) FILTER (k.k <> o.k) AS n FROM y JOIN k ON y.b = k.doc_id JOIN k o ON y.a = o.doc_id GROUP BY y.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(l.n, 0)::BIGINT AS n_links FROM s JOIN r ON s.doc_id = d LEFT JOIN l ON l.a = s.doc_id
 """

@@ -60,11 +60,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
-def op8_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_ngram_jaccard_join with each document's links, every pair verified; its SQL has no such column."""
-    return jaccard.links(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
-
-
 def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     index = warc.Index.build(warc.write_archive(pages))

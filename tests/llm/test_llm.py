@@ -196,7 +196,7 @@ def test_jaccard_brute_force(spark, odd, chunk):
         rows.append((i, " ".join(w)))
     rows += [(None, rows[1][1]), (999, rows[1][1].upper()), (1000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.join(df.repartition(4), words=4, percent=85, chunk=chunk)
+    got = jaccard.join(df.repartition(4), words=4, percent=85, chunk=chunk).drop("n_links")
     want = brute_jaccard(rows, 4, 85)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert jaccard.dedup(df, words=4, percent=85, chunk=chunk).count() == len({c for _, n, c in want if n}) + sum(n == 0 for _, n, _ in want)
@@ -204,9 +204,13 @@ def test_jaccard_brute_force(spark, odd, chunk):
 
 def test_jaccard_odd_rows(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    assert sorted(map(tuple, jaccard.join(odd).collect()), key=str) == sorted(brute_jaccard(rows, 5, 80), key=str)
+    assert sorted(map(tuple, jaccard.join(odd).drop("n_links").collect()), key=str) == sorted(brute_jaccard(rows, 5, 80), key=str)
     kept = jaccard.dedup(odd)
     assert kept.columns == odd.columns and kept.where("text LIKE 'w%'").count() == 1
+    clash = jaccard.join(odd.withColumns({c: F.lit("clash") for c in ("class", "n", "component", "root", "block", "row")}))
+    assert sorted(map(tuple, clash.drop("n_links").collect()), key=str) == sorted(brute_jaccard(rows, 5, 80), key=str)
+    kept = jaccard.dedup(odd.withColumns({c: F.lit("clash") for c in ("class", "n", "component", "root", "rows")}))
+    assert kept.count() == jaccard.dedup(odd).count() and {r["class"] for r in kept.collect()} == {"clash"}
     assert jaccard.join(odd.limit(0)).count() == 0 and jaccard.dedup(odd.limit(0)).count() == 0
 
 
@@ -227,7 +231,7 @@ def test_jaccard_counts_every_link(spark, odd, chunk):
     like = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
     want = [(d, sum(like(s, o) for o in set(sets) if o) if s else 0) for (d, _), s in zip(rows, sets)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = jaccard.links(df, words=4, percent=85, chunk=chunk)
+    got = jaccard.join(df, words=4, percent=85, chunk=chunk)
     assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == sorted(want, key=str)
     assert max(n for _, n in want) > 20 and sorted(map(tuple, got.drop("n_links").collect()), key=str) == sorted(brute_jaccard(rows, 4, 85), key=str)
 
@@ -249,6 +253,24 @@ def test_components(spark):
     assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_shared_counts_and_forest():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 250)).astype(np.uint64)) for _ in range(60)]
+    i, j = np.array([(a, b) for a in range(60) for b in range(a)]).T
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    for price in (0.0, 1e9):  # one by one, and by products
+        before, jaccard.PAIR = jaccard.PAIR, price
+        assert jaccard.shared_by(sets, i, j).tolist() == want
+        jaccard.PAIR = before
+    edges = rng.integers(0, 200, (120, 2))
+    up = list(range(200))
+    for a, b in edges.tolist():
+        a, b = min(up[a], up[b]), max(up[a], up[b])
+        up = [a if x == b else x for x in up]
+    a, b = jaccard.forest(200, *edges.T)
+    assert dict(zip(a.tolist(), b.tolist())) == {k: r for k, r in enumerate(up) if k != r}
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 80, rng.integers(1, 60)).astype(np.uint64) << np.uint64(20)) for _ in range(120)]
