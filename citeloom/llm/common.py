@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Partitions of a shuffle that deals blocks or ranges by their number, at most; beyond that several share one.
+MOST = 50_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode is one made up."""
     sc = spark.sparkContext
@@ -142,8 +146,8 @@ class Blocks:
         from pyspark.sql.types import StructType
 
         empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-        # a fixed number of partitions: the marks are few bytes, the work is in reading the blocks
-        return both.repartition(max(1, self.count), "block").groupBy("block").applyInArrow(_or_empty(run, empty), schema)
+        # a partition for each block: the marks are few bytes, the work is in reading the blocks
+        return both.repartitionById(max(1, min(self.count, MOST)), "block").groupBy("block").applyInArrow(_or_empty(run, empty), schema)
 
     def take(self, stay: DataFrame) -> DataFrame:
         """The rows of the table, whole, whose places stay(block, row) has."""

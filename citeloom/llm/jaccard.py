@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, WordHashes, join_hot, mix, parts_of, windows, written
+from .common import MOST, Blocks, WordHashes, join_hot, mix, parts_of, windows, written
 from .graph import components
 from .substring import P1, SENT, send
 
@@ -230,23 +230,28 @@ class Join:
             flat, size = sets_at(block, given)
             if not len(flat):
                 return
-            own = np.unique(flat)
-            level = np.zeros(len(own), np.uint8)
+            order = np.argsort(flat)
+            ascending = flat[order]
+            group = np.cumsum(np.concatenate(([False], ascending[1:] != ascending[:-1])))
+            level = np.zeros(int(group[-1]) + 1, np.uint8)
             for start, count, df in zip(*(given.column(c).to_pylist() for c in ("start", "count", "df"))):
                 if df is not None:
                     level[start : start + count] = np.frombuffer(zlib.decompress(df), np.uint8)
+            every = np.empty(len(flat), np.uint8)
+            every[order] = level[group]
+            del order, ascending, group
             ends = np.concatenate(([0], np.cumsum(size)))
             for a in range(0, len(size), 256):
                 z = min(a + 256, len(size))
                 s, n = flat[ends[a] : ends[z]], size[a:z]
-                held = level[np.searchsorted(own, s)]
+                held = every[ends[a] : ends[z]]
                 owner = np.repeat(np.arange(z - a), n)
                 alone = np.bincount(owner[held == 0], minlength=z - a)
                 room = n + (-percent * n // 100) + 1 - alone
                 fit = (room > 0) & (alone < n)
                 keep = fit[owner] & (held > 0)
                 shared, held, owner = s[keep], held[keep], owner[keep]
-                order = np.lexsort((shared, held, owner))
+                order = np.argsort((owner << 8 | held).astype(np.uint16), kind="stable")  # sets are in ascending order already
                 count = np.bincount(owner, minlength=z - a)
                 begin = np.concatenate(([0], np.cumsum(count)))
                 inside = np.arange(len(order)) - np.repeat(begin[:-1], count) < np.repeat(room, count)
@@ -258,7 +263,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n[which], pa.int64()), lists, pa.array(held_by, pa.binary())], ["class", "n", "prefix", "shared"])
 
         sent = self.blocks.map_with(first_rows, tell, SENT)
-        told = written(sent.repartition(parts, "part").groupBy("part").applyInArrow(_frequencies, ANSWER), "frequencies")
+        told = written(sent.repartitionById(min(parts, MOST), "part").groupBy("part").applyInArrow(_frequencies, ANSWER), "frequencies")
         marks = first_rows.withColumns({"start": F.lit(None).cast("long"), "count": F.lit(None).cast("int"), "df": F.lit(None).cast("binary")})
         marks = marks.unionByName(told.withColumn("rows", F.lit(None).cast("array<int>")))
         return written(self.blocks.map_with(marks, pick, "class binary, n long, prefix array<long>, shared binary"), "candidates")

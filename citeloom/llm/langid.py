@@ -29,6 +29,8 @@ from .common import drawn
 #: Hash buckets of the features, bounds of the sample, landmarks, and the ridge.
 BUCKETS, PER_CLASS, TRAIN, LANDMARKS, RIDGE = 1 << 15, 400, 3000, 400, 0.05
 BATCH = 64
+#: A text that scores less for every language is none of them: its n-grams speak against each as much as for it.
+LEAST_SCORE = 0.05
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
 
@@ -99,6 +101,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return Model.fit(bits, told.column("lang").to_pylist())
 
 
+def identified(df: DataFrame, model: Model, text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of df, its columns only, whose language can be told, with the predicted one in lang: texts without a letter go, and those that score below `least` for every language learned."""
+    rows = predict(df, model, text).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return rows.withColumn(lang, F.col("lang_pred")).select(*df.columns)
+
+
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
     made = ("lang_pred", "score")

@@ -78,11 +78,12 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5
 
 
 def emit(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: each row of df as often as it is taken, df's columns only. Rows that share a key (or have none) are each taken as often as the one of them that is taken most."""
-    taken = mix(df.select(key, text, source), text=text, source=source, key=key, **how)
-    taken = taken.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key")).agg(F.max("copies").alias("_n")).where("_n > 0")
-    rows = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(taken, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*df.columns)
+    """The mix itself: each row of df as often as it is taken, df's columns only. Rows are told apart by their place in a written table, so those that share a key (or have none) are each taken as often as their own share says."""
+    rows = written(df.withColumn("_place_of", F.monotonically_increasing_id()), "mix-rows")  # numbers that stay, as the table is written
+    taken = mix(rows.select("_place_of", key, text, source), text=text, source=source, key=key, **how)
+    taken = taken.where("copies > 0").select(F.col("_place_of").alias("_taken"), F.col("copies").alias("_copies"))
+    rows = rows.join(taken, F.col("_place_of") == F.col("_taken"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*df.columns)
 
 
 ORACLE = r"""
@@ -92,7 +93,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 2.0::DOUBLE * source_size AS lim FROM s),
 l AS (SELECT *, source_size::DOUBLE / weight AS ratio, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(lim) OVER f, 0.0)) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER f, 0))::DOUBLE AS lvl
   FROM w WINDOW f AS (ORDER BY source_size::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, least(lim, coalesce((SELECT lvl FROM l WHERE lim > lvl * weight ORDER BY ratio, lvl LIMIT 1) * weight, lim)) AS target FROM l),
+g AS (SELECT source, source_size, least(lim, coalesce((SELECT lvl FROM l WHERE lim > lvl * weight ORDER BY ratio, source ASC NULLS LAST LIMIT 1) * weight, lim)) AS target FROM l),
 r AS (SELECT doc_id, c.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
   row_number() OVER (PARTITION BY c.source ORDER BY cls, b, size, doc_id NULLS LAST) AS k,
   ('0x' || substr(md5('7:' || coalesce('s' || c.source, 'null')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS u

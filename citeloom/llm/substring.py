@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, WordHashes, mix, parts_of, slices, windows, written
+from .common import MOST, Blocks, WordHashes, mix, parts_of, slices, windows, written
 
 #: A difference cover: differences of its members give every number modulo PERIOD.
 PERIOD, COVER, ANCHOR = 13, (0, 1, 3, 9), 8
@@ -183,9 +183,9 @@ def marks(df: DataFrame, text: str = "text", key: str = "doc_id", block_mb: int
         f = w.first
         yield from send(block, w.a[f], parts, [w.a[f], w.b[f], w.key[f], w.place[f]])
 
-    first = blocks.map(anchors, SENT).repartition(parts, "part").groupBy("part").applyInArrow(_in_several, ANSWER)
+    first = blocks.map(anchors, SENT).repartitionById(min(parts, MOST), "part").groupBy("part").applyInArrow(_in_several, ANSWER)
     first = written(first, "substring-anchors")
-    second = blocks.map_with(first, windows_of, SENT).repartition(parts, "part").groupBy("part").applyInArrow(_later, ANSWER)
+    second = blocks.map_with(first, windows_of, SENT).repartitionById(min(parts, MOST), "part").groupBy("part").applyInArrow(_later, ANSWER)
     return blocks, first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
 
 
