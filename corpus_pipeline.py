@@ -1,6 +1,6 @@
 """From raw documents to token ids: each stage is written as Parquet and read again as the next one's documents.
 
-STAGES, in order: language ID (documents without a language it can tell go), exact dedup (one of each group of equal
+STAGES, in order: language ID (documents without a language it can tell go, the others get the one it tells), exact dedup (one of each group of equal
 texts stays), n-gram Jaccard join (one of each group of similar texts stays; five words, 0.8), mixing of sources
 (a document is there as often as the mix takes it), byte-level BPE (ids, decoded again for the digest).
 
@@ -22,8 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs)
-    return langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
+    return langid.identified(docs.select(*COLUMNS), langid.train(docs))
 
 
 def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
