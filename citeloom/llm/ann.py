@@ -5,18 +5,21 @@ projections near the corners of the cube (alternating signs and an orthogonal Pr
 the signs of its rotated projections, 64 bits at most. The radius is learned there too: the stated share of the
 sample queries' true neighbours lie within it.
 
-Index. Codes are cut into substrings of one byte, each with its table of 256 buckets. Codes within Hamming distance r
-agree with the query in some substring up to a distance given by the pigeonhole principle (r // m for the first
-r % m + 1 substrings, one less for the others), so probing those buckets finds every code within r; what is found is
-checked by its whole code, then ranked by the vectors themselves, in double precision. A query that has found fewer
-than k in a shard goes on to the nearest codes there, so no query ends with fewer than there are.
+Index. Rows are dealt to shards of bounded size. In each, codes are cut into substrings of one byte, and each substring
+has its table: the shard's rows in the order of that byte, and where each of its 256 buckets begins. Codes within
+Hamming distance r agree with the query in some substring up to a distance given by the pigeonhole principle (r // m
+for the first r % m + 1 substrings, one less for the others), so the rows in the buckets that near hold every code
+within r. Only these rows' whole codes are looked at, and only those within r are ranked by the vectors themselves, in
+double precision. A query that has found fewer than k in a shard goes on to the nearest codes there, so no query ends
+with fewer than there are.
 
-Every row is indexed. Shards of codes meet groups of queries, both of bounded size, and each such unit gives the k
-best of each query at most; these are merged by query.
+Every row is indexed. Shards and groups of queries lie in the shared folder; each pair of them is a task's unit, which
+reads both there and gives the k best of each query at most; these are merged by query. Vectors are shuffled once.
 
 Defined results: rows whose id or vector is null, or whose vector is all zero, holds null or non-finite components or
-has another length than most, take no part. Of rows that share an id the one with the smallest vector (by component)
-counts. Ties in score go to the smaller id. Empty tables give empty results; other input columns are dropped.
+has another length than most, take no part. Rows that share an id are rows of their own: each is a candidate of the
+other, and each that is asked for has its own ranks. Ties in score go to the smaller id, then in any order that stays.
+Empty tables give empty results; other input columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drawn, written
+from .common import MOST, Blocks, drawn, written
 
-#: Bounds of the sample that codes are learned on, of a shard and of a group of queries, in rows. With fewer queries
-#: groups are smaller, SPREAD of them, but of LEAST rows or more.
-SAMPLE, SHARD, GROUP, SPREAD, LEAST = 20_000, 65_536, 16_384, 64, 512
+#: Bounds of the sample that codes are learned on, of a shard and of a group of queries, in rows. Small tables have
+#: shards and groups for all cores, but of LEAST rows or more.
+SAMPLE, SHARD, GROUP, LEAST = 20_000, 65_536, 8_192, 512
 BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class Codes:
     """Mean, projection and radius; fits in a closure (64 x 64 numbers)."""
 
-    def __init__(self, sample: np.ndarray, k: int, share: float = 0.97, rounds: int = 40, seed: int = 11):
+    def __init__(self, sample: np.ndarray, k: int, share: float = 0.95, rounds: int = 40, seed: int = 11):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1] if sample.size else 1
         self.mean = sample.mean(0) if len(sample) else np.zeros(dim)
@@ -73,11 +76,49 @@ class Codes:
         return whole if j <= rest else whole - 1
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+class Shard:
+    """The index of a shard: its codes, and for each substring the table of buckets."""
+
+    def __init__(self, codes: Codes, x: np.ndarray):
+        self.codes, self.index = codes, codes(x)
+        self.rows = [np.argsort(self.index[:, j], kind="stable").astype(np.int32) for j in range(codes.substrings)]
+        self.begin = [np.searchsorted(self.index[r, j], np.arange(257)).tolist() for j, r in enumerate(self.rows)]
+        values = np.arange(256, dtype=np.uint8)
+        self.near = [[np.flatnonzero(BITS[values ^ v] <= codes.allowed(j)).tolist() for v in range(256)] for j in range(codes.substrings)]
+
+    def probe(self, code: np.ndarray) -> np.ndarray:
+        """The rows in the buckets near a query's code, in order: all within the radius are among them."""
+        found = np.zeros(len(self.index), bool)
+        for rows, begin, near, value in zip(self.rows, self.begin, self.near, code.tolist()):
+            some = [rows[begin[v] : begin[v + 1]] for v in near[value]]
+            if some:
+                found[np.concatenate(some)] = True
+        return np.flatnonzero(found)
+
+    def best(self, k: int, ids: np.ndarray, x: np.ndarray, query: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the k best for a query, which is itself the row `own` (or none: -1)."""
+        code = self.codes(query[None])[0]
+        at = self.probe(code)
+        at = at[BITS[self.index[at] ^ code].sum(1, dtype=np.int64) <= self.codes.radius]
+        at = at[at != own]
+        if len(at) < k:
+            far = BITS[self.index ^ code].sum(1, dtype=np.int64)
+            far[own : own + 1] = 255 if own >= 0 else far[own : own + 1]
+            more = np.argsort(far, kind="stable")[: k + 1]
+            at = np.union1d(at, more[more != own][:k])
+        score = (x[at] * query).sum(1)
+        if len(at) > 4 * k:
+            keep = score >= np.partition(score, -k)[-k]
+            at, score = at[keep], score[keep]
+        top = np.lexsort((ids[at], -score))[:k]
+        return at[top], score[top]
+
+
+def usable(df: DataFrame, key: str, vector: str, asked) -> DataFrame:
     v = F.col(vector)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.col(key).isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = df.where(F.col(key).isNotNull() & v.isNotNull() & F.coalesce(sound, F.lit(False)))
+    return rows.select(F.col(key).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -85,60 +126,51 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def best(codes: Codes, k: int, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray):
-    """The k best within a shard for each query -> (query ids, ids, scores)."""
-    index, asked = codes(x), codes(queries)
-    out = [], [], []
-    values = np.arange(256, dtype=np.uint8)
-    block = max(1, 4_000_000 // max(1, len(ids)))
-    for a in range(0, len(queries), block):
-        q = asked[a : a + block]
-        found = np.zeros((len(q), len(ids)), bool)
-        for j in range(codes.substrings):
-            if (most := codes.allowed(j)) >= 0:
-                found |= (BITS[q[:, j, None] ^ values] <= most)[:, index[:, j]]
-        far = np.zeros((len(q), len(ids)), np.uint8)
-        for j in range(codes.substrings):
-            far += BITS[q[:, j, None] ^ index[None, :, j]]
-        found &= far <= codes.radius
-        own = query_ids[a : a + block, None] == ids
-        found &= ~own
-        for i in np.flatnonzero(found.sum(1) < k):
-            near = np.flatnonzero(~own[i])
-            found[i, near[np.argsort(far[i, near], kind="stable")[:k]]] = True
-        for i in range(len(q)):
-            at = np.flatnonzero(found[i])
-            score = (x[at] * queries[a + i]).sum(1)
-            if len(at) > 4 * k:
-                at, score = at[keep := score >= np.partition(score, -k)[-k]], score[keep]
-            top = np.lexsort((ids[at], -score))[:k]
-            out[0].append(np.full(len(top), query_ids[a + i]))
-            out[1].append(ids[at[top]])
-            out[2].append(score[top])
-    return [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64))]
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = 0.97) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row of queries its k nearest rows of df by inner product, itself left out."""
-    rows = usable(df, key, vector)
-    lengths = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").head(1)
-    dim, n = (lengths[0].dim, lengths[0].n) if lengths else (1, 0)
-    rows = written(rows.where(F.size("vector") == dim), "vectors")
-    asked = usable(queries, key, vector).where(F.size("vector") == dim)
+def search(df: DataFrame, asked, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = 0.95) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row for which the condition `asked` holds, its k nearest rows of df by inner product, itself left out."""
+    spark, cores = df.sparkSession, df.sparkSession.sparkContext.defaultParallelism
+    rows = usable(df, key, vector, asked)
+    lengths = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).orderBy(F.desc("n"), "dim").head(1)
+    dim, n, n_asked = (lengths[0].dim, lengths[0].n, lengths[0].asked) if lengths else (1, 0, 0)
+    rows = rows.where(F.size("vector") == dim)
     digest = F.md5(F.col("vec_id").cast("string"))
-    sample = rows.where(drawn(digest, SAMPLE, F.lit(n))).orderBy(digest).limit(SAMPLE).select("vector").toArrow()
+    sample = rows.where(drawn(digest, SAMPLE, F.lit(n))).orderBy(digest, "vector").limit(SAMPLE).select("vector").toArrow()
     codes = Codes(_matrix(sample.column("vector"), dim), k, share)
-    shards, n_asked = max(1, -(-n // SHARD)), asked.count()
-    groups = max(1, -(-n_asked // min(GROUP, max(LEAST, n_asked // SPREAD))))
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def unit(a: pa.Table, b: pa.Table) -> pa.Table:
-        made = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
-        if a.num_rows and b.num_rows:
-            made = best(codes, k, a.column("vec_id").to_numpy(), _matrix(a.column("vector"), dim), b.column("vec_id").to_numpy(), _matrix(b.column("vector"), dim))
-        return pa.table({"query_id": made[0], "vec_id": made[1], "score": made[2]})
-
-    found = index.groupBy("shard", "grp").cogroup(asked.groupBy("shard", "grp")).applyInArrow(unit, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = lambda rows, most: max(1, -(-rows // most), min(cores, rows // LEAST))
+    shards = Blocks(rows.repartition(parts(n, SHARD)), "vectors", 64)
+    read = shards.reader(["vec_id", "vector", "asked"])
+
+    def queries(block: int):
+        at = 0
+        for batch in read(block, 4096):
+            own = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
+            some = batch.select(["vec_id", "vector"]).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block), pa.int32()), pa.array(own + at, pa.int32()), *some.columns], ["block", "row", "vec_id", "vector"])
+            at += batch.num_rows
+
+    asked_rows = shards.map(queries, "block int, row int, vec_id long, vector array<double>")
+    groups = Blocks(asked_rows.repartition(parts(n_asked, GROUP)), "queries", 64)
+    read_queries = groups.reader(["block", "row", "vec_id", "vector"])
+    wide, units = groups.count, shards.count * groups.count
+
+    def run(batches):
+        last, index, ids, x = -1, None, None, None
+        for unit in (u for b in batches for u in b.column(0).to_pylist()):
+            shard, group = divmod(unit, wide)
+            if shard != last:
+                table = pa.Table.from_batches(read(shard, 65_536))
+                last, ids, x = shard, table.column("vec_id").to_numpy(), _matrix(table.column("vector"), dim)
+                index = Shard(codes, x)
+            for batch in read_queries(group, 1024):
+                out = [[] for _ in range(6)]
+                for block, row, query_id, query in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), _matrix(batch.column(3), dim)):
+                    at, score = index.best(k, ids, x, query, row if block == shard else -1)
+                    for column, values in zip(out, (np.full(len(at), block), np.full(len(at), row), np.full(len(at), query_id), ids[at], at, score)):
+                        column.append(values)
+                cols = [np.concatenate(c) for c in out]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array(np.full(len(cols[0]), shard), pa.int32())], ["block", "row", "query_id", "vec_id", "at", "score", "shard"])
+
+    found = spark.range(0, units, 1, max(1, min(units, MOST))).mapInArrow(run, "block int, row int, query_id long, vec_id long, at int, score double, shard int")
+    order = Window.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id", "shard", "at")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

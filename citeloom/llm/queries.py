@@ -40,7 +40,7 @@ def held_out(divisor: int, remainder: int):
 
 def op5_ann_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.search(rows, rows.where("vec_id % 20 = 0"), 20)
+    return ann.search(rows, F.col("vec_id") % 20 == 0, 20)
 
 
 def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ FEATURES that tell the positives of the sample from its unlabelled texts best ar
 trained with numpy on the driver, from different seeds, and their mean is the score's logit.
 
 The sample is bounded and documented: POSITIVES positives and UNLABELLED unlabelled texts, by the order of a digest of
-their ids. Executors count features; the driver gets FEATURES counts and FEATURES / 8 bytes a text. Every text is
+id and text. Digests alone are sorted; those chosen are broadcast (POSITIVES + UNLABELLED at most) and their texts read
+where they lie. Executors count features; the driver gets FEATURES counts and FEATURES / 8 bytes a text. Every text is
 scored whole.
 
 Defined results: null and empty texts have no feature and score as such; without positives or unlabelled texts to learn
@@ -75,6 +76,20 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The corrected risk of weights w on positives p and unlabelled u, its part of unlabelled texts as negatives before it is held at 0, and the direction of a step: the risk's gradient, or, where that part is below 0, the opposite of that part's."""
+    zu, zp = u @ w, p @ w
+    as_positive = prior * np.logaddexp(0, -zp).mean()
+    as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    inner = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+    step = prior * (p.T @ (_sigmoid(zp) - 1)) / len(p) + inner if as_negative >= 0 else -inner
+    return as_positive + max(0.0, as_negative), as_negative, step
+
+
 def train_one(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Rows of packed bits -> weights and bias, by Adam on the corrected risk."""
     rng = np.random.default_rng(seed)
@@ -83,16 +98,12 @@ def train_one(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed:
     w[-1] = np.log(prior / (1 - prior))
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     view = lambda rows: np.concatenate([np.unpackbits(rows, axis=1), np.ones((len(rows), 1), np.uint8)], axis=1).astype(np.float32)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for _ in range(EPOCHS):
         order = rng.permutation(len(unlabelled))
         for a in range(0, len(order), BATCH):
             u = view(unlabelled[order[a : a + BATCH]])
             p = view(positive[rng.integers(0, len(positive), min(len(positive), BATCH // 2))])
-            zu, zp = u @ w, p @ w
-            as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            inner = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-            g = prior * (p.T @ (sigmoid(zp) - 1)) / len(p) + inner if as_negative >= 0 else -inner
+            g = risk(w, p, u, prior)[2]
             g[:-1] += DECAY * w[:-1]
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -105,10 +116,16 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     told = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k IS NOT NULL AND _y IS NOT NULL").groupBy("_k").agg(F.max("_y").alias("_y"))
     labelled = told.agg(F.avg((F.col("_y") == 1).cast("double")).alias("share"), F.count_if(F.col("_y") == 1).alias("n")).first()
     prior = float(np.clip(labelled.share or 0.0, 0.01, 0.5))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("at"))
-    positive = rows.join(told.where("_y = 1"), F.col("_key") == F.col("_k"), "left_semi").where(drawn(F.col("at"), POSITIVES, F.lit(labelled.n))).orderBy("at").limit(POSITIVES).select("text", F.lit(True).alias("pos"))
-    unlabelled = rows.where(drawn(F.col("at"), UNLABELLED, F.lit(rows.count()))).orderBy("at").limit(UNLABELLED).select("text", F.lit(False).alias("pos"))
-    sample = written(positive.unionAll(unlabelled).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "toxicity-sample")
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(text).cast("string")))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text"), digest.alias("at"))
+    known = written(rows.select("_key", "at"), "toxicity-ids")  # no text goes further than this
+    positive = known.join(told.where("_y = 1"), F.col("_key") == F.col("_k"), "left_semi").where(drawn(F.col("at"), POSITIVES, F.lit(labelled.n)))
+    unlabelled = known.where(drawn(F.col("at"), UNLABELLED, F.lit(known.count())))
+    chosen = [(r.at, kind) for some, most, kind in ((positive, POSITIVES, True), (unlabelled, UNLABELLED, False)) for r in some.select("at").distinct().orderBy("at").limit(most).collect()]
+    named = df.sparkSession.createDataFrame(chosen, "at string, pos boolean")
+    # rows repeated wholly count once: they are brought together before they are sent
+    sample = rows.join(F.broadcast(named), "at").groupBy("at", "pos").agg(F.min("text").alias("text"))
+    sample = written(sample.select("text", "pos"), "toxicity-sample")
 
     def count(batches):
         seen: dict[str, list[int]] = {}
@@ -141,9 +158,10 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 row[list(scorer.found(t))] = True
             yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())], ["pos", "bits"])
 
-    got = sample.mapInArrow(pack, "pos boolean, bits binary").orderBy("pos", "bits").toArrow()  # POSITIVES + UNLABELLED rows at most
-    is_pos = np.array(got.column("pos").to_pylist(), bool)
-    bits = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(len(is_pos), -1)
+    got = sample.mapInArrow(pack, "pos boolean, bits binary").toArrow()  # POSITIVES + UNLABELLED rows at most
+    got = sorted(zip(got.column("pos").to_pylist(), got.column("bits").to_pylist()))
+    is_pos = np.array([p for p, _ in got], bool)
+    bits = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(is_pos), -1)
     models = [train_one(bits[is_pos], bits[~is_pos], prior, seed) for seed in range(MODELS)]
     return Scorer(names, np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models])))
 

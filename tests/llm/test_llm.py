@@ -292,27 +292,61 @@ def test_tree_bound_loses_nothing():
             assert 100 * both < 70 * (len(s) + len(o) - both) or j in near
 
 
+def brute_nearest(ids, x, q, k):
+    """Rows nearest to row q, itself left out, ties to the smaller id."""
+    s = x @ x[q]
+    return sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], ids[i]))[:k]
+
+
 def test_ann_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 32), (3002, [float("nan")] * 32), (3003, [1.0, None] * 16), (3004, [1.0] * 5), (None, x[0].tolist()), (5, x[5].tolist()), (3005, x[20].tolist()), (3006, [float("inf")] * 32)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 32), (3002, [float("nan")] * 32), (3003, [1.0, None] * 16), (3004, [1.0] * 5), (None, x[0].tolist()), (3006, [float("inf")] * 32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("rank", "score", "block", "row", "asked")})
     got = {}
-    for r in ann.search(df, df.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r)
-    assert set(got) == set(range(0, 3000, 20)) and all(len(v) == 20 and [r.rank for r in v] == list(range(1, 21)) for v in got.values())
-    y = np.vstack([x, x[20:21]]).astype(float)
-    hits = 0
+    assert set(got) == set(range(0, 3000, 20)) and all(len(v) == 20 and [r["rank"] for r in v] == list(range(1, 21)) for v in got.values())
+    y, hits = x.astype(float), 0
     for q, v in got.items():
-        s = y @ y[q]
-        s[q] = -np.inf
-        hits += len({r.vec_id if r.vec_id != 3005 else 3000 for r in v} & set(np.argsort(-s)[:20]))
-        assert all(abs(r.score - y[r.vec_id if r.vec_id != 3005 else 3000] @ y[q]) < 1e-9 for r in v)
+        hits += len({r.vec_id for r in v} & set(brute_nearest(range(3000), y, q, 20)))
+        assert all(abs(r.score - y[r.vec_id] @ y[q]) < 1e-9 for r in v)
         assert [(-r.score, r.vec_id) for r in v] == sorted((-r.score, r.vec_id) for r in v)
     assert hits >= 0.9 * 20 * len(got)
-    small = df.where("vec_id < 5")
-    assert ann.search(small, small, 20).count() == 20
-    assert ann.search(df.limit(0), df.limit(0), 20).count() == 0
+    assert ann.search(df.where("vec_id < 5"), F.lit(True), 20).count() == 20
+    assert ann.search(df.limit(0), F.lit(True), 20).count() == 0 and ann.search(df, F.lit(None).cast("boolean"), 20).count() == 0
+
+
+def test_ann_shared_ids_and_ties(spark):
+    rng = np.random.default_rng(13)
+    x = rng.integers(-2, 3, (30, 6)).astype(float) + 0.5
+    ids = [0, 0, *range(1, 29)]
+    x[20:30] = x[20]  # equal scores about rank 20
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(df, F.col("vec_id") % 20 == 0, 20, share=1.0).collect()]
+    near = {q: brute_nearest(ids, x, q, 29) for q in range(30) if ids[q] % 20 == 0}
+    # every candidate is within reach here, so ranks are those of brute force; both rows of id 0 ask, and each finds the other
+    want = [(ids[q], k + 1, ids[i], round(float(x[i] @ x[q]), 9)) for q, some in near.items() for k, i in enumerate(some[:20])]
+    codes = ann.Codes(x, 20, 1.0)
+    codes.radius = codes.bits
+    shard = ann.Shard(codes, x)
+    assert [list(zip(np.array(ids)[at].tolist(), s.round(9).tolist())) for q in near for at, s in [shard.best(20, np.array(ids), x, x[q], q)]] == [[(i, s) for a, _, i, s in want[20 * n : 20 * n + 20]] for n in range(len(near))]
+    assert Counter(q for q, *_ in got) == {0: 40, 20: 20} and 0 in {i for q, _, i, _ in got if q == 0}
+
+
+def test_ann_probes_buckets_and_misses_none_within_the_radius():
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((200, 64))
+    x = centres[rng.integers(0, 200, 6000)] + 0.05 * rng.standard_normal((6000, 64))
+    codes = ann.Codes(x[:2000], 5)
+    shard, touched = ann.Shard(codes, x), 0
+    for q in range(0, 6000, 100):
+        code = codes(x[q : q + 1])[0]
+        found = shard.probe(code)
+        within = np.flatnonzero(ann.BITS[shard.index ^ code].sum(1, dtype=int) <= codes.radius)
+        assert set(within) <= set(found)
+        touched += len(found)
+    assert touched < 0.3 * 60 * 6000  # where vectors have structure, most rows are never looked at
 
 
 def test_language_id(spark, odd):
@@ -333,6 +367,51 @@ def test_language_id(spark, odd):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_scores_are_those_of_an_explicit_kernel():
+    rng = random.Random(15)
+    words = {"en": "the and with this river stone", "de": "und der nicht mit stein fluss", "es": "que los con para piedra rio"}
+    texts = [(" ".join(rng.choice(words[l].split()) for _ in range(rng.randrange(3, 9))), l) for l in ("en", "de", "es") * 8]
+    packed = np.packbits(langid.marks([t for t, _ in texts]).astype(bool), axis=1)
+    model = langid.Model.fit(packed, [l for _, l in texts])
+    found = [set(np.flatnonzero(r)) for r in langid.marks([t for t, _ in texts])]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in found] for a in found])  # every text is a landmark
+    values, axes = np.linalg.eigh(k)
+    good = values > 1e-6 * values[-1]
+    z = k @ (axes[:, good] / np.sqrt(values[good]))
+    asked = ["the river with stone", "der stein", "para los", "zzz"]
+    own = [set(np.flatnonzero(r)) for r in langid.marks(asked)]
+    mine = np.array([[kernel(a, b) for b in found] for a in own]) @ (axes[:, good] / np.sqrt(values[good]))
+    for c, name in enumerate(model.names):
+        goal = np.array([l == name for _, l in texts], float)
+        fitted = np.linalg.solve(z.T @ z + langid.RIDGE * np.eye(z.shape[1]), z.T @ goal)
+        assert np.allclose(model.scores(asked)[:, c], mine @ fitted, atol=2e-3)
+
+
+def test_toxicity_risk_and_its_gradient():
+    rng = np.random.default_rng(16)
+    loss = lambda z, y: float(np.log1p(np.exp(-y * z)))
+    for scale in (0.1, 3.0):  # the second drives the negatives' part below 0
+        p, u, prior = rng.integers(0, 2, (7, 5)).astype(float), rng.integers(0, 2, (11, 5)).astype(float), 0.4
+        w = scale * rng.standard_normal(5) - (8 * (scale > 1))
+        u = p[:4] if scale > 1 else u
+        w = np.abs(w) if scale > 1 else w
+
+        def parts(w, p=p, u=u, prior=prior):
+            pos = prior * sum(loss(sum(a * b for a, b in zip(x, w)), 1) for x in p) / len(p)
+            neg = sum(loss(sum(a * b for a, b in zip(x, w)), -1) for x in u) / len(u) - prior * sum(loss(sum(a * b for a, b in zip(x, w)), -1) for x in p) / len(p)
+            return pos, neg
+
+        got, negative, step = toxicity.risk(w, p, u, prior)
+        assert got == pytest.approx(parts(w)[0] + max(0, parts(w)[1])) and negative == pytest.approx(parts(w)[1])
+        slope = lambda f: [(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(5)]
+        want = slope(lambda v: sum(parts(v))) if negative >= 0 else [-x for x in slope(lambda v: parts(v)[1])]
+        assert step == pytest.approx(want, abs=1e-5)
+    p, u = np.ones((4, 3)), np.zeros((4, 3))
+    got, negative, step = toxicity.risk(np.array([2.0, 1.0, 0.5]), p, u, 0.9)
+    assert negative < 0 and got == pytest.approx(0.9 * np.log1p(np.exp(-3.5))) and (step > 0).all()
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(9)
     vocab, bad = [f"word{i}" for i in range(200)], ["scum", "moron", "vequa"]
