@@ -102,28 +102,35 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([conv.take(pa.array(rows)), formatted.cast(pa.string()), pa.ListArray.from_arrays(pa.array(spans_at, pa.int32()), spans)], ["conv_id", "formatted", "mask"])
 
 
+def _assembled(tables: list[pa.Table]) -> pa.RecordBatch:
+    whole = pa.concat_tables(tables).combine_chunks()
+    return assemble(*(whole.column(c).combine_chunks() for c in ("conv_id", "role", "text")))
+
+
 def format_chat(df: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id, formatted, mask (byte ranges of assistant texts as they stand, escaped)."""
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches):
-        held = None
+        held: list[pa.Table] = []  # the conversation that runs over the last batch's end, joined once when it ends
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            table = table.combine_chunks()
-            conv = table.column("conv_id").to_pylist()
+            conv = batch.column(0).to_pylist()
+            same = bool(held) and held[0].column("conv_id")[0].as_py() == conv[0]
             cut = len(conv) - 1
             while cut and conv[cut - 1] == conv[-1]:
                 cut -= 1
-            held = table.slice(cut)
-            if cut:
-                done = table.slice(0, cut).combine_chunks()
-                yield assemble(*(done.column(c).combine_chunks() for c in ("conv_id", "role", "text")))
-        if held is not None:
-            yield assemble(*(held.combine_chunks().column(c).combine_chunks() for c in ("conv_id", "role", "text")))
+            table = pa.Table.from_batches([batch])
+            if same and not cut:
+                held.append(table)
+                continue
+            if held or cut:
+                yield _assembled([*held, table.slice(0, cut)])
+            held = [table.slice(cut)]
+        if held:
+            yield _assembled(held)
 
     return rows.mapInArrow(run, SCHEMA)
 

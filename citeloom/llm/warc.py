@@ -1,16 +1,21 @@
 """WARC archives with a two-level capture index.
 
-Archive. Tasks write files of gzip members, one for each record, into a folder that all machines share; names are new
-for each attempt, and only files that the table of captures names count, so a repeated task leaves nothing that is read.
-Of equal payloads of at least LEAST bytes the largest page_id is a response, the others revisit it without payload.
-
-Index. Captures are keyed by reversed host, path and query, then page_id, and sorted over range partitions. Each
-partition writes one index file of gzip blocks of LINES lines, and beside it a sparse directory with the first key,
+Archive. Pages lie in blocks in the shared folder. Their payloads' digests are taken where they lie, and which page
+revisits which is told from ids and digests alone, so no payload is ever shuffled. A task for each block then writes
+files of gzip members, one for each record after a warcinfo, into a folder that all machines share; names are new for
+each attempt, and only files that the table of captures names count, so a repeated task leaves nothing that is read. Of
+equal payloads of at least LEAST bytes the largest page_id is a response, the others revisit it without payload. Record
+ids are unique (of the page and its place); the fields Page-ID and Refers-To-Page-ID, which the format's rule for
+extensions allows, carry ids of pages.
+
+Index. Captures are keyed by reversed host, path and query, then page_id, and sorted over range partitions, as many as
+the captures need. Each partition writes one index file of gzip blocks of LINES lines, and beside it a sparse directory with the first key,
 place and length of each block. Above these the driver holds one key for each index file. To look keys up, they are
 dealt to index files by binary search of those; a task then binary-searches the file's directory, reads one block by
-its range, and binary-searches its lines. Records are read by range too, sorted by file and offset.
+its range, and binary-searches its lines. Records are read by range too, sorted by file and offset, in tasks of like
+numbers of bytes.
 
-Defined results: null html is an empty payload; null url stands as an empty one; a null page_id never wins against
+Defined results: null html is an empty payload; a payload of any length is one record; null url stands as an empty one; a null page_id never wins against
 another, and if all of a group are null each is a response. Repeated rows are repeated captures: all rows with the
 winning page_id are responses. Other input columns are dropped; an empty table gives an empty archive and result.
 """
@@ -28,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch, written
+from .common import MOST, Blocks, join_hot, open_fs, scratch, written
 
 #: Smaller payloads are always responses; lines in an index block; bytes after which an archive file is closed.
 LEAST, LINES, ROLL = 1000, 1000, 256 << 20
+#: Equal payloads from which a group counts as hot, at least.
+HOT = 1000
 DATE = "2020-01-01T00:00:00Z"
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^#]*)")
 CAPTURES = "key string, file string, start long, length long"
@@ -51,73 +58,108 @@ def _printable(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02X}", url or "")
 
 
-def record(page_id, url, payload: bytes, length: int, digest: str, refers_to) -> bytes:
-    """One gzip member."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Target-URI: {_printable(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+def record_id(page_id: int | None, block: int, row: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{block}/{row}')}>"
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+    return packer.compress("\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def parse(member: bytes) -> tuple:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of one gzip member; a response's payload is checked."""
+def warcinfo(name: str) -> bytes:
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url, payload: bytes, digest: str, own: str, to: tuple[int, str] | None = None) -> bytes:
+    """One gzip member. own: its record id; to: page_id and record id of the response that it revisits."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    lines = [f"WARC-Type: {'response' if to is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Target-URI: {_printable(url)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Page-ID: {'null' if page_id is None else page_id}"]
+    if to is not None:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {to[1]}", f"Refers-To-Page-ID: {to[0]}"]
+    return _member(lines, http if to is not None else http + payload)
+
+
+def fields(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Named fields and block of a record."""
     raw = zlib.decompress(member, 31)
     head, _, block = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-    block = block[: int(fields["Content-Length"])]
+    named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+    return named, block[: int(named["Content-Length"])]
+
+
+def parse(member: bytes) -> tuple:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of one gzip member; a response's payload is checked."""
+    named, block = fields(member)
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    page = lambda name: None if fields[name] == "<urn:page:null>" else int(fields[name][10:-1])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if fields["WARC-Type"] == "revisit":
-        return page("WARC-Record-ID"), length, digest, "revisit", page("WARC-Refers-To"), None
+    page = None if named["Page-ID"] == "null" else int(named["Page-ID"])
+    digest = named["WARC-Payload-Digest"].removeprefix("sha1:")
+    if named["WARC-Type"] == "revisit":
+        return page, length, digest, "revisit", int(named["Refers-To-Page-ID"]), None
     if len(payload) != length or sha1(payload).hexdigest() != digest:
-        raise ValueError(f"damaged record of page {fields['WARC-Record-ID']}")
-    return page("WARC-Record-ID"), length, digest, "response", None, payload
+        raise ValueError(f"damaged record of page {named['Page-ID']}")
+    return page, length, digest, "response", None, payload
 
 
-def write_archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def write_archive(pages: DataFrame, least: int = LEAST, block_mb: int = 64) -> DataFrame:
     """pages(page_id, url, html) -> the table of captures (key, file, start, length) of the archive written."""
     spark = pages.sparkSession
-    raw = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    groups = rows.where(F.col("bytes") >= least).groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("to"), F.count("*").alias("_n")).where("_n > 1")
-    groups = written(groups, "payload-groups")  # a table of its own: adaptive execution can then split the pages' side of the join
-    rows = rows.join(groups, F.col("digest") == F.col("_d"), "left")
-    revisit = F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to"))
-    rows = rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "bytes", "digest", F.when(revisit, F.col("to")).alias("to"))
-    folder = scratch(spark, "warc")
+    blocks = Blocks(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), "pages", block_mb)
+    read_some, read_all = blocks.reader(["page_id", "html"]), blocks.reader(["page_id", "url", "html"])
 
-    def write(batches):
-        out = name = None
+    def digests(block: int):
         at = 0
+        for batch in read_some(block, 64):
+            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            own = [(at + i, sha1(r).digest()) for i, r in enumerate(raw) if len(r) >= least]
+            ids = batch.column(0).take(pa.array([i - at for i, _ in own], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int32()), pa.array([i for i, _ in own], pa.int32()), ids, pa.array([d for _, d in own], pa.binary())], ["block", "row", "page_id", "digest"])
+            at += batch.num_rows
+
+    large = written(blocks.map(digests, "block int, row int, page_id long, digest binary"), "payload-digests")
+    place = F.max(F.struct("page_id", (-F.col("block")).alias("b"), (-F.col("row")).alias("r"))).alias("to")
+    groups = large.groupBy(F.col("digest").alias("_d")).agg(place, F.count("*").alias("_n")).where("_n > 1 AND to.page_id IS NOT NULL")
+    groups = written(groups, "payload-groups")
+    revisits = join_hot(large, "digest", groups, "_d", "_n", HOT).where(F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to.page_id")))
+    marks = revisits.select("block", "row", F.col("to.page_id").alias("page"), (-F.col("to.b")).alias("b"), (-F.col("to.r")).alias("r"))
+    folder = scratch(spark, "warc")
+
+    def write(block: int, given: pa.Table):
+        to = {row: (page, record_id(page, b, r)) for row, page, b, r in zip(*(given.column(c).to_pylist() for c in ("row", "page", "b", "r")))}
         system, path = open_fs(folder)
+        system.create_dir(path, recursive=True)
+        out, name, start, at = None, None, 0, 0
         try:
-            for batch in batches:
+            for batch in read_all(block, 64):
                 told = []
-                for page_id, url, payload, length, digest, to in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None:
-                        system.create_dir(path, recursive=True)
-                        name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
-                    member = record(page_id, url, payload or b"", length, digest, to)
+                        head = warcinfo(name)
+                        out.write(head)
+                        start = len(head)
+                    payload = (html or "").encode()
+                    member = record(page_id, url, payload, sha1(payload).hexdigest(), record_id(page_id, block, at), to.get(at))
                     out.write(member)
-                    told.append((url_key(url, page_id), f"{folder}/{name}", at, len(member)))
-                    at += len(member)
-                    if at >= ROLL:
+                    told.append((url_key(url, page_id), f"{folder}/{name}", start, len(member)))
+                    start, at = start + len(member), at + 1
+                    if start >= ROLL:
                         out.close()
                         out = None
-                keys, files, starts, sizes = map(list, zip(*told)) if told else ([], [], [], [])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "file": pa.array(files, pa.string()), "start": pa.array(starts, pa.int64()), "length": pa.array(sizes, pa.int64())})
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*told)) if told else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "start", "length"])
         finally:
             if out is not None:
                 out.close()
 
-    return written(rows.mapInArrow(write, CAPTURES), "captures")
+    return written(blocks.map_with(marks, write, CAPTURES), "captures")
+
+
+def parts_for(captures: DataFrame, rows: int, bytes_: int, least: int) -> int:
+    """Range partitions for captures: `rows` of them and `bytes_` of records each at most, on average; for small tables as many as there are cores, of `least` rows or more."""
+    n, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return max(1, -(-n // rows), -(-size // bytes_), min(captures.sparkSession.sparkContext.defaultParallelism, n // least))
 
 
 class Index:
@@ -130,7 +172,8 @@ class Index:
     def build(captures: DataFrame, lines: int = LINES) -> Index:
         spark = captures.sparkSession
         folder = scratch(spark, "index")
-        rows = captures.repartitionByRange("key", "file", "start").sortWithinPartitions("key", "file", "start")
+        parts = parts_for(captures, 64 * lines, 1 << 62, lines)
+        rows = captures.repartitionByRange(parts, "key", "file", "start").sortWithinPartitions("key", "file", "start")
 
         def write(batches):
             system, path = open_fs(folder)
@@ -205,7 +248,8 @@ class Index:
         if not firsts:
             return self.spark.createDataFrame([], CAPTURES)
         dealt = wanted.select(F.col("key").cast("string")).where("key IS NOT NULL").distinct().mapInArrow(deal, "part int, key string")
-        return dealt.groupBy("part").applyInArrow(find, CAPTURES)
+        # a partition for each index file, since keys are few bytes but the blocks read for them aren't
+        return dealt.repartitionById(min(len(firsts), MOST), "part").groupBy("part").applyInArrow(find, CAPTURES)
 
 
 def keys(pages: DataFrame) -> DataFrame:
@@ -236,7 +280,8 @@ def read_records(captures: DataFrame, payload: bool = True) -> DataFrame:
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[: len(names)], kinds)], names)
 
-    rows = written(captures.select("file", "start", "length"), "pointers").repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    rows = written(captures.select("file", "start", "length"), "pointers")
+    rows = rows.repartitionByRange(parts_for(rows, 1 << 17, 64 << 20, 64), "file", "start").sortWithinPartitions("file", "start")
     return rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
 
 

@@ -438,7 +438,21 @@ def test_warc_round_trip_and_lookup(spark):
     big = "x" * 2000
     rows = [(1, "http://A.example.com/p?q=1#f", big), (2, "https://b.example.com/", big), (3, None, "small"), (4, "http://a.example.com/p", "small"), (None, "not a url\r\nEvil: 1", big), (5, "", None), (2, "https://b.example.com/", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
-    index = warc.Index.build(warc.write_archive(pages), lines=2)
+    captures = warc.write_archive(pages)
+    index = warc.Index.build(captures, lines=2)
+    assert len(index.files) >= 3
+    kept, revisited = {}, []
+    for r in captures.collect():
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            assert zlib.decompressobj(31).decompress(f.read()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+            f.seek(r.start)
+            named, block = warc.fields(f.read(r.length))
+        assert named["WARC-Record-ID"] not in kept and {"WARC-Type", "WARC-Date", "WARC-Target-URI", "Content-Type", "WARC-Payload-Digest"} <= set(named) and len(block) == int(named["Content-Length"])
+        kept[named["WARC-Record-ID"]] = named
+        revisited += [named] if named["WARC-Type"] == "revisit" else []
+    for named in revisited:  # a revisit refers to a response of the same payload
+        to = kept[named["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["WARC-Payload-Digest"] == named["WARC-Payload-Digest"] and to["Page-ID"] == named["Refers-To-Page-ID"]
     got = warc.read_records(index.lookup(warc.keys(pages))).collect()
     key = lambda r: (str(r[0]), r[1], r[2], r[3], r[4])
     sha = lambda s: hashlib.sha1(s.encode()).hexdigest()
@@ -447,6 +461,16 @@ def test_warc_round_trip_and_lookup(spark):
     one = spark.createDataFrame([(warc.url_key("http://a.example.com/p", 4),), ("zzz",), (None,)], "key string")
     assert [r.page_id for r in warc.read_records(index.lookup(one)).collect()] == [4]
     assert warc.url_key("http://A.example.com/p?q=1#f", 1).startswith("com,example,a)/p?q=1 ")
+    nulls = spark.createDataFrame([(None, "u", big), (None, "u", big), (None, "u", "y" * 3_000_000)], "page_id long, url string, html string")
+    odd = [tuple(r) for r in warc.read_records(warc.Index.build(warc.write_archive(nulls)).lookup(warc.keys(nulls)), payload=False).collect()]
+    assert sorted(r[1] for r in odd) == [2000, 2000, 3_000_000] and {r[3] for r in odd} == {"response"}
+    many = spark.range(500).selectExpr("id AS page_id", "concat('http://h', id % 7, '.example.org/', id) AS url", "repeat(cast(id % 60 AS string), 800) AS html")
+    index = warc.Index.build(warc.write_archive(many), lines=20)
+    found = {r.page_id: r for r in warc.read_records(index.lookup(warc.keys(many))).collect()}
+    last = {}
+    for i in range(500):
+        last[i % 60] = i
+    assert len(index.files) >= 4 and all(found[i].refers_to == (last[i % 60] if i != last[i % 60] and len(str(i % 60)) * 800 >= 1000 else None) for i in range(500))
     empty = warc.Index.build(warc.write_archive(pages.limit(0)))
     assert warc.read_records(empty.lookup(warc.keys(pages))).count() == 0
 
@@ -461,6 +485,16 @@ def test_chat_is_reversible(spark):
     back = {r.conv_id: r for r in chat.read_back(made).collect()}
     assert back[1].loss_chars == 2 and back[2].loss_chars == 0 and back[1].n_turns == 3
     assert chat.format_chat(df.limit(0)).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:  # a conversation that runs over many batches, between others
+        turns = [(c, t, "assistant" if t % 2 else "user", f"[{c}] turn {t}" * 40) for c, n in ((1, 5), (2, 700), (3, 3)) for t in range(n)]
+        long = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+        for r in chat.format_chat(long).collect():
+            own = [x for x in turns if x[0] == r.conv_id]
+            assert chat.parse(r.formatted.encode()) == [(x[2], x[3]) for x in own]
+            assert [chat.unescape(r.formatted.encode()[m.start : m.stop]).decode() for m in r["mask"]] == [x[3] for x in own if x[2] == "assistant"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     with pytest.raises(ValueError):
         chat.parse(b"<s>stray")
 
