@@ -11,9 +11,18 @@ WS = r"[\t\n\x0B\f\r    -     　﻿]"
 B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+#: The same without the plain space.
+ODD_WS = WS.replace("\\r ", "\\r", 1)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often it is used: the optimizer doesn't paste it into a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_ws(text: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, WS + "+", " "))
+    """Runs of white space become one space; none at the ends. Single spaces are left as they are."""
+    return F.trim(F.regexp_replace(text, f"{WS}{{2,}}|{ODD_WS}", " "))
 
 
 def code_units(text: Column) -> Column:
@@ -62,9 +71,8 @@ def tokens(text: Column) -> Column:
 
 def lexical_relevance(text: Column, terms: Column) -> Column:
     """Share of the terms that the text holds somewhere."""
-    low = F.lower(text)
-    hits = F.size(F.filter(terms, lambda t: F.contains(low, t)))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), hits / F.size(terms)))
+    share = lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.size(terms)
+    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), let(F.lower(text), share)))
 
 
 def amount(text: Column) -> Column:
@@ -117,8 +125,8 @@ def comparable_values(text: Column) -> Column:
 
 
 def states_claim(text: Column) -> Column:
-    """Whether the text names an amount, a span of time, a date or a contractual term."""
-    number = rf"[$€£]{WS}?\d|{B}\d{{1,3}}(?:,\d{{3}})*(?:\.\d+)?{WS}?(?:%|(?:percent|days?|months?|years?){B})"
+    """Whether the text names an amount, a span of time, a date or a contractual term. A percent sign counts only where a word character follows, as the boundary after it has it."""
+    number = rf"[$€£]{WS}?\d|{B}\d{{1,3}}(?:,\d{{3}})*(?:\.\d+)?{WS}?(?:%|percent|days?|months?|years?){B}"
     date = rf"{B}\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}{B}|{B}\d{{4}}-\d{{2}}-\d{{2}}{B}"
     month = rf"(?i){B}(?:january|february|march|april|may|june|july|august|september|october|november|december){WS}+\d{{1,2}},?{WS}+\d{{4}}{B}"
     terms = rf"{B}(?:shall|must|required|subject to|excluded|exclusion|condition|endorsement|deductible|limit|premium|retention){B}"

@@ -14,7 +14,8 @@ def order_key(cols: list[str]):
 
 
 def quoted_issues(items: DataFrame, sources: DataFrame) -> DataFrame:
-    """items(item_id, quote, source_id, cited) against sources(id, body): item_id, code of the first rule broken; severity blocking."""
+    """items(item_id, quote, source_id, cited) against sources(id, body[, pos]): item_id, code of the first rule broken; severity blocking. Of sources that share an id the first counts (by pos, else by text)."""
+    sources = sources.groupBy("id").agg(F.min_by("body", "pos").alias("body") if "pos" in sources.columns else F.min("body").alias("body"))
     low = lambda c: F.lower(T.normalize_ws(c))
     rows = items.where(F.trim("quote") != "").join(sources, F.col("source_id") == F.col("id"), "left")
     cited = F.when(F.trim("cited") == "", F.col("quote")).otherwise(F.coalesce("cited", "quote"))
@@ -35,10 +36,29 @@ def conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key, value).distinct().groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).where(F.size("v") > 1).select(key, F.size("v").alias("n_values"), F.array_join("v", "|").alias("signature"))
 
 
-def precedence_conflicts(df: DataFrame, keys: list[str], rank: list, value: str) -> DataFrame:
-    """Rows that differ in value from the row of highest precedence of their key."""
+def conflicting_sources(sources: DataFrame, case: str) -> DataFrame:
+    """sources(case, text, field_path, form_number, label): keys (field and form, else label) whose sources name unlike sets of amounts and dates: case, key, n_signatures. Sources without a key or such values don't count."""
+    key = F.when(F.col("field_path").isNotNull(), F.concat_ws(":", "field_path", F.coalesce("form_number", F.lit("default")))).otherwise(F.col("label"))
+    rows = sources.select(case, F.lower(T.normalize_ws(key)).alias("key"), F.array_join(F.array_sort(T.comparable_values(F.col("text"))), "|").alias("s")).where("key <> '' AND s <> ''")
+    return rows.groupBy(case, "key").agg(F.count_distinct("s").alias("n_signatures")).where("n_signatures > 1")
+
+
+def section_precedence(section):
+    """How much a source's section weighs (fixed words and ranks): declarations and schedules 4, endorsements 3, additional coverages 2, forms 1, others 0."""
+    low = F.lower(F.coalesce(section, F.lit("")))
+    return F.when(F.contains(low, F.lit("declaration")) | F.contains(low, F.lit("schedule")), 4).when(F.contains(low, F.lit("endorsement")), 3).when(F.contains(low, F.lit("additional coverages")), 2).when(F.contains(low, F.lit("coverage form")) | F.contains(low, F.lit("policy form")), 1).otherwise(0)
+
+
+def precedence_conflicts(df: DataFrame, keys: list[str], rank: list, *values: str) -> DataFrame:
+    """Rows that differ from the row of highest precedence of their key in one of the values, where both have one (not null, not blank): with ruling, the higher row's first value."""
     w = Window.partitionBy(*keys).orderBy(*rank)
-    return df.withColumn("ruling", F.first(value).over(w)).withColumn("_k", F.row_number().over(w)).where((F.col("_k") > 1) & ~F.col(value).eqNullSafe(F.col("ruling"))).drop("_k")
+    rows = df.withColumns({f"_r{i}": F.first(v).over(w) for i, v in enumerate(values)}).withColumn("_k", F.row_number().over(w))
+    said = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    unlike = F.lit(False)
+    for i, v in enumerate(values):
+        unlike |= (said(v) != "") & (said(f"_r{i}") != "") & (said(v) != said(f"_r{i}"))
+    rows = rows.where((F.col("_k") > 1) & unlike).withColumn("ruling", F.col("_r0"))
+    return rows.drop("_k", *(f"_r{i}" for i in range(len(values))))
 
 
 def best_proposal(df: DataFrame, group: str) -> DataFrame:

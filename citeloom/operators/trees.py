@@ -5,33 +5,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 
-def paths(nodes: DataFrame, most_depth: int = 32) -> DataFrame:
-    """id, path: places among siblings (by ord, id), from the root, joined by dots. Nodes whose parent is unknown are roots. One join for each level."""
-    known = nodes.select(F.col("id").alias("_id"))
-    rows = nodes.join(known, F.col("parent_id") == F.col("_id"), "left").withColumn("up", F.col("_id")).drop("_id")
-    place = F.row_number().over(Window.partitionBy("up").orderBy("ord", "id"))
-    rows = rows.select("id", "up", place.cast("string").alias("place"))
-    level = rows.where("up IS NULL").select("id", F.col("place").alias("path"))
+
+def _descend(rows: DataFrame, level: DataFrame, most_depth: int) -> DataFrame:
+    """level(id, path) with all below it, by rows(id, up, place): each level is written once and joined once."""
+    rows, level = cut(rows), cut(level)
     out = level
     for _ in range(most_depth):
-        level = rows.join(level.withColumnRenamed("id", "_up"), F.col("up") == F.col("_up")).select("id", F.concat_ws(".", "path", "place").alias("path"))
+        level = cut(rows.join(level.withColumnRenamed("id", "_up"), F.col("up") == F.col("_up")).select("id", F.concat_ws(".", "path", "place").alias("path")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise ValueError(f"deeper than {most_depth} levels, or a cycle")
+    raise ValueError(f"deeper than {most_depth} levels")
+
+
+def paths(nodes: DataFrame, most_depth: int = 200) -> DataFrame:
+    """id, path: places among siblings (by ord, id) from the root, joined by dots.
+
+    nodes(id, parent_id, ord). Roots are the nodes without a parent. Nodes that no root reaches, as a parent above them
+    is unknown or in a cycle, come after these in the order of (ord, id): each that isn't below an earlier one of them
+    becomes a root, whose number is that of the nodes numbered before it, plus one; a cycle is cut where it was entered.
+    """
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("ord", "id"))
+    rows = cut(nodes.select("id", "ord", F.col("parent_id").alias("up"), place.cast("string").alias("place")))
+    out = _descend(rows.drop("ord"), rows.where("up IS NULL").select("id", F.col("place").alias("path")), most_depth)
+    left = cut(rows.join(out.select("id"), "id", "left_anti"))
+    if left.isEmpty():
+        return out
+    left = cut(left.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord", "id"))))  # nodes out of reach, few in a sound tree
+    roots = _first_of_line(left)
+    below = left.join(roots.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left").select("id", F.when(F.col("_r").isNull(), F.col("up")).alias("up"), "place")
+    found = _descend(below, roots.select("id", F.col("idx").cast("string").alias("path")), most_depth)
+    top = F.substring_index("path", ".", 1).cast("int")
+    sizes = found.groupBy(top.alias("_t")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = sizes.select("_t", (before + 1 + out.count()).cast("string").alias("_no"))
+    more = found.withColumn("_top", top).join(numbers, F.col("_top") == F.col("_t"))
+    return out.unionByName(more.select("id", F.concat("_no", F.expr("substring(path, length(cast(_top AS string)) + 1)")).alias("path")))
 
 
-def ancestors(nodes: DataFrame, chosen: DataFrame, most_depth: int = 32) -> DataFrame:
-    """ids of the chosen nodes and all above them."""
-    up = nodes.select(F.col("id").alias("_id"), "parent_id")
-    level, out = chosen.select("id").distinct(), chosen.select("id")
+def _first_of_line(left: DataFrame) -> DataFrame:
+    """Those of left(id, up, idx) that have a smaller idx than every other above them. By pointer doubling: after k rounds a node knows the smallest of the 2**k nodes above it."""
+    known = left.select(F.col("id").alias("_k"), F.col("idx").alias("_x"))
+    now = cut(left.join(known, F.col("up") == F.col("_k"), "left").select("id", "idx", F.col("_k").alias("at"), F.col("_x").alias("low")))
+    for _ in range(max(1, now.count().bit_length())):
+        other = now.select(F.col("id").alias("_i"), F.col("at").alias("_a"), F.col("low").alias("_l"))
+        now = cut(now.join(other, F.col("at") == F.col("_i"), "left").select("id", "idx", F.col("_a").alias("at"), F.least("low", "_l").alias("low")))
+    return now.where("low IS NULL OR low >= idx").select("id", "idx")
+
+
+def ancestors(nodes: DataFrame, chosen: DataFrame, most_depth: int = 200) -> DataFrame:
+    """ids of the chosen nodes and all above them. Each level is written once; what was seen isn't gone up from again, so cycles end."""
+    up = cut(nodes.where("parent_id IS NOT NULL").select(F.col("id").alias("_id"), "parent_id"))
+    level = out = cut(chosen.select("id").distinct())
     for _ in range(most_depth):
-        level = level.join(up, F.col("id") == F.col("_id")).where("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct()
+        level = level.join(up, F.col("id") == F.col("_id")).select(F.col("parent_id").alias("id")).distinct()
+        level = cut(level.join(out, "id", "left_anti"))
         if level.isEmpty():
-            return out.distinct()
+            return out
         out = out.unionByName(level)
-    raise ValueError(f"deeper than {most_depth} levels, or a cycle")
+    raise ValueError(f"deeper than {most_depth} levels")
 
 
 def rollup_once(nodes: DataFrame, values: dict) -> DataFrame:

@@ -109,37 +109,26 @@ def history_search(spark, sf):
 
 
 @query(f"""WITH c AS (SELECT 'chunk' AS source, doc_id::VARCHAR AS id, 0.8::DOUBLE AS relevance FROM documents WHERE {RELEVANCE} >= 0.6),
-d AS (SELECT 'document', doc_id::VARCHAR, 0.9::DOUBLE FROM documents WHERE source = 'src3' AND doc_id < 100),
+d AS (SELECT 'document', doc_id::VARCHAR, 0.9::DOUBLE FROM documents WHERE source = 'src3'),
 t AS (SELECT 'conversation', conv_id || ':' || turn, 0.6::DOUBLE FROM conversations WHERE {RELEVANCE} >= 0.4 ORDER BY conv_id, turn LIMIT 5),
-b AS (SELECT 'attachment', item_id::VARCHAR, 0.95::DOUBLE FROM benchmark WHERE item_id < 3),
+b AS (SELECT 'attachment', item_id::VARCHAR, 0.95::DOUBLE FROM benchmark),
 u AS (SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM t UNION ALL SELECT * FROM b)
 SELECT source, id, relevance, row_number() OVER (ORDER BY relevance DESC, source || '|' || id) AS rank FROM u ORDER BY rank LIMIT 20""")
 def evidence_union_topk(spark, sf):
-    return _evidence(spark, sf, "doc_id < 100", "item_id < 3")
-
-
-@query(None)
-def evidence_union_topk_whole(spark, sf):
-    """evidence_union_topk over all documents of src3 and all attachments."""
-    return _evidence(spark, sf, "true", "true")
-
-
-def _evidence(spark, sf, documents, attachments):
     docs, rel = _t(spark, sf, "documents"), T.lexical_relevance(F.col("text"), T.tokens(F.lit(ASK)))
     made = lambda df, source, key, score: df.select(F.lit(source).alias("source"), key.cast("string").alias("id"), F.lit(score).alias("relevance"))
     rows = made(docs.where(rel >= 0.6), "chunk", F.col("doc_id"), 0.8)
-    rows = rows.unionByName(made(docs.where("source = 'src3'").where(documents), "document", F.col("doc_id"), 0.9))
+    rows = rows.unionByName(made(docs.where("source = 'src3'"), "document", F.col("doc_id"), 0.9))
     turns = _t(spark, sf, "conversations").where(rel >= 0.4).orderBy("conv_id", "turn").limit(5)
     rows = rows.unionByName(made(turns, "conversation", F.concat_ws(":", "conv_id", "turn"), 0.6))
-    rows = rows.unionByName(made(_t(spark, sf, "benchmark").where(attachments), "attachment", F.col("item_id"), 0.95))
+    rows = rows.unionByName(made(_t(spark, sf, "benchmark"), "attachment", F.col("item_id"), 0.95))
     return O.top_k(rows, None, [F.desc("relevance"), E.order_key(["source", "id"])], 20)
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS x, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS pos FROM documents WHERE text IS NOT NULL),
-n AS (SELECT doc_id, pos, trim(regexp_replace(x, '[\t\n\x0B\f\r ]+', ' ', 'g')) AS line FROM l), m AS (SELECT * FROM n WHERE line <> ''),
-s AS (SELECT *, sum(regexp_matches(line, '^[^ ]+( [^ ]+){0,3}[.]$')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM m),
-g AS (SELECT doc_id, section, arg_min(line, pos) AS title, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS text FROM s GROUP BY ALL)
-SELECT doc_id, section::BIGINT AS section, title, n_lines::INT AS n_lines, text FROM g WHERE length(text) >= 120""")
+s AS (SELECT *, sum(regexp_matches(trim(x), '^[^ ]+( [^ ]+){0,3}[.]$')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l),
+g AS (SELECT doc_id, section, arg_min(x, pos) AS title, count(*) AS n_lines, trim(regexp_replace(string_agg(x, chr(10) ORDER BY pos), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS text FROM s WHERE section > 0 GROUP BY ALL)
+SELECT doc_id, section::INT AS section, substr(trim(regexp_replace(title, '[\t\n\x0B\f\r ]+', ' ', 'g')), 1, 120) AS title, n_lines::INT AS n_lines, text, nullif(regexp_extract(text, '\b[A-Z]{2,8}\s+\d{2,5}(?:\s+\d{2,4})?\b'), '') AS form_number FROM g WHERE length(text) >= 120""")
 def section_split(spark, sf):
     return S.sections(_t(spark, sf, "documents"), "doc_id", "text", r"^[^ ]+( [^ ]+){0,3}[.]\z")
 
@@ -155,25 +144,27 @@ def upsert_last_wins(spark, sf):
     return S.last_wins(rows, ["user_id"], "at").drop("at")
 
 
-CLEAN = r"trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'))"
-LINES = r"""l AS (SELECT doc_id * 1000 + pos AS id, CASE WHEN pos > 1 THEN doc_id * 1000 + 1 END AS parent_id, doc_id, pos, x AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Page 1 of 3' || chr(10) || text WHEN doc_id % 10 = 1 THEN text || chr(10) || 'AB-CD 12 34' ELSE text END AS text FROM documents)))"""
-GONE = rf"({CLEAN} = '' OR regexp_matches({CLEAN}, '(?i)^(Page\s+\d+\s+of\s+\d+|[A-Z]{{2,}}(-[A-Z0-9]{{2,}})+\s+\d\d\s+\d\d)$'))"
+CLEAN = r"trim(regexp_replace({}, '[\t\n\x0B\f\r ]+', ' ', 'g'))"
+STRIP = CLEAN.format(r"regexp_replace(c, '(?i)\bPage\s+\d+\s+of\s+\d+\b', ' ', 'g')")
+LINES = rf"""x AS (SELECT doc_id || ':' || pos AS id, CASE WHEN pos > 1 THEN doc_id || ':1' END AS parent_id, doc_id, pos, {CLEAN.format("x")} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Page 1 of 3' || chr(10) || text WHEN doc_id % 10 = 1 THEN text || chr(10) || 'AB-CD 12 34' WHEN doc_id % 10 = 2 THEN 'see page 4 of 5 there' || chr(10) || text WHEN doc_id % 10 = 3 THEN text || chr(10) || 'This is a claims-made and reported policy. Please read it carefully' ELSE text END AS text FROM documents))),
+l AS (SELECT id, parent_id, doc_id, pos, CASE WHEN regexp_matches(c, '(?i)^(|Page\s+\d+\s+of\s+\d+|[A-Z]{{2,}}(-[A-Z0-9]{{2,}})+\s+\d\d\s+\d\d|this is a claims-made and reported policy\.? please read it carefully\.?)$') THEN NULL ELSE nullif({STRIP}, '') END AS text FROM x)"""
 
 
 def _lines(spark, sf):
-    marked = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Page 1 of 3\n"), "text")).when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("\nAB-CD 12 34"))).otherwise(F.col("text"))
+    k = F.col("doc_id") % 10
+    marked = F.when(k == 0, F.concat(F.lit("Page 1 of 3\n"), "text")).when(k == 1, F.concat("text", F.lit("\nAB-CD 12 34"))).when(k == 2, F.concat(F.lit("see page 4 of 5 there\n"), "text"))
+    marked = marked.when(k == 3, F.concat("text", F.lit("\nThis is a claims-made and reported policy. Please read it carefully"))).otherwise(F.col("text"))
     rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split(marked, "\n")).alias("pos", "text")).withColumn("pos", F.col("pos") + 1)
-    return rows.select((F.col("doc_id") * 1000 + F.col("pos")).alias("id"), F.when(F.col("pos") > 1, F.col("doc_id") * 1000 + 1).alias("parent_id"), "doc_id", "pos", "text")
+    return rows.select(F.concat_ws(":", "doc_id", "pos").alias("id"), F.when(F.col("pos") > 1, F.concat_ws(":", "doc_id", F.lit(1))).alias("parent_id"), "doc_id", "pos", "text")
 
 
-@query(f"WITH {LINES} SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM l WHERE NOT {GONE} GROUP BY doc_id")
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM l WHERE text IS NOT NULL GROUP BY doc_id")
 def boilerplate_drop(spark, sf):
-    clean = T.normalize_ws(F.col("text"))
-    rows = _lines(spark, sf).where((clean != "") & ~S.boilerplate(clean))
+    rows = _lines(spark, sf).select("doc_id", S.clean(F.col("text")).alias("text")).where("text IS NOT NULL")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, count(*) AS n FROM l WHERE NOT {GONE} AND NOT (parent_id IS NOT NULL AND parent_id IN (SELECT id FROM l WHERE {GONE})) GROUP BY doc_id")
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n FROM l WHERE text IS NOT NULL AND NOT (parent_id IS NOT NULL AND parent_id IN (SELECT id FROM l WHERE text IS NULL)) GROUP BY doc_id")
 def cascade_drop(spark, sf):
     return S.drop_boilerplate(_lines(spark, sf), "id", "parent_id", "pos", "text").groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -186,20 +177,12 @@ def greedy_pack(spark, sf):
     return S.pack(rows, "grp", "doc_id", "n").select("grp", "pos", "chunk")
 
 
-@query("SELECT source, key, string_agg(value, ',' ORDER BY doc_id) AS value FROM (SELECT source, doc_id, 'lang' AS key, lang AS value FROM documents WHERE doc_id < 400 UNION ALL SELECT source, doc_id, 'size', n_chars::VARCHAR FROM documents WHERE doc_id < 400) WHERE value IS NOT NULL GROUP BY ALL")
+@query("""WITH k AS (SELECT source, doc_id, 'lang' AS key, lang AS value FROM documents UNION ALL SELECT source, doc_id, 'size', n_chars::VARCHAR FROM documents)
+SELECT source, key, string_agg(value, ',' ORDER BY doc_id) AS value FROM k WHERE value IS NOT NULL GROUP BY ALL UNION ALL SELECT source, 'form', arg_max(lang, doc_id) FROM documents WHERE doc_id % 3 = 0 GROUP BY source""")
 def metadata_merge(spark, sf):
-    return _metadata(_t(spark, sf, "documents").where("doc_id < 400"))
-
-
-@query(None)
-def metadata_merge_whole(spark, sf):
-    """metadata_merge over all documents."""
-    return _metadata(_t(spark, sf, "documents"))
-
-
-def _metadata(docs):
-    rows = docs.select("source", "doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("m"))
-    return S.merge_metadata(rows, "source", "doc_id", "m")
+    docs = _t(spark, sf, "documents")
+    rows = docs.select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("form"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("size"), F.col("n_chars").cast("string")).alias("m"))
+    return S.merge_metadata(rows, "source", "doc_id", "m", {"form": "form"})
 
 
 @query(r"""WITH l AS (SELECT conv_id, turn, text AS t FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g')) AS text FROM conversations) WHERE text <> ''),
@@ -256,12 +239,11 @@ def page_ranges(spark, sf):
     return O.page_ranges(_t(spark, sf, "events").select("user_id", (F.col("event_id") % 40).alias("page")), "user_id", "page")
 
 
-@query(f"WITH {INTERVALS} SELECT x.user_id, x.event_id AS left_id, y.event_id AS right_id FROM i x JOIN i y ON x.user_id = y.user_id AND x.a <= y.b AND x.b >= y.a AND x.event_id < y.event_id WHERE x.a // 100000 = y.a // 100000")
+@query(f"WITH {INTERVALS} SELECT x.user_id, x.event_id AS left_id, y.event_id AS right_id FROM i x JOIN i y ON x.user_id = y.user_id AND x.a <= y.b AND x.b >= y.a AND x.event_id < y.event_id")
 def range_overlap_join(spark, sf):
-    x, y = _intervals(spark, sf).alias("x"), _intervals(spark, sf).alias("y")
-    same = F.col("x.user_id") == F.col("y.user_id")
-    over = (F.col("x.a") <= F.col("y.b")) & (F.col("x.b") >= F.col("y.a")) & (F.col("x.event_id") < F.col("y.event_id"))
-    return x.join(y, same & over).select(F.col("x.user_id").alias("user_id"), F.col("x.event_id").alias("left_id"), F.col("y.event_id").alias("right_id"))
+    rows = _intervals(spark, sf)
+    pairs = O.overlaps(rows, rows, "user_id", "a", "b", 24).where("event_id < r_event_id")
+    return pairs.select("user_id", F.col("event_id").alias("left_id"), F.col("r_event_id").alias("right_id"))
 
 
 @query("""WITH t AS (SELECT * FROM events WHERE event_type = (SELECT max(event_type) FROM events)), c AS (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
@@ -269,8 +251,9 @@ j AS (SELECT t.event_id, c.event_id AS context_id, row_number() OVER (PARTITION
 SELECT event_id, context_id, place FROM j WHERE place <= 2""")
 def preceding_context(spark, sf):
     rows = _t(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    ends = rows.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi")).first()
-    found = O.preceding(rows, "user_id", ["ts", "event_id"], F.col("event_type") == ends.lo, F.col("event_type") == ends.hi, 2)
+    ends = rows.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
+    rows = rows.join(F.broadcast(ends), F.lit(True))  # one row
+    found = O.preceding(rows, "user_id", ["ts", "event_id"], F.col("event_type") == F.col("lo"), F.col("event_type") == F.col("hi"), 2)
     return found.select("event_id", F.posexplode("context").alias("p", "c")).select("event_id", F.col("c.event_id").alias("context_id"), (F.col("p") + 1).alias("place"))
 
 
@@ -323,11 +306,11 @@ def citation_semi(spark, sf):
     return _t(spark, sf, "labels").join(_t(spark, sf, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", "toxic")
 
 
-@query(r"""SELECT item_id, (regexp_matches(x, '[$€£]\s?\d|\b\d{1,3}(?:,\d{3})*(?:\.\d+)?\s?(?:%|(?:percent|days?|months?|years?)\b)') OR regexp_matches(x, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b') OR regexp_matches(lower(x), '\b(?:shall|must|required|subject to|excluded|exclusion|condition|endorsement|deductible|limit|premium|retention)\b')) AS claim
-FROM (SELECT item_id, CASE item_id % 5 WHEN 0 THEN text || ' 30 days' WHEN 1 THEN text || ' $ 5' WHEN 2 THEN text || ' on 2024-01-02.' WHEN 3 THEN text || ' Premium' ELSE text END AS x FROM benchmark)""")
+@query(r"""SELECT item_id, (regexp_matches(x, '[$€£]\s?\d|\b\d{1,3}(?:,\d{3})*(?:\.\d+)?\s?(?:%|percent|days?|months?|years?)\b') OR regexp_matches(x, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b') OR regexp_matches(lower(x), '\b(?:shall|must|required|subject to|excluded|exclusion|condition|endorsement|deductible|limit|premium|retention)\b')) AS claim
+FROM (SELECT item_id, CASE item_id % 5 WHEN 0 THEN text || ' 30 days' WHEN 1 THEN text || ' $ 5' WHEN 2 THEN text || ' on 2024-01-02.' WHEN 3 THEN text || ' at 5% of it' ELSE text || ' at 5%o of it, 1 Premium' END AS x FROM benchmark)""")
 def claim_detector(spark, sf):
     k = F.col("item_id") % 5
-    x = F.concat("text", F.when(k == 0, " 30 days").when(k == 1, " $ 5").when(k == 2, " on 2024-01-02.").when(k == 3, " Premium").otherwise(""))
+    x = F.concat("text", F.when(k == 0, " 30 days").when(k == 1, " $ 5").when(k == 2, " on 2024-01-02.").when(k == 3, " at 5% of it").otherwise(" at 5%o of it, 1 Premium"))
     return _t(spark, sf, "benchmark").select("item_id", T.states_claim(x).alias("claim"))
 
 
@@ -336,9 +319,11 @@ def conflict_detect(spark, sf):
     return E.conflicts(_t(spark, sf, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag, ruling FROM (SELECT *, first_value(l_returnflag) OVER w AS ruling, row_number() OVER w AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber)) WHERE k > 1 AND l_returnflag IS DISTINCT FROM ruling")
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, ruling FROM (SELECT *, first_value(l_returnflag) OVER w AS ruling, row_number() OVER w AS k FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_suppkey % 3 = 1 THEN ' ' || l_returnflag ELSE l_returnflag END AS l_returnflag) FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber)) WHERE k > 1 AND trim(l_returnflag) <> '' AND trim(ruling) <> '' AND trim(l_returnflag) <> trim(ruling)")
 def precedence_conflict(spark, sf):
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    k = F.col("l_suppkey") % 3
+    flag = F.when(k == 1, F.concat(F.lit(" "), "l_returnflag")).when(k == 2, F.col("l_returnflag"))
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", flag.alias("l_returnflag"), "l_extendedprice")
     return E.precedence_conflicts(rows, ["l_orderkey"], [F.desc("l_extendedprice"), F.col("l_linenumber")], "l_returnflag").drop("l_extendedprice")
 
 
@@ -393,25 +378,17 @@ def stable_hash_bmp(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", T.stable_hash(T.json_string(F.col("p_name"))).alias("hash"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 31 + 1 <= 31 THEN epoch_ms(make_date(2024, (o_orderkey % 12 + 1)::INT, 1)::TIMESTAMP) + (o_orderkey % 31)::BIGINT * 86400000 END AS ms FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 14 BETWEEN 1 AND 12 AND o_orderkey % 33 BETWEEN 1 AND 31 AND o_orderkey % 7 <> 0 THEN epoch_ms(make_date(2024, (o_orderkey % 14)::INT, 1)::TIMESTAMP) + (o_orderkey % 33 - 1)::BIGINT * 86400000 END AS ms FROM orders")
 def date_parse(spark, sf):
-    text = F.concat_ws("/", F.col("o_orderkey") % 12 + 1, F.col("o_orderkey") % 31 + 1, F.when(F.col("o_orderkey") % 2 == 0, "24").otherwise("2024"))
+    k = F.col("o_orderkey")
+    text = F.concat(F.when(k % 7 == 0, "on ").otherwise(""), F.concat_ws("/", k % 14, k % 33, F.when(k % 2 == 0, "24").otherwise("2024")))
     return _t(spark, sf, "orders").select("o_orderkey", T.us_date_millis(text).alias("ms"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2)::DOUBLE AS amount FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2)::DOUBLE AS amount FROM lineitem")
 def amount_parse(spark, sf):
-    return _amounts(_t(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-@query(None)
-def amount_parse_whole(spark, sf):
-    """amount_parse over all line items."""
-    return _amounts(_t(spark, sf, "lineitem"))
-
-
-def _amounts(rows):
-    return rows.select("l_orderkey", "l_linenumber", T.amount(F.concat(F.lit("limit $"), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.lit(" or 5%"))).alias("amount"))
+    text = F.concat(F.lit("limit $"), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.lit(" or 5%"))
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.amount(text).alias("amount"))
 
 
 @query("SELECT doc_id, ceil(octet_length(encode(text)) / 4.0)::BIGINT AS tokens, least(ceil(octet_length(encode(text)) / 4.0)::BIGINT, 1000) AS budget FROM documents")
@@ -442,23 +419,13 @@ def profile_merge(spark, sf):
     return E.merge_facts(docs.select("doc_id", F.col("lang").alias("value")), candidate, docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), ["doc_id"])
 
 
-@query("""WITH q AS (SELECT doc_id AS id, 'p' || doc_id AS path FROM documents WHERE doc_id < 300), a AS (SELECT item_id AS pos, CASE WHEN item_id % 2 = 0 THEN (item_id * 3) % 60 END AS question_id, CASE WHEN item_id % 2 = 1 THEN 'p' || (item_id * 3) % 60 END AS field_path, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE substr(text, 1, 10) END AS text FROM benchmark),
+@query("""WITH q AS (SELECT doc_id AS id, 'p' || doc_id AS path FROM documents), a AS (SELECT item_id AS pos, CASE WHEN item_id % 2 = 0 THEN (item_id * 3) % 60 END AS question_id, CASE WHEN item_id % 2 = 1 THEN 'p' || (item_id * 3) % 60 END AS field_path, CASE WHEN item_id % 5 = 0 THEN ' ' ELSE text END AS text FROM benchmark),
 j AS (SELECT q.id, arg_min(a.text, a.pos) AS answer FROM q JOIN a ON a.question_id = q.id OR a.field_path = q.path GROUP BY q.id)
 SELECT q.id, q.path, answer, CASE WHEN trim(coalesce(answer, '')) <> '' THEN 'answered' ELSE 'open' END AS status FROM q LEFT JOIN j ON q.id = j.id""")
 def first_answers(spark, sf):
-    return _answers(spark, sf, _t(spark, sf, "documents").where("doc_id < 300"))
-
-
-@query(None)
-def first_answers_whole(spark, sf):
-    """first_answers with a question from every document."""
-    return _answers(spark, sf, _t(spark, sf, "documents"))
-
-
-def _answers(spark, sf, docs):
-    questions = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("p"), "doc_id").alias("path"))
+    questions = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("p"), "doc_id").alias("path"))
     k = F.col("item_id") * 3 % 60
-    answers = _t(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.when(F.col("item_id") % 2 == 0, k).alias("question_id"), F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("p"), k)).alias("field_path"), F.when(F.col("item_id") % 5 == 0, " ").otherwise(F.substring("text", 1, 10)).alias("text"))
+    answers = _t(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.when(F.col("item_id") % 2 == 0, k).alias("question_id"), F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("p"), k)).alias("field_path"), F.when(F.col("item_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"))
     return E.first_answers(questions, answers)
 
 

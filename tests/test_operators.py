@@ -134,3 +134,71 @@ def test_change_impacts_modes_and_lines(spark):
     assert {r.case_id: r.mode for r in C.execution_modes(cases, made).collect()} == {1: "market_eval", 2: "hybrid", 3: "deterministic_tree", 4: "hybrid", 5: "hybrid"}
     lines = spark.createDataFrame([(0, "GL", ["X"], ["P"]), (1, "UN", ["X"], ["P"]), (2, None, ["X", "Y"], ["P"]), (3, None, [], ["UN", "P"]), (4, None, None, ["P", "Q"])], "i int, e string, c array<string>, p array<string>")
     assert {r.i: r.l for r in lines.select("i", C.line_of_coverage(F.col("e"), F.col("c"), F.col("p")).alias("l")).collect()} == {0: "GL", 1: "X", 2: None, 3: "P", 4: None}
+
+
+def test_nodes_out_of_reach_become_roots_in_order(spark):
+    make = lambda *rows: {r.id: r.path for r in R.paths(spark.createDataFrame(list(rows), "id string, parent_id string, ord long")).collect()}
+    # three nodes below the root come first; an orphan is then number 4, the cycle's first node number 6
+    assert make(("r", None, 0), ("a", "r", 1), ("b", "a", 2), ("o", "gone", 3), ("p", "o", 4), ("x", "y", 5), ("y", "x", 6)) == {"r": "1", "a": "1.1", "b": "1.1.1", "o": "4", "p": "4.1", "x": "6", "y": "6.1"}
+    # a node that comes before the cycle it hangs from is a root of its own
+    assert make(("t", "x", 0), ("x", "y", 1), ("y", "x", 2)) == {"t": "1", "x": "2", "y": "2.2"}  # places count all siblings
+    assert {r.id for r in R.ancestors(spark.createDataFrame([("x", "y"), ("y", "x"), ("t", "x")], "id string, parent_id string"), spark.createDataFrame([("t",)], "id string")).collect()} == {"t", "x", "y"}
+
+
+def test_even_sample_of_one_and_many(spark):
+    items = F.array(*map(F.lit, range(10)))
+    assert one(spark, O.even_sample(items, 1)) == [0] and one(spark, O.even_sample(items, 3)) == [0, 5, 9] and one(spark, O.even_sample(items, 20)) == list(range(10))
+
+
+def test_first_of_sources_that_share_an_id_counts(spark):
+    items = spark.createDataFrame([(1, "here", 5, None)], "item_id int, quote string, source_id int, cited string")
+    sources = spark.createDataFrame([(5, "is here", 0), (5, "nothing", 1)], "id int, body string, pos int")
+    assert E.quoted_issues(items, sources).count() == 0
+    assert E.quoted_issues(items, sources.withColumn("pos", -F.col("pos"))).count() == 1
+
+
+def test_precedence_needs_both_values(spark):
+    df = spark.createDataFrame([("k", 1, "a", None), ("k", 2, None, "5"), ("k", 3, " a ", ""), ("k", 4, "b", None)], "k string, r int, v string, d string")
+    assert [r.r for r in E.precedence_conflicts(df, ["k"], [F.col("r")], "v", "d").collect()] == [4]
+
+
+def test_a_percent_sign_needs_a_word_after_it(spark):
+    assert not one(spark, T.states_claim(F.lit("rate is 5% of it"))) and one(spark, T.states_claim(F.lit("rate is 5%x"))) and one(spark, T.states_claim(F.lit("5 percent")))
+
+
+def test_boilerplate_rules(spark):
+    c = lambda t, unit=None: one(spark, S.clean(F.lit(t), F.lit(unit)))
+    assert c("Column 1: AB-CD 12 34 | Page 1 of 2") is None and c("Specimen policy — for testing only") is None and c("THIS IS A CLAIMS-MADE AND REPORTED POLICY. PLEASE READ IT CAREFULLY.") is None
+    assert c("short | Page 1 of 9", "table_row") is None and c("short | Page 1 of 9", "text") == "short |"
+    assert c("Limit AB-CD 12 34 | Page 3 of 9 applies") == "Limit applies" and c("  a \n b ") == "a b" and c(" ") is None
+
+
+def test_runs_keep_ids_pages_units_and_titles(spark):
+    rows = [("d", 1, 1, "Coverage for", "s1", "text", None), ("d", 2, 1, "damage", "s2", "text", None), ("d", 3, 1, "to all", "s3", "text", "title"), ("d", 4, 1, "and more", "s4", "table_row", None)]
+    df = spark.createDataFrame(rows, "doc string, pos int, page int, text string, id string, unit string, element string").withColumn("stop", F.col("page") + F.col("pos"))
+    got = S.merge_runs(df, "doc", "pos", "page", "text", key="id", unit="unit", element="element", stop="stop").orderBy("run").collect()
+    assert [(r.ids, r.text, r.page_end) for r in got] == [(["s1", "s2"], "Coverage for damage", 3), (["s3"], "to all", 4), (["s4"], "and more", 5)]
+
+
+def test_overlaps_at_edges_of_buckets(spark):
+    df = spark.createDataFrame([("k", 1, 9, "a"), ("k", 9, 30, "b"), ("k", 31, 31, "c"), ("j", 1, 99, "d")], "k string, a int, b int, n string")
+    got = sorted((r.n, r.r_n) for r in O.overlaps(df, df, "k", "a", "b", 10).collect())
+    assert got == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c"), ("d", "d")]
+
+
+def test_intervals_within_bounds_with_reasons(spark):
+    df = spark.createDataFrame([("d", -3, 2, ["x"], "r1"), ("d", 3, 4, ["y", "x"], "r2"), ("d", 8, 20, [], "r1")], "d string, a int, b int, ids array<string>, why string")
+    got = O.coalesce_intervals(df, "d", "a", "b", bounds=spark.createDataFrame([("d", 1, 9)], "d string, low int, high int"), lists=("ids",), texts=("why",)).orderBy("start").collect()
+    assert [(r.start, r.stop, r.ids, r.why) for r in got] == [(1, 4, ["x", "y"], "r1; r2"), (8, 9, [], "r1")]
+
+
+def test_conflicting_sources_compare_signatures(spark):
+    rows = [(1, "limit $1,000 and 5%", "cov", None, None), (1, "5% of 1000... $1,000", "cov", None, None), (2, "$5", "cov", "F1", None), (2, "$6", "cov", "F1", None), (2, "$7", "cov", "F2", None), (3, "no numbers", None, None, "L"), (3, "$1", None, None, "L")]
+    df = spark.createDataFrame(rows, "case_id int, text string, field_path string, form_number string, label string")
+    got = {(r.case_id, r.key): r.n_signatures for r in E.conflicting_sources(df, "case_id").collect()}
+    assert got.get((2, "cov:f1")) == 2 and (3, "l") not in got and (2, "cov:f2") not in got
+
+
+def test_rows_of_equal_place_are_always_the_same(spark):
+    df = spark.createDataFrame([(1, "a", x) for x in "pqrst"], "pos int, k string, v string")
+    assert len({S.first_wins(df.repartition(n), ["k"], "pos").first().v for n in (1, 2, 5)}) == 1
