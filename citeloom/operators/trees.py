@@ -20,14 +20,14 @@ def _descend(rows: DataFrame, level: DataFrame, most_depth: int) -> DataFrame:
     raise ValueError(f"deeper than {most_depth} levels")
 
 
-def paths(nodes: DataFrame, most_depth: int = 200) -> DataFrame:
-    """id, path: places among siblings (by ord, id) from the root, joined by dots.
+def paths(nodes: DataFrame, most_depth: int = 200, by: str | None = None) -> DataFrame:
+    """id, path: places among siblings (by ord, id) from the root, joined by dots. by: a column (the document) in which roots are numbered for themselves.
 
     nodes(id, parent_id, ord). Roots are the nodes without a parent. Nodes that no root reaches, as a parent above them
     is unknown or in a cycle, come after these in the order of (ord, id): each that isn't below an earlier one of them
     becomes a root, whose number is that of the nodes numbered before it, plus one; a cycle is cut where it was entered.
     """
-    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("ord", "id"))
+    place = F.row_number().over(Window.partitionBy("parent_id", *([by] if by else [])).orderBy("ord", "id"))
     rows = cut(nodes.select("id", "ord", F.col("parent_id").alias("up"), place.cast("string").alias("place")))
     out = _descend(rows.drop("ord"), rows.where("up IS NULL").select("id", F.col("place").alias("path")), most_depth)
     left = cut(rows.join(out.select("id"), "id", "left_anti"))

@@ -498,3 +498,6 @@ def change_execution_modes(spark, sf):
     no = F.lit(False)
     cases = _t(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("auto").alias("requested"), said.alias("request_text"), no.alias("blocking"), (F.col("c_acctbal") < -500).alias("conflicting"), no.alias("unclear"))
     return C.execution_modes(cases, _changes(spark, sf))
+
+
+from . import source as _source  # noqa: E402, F401  (registers its queries here)
