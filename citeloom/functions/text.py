@@ -51,6 +51,16 @@ def stable_hash(canonical: Column) -> Column:
     return F.concat(*(F.lower(F.lpad(F.hex(h), 8, "0")) for h in halves))
 
 
+def case_hash(canonical: Column) -> Column:
+    """Two 32-bit multiplicative hashes as stable_hash(), with another seed and factor for the second (fixed values); its state is held signed, as the product of unsigned halves wouldn't fit 64 bits."""
+    signed = lambda x: F.when(x >= (1 << 31), x - (1 << 32)).otherwise(x)
+    units = F.transform(code_units(canonical), lambda u, i: (u + i).cast("long"))
+    step = lambda h, u: signed(F.pmod(signed(h.bitwiseXOR(u).bitwiseAND(F.lit(0xFFFFFFFF))) * F.lit(0x85EBCA6B - (1 << 32)), F.lit(1 << 32)))
+    second = F.pmod(F.aggregate(units, F.lit(0x9E3779B9 - (1 << 32)).cast("long"), step), F.lit(1 << 32))
+    first = _rolling(code_units(canonical), 0x811C9DC5, 0x01000193, False)
+    return F.concat(*(F.lower(F.lpad(F.hex(h), 8, "0")) for h in (first, second)))
+
+
 def short_hash(text: Column) -> Column:
     """One 32-bit hash (offset basis and prime are fixed values), 8 hex digits."""
     return F.lower(F.lpad(F.hex(_rolling(code_units(text), 0x811C9DC5, 0x01000193, False)), 8, "0"))
@@ -60,6 +70,12 @@ def text_hash(text: Column) -> Column:
     return stable_hash(json_string(normalize_ws(text)))
 
 
+def title_case(text: Column) -> Column:
+    """Underscores and hyphens become spaces and each word's first letter a capital; the other letters stay."""
+    words = F.split(F.regexp_replace(text, "[_-]+", " "), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ")
+
+
 def id_part(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z0-9_.:-]", "_")
 

@@ -500,4 +500,4 @@ def change_execution_modes(spark, sf):
     return C.execution_modes(cases, _changes(spark, sf))
 
 
-from . import review as _review, source as _source  # noqa: E402, F401  (they register their queries here)
+from . import changes as _changes_, review as _review, source as _source  # noqa: E402, F401  (they register their queries here)
