@@ -151,3 +151,54 @@ def states_claim(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4)
+
+
+def strip_fences(text: Column) -> Column:
+    """A reply without the code fence around it."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*\n?", ""), r"\n?```\s*\z", "")
+
+
+def id_list(text: Column) -> Column:
+    """Ids given as a JSON list or between commas; none where the list can't be read."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    plain = F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    return F.when(t.startswith("["), F.coalesce(F.filter(F.from_json(t, "array<string>"), lambda x: x.isNotNull()), none)).otherwise(plain)
+
+
+def schedule_key(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def schedule_value(values: Column, labels: tuple[str, ...]) -> Column:
+    """Of an array of (label, value) the value of the first of `labels` that one is called, or that one's label holds."""
+    keyed = F.filter(F.transform(values, lambda v: F.struct(schedule_key(v["label"]).alias("k"), v["value"].alias("v"))), lambda x: x["v"] != "")
+
+    def called(name: str) -> Column:
+        exact, near = F.filter(keyed, lambda x: x["k"] == name), F.filter(keyed, lambda x: F.contains(x["k"], F.lit(name)))
+        return F.coalesce(F.try_element_at(exact, F.lit(-1))["v"], F.try_element_at(near, F.lit(1))["v"])
+
+    return F.coalesce(*map(called, labels))
+
+
+#: Kinds of entities, and other names of theirs and of parties' roles.
+ENTITIES = ("corporation", "llc", "partnership", "sole_proprietor", "joint_venture", "trust", "nonprofit", "municipality", "individual", "married_couple", "other")
+ENTITY_NAMES = {"inc": "corporation", "incorporated": "corporation", "c_corporation": "corporation", "s_corporation": "corporation", "limited_liability_company": "llc", "non_profit": "nonprofit"}
+ROLE_NAMES = {"namedinsured": "named_insured", "insured": "named_insured", "managing_general_agent": "mga", "managing_general_underwriter": "mga", "third_party_administrator": "administrator"}
+
+
+def entity_type(text: Column) -> Column:
+    key = F.regexp_replace(F.regexp_replace(F.lower(normalize_ws(text)), "[^a-z0-9]+", "_"), r"^_+|_+\z", "")
+    known = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ENTITY_NAMES.items() for x in kv)), key), key)
+    return F.when(known.isin(*ENTITIES), known)
+
+
+def party_role(text: Column) -> Column:
+    key = F.regexp_replace(F.lower(text), r"[\s-]+", "_")
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv)), key), key)
+
+
+def covered_reason(title: Column, kind: Column) -> Column:
+    """Whether a section tells what is covered (fixed words)."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return (F.lower(F.coalesce(kind, F.lit(""))) == "covered_reason") | low.rlike("covered (?:cause|reason|peril)")

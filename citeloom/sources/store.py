@@ -1,64 +1,171 @@
-"""Tables of spans, chunks, turns and documents as Parquet, partitioned by a bucket of the document id."""
+"""Tables of spans, chunks, turns and documents as Parquet, in buckets of the document id.
+
+A table is a folder of immutable data folders and of numbered manifests. A manifest names, for each bucket that has
+rows, the folder they lie in. A change writes new folders for the buckets it touches and then a manifest of the next
+number, which must not be there yet: readers see a change whole or not at all, and of two writers at once one fails.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.spans import last_wins
 
 
 class Store:
-    """One folder with a table for each name; reads prune to the buckets a document can be in."""
+    """One folder with a table for each name; reads by document open the bucket it can be in alone."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _bucket(self, key):
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    # files, by Spark's own file systems
+
+    def _fs(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _manifest(self, table: str) -> tuple[int, dict]:
+        numbers = [int(n[9:-5]) for n in self._names(self._path(table)) if n.startswith("manifest-") and n.endswith(".json")]
+        if not numbers:
+            raise FileNotFoundError(f"no table {table} in {self.root}")
+        fs, p = self._fs(f"{self._path(table)}/manifest-{max(numbers):09d}.json")
+        stream = fs.open(p)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return max(numbers), json.loads(text)
+
+    def _commit(self, table: str, number: int, manifest: dict) -> None:
+        fs, p = self._fs(f"{self._path(table)}/manifest-{number:09d}.json")
+        stream = fs.create(p, False)  # fails if another writer was first
+        try:
+            stream.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            stream.close()
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _bucket(self, key, buckets: int):
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def _read(self, table: str, manifest: dict, buckets=None) -> DataFrame:
+        schema = StructType.fromJson(manifest["schema"])
+        paths = [f"{self._path(table)}/{folder}/bucket={b}" for b, folder in sorted(manifest["buckets"].items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _written(self, table: str, rows: DataFrame, buckets: int) -> dict[str, str]:
+        folder = f"data-{uuid.uuid4().hex}"
+        placed = rows.withColumn("bucket", self._bucket(F.col("document_id"), buckets))
+        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self._path(table)}/{folder}")
+        return {n[7:]: folder for n in self._names(f"{self._path(table)}/{folder}") if n.startswith("bucket=")}
+
+    # tables
+
+    def create(self, table: str, rows: DataFrame) -> None:
+        self._commit(table, 1, {"n": self.buckets, "schema": rows.schema.jsonValue(), "buckets": self._written(table, rows, self.buckets)})
+
+    def exists(self, table: str) -> bool:
+        return any(n.startswith("manifest-") for n in self._names(self._path(table)))
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(table))
+        return self._read(table, self._manifest(table)[1])
 
     def by_document(self, table: str, document_id: str) -> DataFrame:
-        return self.read(table).where((F.col("bucket") == self._bucket(F.lit(document_id))) & (F.col("document_id") == document_id)).drop("bucket").orderBy("id")
+        manifest = self._manifest(table)[1]
+        bucket = self.spark.range(1).select(self._bucket(F.lit(document_id), manifest["n"])).first()[0]
+        return self._read(table, manifest, {bucket}).where(F.col("document_id") == document_id).orderBy("id")
 
-    def create(self, table: str, rows: DataFrame) -> None:
-        rows.withColumn("bucket", self._bucket(F.col("document_id"))).repartition("bucket").write.partitionBy("bucket").parquet(self._path(table))
+    def get(self, table: str, key: str) -> DataFrame:
+        """The row of an id, if there is one."""
+        return self.read(table).where(F.col("id") == key)
 
     def upsert(self, table: str, rows: DataFrame, order: str | None = None) -> None:
-        """Rows of the same id replace those there; of several new ones the last by `order`. Only buckets that get rows are written again."""
-        new = rows.withColumn("bucket", self._bucket(F.col("document_id")))
-        new = last_wins(new, ["id"], order) if order else new
-        touched = new.select("bucket").distinct()
-        old = self.read(table).join(touched, "bucket", "left_semi").join(new.select("id"), "id", "left_anti")
-        self._replace(table, old.unionByName(new.select(*old.columns)))
+        """Rows replace those of the same id, wherever they are; of several new ones of an id the last by `order` counts (without it the one of the highest hash). Only buckets that lose or get rows are written again."""
+        number, manifest = self._manifest(table)
+        old = self._read(table, manifest)
+        new = last_wins(rows, ["id"], order or rows.columns[0])
+        place = self._bucket(F.col("document_id"), manifest["n"])
+        ids = new.select("id")
+        touched = {r[0] for r in new.select(place).distinct().union(old.join(ids, "id", "left_semi").select(place).distinct()).distinct().collect()}  # bucket numbers
+        stay = self._read(table, manifest, touched).join(ids, "id", "left_anti")
+        self._replace(table, number, manifest, touched, stay.unionByName(new.select(*old.columns)))
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        """New rows; an id that is there already, or comes twice, is an error."""
+        number, manifest = self._manifest(table)
+        twice = rows.groupBy("id").count().where("count > 1").select("id").union(rows.join(self._read(table, manifest).select("id"), "id", "left_semi").select("id"))
+        found = twice.first()
+        if found:
+            raise ValueError(f"id {found[0]} is there already")
+        touched = {r[0] for r in rows.select(self._bucket(F.col("document_id"), manifest["n"])).distinct().collect()}
+        old = self._read(table, manifest, touched)
+        self._replace(table, number, manifest, touched, old.unionByName(rows.select(*old.columns)))
 
     def delete_document(self, table: str, document_id: str) -> None:
-        own = self.read(table).where(F.col("bucket") == self._bucket(F.lit(document_id)))
-        self._replace(table, own.where(~F.col("document_id").eqNullSafe(document_id)), F.col("bucket") == self._bucket(F.lit(document_id)))
-
-    def _replace(self, table: str, rows: DataFrame, emptied=None) -> None:
-        staged = f"{self._path(table)}.staged"
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        fresh = self.spark.read.schema(rows.schema).parquet(staged)
-        if emptied is not None and fresh.isEmpty():  # a partition left without rows isn't overwritten: rewrite what else there is
-            rest = self.read(table).where(~emptied)
-            rest.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-            self.spark.read.schema(rest.schema).parquet(staged).write.mode("overwrite").partitionBy("bucket").parquet(self._path(table))
-            return
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(table))
-
-
-def search_documents(df: DataFrame, kind: str = "", holder: str = "", number: str = "") -> DataFrame:
-    """Filters joined by AND; an empty one doesn't count. The holder is matched anywhere, without regard to case."""
+        number, manifest = self._manifest(table)
+        bucket = self.spark.range(1).select(self._bucket(F.lit(document_id), manifest["n"])).first()[0]
+        self._replace(table, number, manifest, {bucket}, self._read(table, manifest, {bucket}).where(F.col("document_id") != document_id))
+
+    def delete_source(self, document_id: str, tables: tuple[str, ...] = ("spans", "source_chunks")) -> None:
+        """A document's spans and chunks go."""
+        for table in tables:
+            if self.exists(table):
+                self.delete_document(table, document_id)
+
+    def save_document(self, rows: DataFrame, cascade: bool = False) -> None:
+        """Documents(id, ..) replace those of the same id. cascade: their chunks go, as a foreign key with cascading deletes has it; off unless asked for."""
+        rows = rows.withColumn("document_id", F.col("id"))
+        if not self.exists("documents"):
+            self.create("documents", rows)
+        else:
+            self.upsert("documents", rows)
+        if cascade and self.exists("chunks"):
+            for r in rows.select("id").distinct().collect():
+                self.delete_document("chunks", r[0])
+
+    def save_section(self, rows: DataFrame) -> bool:
+        """Section checkpoints(id, document_id, ..); a failure to save is told, not raised."""
+        try:
+            self.upsert("sections", rows) if self.exists("sections") else self.create("sections", rows)
+            return True
+        except Exception:  # noqa: BLE001  (a checkpoint is never worth a run)
+            return False
+
+    def _replace(self, table: str, number: int, manifest: dict, touched: set[int], rows: DataFrame) -> None:
+        left = {b: f for b, f in manifest["buckets"].items() if int(b) not in touched}
+        self._commit(table, number + 1, manifest | {"buckets": left | self._written(table, rows, manifest["n"])})
+
+
+def search_documents(df: DataFrame, kind: str = "", holder: str = "", number: str = "", carrier: str = "", quote: str = "", json: str | None = None) -> DataFrame:
+    """Filters joined by AND; an empty one doesn't count. Holder and carrier are matched anywhere, without regard to case; numbers have to be equal. json: the column of a JSON text that carrier, holder and numbers are read from."""
+    of = lambda name, path: F.get_json_object(json, path) if json else F.col(name)
     if kind:
         df = df.where(F.col("kind") == kind)
     if holder:
-        df = df.where(F.col("holder").ilike(f"%{holder}%"))
+        df = df.where(of("holder", "$.insuredName").ilike(f"%{holder}%"))
+    if carrier:
+        df = df.where(of("carrier", "$.carrier").ilike(f"%{carrier}%"))
     if number:
-        df = df.where(F.col("number") == number)
+        df = df.where(of("number", "$.policyNumber") == number)
+    if quote:
+        df = df.where(of("quote", "$.quoteNumber") == quote)
     return df
+
+
+def list_templates(df: DataFrame, status: str = "", title: str = "", kind: str = "") -> DataFrame:
+    """Templates or applications by status, by words of the title, by type."""
+    df = df.where(F.col("status") == status) if status else df
+    df = df.where(F.col("title").ilike(f"%{title}%")) if title else df
+    return df.where(F.col("type") == kind) if kind else df

@@ -202,3 +202,82 @@ def test_conflicting_sources_compare_signatures(spark):
 def test_rows_of_equal_place_are_always_the_same(spark):
     df = spark.createDataFrame([(1, "a", x) for x in "pqrst"], "pos int, k string, v string")
     assert len({S.first_wins(df.repartition(n), ["k"], "pos").first().v for n in (1, 2, 5)}) == 1
+
+
+def test_store_replaces_by_id_and_keeps_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=4)
+    make = lambda *rows: spark.createDataFrame(list(rows), "id string, document_id string, text string")
+    store.create("spans", make(("1", "a", "x"), ("2", "b", "y")))
+    store.upsert("spans", make(("1", "zzz", "moved"), ("5", "q", "p"), ("5", "q", "r")))
+    rows = sorted(tuple(r) for r in store.read("spans").collect())
+    assert [r[:2] for r in rows] == [("1", "zzz"), ("2", "b"), ("5", "q")] and store.get("spans", "1").first().text == "moved"
+    store.delete_document("spans", "b")
+    store.delete_document("spans", "nothing")
+    assert sorted(r.id for r in store.read("spans").collect()) == ["1", "5"]
+    store.append("spans", make(("9", "b", "n")))
+    for bad in (make(("9", "c", "n")), make(("7", "c", "n"), ("7", "d", "n"))):
+        try:
+            store.append("spans", bad)
+            raise AssertionError("an id twice")
+        except ValueError:
+            pass
+    store.create("chunks", make(("k", "D", "t"), ("l", "E", "t")))
+    docs = spark.createDataFrame([("D", "body")], "id string, body string")
+    store.save_document(docs)
+    assert store.read("chunks").count() == 2
+    store.save_document(docs.withColumn("body", F.lit("new")), cascade=True)
+    assert [r.body for r in store.get("documents", "D").collect()] == ["new"] and [r.id for r in store.read("chunks").collect()] == ["l"]
+    assert store.save_section(make(("s", "D", "t"))) and not store.save_section(spark.createDataFrame([("s",)], "id string"))
+    store.delete_source("zzz")
+    assert sorted(r.id for r in store.read("spans").collect()) == ["5", "9"] and store.by_document("spans", "none").count() == 0
+
+
+def test_documents_by_json(spark):
+    from citeloom.sources.store import list_templates, search_documents
+
+    df = spark.createDataFrame([("policy", '{"carrier":"Acme Co","insuredName":"Bo","policyNumber":"7"}', "open", "Tea"), ("quote", '{"carrier":"X","quoteNumber":"9"}', "done", "Coffee")], "kind string, body string, status string, title string")
+    assert search_documents(df, kind="policy", carrier="acme", holder="b", number="7", json="body").count() == 1
+    assert search_documents(df, quote="9", json="body").first().kind == "quote" and search_documents(df).count() == 2
+    assert list_templates(df, status="open", title="te").count() == 1
+
+
+def test_recovered_coverages_are_merged_in_order(spark):
+    from citeloom.operators import recovery as V
+
+    t = lambda label, value: ("limit", label, value, None)
+    c = lambda seq, rec, name, form, first, limit, *terms: ("d", seq, rec, name, None, form, None, None, first, first, limit, None, list(terms))
+    rows = [c(0, False, "Wind & Hail", "F1", 1, None, t("A", "1")), c(0, True, "wind and hail", None, 2, "5", t("a", "1"), t("A", "2"), t("B", "1")), c(1, True, "Flood", None, 9, None, t("A", "1")), c(2, True, "FLOOD", None, 10, "7", t("A", "3")), c(3, True, "Flood", None, 40, None)]
+    got = [(r.name, r.limit, r.n_terms, r.n_found, r.conflicts) for r in V.merge_recovered(spark.createDataFrame(rows, V.FACT)).orderBy("seq").collect()]
+    assert got == [("Wind & Hail", "5", 3, 2, 1), ("Flood", "7", 2, 2, 1), ("Flood", None, 0, 0, 0)]
+
+
+def test_nested_endorsements_collapse(spark):
+    from citeloom.operators import sourcetree as ST
+
+    rows = [("r", None, "document", None, 0), ("a", "r", "endorsement", "e1", 1), ("p", "a", "page", None, 2), ("b", "p", "endorsement", "e1", 3), ("c", "b", "endorsement", "e1", 4), ("x", "c", "text", None, 5), ("o", "a", "endorsement", "e2", 6)]
+    df = spark.createDataFrame([(*r, [f"s{r[0]}"], r[4] + 1, r[4] + 1) for r in rows], "id string, parent_id string, kind string, key string, ord int, source_span_ids array<string>, page_start int, page_end int")
+    got = {r.id: r for r in ST.collapse_nested(df).collect()}
+    assert set(got) == {"r", "a", "p", "x", "o"} and got["x"].parent_id == "a" and got["a"].source_span_ids == ["sa", "sb", "sc"] and got["a"].page_end == 5
+
+
+def test_groups_of_runs_and_continuations(spark):
+    from citeloom.operators import sourcetree as ST
+
+    rows = [("r", None, "document", 0), ("p1", "r", "page", 1), ("p2", "r", "page", 2), ("p3", "r", "page", 3), ("p4", "r", "page", 4)]
+    df = spark.createDataFrame([("d", *r, [r[0]], r[3], r[3]) for r in rows], "document_id string, id string, parent_id string, kind string, ord int, source_span_ids array<string>, page_start int, page_end int")
+    run = ST.first_run(df, F.col("id") == "p2", F.col("id") == "p4")
+    out = {r.id: r for r in ST.group_run(run, "form", "Policy Form").collect()}
+    new = next(r for r in out.values() if r.kind == "form")
+    assert new.parent_id == "r" and out["p2"].parent_id == out["p3"].parent_id == new.id and out["p4"].parent_id == "r" and new.source_span_ids == ["p2", "p3"] and (new.page_start, new.page_end) == (2, 3)
+    kids = spark.createDataFrame([("g", "r", "page_group", 1.0, "endorsements", False), ("e", "g", "endorsement", 2.0, None, True), ("c", "g", "page", 3.0, None, False), ("b", "g", "page", 1.5, None, False)], "id string, parent_id string, kind string, ord double, role string, starts boolean")
+    assert {r.id: r.parent_id for r in ST.nest_continuations(kids).collect()} == {"g": "r", "e": "g", "c": "e", "b": "g"}
+    roots = spark.createDataFrame([("r", None, "document", 0.0, None, 1), ("e", "r", "page_group", 1.0, "endorsements", 1), ("x", "r", "page", 2.0, None, 2), ("n", "r", "page_group", 3.0, "notices", 9), ("d", "r", "form", 4.0, "declarations", 9)], "id string, parent_id string, kind string, ord double, role string, page_start int")
+    assert [r.id for r in ST.root_order(roots).where("id <> 'r'").orderBy("ord").collect()] == ["n", "d", "x", "e"]
+
+
+def test_endorsement_cues(spark):
+    from citeloom.operators import sourcetree as ST
+
+    s = lambda *x: [one(spark, f(*(F.lit(v) for v in x))) for f in (ST.endorsement_start, ST.endorsement_continues)]
+    assert s("Page 1", "ENDORSEMENT NO. 4 changes", "") == [True, False] and s("Page 2", "all other terms and conditions", "") == [False, True] and s("Page 3", "plain", "") == [False, False]
+    assert one(spark, ST.endorsement_number(F.lit("see XY-END 0012 here"))) == "12" and one(spark, ST.organizer_title(F.lit("Endorsement no. 7 Wind"), F.lit("endorsement"))) == "Endorsement No. 7"
