@@ -56,27 +56,11 @@ def text_windows(spark, sf):
 
 
 COS = "list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v)))"
-VEC = "WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v FROM a WHERE vec_id = 0), s AS (SELECT vec_id, label, " + COS + " AS score FROM a, q WHERE vec_id <> 0)"
-
-
-def _scored(spark, sf):
-    rows = _t(spark, sf, "embeddings")
-    first = rows.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    return rows.where("vec_id <> 0").join(F.broadcast(first), F.lit(True)).select("vec_id", "label", V.cosine(F.col("embedding"), F.col("q")).alias("score"))  # one row is broadcast
-
-
-@query(VEC + " SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 10")
-def vector_topk(spark, sf):
-    return O.top_k(_scored(spark, sf).drop("label"), None, [F.desc("score"), F.col("vec_id")], 10).withColumn("score", F.round("score", 6))
-
-
-@query(VEC + " SELECT * FROM (SELECT vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
-def vector_topk_per_label(spark, sf):
-    return O.top_k(_scored(spark, sf), "label", [F.desc("score"), F.col("vec_id")], 3).withColumn("score", F.round("score", 6))
+VEC = "WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, a.vec_id, a.label, " + COS + " AS score FROM a JOIN a q ON a.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)"
 
 
 def _searches(spark, sf):
-    """Every row whose id is divisible by 100 against all other rows."""
+    """The query set, every row whose id is divisible by 100, against all other rows."""
     rows = _t(spark, sf, "embeddings").withColumn("size", F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))))  # once for each row, not for each pair
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("size").alias("q_size"))
     size = F.col("size") * F.col("q_size")
@@ -84,15 +68,13 @@ def _searches(spark, sf):
     return rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", score.alias("score"))
 
 
-@query(None)
-def vector_topk_queries(spark, sf):
-    """vector_topk for the whole query set."""
+@query(VEC + " SELECT * FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
+def vector_topk(spark, sf):
     return O.top_k(_searches(spark, sf).drop("label"), "query_id", [F.desc("score"), F.col("vec_id")], 10).withColumn("score", F.round("score", 6))
 
 
-@query(None)
-def vector_topk_per_label_queries(spark, sf):
-    """vector_topk_per_label for the whole query set."""
+@query(VEC + " SELECT * FROM (SELECT query_id, vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
+def vector_topk_per_label(spark, sf):
     rows = _searches(spark, sf).withColumn("_g", F.struct("query_id", "label"))
     return O.top_k(rows, "_g", [F.desc("score"), F.col("vec_id")], 3).drop("_g").withColumn("score", F.round("score", 6))
 

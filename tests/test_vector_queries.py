@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name, k", [("vector_topk_queries", 10), ("vector_topk_per_label_queries", 3)])
+@pytest.mark.parametrize("name, k", [("vector_topk", 10), ("vector_topk_per_label", 3)])
 def test_every_query_against_all_rows(spark, name, k):
     rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
     x = np.array([r["embedding"] for r in rows], float)
