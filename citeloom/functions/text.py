@@ -100,12 +100,14 @@ def amount(text: Column) -> Column:
 
 def us_date_millis(text: Column) -> Column:
     """MM/DD/YY or MM/DD/YYYY at UTC midnight, in ms; two-digit years are 20xx and days run over into the next month."""
-    part = lambda i: F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})\z", i).try_cast("int")
-    month, day, year = part(1), part(2), part(3)
-    year = F.when(year < 100, year + 2000).otherwise(year)
-    first = F.make_date(year, month, F.lit(1))
-    good = month.between(1, 12) & day.between(1, 31)
-    return F.when(good, F.unix_date(F.date_add(first, day - 1)).cast("long") * 86_400_000)
+
+    def made(p: Column) -> Column:
+        month, day, year = (F.element_at(p, i).cast("int") for i in (1, 2, 3))
+        first = F.make_date(F.when(year < 100, year + 2000).otherwise(year), month, F.lit(1))
+        return F.when(month.between(1, 12) & day.between(1, 31), F.unix_date(F.date_add(first, day - 1)).cast("long") * 86_400_000)
+
+    parts = lambda t: F.when(t.rlike(r"^\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})\z"), F.split(t, "/"))
+    return let(text, lambda t: let(parts(t), made))
 
 
 def form_number(text: Column) -> Column:

@@ -135,10 +135,13 @@ def finalise(items: DataFrame) -> DataFrame:
 
 def policy_periods(sources: DataFrame, case: str = "case_id") -> DataFrame:
     """case, start, stop (ms), source_id of the first of sources(case, pos, source_id, text, starts, ends) that names a period, in its data or its text. A bound at 0 ms counts as none."""
-    said = lambda i: F.regexp_extract("text", T.B + PERIOD.format(b=T.B), i)
     ms = lambda c: F.nullif(T.us_date_millis(F.replace(c, F.lit("-"), F.lit("/"))), F.lit(0))
-    given = F.when(ms(F.col("starts")).isNotNull() & ms(F.col("ends")).isNotNull(), F.struct(ms(F.col("starts")).alias("a"), ms(F.col("ends")).alias("z")))
-    told = F.when(ms(said(1)).isNotNull() & ms(said(2)).isNotNull(), F.struct(ms(said(1)).alias("a"), ms(said(2)).alias("z")))
+    both = lambda a, z: T.let(F.struct(ms(a).alias("a"), ms(z).alias("z")), lambda p: F.when(p["a"].isNotNull() & p["z"].isNotNull(), p))
+    pattern = T.B + PERIOD.format(b=T.B)
+    found = T.let(F.struct(F.regexp_extract("text", pattern, 1).alias("x"), F.regexp_extract("text", pattern, 2).alias("y")), lambda s: both(s["x"], s["y"]))
+    # the pattern begins with one of these words: most texts need no more than a look for them
+    told = F.when(F.col("text").ilike("%period%") | F.col("text").ilike("%effective%"), found)
+    given = F.when(F.col("starts").isNotNull() & F.col("ends").isNotNull(), both(F.col("starts"), F.col("ends")))
     rows = sources.withColumn("p", F.coalesce(given, told)).where("p IS NOT NULL")
     return rows.groupBy(case).agg(F.min_by(F.struct("p.a", "p.z", "source_id"), "pos").alias("b")).select(case, F.col("b.a").alias("start"), F.col("b.z").alias("stop"), F.col("b.source_id").alias("source_id"))
 

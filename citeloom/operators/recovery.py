@@ -142,13 +142,14 @@ def merge_recovered(facts: DataFrame) -> DataFrame:
     The order matters, so a document's facts (FACT) meet in one group: they are a profile's rows, not its text.
     """
 
-    def plain(text) -> str:
-        import re
+    import re
 
+    def plain(text) -> str:
         return re.sub("[^a-z0-9]+", " ", (text or "").lower().replace("&", " and ")).strip()
 
     def fits(a, b) -> bool:
-        if plain(a["name"]) != plain(b["name"]) or (a["line"] and b["line"] and a["line"] != b["line"]):
+        """Of two coverages of equal name."""
+        if a["line"] and b["line"] and a["line"] != b["line"]:
             return False
         for c in ("form", "section", "endorsement"):
             x, y = plain(a[c]), plain(b[c])
@@ -162,21 +163,23 @@ def merge_recovered(facts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         rows = sorted(table.to_pylist(), key=lambda r: (r["recovered"], r["seq"]))
-        kept = []
+        kept, named = [], {}
         for r in rows:
             r["terms"] = [dict(t) for t in r["terms"] or []]
-            into = next((k for k in kept if fits(k, r)), None) if r["recovered"] else None
+            alike = named.setdefault(plain(r["name"]), [])
+            into = next((k for k in alike if fits(k, r)), None) if r["recovered"] else None
             if into is None:
-                kept.append(r | {"n_found": len(r["terms"]) if r["recovered"] else 0, "conflicts": 0})
+                alike.append(r | {"n_found": len(r["terms"]) if r["recovered"] else 0, "conflicts": 0})
+                kept.append(alike[-1])
                 continue
             for c in ("limit", "deductible", "form", "section", "endorsement"):
                 into[c] = into[c] if into[c] is not None else r[c]
             scope = lambda t: (t["kind"], plain(t["label"]), plain(t["applies"]))
             for t in r["terms"]:
-                alike = [x for x in into["terms"] if scope(x) == scope(t)]
-                if any(plain(x["value"]) == plain(t["value"]) for x in alike):
+                near = [x for x in into["terms"] if scope(x) == scope(t)]
+                if any(plain(x["value"]) == plain(t["value"]) for x in near):
                     continue
-                into["conflicts"] += bool(alike)
+                into["conflicts"] += bool(near)
                 into["terms"].append(t)
                 into["n_found"] += 1
         names = [f.split()[0] for f in MERGED.split(", ")]
