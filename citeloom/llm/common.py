@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
         found = sc.getCheckpointDir()
-    found = str(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(str(found))  # a path without a scheme is one of the default file system
+    return str(path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -67,18 +67,26 @@ def drawn(digest, wanted: int, rows):
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI. Spark's names for S3 are read as pyarrow's own."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    for known in ("s3a://", "s3n://"):
+        uri = "s3://" + uri[len(known) :] if uri.startswith(known) else uri
     return fs.FileSystem.from_uri(uri)
 
 
+#: Bytes of rows that are read at once, about.
+READ = 8 << 20
+
+
 class Blocks:
-    """Rows kept in row groups of a table in the shared folder.
+    """Rows kept in a table in the shared folder, read in blocks.
 
-    A block is one row group, about block_mb of uncompressed columns (sizes are looked at every few rows, so long texts
-    don't make it much larger; a single longer row stands alone), so a task that holds a block's hashes is bounded
-    however large the table is. Blocks never change once written, so a rerun task sees the same rows in the same order;
-    rows are named by (block, position).
+    A block is a run of rows of one row group. Row groups are closed by their compressed size, so one that holds more
+    than block_mb uncompressed is read as several blocks, of as many rows each as hold that on the group's average; and
+    rows are read a few MB at a time, however long they are. So a task that holds a block's hashes is bounded whatever
+    the table's size and its texts' lengths (a block of rows much longer than their group's average aside). Blocks never
+    change once written, so a rerun task sees the same rows in the same order; rows are named by (block, position).
     """
 
     def __init__(self, df: DataFrame, name: str, block_mb: int = 16):
@@ -104,20 +112,32 @@ class Blocks:
         if files:
             each = min(len(files), 1024)
             found = spark.range(0, len(files), 1, each).mapInArrow(footers, "file int, grp int, bytes long, rows long").collect()  # a few numbers for each block, not for each row
-        found = sorted((r.file, r.grp, r.bytes) for r in found if r.rows)
+        found = sorted((r.file, r.grp, r.bytes, r.rows) for r in found if r.rows)
         self.bytes = sum(x[2] for x in found)
-        self.count = len(found)
-        self._table = spark.sparkContext.broadcast([(files[f], g) for f, g, _ in found])
+        table = []
+        for f, group, size, rows in found:
+            each = -(-rows // max(1, min(rows, -(-size // (block_mb << 20)))))
+            table += [(files[f], group, start, min(each, rows - start), max(1, size // rows)) for start in range(0, rows, each)]
+        self.count = len(table)
+        self._table = spark.sparkContext.broadcast(table)  # a few numbers for each block
 
     def reader(self, columns: list[str]):
         """A function for tasks: block number -> batches of its rows, in order."""
         table = self._table
 
         def read(block: int, batch: int = 256):
-            uri, group = table.value[block]
+            uri, group, skip, left, size = table.value[block]
             system, at = open_fs(uri)
             with system.open_input_file(at) as f:
-                yield from pq.ParquetFile(f).iter_batches(batch_size=batch, row_groups=[group], columns=columns)
+                for some in pq.ParquetFile(f).iter_batches(batch_size=max(1, min(batch, READ // size)), row_groups=[group], columns=columns):
+                    if skip >= some.num_rows:
+                        skip -= some.num_rows
+                        continue
+                    some = some.slice(skip, left)
+                    skip, left = 0, left - some.num_rows
+                    yield some
+                    if not left:
+                        return
 
         return read
 

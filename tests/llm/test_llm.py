@@ -244,6 +244,26 @@ def test_jaccard_counts_every_link(spark, odd, chunk):
     assert max(n for _, n in want) > 20 and sorted(map(tuple, got.drop("n_links").collect()), key=str) == sorted(brute_jaccard(rows, 4, 85), key=str)
 
 
+def test_blocks_of_long_texts_are_bounded(spark):
+    from citeloom.llm.common import Blocks
+
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(500_000)) if i % 3 else "short") for i in range(45)]  # 2 MB each
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    blocks = Blocks(df, "long", 4)
+    read, seen = blocks.reader(["doc_id", "text"]), []
+    assert blocks.count >= 10
+    for block in range(blocks.count):
+        some = list(read(block))
+        assert sum(b.nbytes for b in some) <= 12 << 20 and all(b.nbytes <= 10 << 20 or b.num_rows == 1 for b in some)
+        seen += [i for b in some for i in b.column(0).to_pylist()]
+    assert seen == list(range(45))
+    got = {r.doc_id: r for r in substring.remove(df, texts=False, block_mb=4).collect()}
+    assert got[1].n_words == 500_000 and got[1].n_removed < 500_000 and {got[i].n_words for i in range(0, 45, 3)} == {1}
+    kept = jaccard.dedup(df, block_mb=4)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, *(i for i in range(45) if i % 3)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -443,7 +463,8 @@ def test_warc_round_trip_and_lookup(spark):
     assert len(index.files) >= 3
     kept, revisited = {}, []
     for r in captures.collect():
-        with open(r.file.removeprefix("file://"), "rb") as f:
+        system, path = warc.open_fs(r.file)
+        with system.open_input_file(path) as f:
             assert zlib.decompressobj(31).decompress(f.read()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
             f.seek(r.start)
             named, block = warc.fields(f.read(r.length))
