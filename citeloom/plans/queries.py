@@ -482,4 +482,4 @@ def change_execution_modes(spark, sf):
     return C.execution_modes(cases, _changes(spark, sf))
 
 
-from . import changes as _changes_, recovery as _recovery, review as _review, source as _source  # noqa: E402, F401  (they register their queries here)
+from . import changes as _changes_, documents as _documents, recovery as _recovery, review as _review, source as _source  # noqa: E402, F401  (they register their queries here)
