@@ -302,8 +302,17 @@ def _text(v: Column) -> Column:
 
 
 def _list(v: Column) -> Column:
-    """A list's elements that say something; anything else is a list of one."""
-    return F.filter(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(_text(v).isNotNull(), F.array(v)), F.array().cast("array<variant>")), lambda x: F.trim(_text(x)) != "")
+    """A list's elements; anything else is a list of one."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull() & ~F.is_variant_null(v), F.array(v)), F.array().cast("array<variant>"))
+
+
+def _records(v: Column) -> Column:
+    """The fields of a list's elements, without those that say nothing."""
+    return F.filter(F.transform(_list(v), _fields), lambda m: F.coalesce(~F.map_contains_key(m, F.lit("")) | (F.trim(_text(F.try_element_at(m, F.lit("")))) != ""), F.lit(False)))
+
+
+def _told(v: Column) -> Column:
+    return F.filter(F.transform(_list(v), _text), lambda t: F.trim(t) != "")
 
 
 def _counts(v: Column) -> Column:
@@ -322,7 +331,7 @@ def _value(p: Column, m: Column, i: Column, j: Column) -> Column:
     how, yes = p["how"], _counts(v)
     place = _fields(v)
     address = _joined(F.transform(F.array(*map(F.lit, ("street1", "street2", "city", "state", "zip", "country"))), lambda k: F.coalesce(_text(F.try_element_at(place, k)), F.lit(""))), ", ")
-    title = lambda x, n: F.coalesce(_text(F.try_element_at(_fields(x), F.lit("title"))), _text(F.try_element_at(_fields(x), F.lit("originalTitle"))), F.concat(F.lit("Child "), n + 1))
+    title = lambda x, n: F.coalesce(_text(F.try_element_at(x, F.lit("title"))), _text(F.try_element_at(x, F.lit("originalTitle"))), F.concat(F.lit("Child "), n + 1))
     said = (
         F.when(F.try_element_at(p["keys"], F.lit(1)) == "#j", j.cast("string"))
         .when(how == "", _text(v))
@@ -333,8 +342,8 @@ def _value(p: Column, m: Column, i: Column, j: Column) -> Column:
         .when(how == "yesno", F.when(yes, "Yes").otherwise("No"))
         .when(how == "some", F.lit("true"))
         .when(how == "address", address)
-        .when(how == "titles", F.array_join(F.transform(_list(v), title), ", "))
-        .otherwise(F.call_function("array_join", F.transform(_list(v), lambda x: _text(x)), how))
+        .when(how == "titles", F.array_join(F.transform(_records(v), title), ", "))
+        .otherwise(F.call_function("array_join", _told(v), how))
     )
     return F.coalesce(said, F.when(p["fall"] != "", F.concat_ws(" ", p["fall"], i + 1)))
 
@@ -348,7 +357,7 @@ def _said(pieces: Column, tail: Column, m: Column, i: Column, j: Column) -> Colu
 def _written(line: Column, m: Column, i: Column, j: Column) -> Column:
     """A line of an item; null if it has nothing to say."""
     texts = F.transform(F.filter(F.map_entries(m), lambda x: (F.schema_of_variant(x["value"]) == "STRING") & (_text(x["value"]) != "")), lambda x: F.concat(x["key"], F.lit(": "), _text(x["value"])))
-    each = F.transform(_list(F.try_element_at(m, line["each"])), lambda x: _said(line["pieces"], line["tail"], _fields(x), i, j))
+    each = F.transform(_records(F.try_element_at(m, line["each"])), lambda x: _said(line["pieces"], line["tail"], x, i, j))
     many = F.when(line["each"] == "*", texts).otherwise(F.filter(each, lambda x: x.isNotNull()))
     return F.nullif(F.when(line["each"] == "", _said(line["pieces"], line["tail"], m, i, j)).otherwise(F.array_join(many, "\n")), F.lit(""))
 
@@ -358,15 +367,15 @@ def document_chunks(documents: DataFrame, families: list[Family] = FAMILIES) ->
     first = lambda keys: F.try_element_at(F.filter(F.transform(keys, lambda k: F.try_element_at(F.col("_m"), k)), lambda x: x.isNotNull()), F.lit(1))
     doc = documents.select("document_id", F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>").alias("_m")).where("_m IS NOT NULL")
     at = lambda k: F.try_element_at(F.col("_m"), F.lit(k))
-    lists = [F.size(_list(at(k))) > 0 for k in SUPPLEMENT]
+    lists = [F.size(_records(at(k))) > 0 for k in SUPPLEMENT]
     told = F.array(*lists, F.coalesce(*map(at, NOTICES)).isNotNull())
-    doc = doc.select("*", _text(at("type")).alias("_type"), F.array_join(F.transform(_list(at("linesOfBusiness")), lambda x: _text(x)), ",").alias("_lob"), told.alias("_told"))
+    doc = doc.select("*", _text(at("type")).alias("_type"), F.array_join(_told(at("linesOfBusiness")), ",").alias("_lob"), told.alias("_told"))
     fits = lambda f: ((f["only"] == "") | f["only"].eqNullSafe(F.col("_type")) | ((f["only"] == "!policy") & ~F.col("_type").eqNullSafe("policy"))) & ((F.size(f["outer"]) == 0) | first(f["outer"]).isNotNull())
     rows = doc.select("*", F.explode(F.filter(_literal([_row(f) for f in families], f"array<{FAMILY}>"), fits)).alias("_f"))
     f = F.col("_f")
     whole = F.array(F.col("_m"))
-    rows = rows.select("*", F.posexplode(F.when(F.size(f["outer"]) == 0, whole).otherwise(F.transform(_list(first(f["outer"])), _fields))).alias("_i", "_o"))
-    inner = F.transform(_list(F.try_element_at("_o", f["inner"])), lambda x: F.map_concat(F.transform_keys("_o", lambda k, v: F.concat(F.lit("^"), k)), _fields(x)))
+    rows = rows.select("*", F.posexplode(F.when(F.size(f["outer"]) == 0, whole).otherwise(_records(first(f["outer"])))).alias("_i", "_o"))
+    inner = F.transform(_records(F.try_element_at("_o", f["inner"])), lambda x: F.map_concat(F.transform_keys("_o", lambda k, v: F.concat(F.lit("^"), k)), x))
     rows = rows.select("document_id", "_type", "_lob", "_told", "_f", "_i", F.posexplode(F.when(f["inner"] == "", F.array("_o")).otherwise(inner)).alias("_j", "_x"))
     i, j, x = F.col("_i"), F.col("_j"), F.col("_x")
     rows = rows.where((f["needs"] == "") | _counts(F.try_element_at(x, f["needs"])))

@@ -35,7 +35,8 @@ def _policies(spark, sf):
         F.when(k % 2 == 1, k % 3).alias("cancellationNoticeDays"),
         of(lambda x: F.struct(F.lit("status").alias("key"), x["o_orderstatus"].alias("value"), F.when(x["o_orderkey"] % 2 == 0, F.lit("order")).alias("subject"))).alias("supplementaryFacts"),
     )
-    return rows.select(s(k).alias("document_id"), F.to_json(doc).alias("json"))
+    made = rows.select(s(k).alias("document_id"), F.to_json(doc).alias("json"))
+    return made.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "document_id")  # a table of documents is read by many tasks
 
 
 @query("""WITH c AS (SELECT *, c_custkey AS k, c_custkey::VARCHAR AS d, CASE WHEN c_custkey % 3 = 0 THEN 'quote' ELSE 'policy' END AS t FROM customer),
