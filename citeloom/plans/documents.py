@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunks as K
+from ..operators import grouping as G
 from .queries import _t, query
 
 
@@ -58,3 +59,84 @@ UNION ALL SELECT k, d || ':supplementary:' || (k % 5 = 0)::INT + (k % 2 = 1)::IN
 SELECT id, type, text, n + (k % 4 = 0)::INT AS n_metadata FROM r""")
 def document_chunks(spark, sf):
     return K.document_chunks(_policies(spark, sf)).select("id", "type", "text", F.size("metadata").alias("n_metadata"))
+
+
+PAGES = """p AS (SELECT c_nationkey AS d, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)"""
+NODE = "id string, document_id string, parent_id string, kind string, title string, description string, text_excerpt string, source_span_ids array<string>, page_start int, page_end int, ord double, marked boolean"
+
+
+def _node(df, key, parent, kind, title, text, page, ord_, marked=None):
+    """Rows as nodes of a tree; a document's root is 'r' and its number."""
+    made = {"id": key, "document_id": F.col("d").cast("string"), "parent_id": parent, "kind": kind, "title": title, "description": F.lit(""), "text_excerpt": text, "source_span_ids": F.array(key), "page_start": page, "page_end": page, "ord": ord_, "marked": F.lit(False) if marked is None else marked}
+    return df.select(*(made[c.split()[0]].cast(c.split()[1]).alias(c.split()[0]) for c in NODE.split(", ")))
+
+
+def _numbered(spark, sf):
+    from pyspark.sql import Window
+
+    return _t(spark, sf, "customer").select(F.col("c_nationkey").alias("d"), F.col("c_custkey").alias("k"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("r"))
+
+
+def _roots(rows, kind="document"):
+    null = F.lit(None).cast("string")
+    return _node(rows.select("d").distinct(), F.concat(F.lit("r"), "d"), null, F.lit(kind), F.lit("Document"), null, F.lit(None), F.lit(0))
+
+
+def _policy_pages(spark, sf):
+    """A document for each nation, a page for each of its customers."""
+    rows, r = _numbered(spark, sf), F.col("r")
+    text = F.when(r <= 2, "PRIVACY NOTICE TO POLICYHOLDERS").when(r == 3, "DECLARATIONS PAGE").when(r == 4, "premium due").when(r == 5, "POLICY FORM begins").when(r % 4 == 0, F.concat(F.lit("Endorsement No. "), r, F.lit(" This endorsement changes the policy"))).when((r > 5) & (r % 4 == 1), "all other terms and conditions").otherwise("more words")
+    return _roots(rows).unionByName(_node(rows, F.col("k").cast("string"), F.concat(F.lit("r"), "d"), F.lit("page"), F.concat(F.lit("Page "), r), text, r, r))
+
+
+def _with_parent(nodes):
+    up = nodes.select(F.col("id").alias("_p"), F.col("title").alias("parent"))
+    return nodes.join(up, F.col("parent_id") == F.col("_p"), "left").where(F.col("id").rlike(r"^\d+\z")).select("id", "title", "kind", "parent")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)
+SELECT k::VARCHAR AS id, CASE WHEN r <= 2 THEN 'PRIVACY NOTICE TO POLICYHOLDERS' WHEN r = 3 THEN 'Declarations' WHEN r = 5 THEN 'Policy Form' WHEN r > 5 AND r % 4 = 0 THEN 'Endorsement No. ' || r ELSE 'Page ' || r END AS title, CASE WHEN r > 5 AND r % 4 = 0 THEN 'endorsement' ELSE 'page' END AS kind FROM p""")
+def named_pages(spark, sf):
+    return G.named_pages(_policy_pages(spark, sf)).where("kind <> 'document'").select("id", "title", "kind")
+
+
+@query(f"WITH {PAGES} SELECT k::VARCHAR AS id, CASE WHEN r <= 2 AND n >= 3 THEN 'Notices and Jacket' WHEN r IN (3, 4) THEN 'Declarations' WHEN r IN (5, 6, 7) THEN 'Policy Form' ELSE 'Document' END AS parent FROM p")
+def page_groups(spark, sf):
+    return _with_parent(G.page_groups(G.named_pages(_policy_pages(spark, sf)))).select("id", "parent")
+
+
+@query(f"WITH {PAGES} SELECT k::VARCHAR AS id, CASE WHEN r > 7 AND r % 4 IN (0, 1) THEN 'Endorsements' ELSE 'Document' END AS parent, CASE WHEN r > 5 AND r % 4 = 0 THEN 'endorsement' ELSE 'page' END AS kind FROM p")
+def endorsement_groups(spark, sf):
+    return _with_parent(G.endorsement_groups(_policy_pages(spark, sf))).select("id", "parent", "kind")
+
+
+@query(f"""WITH {PAGES}, o AS (SELECT *, r > 7 AND r % 4 IN (2, 3) AS free, sum((r > 7 AND r % 4 IN (2, 3))::INT) OVER (PARTITION BY d ORDER BY r) AS nth, sum((r > 7 AND r % 4 IN (2, 3))::INT) OVER (PARTITION BY d) AS m FROM p)
+SELECT k::VARCHAR AS id, '1.' || CASE WHEN n < 3 THEN r::VARCHAR WHEN r <= 2 THEN '1.' || r WHEN r <= 4 THEN '2.' || (r - 2) WHEN r <= 7 THEN '3.' || (r - 4) WHEN free THEN (3 + nth)::VARCHAR ELSE (4 + m) || '.' || (r // 4 - 1) || CASE WHEN r % 4 = 1 THEN '.1' ELSE '' END END AS path FROM o""")
+def organized_tree(spark, sf):
+    return G.organized_tree(_policy_pages(spark, sf)).where(F.col("id").rlike(r"^\d+\z")).select("id", "path")
+
+
+@query(f"""WITH {PAGES}, h AS (SELECT *, CASE WHEN r % 3 = 1 THEN k END AS head FROM p), o AS (SELECT *, max(head) OVER (PARTITION BY d ORDER BY r) AS over FROM h)
+SELECT 'a' || k AS id, CASE WHEN r % 3 = 1 THEN 'r' || d ELSE 'a' || over END AS parent_id, CASE WHEN r % 3 = 1 THEN 'section' ELSE 'text' END AS kind, CASE WHEN r % 3 = 1 THEN 'SECTION ' || r || ' section; page ' || r ELSE '' END AS description FROM o
+UNION ALL SELECT 'b' || k, 'a' || over, 'text', '' FROM o""")
+def title_sections(spark, sf):
+    rows = _numbered(spark, sf)
+    page, head = F.concat(F.lit("p"), "k"), F.col("r") % 3 == 1
+    nodes = _roots(rows, "form").unionByName(_node(rows, page, F.concat(F.lit("r"), "d"), F.lit("page"), F.concat(F.lit("Page "), "r"), F.lit(""), F.col("r"), F.col("r")))
+    text = lambda name, said, at, marked: _node(rows, F.concat(F.lit(name), "k"), page, F.lit("text"), said, said, F.col("r"), F.col("r") + at, marked)
+    nodes = nodes.unionByName(text("a", F.when(head, F.concat(F.lit("SECTION "), "r")).otherwise("some words"), 0.1, head)).unionByName(text("b", F.lit("MORE"), 0.2, F.lit(False)))
+    return G.title_sections(nodes).where("kind NOT IN ('form', 'page')").select("id", "parent_id", "kind", "description")
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, p_brand AS b, row_number() OVER (PARTITION BY p_brand, p_partkey % 5 = 0 ORDER BY p_partkey) AS i FROM part), x AS (SELECT b, max(k) FILTER (k % 5 = 0 AND i = 1) AS inner_ FROM f GROUP BY b)
+SELECT k::VARCHAR AS id, CASE WHEN k % 7 = 0 AND k % 5 <> 0 THEN 'root' ELSE 'f' || f.b END AS parent_id FROM f JOIN x USING (b) WHERE k IS DISTINCT FROM inner_
+UNION ALL SELECT 'x' || k, 'f' || b FROM f WHERE k % 5 = 0 AND i = 1
+UNION ALL SELECT 'x' || k, k::VARCHAR FROM f WHERE k % 5 = 0 AND i > 1""")
+def plain_policy_forms(spark, sf):
+    rows = _t(spark, sf, "part").select(F.lit(0).alias("d"), F.col("p_partkey").alias("k"), "p_brand")
+    k, form = F.col("k"), F.concat(F.lit("f"), "p_brand")
+    tops = _node(rows.select("d", "p_brand").distinct(), form, F.lit("root"), F.lit("form"), F.lit("Policy Form"), F.lit(""), F.lit(1), F.lit(1))
+    kind = F.when((k % 5 == 0) | (k % 7 == 0), "page_group").otherwise("page")
+    kids = _node(rows, k.cast("string"), form, kind, F.when(k % 5 == 0, "Policy Form").when(k % 7 == 0, "Declarations").otherwise("T"), F.lit(""), F.lit(1), k)
+    below = _node(rows.where("k % 5 = 0"), F.concat(F.lit("x"), "k"), k.cast("string"), F.lit("page"), F.lit("T"), F.lit(""), F.lit(1), k)
+    return G.plain_forms(tops.unionByName(kids).unionByName(below)).where("kind <> 'form'").select("id", "parent_id")
