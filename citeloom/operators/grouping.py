@@ -73,8 +73,8 @@ def endorsement_title(text: Column) -> Column:
     """'Endorsement No. n' by the number that a text gives with 'no.', or by an END code."""
     said = F.regexp_extract(text, rf"(?i){B}endorsement\s+(?:no\.?|number|#)\s*([A-Z0-9][A-Z0-9.-]*){B}", 1)
     coded = F.regexp_extract(text, rf"(?i){B}(?:[A-Z]{{2,}}-)?END\s+0*([0-9]{{1,4}}){B}", 1)
-    number = F.upper(F.coalesce(F.nullif(said, F.lit("")), F.nullif(coded, F.lit(""))))
-    return F.when(number.isNotNull(), F.concat(F.lit("Endorsement No. "), number))
+    number = F.try_element_at(F.filter(F.array(said, coded), lambda x: x != ""), F.lit(1))
+    return F.concat(F.lit("Endorsement No. "), F.upper(number))
 
 
 def page_range(pages: Column) -> Column:
@@ -104,9 +104,9 @@ def named_pages(nodes: DataFrame) -> DataFrame:
     """Pages without a title of their own take that of a known heading in their text; pages that begin something take its kind or title."""
     text = T.normalize_ws(F.concat_ws(" ", "text_excerpt", "description"))
     top = F.regexp_replace(text, r"(?i)^page\s+\d+\s*(?:\|\s*page\s*\|\s*page\s+\d+\s*\|?)?", "").substr(1, 700)
-    found = F.coalesce(*(F.nullif(F.regexp_extract(top, f"(?i){B}{p}" + (B if p[-1].isalpha() or p.endswith("?") else ""), 0), F.lit("")) for p in PAGE_HEADINGS))
+    found = lambda t: F.try_element_at(F.filter(F.array(*(F.regexp_extract(t, f"(?i){B}{p}" + (B if p[-1].isalpha() or p.endswith("?") else ""), 0) for p in PAGE_HEADINGS)), lambda x: x != ""), F.lit(1))
     bare = (F.col("kind") == "page") & F.col("title").rlike(r"(?i)^page\s+\d+\z")
-    rows = nodes.withColumn("title", F.when(bare & found.isNotNull(), ST.organizer_title(found, F.col("kind"))).otherwise(F.col("title")))
+    rows = nodes.withColumn("title", F.when(bare, T.let(T.let(top, found), lambda t: F.coalesce(ST.organizer_title(t, F.lit("page")), F.col("title")))).otherwise(F.col("title")))
     m = marks(rows)
     page, name = F.col("kind") == "page", endorsement_title(F.col("text"))
     starts = page & F.col("endorses") & name.isNotNull()
@@ -134,7 +134,7 @@ def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 def page_groups(nodes: DataFrame) -> DataFrame:
     """Of the root's children: those before the declarations (else before the first that begins a part) are notices; declarations and the policy form run from
     their first page until one that doesn't go on. A run whose first is a group already goes under that one; what two runs claim is the later one's."""
-    nodes = nodes.withColumn("ord", F.col("ord").cast("double"))
+    nodes = cut(nodes.withColumn("ord", F.col("ord").cast("double")))
     rows = cut(marks(_under_root(nodes)))
     every = Window.partitionBy("parent_id")
     first = lambda c: F.min(F.when(c, F.col("k"))).over(every)
@@ -292,7 +292,7 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 def organized_tree(nodes: DataFrame) -> DataFrame:
     """All passes over a source tree's nodes, with paths."""
     nodes = nodes.drop("path")
-    nodes = hierarchy(cut(endorsement_groups(cut(page_groups(cut(named_pages(nodes)))))))
+    nodes = hierarchy(cut(endorsement_groups(page_groups(named_pages(nodes)))))
     key = F.coalesce(F.lower(endorsement_title(T.normalize_ws(F.concat_ws(" ", "title", "description", "text_excerpt")))), F.nullif(F.lower(T.normalize_ws("title")), F.lit("")))
     nodes = cut(ST.collapse_nested(nodes.withColumn("key", key)).drop("key"))
     return nodes.join(trees.paths(nodes, by="document_id"), "id")
