@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as K
 from ..operators import grouping as G
+from ..operators import parsed as D
 from .queries import _t, query
 
 
@@ -140,3 +141,48 @@ def plain_policy_forms(spark, sf):
     kids = _node(rows, k.cast("string"), form, kind, F.when(k % 5 == 0, "Policy Form").when(k % 7 == 0, "Declarations").otherwise("T"), F.lit(""), F.lit(1), k)
     below = _node(rows.where("k % 5 = 0"), F.concat(F.lit("x"), "k"), k.cast("string"), F.lit("page"), F.lit("T"), F.lit(""), F.lit(1), k)
     return G.plain_forms(tops.unionByName(kids).unionByName(below)).where("kind <> 'form'").select("id", "parent_id")
+
+
+def _parsed_talk(spark, sf):
+    """Conversations as parsed documents whose body reaches the odd turns, held in a group, before the even ones."""
+    t = F.struct("turn", F.struct(F.concat(F.lit("#/texts/t"), "turn").alias("self_ref"), F.col("role").alias("label"), "text", F.array(F.struct((F.col("turn") % 5 + 1).alias("page_no"))).alias("prov")).alias("item"))
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("l"))
+    refs = lambda odd: F.transform(F.filter("l", lambda x: x["turn"] % 2 == odd), lambda x: F.struct(x["item"]["self_ref"].alias("$ref")))
+    texts = F.transform("l", lambda x: x["item"])
+    body = F.struct(F.concat(F.array(F.struct(F.lit("#/groups/0").alias("$ref"))), refs(0)).alias("children"))
+    return rows.select(F.col("conv_id").alias("document_id"), F.to_json(F.struct(texts.alias("texts"), F.array(F.struct(refs(1).alias("children"))).alias("groups"), body.alias("body"))).alias("json"))
+
+
+TALK = r"WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations), u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2 DESC, turn) - 1 AS i FROM c WHERE t <> '')"
+
+
+@query(f"{TALK} SELECT conv_id AS document_id, i, '#/texts/t' || turn AS ref, t AS text, (turn % 5 + 1)::INT AS page_start FROM u")
+def parsed_units(spark, sf):
+    return D.units(_parsed_talk(spark, sf)).select("document_id", F.col("i").cast("long").alias("i"), "ref", "text", "page_start")
+
+
+@query(f"""{TALK}, p AS (SELECT conv_id, turn % 5 + 1 AS p, string_agg(t, chr(10) || chr(10) ORDER BY i) AS t FROM u GROUP BY 1, 2), w AS (SELECT conv_id, max(p)::INT AS n, string_agg('Page ' || p || chr(10) || t, chr(10) || chr(10) ORDER BY p) AS text FROM p GROUP BY conv_id)
+SELECT DISTINCT c.conv_id AS document_id, coalesce(n, 1) AS page_count, coalesce(w.text, '') AS text FROM c LEFT JOIN w USING (conv_id)""")
+def parsed_text(spark, sf):
+    documents = _parsed_talk(spark, sf)
+    return D.parsed_text(documents, D.units(documents))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS d, s_suppkey, s_name AS a, CASE WHEN s_suppkey % 3 <> 0 THEN 'k' || s_suppkey END AS b, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
+SELECT d::VARCHAR AS document_id, 0 AS pos, 'table' AS source_unit, '| Name | Key | | --- | --- |' || string_agg(' | ' || a || ' | ' || coalesce(b || ' ', '') || '|', '' ORDER BY r) AS text, NULL AS column_name FROM s GROUP BY d
+UNION ALL SELECT DISTINCT d::VARCHAR, 1, 'table_row', 'Name | Key', NULL FROM s
+UNION ALL SELECT DISTINCT d::VARCHAR, 100 + c, 'table_cell', t, t FROM s, (VALUES (0, 'Name'), (1, 'Key')) h(c, t)
+UNION ALL SELECT d::VARCHAR, 1 + r, 'table_row', 'Name: ' || a || coalesce(' | Key: ' || b, ''), NULL FROM s
+UNION ALL SELECT d::VARCHAR, 100 + r * 100, 'table_cell', a, 'Name' FROM s
+UNION ALL SELECT d::VARCHAR, 101 + r * 100, 'table_cell', b, 'Key' FROM s WHERE b IS NOT NULL""")
+def parsed_tables(spark, sf):
+    """Suppliers as a table of their nation's document; texts of spans are normalised, so a table's lines run on."""
+    from pyspark.sql import Window
+
+    rows = _t(spark, sf, "supplier").withColumn("r", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    cell = lambda row, col, text: F.struct(row.cast("int").alias("start_row_offset"), F.lit(col).alias("start_col_offset"), text.alias("text"))
+    cells = F.array(cell(F.col("r"), 0, F.col("s_name")), cell(F.col("r"), 1, F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("k"), "s_suppkey")).otherwise(" ")))
+    held = rows.groupBy(F.col("s_nationkey").cast("string").alias("document_id")).agg(F.flatten(F.collect_list(cells)).alias("l"))
+    head = F.array(cell(F.lit(0), 0, F.lit("Name")), cell(F.lit(0), 1, F.lit("Key")))
+    made = held.select("document_id", F.to_json(F.struct(F.array(F.struct(F.lit("table").alias("label"), F.struct(F.concat(head, "l").alias("table_cells")).alias("data"))).alias("tables"))).alias("json"))
+    return D.parsed_spans(D.units(made)).select("document_id", "pos", "source_unit", "text", "column_name")

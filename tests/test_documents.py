@@ -1,7 +1,11 @@
-"""Chunks of a document that has something of most families, worked by hand."""
+"""Chunks of a document that has something of most families, and parsed documents, worked by hand."""
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from citeloom.operators import parsed
 from citeloom.operators.chunks import document_chunks
 
 QUOTE = {
@@ -48,3 +52,53 @@ def test_chunks_of_every_kind(spark):
 def test_policy_details_are_for_policies(spark):
     docs = spark.createDataFrame([("p", json.dumps({"type": "policy", "policyNumber": "1", "warrantyRequirements": ["w"]}))], "document_id string, json string")
     assert {r.id: r.text for r in document_chunks(docs).collect() if r.text} == {"p:declaration:policy_details": "Policy Number: 1"}
+
+
+PARSED = {
+    "texts": [
+        {"text": " one ", "label": "section_header", "prov": [{"page_no": 1, "bbox": {"l": 1, "t": 2, "r": 4, "b": 8}}]},
+        {"self_ref": "#/texts/x", "orig": "two", "prov": [{"page": 3}, {"page": 2}], "children": [{"$ref": "#/texts/2"}]},
+        {"text": "three"}, {"text": "  "}, {"text": "unreached"},
+    ],
+    "tables": [
+        {"label": "table", "data": {"table_cells": [{"start_row_offset": 0, "start_col_offset": 0, "text": "H"}, {"row_header": True, "row": 0, "col": 1, "text": "I"}, {"row": 1, "col": 1, "content": "v"}, {"row": 1, "col": 1, "content": "w"}]}, "prov": [{"pageNo": 9}]},
+        {"data": {"tableCells": [{"text": "only"}, {"col": 2, "text": "row"}]}},
+    ],
+    "groups": [{"children": ["#/tables/0", {"ref": "#/texts/x"}]}],
+    "body": {"children": [{"$ref": "#/texts/2"}, {"$ref": "#/groups/0"}, "#/texts/0", {"$ref": "#/tables/1"}, "#/texts/3", "#/gone"]},
+    "pages": {"1": {}, "4": {}},
+}
+
+
+def test_parsed_documents(spark):
+    flat = {"pictures": [{"text": "pic"}], "keyValueItems": [{"text": "kv", "label": "key_value"}], "texts": [{"text": "t"}]}
+    docs = spark.createDataFrame([("a", json.dumps(PARSED)), ("b", json.dumps(flat)), ("c", "{}"), ("d", "x")], "document_id string, json string")
+    units = parsed.units(docs)
+    got = {}
+    for r in units.orderBy("document_id", "i").collect():
+        got.setdefault(r.document_id, []).append(r)
+    assert [r.text for r in got["a"]] == ["three", "| H | I |\n| --- | --- |\n|  | w |", "two", "one", "only | row"]
+    assert [r.text for r in got["b"]] == ["t", "kv"]  # without a body, pictures don't count
+    assert (got["a"][2].page_start, got["a"][2].page_end) == (2, 3)
+    assert [tuple(b) for b in got["a"][3].bboxes] == [(1, 1.0, 2.0, 3.0, 6.0)]
+    spans = {(r.document_id, r.pos): r for r in parsed.parsed_spans(units).collect()}
+    assert [p for d, p in sorted(spans) if d == "a"] == [0, 1000, 1001, 1002, 1100, 1101, 1201, 2000, 3000, 4000, 4001, 4100, 4102]
+    row, cell = spans["a", 1002], spans["a", 1201]
+    assert (row.text, row.source_unit, row.is_header, row.parent_span_id) == ("I: w", "table_row", False, spans["a", 1000].id)
+    assert (cell.text, cell.column_name, cell.row_span_id, cell.metadata["columnIndex"]) == ("w", "I", row.id, "1")
+    assert (spans["a", 3000].source_unit, spans["b", 1000].source_unit) == ("section", "key_value")
+    whole = {r.document_id: (r.page_count, r.text) for r in parsed.parsed_text(docs, units).collect()}
+    assert whole["a"] == (4, "Page 1\nthree\n\none\n\nonly | row\n\nPage 2\ntwo\n\nPage 4\n| H | I |\n| --- | --- |\n|  | w |")
+    assert whole["c"] == whole["d"] == (1, "")
+
+
+def test_a_body_that_goes_round_is_an_error(spark):
+    doc = {"groups": [{"children": ["#/groups/0"]}], "body": {"children": ["#/groups/0"]}}
+    docs = spark.createDataFrame([("a", json.dumps(doc))], "document_id string, json string")
+    with pytest.raises(ValueError):
+        parsed.body_order(docs, parsed.items(docs), 3)
+
+
+def test_parsed_input(spark):
+    rows = spark.createDataFrame([('{"kind": "docling_document", "document": {}}',), ('{"kind": "docling_document", "document": 1}',), ('{"kind": "other", "document": {}}',), ("x",), (None,)], "j string")
+    assert [r.x for r in rows.select(parsed.is_parsed_input(F.col("j")).alias("x")).collect()] == [True, False, False, False, False]
