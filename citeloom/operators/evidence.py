@@ -68,6 +68,12 @@ def best_proposal(df: DataFrame, group: str) -> DataFrame:
     return scored.groupBy(group).agg(F.min_by(F.struct("id", "total"), F.struct((-F.col("total")), "id")).alias("b")).select(group, "b.id", "b.total")
 
 
+def eligible_proposals(proposals: DataFrame, issues: DataFrame) -> DataFrame:
+    """proposals(id, ..) without those that issues(id, code, severity) block for a citation that is missing, unknown or not as quoted."""
+    bars = issues.where((F.col("severity") == "blocking") & F.col("code").isin("missing_citation", "unknown_source", "quote_not_found"))
+    return proposals.join(bars.select("id"), "id", "left_anti")
+
+
 def unique_codes(table: DataFrame, code: str, description: str) -> DataFrame:
     """Normalised descriptions that stand for one code only."""
     norm = T.squeeze(F.col(description))

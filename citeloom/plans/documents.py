@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import contexts as X
 from ..operators import chunks as K
+from ..operators import evidence as E
 from ..operators import grouping as G
 from ..operators import parsed as D
+from ..operators import projections as J
 from .queries import _t, query
 
 
@@ -186,3 +189,72 @@ def parsed_tables(spark, sf):
     head = F.array(cell(F.lit(0), 0, F.lit("Name")), cell(F.lit(0), 1, F.lit("Key")))
     made = held.select("document_id", F.to_json(F.struct(F.array(F.struct(F.lit("table").alias("label"), F.struct(F.concat(head, "l").alias("table_cells")).alias("data"))).alias("tables"))).alias("json"))
     return D.parsed_spans(D.units(made)).select("document_id", "pos", "source_unit", "text", "column_name")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND NOT (o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0)")
+def eligible_proposals(spark, sf):
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority")
+    held = orders.join(_t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    codes = F.when(F.col("id") % 4 == 0, "unknown_source").when(F.col("id") % 4 == 2, "quote_not_found").otherwise("low_confidence")
+    issues = orders.select("id", codes.alias("code"), F.when(F.col("o_orderpriority") == "1-URGENT", "blocking").otherwise("warning").alias("severity"))
+    return E.eligible_proposals(held, issues).select("id")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, substr(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE repeat(p_type, 60) END, 1, CASE p_partkey % 4 WHEN 0 THEN 260 WHEN 1 THEN 520 ELSE 360 END) AS text, 8 AS n FROM part")
+def compact_nodes(spark, sf):
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "page").when(k % 4 == 1, "table_row").otherwise("text")
+    rows = _t(spark, sf, "part").select(k.cast("string").alias("id"), kind.alias("kind"), F.col("p_name").alias("title"), F.lit("1").alias("path"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.array_repeat(F.lit("s"), 9).alias("source_span_ids"), F.when(k % 3 != 0, F.repeat("p_type", 60)).alias("text_excerpt"), F.col("p_name").alias("description"))
+    return J.compact_nodes(rows, cleanup=True).select("id", "text", F.size("source_span_ids").alias("n"))
+
+
+@query("""SELECT n_nationkey::VARCHAR AS id, NULL AS parent_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place, 'n' || n_nationkey AS source_text_hash FROM nation
+UNION ALL SELECT 'c' || c_custkey, c_nationkey::VARCHAR, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 'c' || c_custkey FROM customer""")
+def tree_outline(spark, sf):
+    n = _t(spark, sf, "nation")
+    null, spans = F.lit(None).cast("string"), lambda name, key: F.concat(F.lit(name), key)
+    made = lambda df, doc, key, parent, kind, ord_, span: df.select(doc.alias("document_id"), key.alias("id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), ord_.alias("ord"), F.lit("t").alias("title"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), null.alias("text_excerpt"), F.array(span).alias("source_span_ids"))
+    region = F.col("n_regionkey")
+    tree = made(n.select("n_regionkey").distinct(), region, spans("r", region), null, "document", F.lit(0).cast("long"), F.lit("r"))
+    tree = tree.unionByName(made(n, region, F.col("n_nationkey").cast("string"), spans("r", region), "page", F.col("n_nationkey").cast("long"), spans("n", F.col("n_nationkey"))))
+    c = _t(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    tree = tree.unionByName(made(c, region, spans("c", F.col("c_custkey")), F.col("c_nationkey").cast("string"), "text", F.col("c_custkey"), spans("c", F.col("c_custkey"))))
+    return J.outline(tree).select("id", "parent_id", F.col("place").cast("long").alias("place"), "source_text_hash")
+
+
+@query("""SELECT c_custkey, 'Cover ' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ' GL' ELSE '' END || ' limit Each ' || c_mktsegment AS text, c_custkey % 3 = 0 AS named, CASE c_custkey % 3 WHEN 0 THEN '0,1' WHEN 1 THEN '1' ELSE '' END AS entries FROM customer""")
+def cleanup_texts(spark, sf):
+    k = F.col("c_custkey")
+    line = F.when(k % 2 == 0, "GL").otherwise("")
+    none = F.lit(None).cast("string")
+    cover = F.struct(F.concat(F.lit("Cover "), k).alias("name"), line.alias("line_of_business"), *(none.alias(c) for c in ("coverage_code", "limit", "deductible", "premium", "retroactive_date", "section_ref", "endorsement_number")), F.array(F.struct(F.lit("limit").alias("kind"), F.lit("Each").alias("label"), F.col("c_mktsegment").alias("value"), none.alias("applies_to"))).alias("limits"))
+    terms = F.array(F.lit("abcd"), F.when(k % 3 == 0, "each ").otherwise("eachx"))
+    indexes = F.when(k % 3 == 1, F.array(F.lit(1), F.lit(7), F.lit(1))).when(k % 3 == 2, F.array(F.lit(2)))
+    text = J.coverage_text(F.col("c"))
+    return _t(spark, sf, "customer").withColumn("c", cover).select("c_custkey", text.alias("text"), J.names_a_term(J.node_text(F.lit("text"), F.lit("abcd"), F.lit(""), text), terms).alias("named"), F.array_join(F.transform(J.chosen_entries(F.array("c_name", "c_mktsegment"), indexes), lambda e: e["index"].cast("string")), ",").alias("entries"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'GL' WHEN 1 THEN c_mktsegment || ',X' END AS line FROM customer")
+def profile_lines(spark, sf):
+    k = F.col("c_custkey")
+    old = F.concat(F.lit('{"policyTypes": ["'), "c_mktsegment", F.lit('", 3, "X"]}'))
+    json = F.when(k % 4 == 0, '{"linesOfBusiness": ["GL"], "policyTypes": ["Y"]}').when(k % 4 == 1, old).when(k % 4 == 2, '{"linesOfBusiness": null, "policyTypes": ["Y"]}').otherwise("no profile")
+    return _t(spark, sf, "customer").select("c_custkey", F.array_join(J.lines_of_profile(json), ",").alias("line"))
+
+
+@query("""SELECT c_custkey, 'company_info' AS category, 'company_name' AS context_key, regexp_replace('s_' || lower(c_mktsegment), '[^a-z0-9]+', '_', 'g') AS field_key FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 'company_info', unnest(['company_address', 'primary_residence_address']), 's_' || lower(c_mktsegment) FROM customer WHERE c_custkey % 3 = 1""")
+def context_values(spark, sf):
+    k = F.col("c_custkey")
+    facts = _t(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.when(k % 3 == 0, "insuredName").when(k % 3 == 1, "insuredAddress").otherwise("unknown").alias("field"))
+    return X.context_values(facts).select("c_custkey", "category", "context_key", X.context_key(F.lit(" S"), F.concat("c_mktsegment", F.lit("!"))).alias("field_key"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS document_id, 'reason' AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'Form' ELSE 'Named Peril ' || p_name END AS name, p_type AS content FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0
+UNION ALL SELECT p_partkey::VARCHAR, 'definition', p_name, p_type FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 5 <> 0""")
+def derived_facts(spark, sf):
+    k, null = F.col("p_partkey"), F.lit(None).cast("string")
+    title = F.when(k % 3 == 0, F.concat(F.lit("Named Peril "), "p_name")).otherwise(F.col("p_name"))
+    rows = _t(spark, sf, "part").select(k.cast("string").alias("document_id"), F.when(k % 3 == 1, "Definition").otherwise("other").alias("type"), title.alias("title"), F.when(k % 5 == 0, " ").otherwise(F.col("p_type")).alias("content"), null.alias("coverage_name"), F.when(k % 2 == 0, "Form").alias("form_title"), null.alias("form_number"), null.alias("section_number"), F.lit(1).alias("page_start"))
+    reasons = J.derived_reasons(rows).select("document_id", F.lit("reason").alias("kind"), F.col("coverage_name").alias("name"), "content")
+    return reasons.unionByName(J.derived_definitions(rows).select("document_id", F.lit("definition").alias("kind"), F.col("term").alias("name"), F.col("definition").alias("content")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import parsed
 from citeloom.operators.chunks import document_chunks
+from citeloom.sources.phases import Phases
 
 QUOTE = {
     "type": "quote", "carrier": "Acme", "linesOfBusiness": ["GL", "AUTO"], "quoteNumber": "Q", "insuredName": "X",
@@ -102,3 +103,15 @@ def test_a_body_that_goes_round_is_an_error(spark):
 def test_parsed_input(spark):
     rows = spark.createDataFrame([('{"kind": "docling_document", "document": {}}',), ('{"kind": "docling_document", "document": 1}',), ('{"kind": "other", "document": {}}',), ("x",), (None,)], "j string")
     assert [r.x for r in rows.select(parsed.is_parsed_input(F.col("j")).alias("x")).collect()] == [True, False, False, False, False]
+
+
+def test_phases_go_on_after_the_last_whole_one(spark, tmp_path):
+    phases, made = Phases(spark, f"file://{tmp_path}/job", ["read", "group", "write"]), []
+    one = lambda: made.append(1) or spark.range(3)
+    assert not phases.complete("read")
+    assert phases.run("group", one).count() == 3 and phases.run("group", one).count() == 3
+    assert made == [1]  # the second time it was read
+    assert phases.complete("read") and phases.complete("group") and not phases.complete("write")
+    assert not Phases(spark, f"file://{tmp_path}/job").complete("read")  # without an order only what was written counts
+    phases.clear()
+    assert not phases.complete("group")
