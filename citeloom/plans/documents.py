@@ -8,6 +8,7 @@ from ..functions import contexts as X
 from ..operators import chunks as K
 from ..operators import evidence as E
 from ..operators import grouping as G
+from ..operators import materialize as M
 from ..operators import parsed as D
 from ..operators import projections as J
 from .queries import _t, query
@@ -258,3 +259,18 @@ def derived_facts(spark, sf):
     rows = _t(spark, sf, "part").select(k.cast("string").alias("document_id"), F.when(k % 3 == 1, "Definition").otherwise("other").alias("type"), title.alias("title"), F.when(k % 5 == 0, " ").otherwise(F.col("p_type")).alias("content"), null.alias("coverage_name"), F.when(k % 2 == 0, "Form").alias("form_title"), null.alias("form_number"), null.alias("section_number"), F.lit(1).alias("page_start"))
     reasons = J.derived_reasons(rows).select("document_id", F.lit("reason").alias("kind"), F.col("coverage_name").alias("name"), "content")
     return reasons.unionByName(J.derived_definitions(rows).select("document_id", F.lit("definition").alias("kind"), F.col("term").alias("name"), F.col("definition").alias("content")))
+
+
+@query("""WITH c AS (SELECT *, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'Unknown' ELSE 'P' || c_custkey END AS n, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' B' ELSE c_mktsegment || ' A' END AS carrier FROM customer)
+SELECT k::VARCHAR AS document_id, CASE WHEN k % 3 = 0 THEN 'quote' ELSE 'policy' END AS type, n AS number, carrier, CASE WHEN k % 2 = 0 THEN 'T' END AS town, CASE WHEN k % 4 = 0 THEN 'llc' END AS entity, carrier || CASE WHEN k % 5 = 0 THEN '' ELSE ' #' || n END || ' for ' || c_name AS summary FROM c""")
+def documents_of_profiles(spark, sf):
+    """Customers as profiles with two insurers: the one with an address counts, if there is one, else the first."""
+    k, source = F.col("c_custkey"), F.array(F.lit("s")).alias("sourceSpanIds")
+    home = F.struct(*(F.lit(v).alias(n) for n, v in (("street1", "1 A"), ("city", "T"), ("state", "S"), ("zip", "9"))))
+    party = lambda name, where: F.struct(F.lit("insurer").alias("role"), F.concat("c_mktsegment", F.lit(name)).alias("name"), where.alias("address"), source)
+    number = F.when(k % 5 != 0, F.struct(F.lit("raw").alias("value"), F.concat(F.lit("P"), k).alias("normalizedValue")))
+    facts = F.when(k % 4 == 0, F.array(F.struct(F.lit("entityType").alias("field"), F.lit("LLC").alias("value"), source)))
+    doc = F.struct(F.when(k % 3 == 0, "quote").otherwise("policy").alias("documentType"), number.alias("policyNumber"), F.struct(F.col("c_name").alias("value")).alias("namedInsured"), F.array(party(" A", F.when(k % 2 > 1, home)), party(" B", F.when(k % 2 == 0, home))).alias("parties"), facts.alias("declarationFacts"))
+    made = M.documents_of_profiles(_t(spark, sf, "customer").select(k.cast("string").alias("document_id"), F.to_json(doc).alias("json")))
+    at = lambda p: F.get_json_object("json", f"$.{p}")
+    return made.select("document_id", at("type").alias("type"), F.coalesce(at("policyNumber"), at("quoteNumber")).alias("number"), at("carrier").alias("carrier"), at("insurer.address.city").alias("town"), at("insuredEntityType").alias("entity"), at("summary").alias("summary"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import parsed
 from citeloom.operators.chunks import document_chunks
+from citeloom.operators.materialize import documents_of_profiles
 from citeloom.sources.phases import Phases
 
 QUOTE = {
@@ -115,3 +116,38 @@ def test_phases_go_on_after_the_last_whole_one(spark, tmp_path):
     assert not Phases(spark, f"file://{tmp_path}/job").complete("read")  # without an order only what was written counts
     phases.clear()
     assert not phases.complete("group")
+
+
+def test_documents_of_profiles(spark):
+    ids = {"sourceSpanIds": ["s1"], "sourceNodeIds": ["n1"]}
+    home = {"street1": "1 A", "city": "B", "state": "C", "zip": "9"}
+    profile = {
+        "documentType": "policy", "policyNumber": {"value": "p 1", "normalizedValue": "P1", **ids}, "premium": {"value": "$5", "normalizedValue": "5", **ids}, "totalCost": {"value": "$1,250.50", **ids},
+        "linesOfBusiness": ["GL", "AUTO"], "productIdentity": {"name": {"value": "Shield"}},
+        "parties": [{"role": "carrier", "name": "Second", "address": home, **ids}, {"role": "insurer", "name": "First", "sourceSpanIds": ["s9"], "sourceNodeIds": []}, {"role": "named_insured", "name": " ", **ids}],
+        "declarationFacts": [{"field": "mailingAddress", "value": "1 A", "address": home, **ids}, {"field": "entityType", "value": "Inc.", **ids}, {"field": "taxId", "value": "12", **ids}, {"field": "additionalNamedInsured", "value": "Also", **ids}, {"field": "additionalNamedInsured", "value": "Unbacked", "sourceSpanIds": [], "sourceNodeIds": []}],
+        "coverages": [{"name": "C", "limit": "5", "limits": [{"label": "Each", "value": "5"}], **ids}, {"name": "D", "limit": "6", "deductible": "1", "limits": [], **ids}],
+        "coverageSchedules": [{"kind": "vehicle", "items": [{"label": "Unit 7", "values": [{"label": "Model Year", "value": "2020"}, {"label": "Make", "value": "m"}, {"label": "Model", "value": "n"}, {"label": "VIN", "value": "v"}]}, {"label": "x", "values": []}]},
+                              {"kind": "property", "items": [{"label": "x", "description": "shop", "values": [{"label": "Street Address", "value": "1 A"}, {"label": "City", "value": "B"}, {"label": "State", "value": "C"}, {"label": "Postal Code", "value": "9"}, {"label": "Building", "value": "100"}]}]}],
+        "endorsementSupport": [{"kind": "waiver", "summary": "w", **ids}], "taxesAndFees": [{"name": "fee", "amount": "$1", "amountValue": 1, **ids}],
+    }
+    quote = {"documentType": "quote", "policyNumber": {"value": "Q"}, "expirationDate": {"value": "2025"}}
+    rows = spark.createDataFrame([("p", json.dumps(profile)), ("q", json.dumps(quote)), ("x", "no")], "document_id string, json string")
+    forms = spark.createDataFrame([("p", 2, "F2", "T"), ("p", 1, "F1", None), ("p", 3, " ", "gone")], "document_id string, pos int, form_number string, title string").selectExpr("*", "null edition_date", "'coverage' form_type", "1 page_start", "null page_end")
+    made = documents_of_profiles(rows, forms)
+    got = {r.document_id: json.loads(r.json) for r in made.collect()}
+    p, q = got["p"], got["q"]
+    assert set(got) == {"p", "q"}
+    assert (p["policyNumber"], p["premium"], p["totalCostAmount"], p["carrier"], p["insuredName"], p["effectiveDate"]) == ("P1", "$5", 1250.5, "Second", "Unknown", "Unknown")
+    assert p["insurer"] == {"legalName": "Second", "address": home, "sourceSpanIds": ["s1"]} and "producer" not in p
+    assert (p["insuredEntityType"], p["insuredFein"], p["insuredAddress"], p["programName"]) == ("corporation", "12", home, "Shield")
+    assert [x["name"] for x in p["additionalNamedInsureds"]] == ["Also"]
+    assert [c["originalContent"] for c in p["coverages"]] == ["C | Each: 5", "D | 6 | 1"]
+    assert p["vehicles"] == [{"number": 7, "year": 2020, "make": "m", "model": "n", "vin": "v"}]
+    assert p["locations"] == [{"number": 1, "address": home, "description": "shop", "buildingValue": "100"}]
+    assert [f["field"] for f in p["declarations"]["fields"]] == ["policyNumber", "mailingAddress", "entityType", "fein", "additionalNamedInsured", "additionalNamedInsured"]
+    assert [f["formNumber"] for f in p["formInventory"]] == ["F1", "F2"]
+    assert p["summary"] == "Second #P1 covering GL, AUTO"
+    assert (q["quoteNumber"], q["proposedExpirationDate"], "proposedEffectiveDate" in q, "policyNumber" in q) == ("Q", "2025", False, False)
+    chunks = {r.id: r.text for r in document_chunks(made).collect()}
+    assert chunks["p:vehicle:0"] == "Vehicle 7: 2020 m n\nVIN: v" and chunks["p:declaration:form:1"].startswith("Form: F2\nTitle: T")
