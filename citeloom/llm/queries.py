@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact, jaccard, langid, mixing, substring, toxicity, warc
+from . import ann, audit, bpe, chat, exact, jaccard, langid, mixing, substring, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -73,13 +73,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows.unionByName(own)))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT}
+    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT, "op13_filter_audit": audit.ORACLE}
 
 
 CHAT = r"""
