@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MOST, Blocks, drawn, written
+from .common import MOST, Blocks, Place, drawn, places, written
 
 #: Bounds of the sample that codes are learned on, of a shard and of a group of queries, in rows. Small tables have
 #: shards and groups for all cores, but of LEAST rows or more.
@@ -140,7 +140,7 @@ def search(df: DataFrame, asked, k: int = 20, key: str = "vec_id", vector: str =
     shards = Blocks(rows.repartition(parts(n, SHARD)), "vectors", 64)
     read = shards.reader(["vec_id", "vector", "asked"])
 
-    def queries(block: int):
+    def queries(block: Place):
         at = 0
         for batch in read(block, 4096):
             own = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
@@ -151,12 +151,16 @@ def search(df: DataFrame, asked, k: int = 20, key: str = "vec_id", vector: str =
     asked_rows = shards.map(queries, "block int, row int, vec_id long, vector array<double>")
     groups = Blocks(asked_rows.repartition(parts(n_asked, GROUP)), "queries", 64)
     read_queries = groups.reader(["block", "row", "vec_id", "vector"])
-    wide, units = groups.count, shards.count * groups.count
+    each_group = groups.places_in_tasks()
+    # a unit is a shard and one of `wide` shares of the groups; units of a shard stand together, so that its index is built once
+    wide = max(1, min(groups.count, -(-MOST // max(1, shards.count))))
+    tasks = max(1, min(shards.count * wide, MOST))
+    units = shards.table.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    units = units.repartitionById(tasks, ((F.col("block") * F.lit(wide).cast("long") + F.col("share")) * tasks / (shards.span * wide)).cast("int")).sortWithinPartitions("block", "share")
 
     def run(batches):
         last, index, ids, x = -1, None, None, None
-        for unit in (u for b in batches for u in b.column(0).to_pylist()):
-            shard, group = divmod(unit, wide)
+        for shard, group in ((p, g) for b in batches for p, share in zip(places(b), b.column("share").to_pylist()) for g in each_group(share, wide)):
             if shard != last:
                 table = pa.Table.from_batches(read(shard, 65_536))
                 last, ids, x = shard, table.column("vec_id").to_numpy(), _matrix(table.column("vector"), dim)
@@ -171,6 +175,6 @@ def search(df: DataFrame, asked, k: int = 20, key: str = "vec_id", vector: str =
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), pa.array(np.full(len(cols[0]), shard), pa.int32())], ["block", "row", "query_id", "vec_id", "at", "score", "shard"])
 
-    found = spark.range(0, units, 1, max(1, min(units, MOST))).mapInArrow(run, "block int, row int, query_id long, vec_id long, at int, score double, shard int")
+    found = units.mapInArrow(run, "block int, row int, query_id long, vec_id long, at int, score double, shard int")
     order = Window.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id", "shard", "at")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -79,57 +79,93 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 READ = 8 << 20
 
 
+class Place(int):
+    """A block's number, which knows where its rows lie: a run of rows of consecutive row groups of one file."""
+
+    def __new__(cls, number: int, uri: str, first: int, last: int, skip: int, rows: int, size: int):
+        own = super().__new__(cls, number)
+        own.uri, own.groups, own.skip, own.rows, own.size = uri, range(first, last + 1), skip, rows, size
+        return own
+
+
+PLACE = "block int, _uri string, _first int, _last int, _skip long, _rows long, _size long"
+NAMES = [c.split()[0] for c in PLACE.split(", ")]
+
+
+def places(table: pa.Table | pa.RecordBatch):
+    """The places that rows of the table of blocks tell."""
+    for own in zip(*(table.column(c).to_pylist() for c in NAMES)):
+        yield Place(*own)
+
+
+def cut(groups: list[tuple[int, int]], target: int):
+    """Rows and bytes of a file's row groups -> (first, last, skip, rows, bytes a row) of blocks of `target` bytes, about: small groups are joined, large ones split."""
+    held: list[int] = []
+    for k, (rows, size) in enumerate([*groups, (0, target)]):
+        if held and (size >= target or sum(groups[i][1] for i in held) + size > target):
+            n = sum(groups[i][0] for i in held)
+            yield held[0], held[-1], 0, n, max(1, sum(groups[i][1] for i in held) // n)
+            held = []
+        if not rows:
+            continue
+        if size < target:
+            held.append(k)
+            continue
+        each = -(-rows // min(rows, -(-size // target)))
+        for start in range(0, rows, each):
+            yield k, k, start, min(each, rows - start), max(1, size // rows)
+
+
 class Blocks:
     """Rows kept in a table in the shared folder, read in blocks.
 
-    A block is a run of rows of one row group. Row groups are closed by their compressed size, so one that holds more
-    than block_mb uncompressed is read as several blocks, of as many rows each as hold that on the group's average; and
-    rows are read a few MB at a time, however long they are. So a task that holds a block's hashes is bounded whatever
-    the table's size and its texts' lengths (a block of rows much longer than their group's average aside). Blocks never
-    change once written, so a rerun task sees the same rows in the same order; rows are named by (block, position).
+    A block is a run of rows of one file, of block_mb uncompressed (up to four times that in tables of many TB, so that
+    their blocks stay below some millions). Row groups are closed by their compressed size, so one that holds more is
+    read as several blocks, of as many rows each as hold that on the group's average; and rows are read a few MB at a
+    time, however long they are. So a task that holds a block's hashes is bounded whatever the table's size and its
+    texts' lengths (a block of rows much longer than their group's average aside). Blocks never change once written, so
+    a rerun task sees the same rows in the same order; rows are named by (block, position).
+
+    Where blocks lie is a table too (PLACE): its rows start the tasks, several blocks a task where there are many. The
+    driver knows three totals of it and the executors the rows that reach them.
     """
 
     def __init__(self, df: DataFrame, name: str, block_mb: int = 16):
         spark = df.sparkSession
         path = scratch(spark, name)
         df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).option("parquet.page.size.row.check.min", 4).option("parquet.page.size.row.check.max", 64).parquet(path)
-        files = sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
         self.spark, self.schema = spark, df.schema
-        told = spark.sparkContext.broadcast(files)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")  # contents aren't read
+        n, stored = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        target = min(4, max(1, (stored >> 41))) * (block_mb << 20)
 
         def footers(batches):
             for b in batches:
-                for i in b.column(0).to_pylist():
-                    system, at = open_fs(told.value[i])
+                for uri in b.column(0).to_pylist():
+                    system, at = open_fs(uri)
                     with system.open_input_file(at) as f:
                         meta = pq.ParquetFile(f).metadata
-                    n = meta.num_row_groups
-                    rows = [meta.row_group(k).num_rows for k in range(n)]
-                    size = [meta.row_group(k).total_byte_size for k in range(n)]
-                    yield pa.RecordBatch.from_pydict({"file": pa.array([i] * n, pa.int32()), "grp": pa.array(range(n), pa.int32()), "bytes": pa.array(size, pa.int64()), "rows": pa.array(rows, pa.int64())})
-
-        found = []
-        if files:
-            each = min(len(files), 1024)
-            found = spark.range(0, len(files), 1, each).mapInArrow(footers, "file int, grp int, bytes long, rows long").collect()  # a few numbers for each block, not for each row
-        found = sorted((r.file, r.grp, r.bytes, r.rows) for r in found if r.rows)
-        self.bytes = sum(x[2] for x in found)
-        table = []
-        for f, group, size, rows in found:
-            each = -(-rows // max(1, min(rows, -(-size // (block_mb << 20)))))
-            table += [(files[f], group, start, min(each, rows - start), max(1, size // rows)) for start in range(0, rows, each)]
-        self.count = len(table)
-        self._table = spark.sparkContext.broadcast(table)  # a few numbers for each block
+                    groups = [(meta.row_group(k).num_rows, meta.row_group(k).total_byte_size) for k in range(meta.num_row_groups)]
+                    found = list(cut(groups, target))
+                    first, last, skip, rows, size = (list(c) for c in zip(*found)) if found else ([],) * 5
+                    cols = [[int(uri.rsplit("/part-", 1)[1].split("-")[0])] * len(found), range(len(found)), [uri] * len(found), first, last, skip, rows, size]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["_part", "_k", *NAMES[1:]])
+
+        told = files.repartition(max(1, min(n, 1024))).mapInArrow(footers, "_part int, _k int, " + PLACE.split(", ", 1)[1])
+        told = written(told, f"{name}-blocks")
+        # a file's number times the most blocks of a file, and the block's place in it: as good as dense
+        wide, high, self.count, self.bytes = told.agg(F.coalesce(F.max("_k") + 1, F.lit(1)), F.coalesce(F.max("_part") + 1, F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("_rows") * F.col("_size")), F.lit(0))).first()
+        self.span, self._wide, self._told = wide * high, wide, told
+        self.table = told.select((F.col("_part") * wide + F.col("_k")).cast("int").alias("block"), *NAMES[1:])
 
     def reader(self, columns: list[str]):
-        """A function for tasks: block number -> batches of its rows, in order."""
-        table = self._table
+        """A function for tasks: place of a block -> batches of its rows, in order."""
 
-        def read(block: int, batch: int = 256):
-            uri, group, skip, left, size = table.value[block]
-            system, at = open_fs(uri)
+        def read(place: Place, batch: int = 256):
+            skip, left = place.skip, place.rows
+            system, at = open_fs(place.uri)
             with system.open_input_file(at) as f:
-                for some in pq.ParquetFile(f).iter_batches(batch_size=max(1, min(batch, READ // size)), row_groups=[group], columns=columns):
+                for some in pq.ParquetFile(f).iter_batches(batch_size=max(1, min(batch, READ // place.size)), row_groups=list(place.groups), columns=columns):
                     if skip >= some.num_rows:
                         skip -= some.num_rows
                         continue
@@ -141,39 +177,59 @@ class Blocks:
 
         return read
 
+    def places_in_tasks(self):
+        """A function for tasks: (share, of how many) -> the places of every so many-th block, read from the table of blocks."""
+        uris = self.spark.sparkContext.broadcast(sorted(self._told.inputFiles()))
+        wide, columns = self._wide, ["_part", "_k", *NAMES[1:]]
+
+        def each(share: int, shares: int):
+            at = 0
+            for uri in uris.value:
+                system, path = open_fs(uri)
+                with system.open_input_file(path) as f:
+                    for b in pq.ParquetFile(f).iter_batches(batch_size=4096, columns=columns):
+                        for part, k, *own in zip(*(c.to_pylist() for c in b.columns)):
+                            if at % shares == share:
+                                yield Place(part * wide + k, *own)
+                            at += 1
+
+        return each
+
+    def dealt(self) -> DataFrame:
+        """The table of blocks, one block a partition, or several where there are more than MOST."""
+        return self.table.repartitionById(max(1, min(self.span, MOST)), "block")
+
     def map(self, function, schema: str) -> DataFrame:
-        """function(block) yields record batches; one task for each block."""
+        """function(place) yields record batches, for every block."""
 
         def run(batches):
             for b in batches:
-                for block in b.column(0).to_pylist():
-                    yield from function(block)
+                for place in places(b):
+                    yield from function(place)
 
-        return self.spark.range(0, self.count, 1, max(1, self.count)).mapInArrow(run, schema)
+        return self.dealt().mapInArrow(run, schema)
 
     def map_with(self, marks: DataFrame, function, schema: str) -> DataFrame:
-        """function(block, table of the marks for it) yields record batches; marks has a column block. Every block runs, also without marks."""
-        every = self.spark.range(0, self.count, 1, max(1, min(self.count, 64))).select(F.col("id").cast("int").alias("block"), F.lit(False).alias("given"))
-        both = every.unionByName(marks.withColumn("given", F.lit(True)), allowMissingColumns=True)
+        """function(place, table of the marks for it) yields record batches; marks has a column block. Every block runs, also without marks."""
+        both = self.table.withColumn("_given", F.lit(False)).unionByName(marks.withColumn("_given", F.lit(True)), allowMissingColumns=True)
 
         def run(table: pa.Table) -> pa.Table:
-            block = table.column("block")[0].as_py()
-            given = table.filter(table.column("given"))
-            out = list(function(block, given))
+            own, given = table.filter(pc.invert(table.column("_given"))), table.filter(table.column("_given"))
+            out = [x for place in places(own) for x in function(place, given)]
             return pa.Table.from_batches(out) if out else None
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import StructType
 
         empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-        # a partition for each block: the marks are few bytes, the work is in reading the blocks
-        return both.repartitionById(max(1, min(self.count, MOST)), "block").groupBy("block").applyInArrow(_or_empty(run, empty), schema)
+        # the marks are few bytes, the work is in reading the blocks
+        return both.repartitionById(max(1, min(self.span, MOST)), "block").groupBy("block").applyInArrow(_or_empty(run, empty), schema)
 
     def take(self, stay: DataFrame) -> DataFrame:
         """The rows of the table, whole, whose places stay(block, row) has."""
         read = self.reader(self.schema.names)
 
-        def run(block: int, given: pa.Table):
+        def run(block: Place, given: pa.Table):
             rows = np.array(sorted(r for some in given.column("rows").to_pylist() for r in some), np.int64)
             at = 0
             for batch in read(block):

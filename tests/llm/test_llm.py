@@ -245,7 +245,7 @@ def test_jaccard_counts_every_link(spark, odd, chunk):
 
 
 def test_blocks_of_long_texts_are_bounded(spark):
-    from citeloom.llm.common import Blocks
+    from citeloom.llm.common import Blocks, places
 
     rng = random.Random(17)
     rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(500_000)) if i % 3 else "short") for i in range(45)]  # 2 MB each
@@ -253,7 +253,7 @@ def test_blocks_of_long_texts_are_bounded(spark):
     blocks = Blocks(df, "long", 4)
     read, seen = blocks.reader(["doc_id", "text"]), []
     assert blocks.count >= 10
-    for block in range(blocks.count):
+    for block in places(blocks.table.orderBy("block").toArrow()):
         some = list(read(block))
         assert sum(b.nbytes for b in some) <= 12 << 20 and all(b.nbytes <= 10 << 20 or b.num_rows == 1 for b in some)
         seen += [i for b in some for i in b.column(0).to_pylist()]
@@ -264,6 +264,23 @@ def test_blocks_of_long_texts_are_bounded(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, *(i for i in range(45) if i % 3)]
 
 
+def test_blocks_are_told_by_rows(spark):
+    """No list of blocks on the driver: the object holds totals, and every block comes from a row of its table."""
+    from citeloom.llm.common import Blocks, Place, cut, places
+
+    df = spark.range(0, 40_000, 1, 7).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    blocks = Blocks(df, "many", 1)
+    assert not any(isinstance(v, (list, tuple, dict)) and len(v) > 8 for v in vars(blocks).values())
+    assert blocks.table.count() == blocks.count >= 7 and blocks.span < 3 * blocks.count
+    read = blocks.reader(["id"])
+    got = blocks.map(lambda place: iter([b for b in read(place)]), "id long")
+    assert sorted(r.id for r in got.collect()) == list(range(40_000))
+    every = blocks.places_in_tasks()
+    assert sorted(p for share in range(3) for p in every(share, 3)) == sorted(places(blocks.table.toArrow()))
+    assert isinstance(next(every(0, 1)), Place) and Blocks(df.limit(0), "none").count == 0
+    assert [c[:4] for c in cut([(10, 100), (10, 100), (0, 0), (10, 500), (5, 30)], 250)] == [(0, 1, 0, 20), (3, 3, 0, 5), (3, 3, 5, 5), (4, 4, 0, 5)] and list(cut([], 9)) == []
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
