@@ -134,7 +134,7 @@ class Blocks:
         spark = df.sparkSession
         path = scratch(spark, name)
         df.write.option("compression", "zstd").option("parquet.block.size", block_mb << 20).option("parquet.page.size.row.check.min", 4).option("parquet.page.size.row.check.max", 64).parquet(path)
-        self.spark, self.schema = spark, df.schema
+        self.spark, self.schema, self.path = spark, df.schema, path
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")  # contents aren't read
         n, stored = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         target = min(4, max(1, (stored >> 41))) * (block_mb << 20)
@@ -195,6 +195,10 @@ class Blocks:
 
         return each
 
+    def frame(self) -> DataFrame:
+        """The rows as a DataFrame."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
     def dealt(self) -> DataFrame:
         """The table of blocks, one block a partition, or several where there are more than MOST."""
         return self.table.repartitionById(max(1, min(self.span, MOST)), "block")
@@ -296,18 +300,20 @@ class WordHashes:
     A word's hash is the sum of a random number for each byte times a power of an odd base, modulo 2**64, taken as a
     difference of running sums and brought to the word's start by the inverse power; then mixed with the word's length.
     The numbers of unlike bytes differ in their lowest eight bits, so no exchange of bytes goes unseen. Hashes of
-    different seeds are independent. Words are what [^\x20\x09-\x0D]+ finds; fold: A-Z count as a-z.
+    different seeds are independent. Words are what [^\x20\x09-\x0D]+ finds, or runs of the bytes that `space` (256
+    flags) doesn't mark; fold: A-Z count as a-z.
     """
 
     PIECE = 1 << 16
 
-    def __init__(self, seed: int = 1, fold: bool = False):
+    def __init__(self, seed: int = 1, fold: bool = False, space: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 56, 256, np.uint64) << np.uint64(8) | np.arange(256, dtype=np.uint64)
         if fold:
             self.table[65:91] = self.table[97:123]
-        self.space = np.zeros(256, bool)
-        self.space[[32, *range(9, 14)]] = True
+        self.space = np.zeros(256, bool) if space is None else space
+        if space is None:
+            self.space[[32, *range(9, 14)]] = True
         self.base = int(rng.integers(0, 1 << 61)) << 3 | 5
         self.power = self.inverse = np.zeros(0, np.uint64)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, chat, exact, jaccard, langid, minhash, mixing, substring, toxicity, warc
+from . import ann, audit, bpe, chat, exact, jaccard, langid, lexical, minhash, mixing, substring, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -73,6 +73,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows.unionByName(own)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.Index(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"), 10)
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
 
@@ -87,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT, "op12_minhash_near_dedup": minhash.ORACLE, "op13_filter_audit": audit.ORACLE}
+    return {"op2_source_mixing": mixing.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_exact_dedup": exact.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op9_warc_capture_index": warc.ORACLE, "op10_chat_formatting": CHAT, "op11_lexical_search": lexical.ORACLE, "op12_minhash_near_dedup": minhash.ORACLE, "op13_filter_audit": audit.ORACLE}
 
 
 CHAT = r"""
