@@ -196,7 +196,7 @@ def connect(rows: DataFrame, least: int, percent: int | None, chunk: int = CHUNK
     every = large.join(places, F.col("g") == F.col("_g")).withColumn("i", F.explode("from")).withColumn("pair", pair(F.col("i"), F.col("h")))
     those = outside.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("h <> j").withColumn("pair", pair(F.col("h"), F.col("j")))
     again = every.select("g", "pair", "node", "thin", "data", "known").unionByName(those.select("g", "pair", "node", "thin", "data", "known"))
-    return found.unionByName(searched(again.withColumn("h", F.crc32("pair").cast("int"))))
+    return found.unionByName(searched(again.withColumn("h", (F.crc32("pair") - F.lit(1 << 31)).cast("int"))))
 
 
 class MinHash:

@@ -41,7 +41,7 @@ def encoding():
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings", "labels"):
+    for t in ("documents", "pages", "conversations", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     cols = sorted(df.columns)
