@@ -75,11 +75,11 @@ def code_key(text: Column) -> Column:
 
 
 def resolve_lines(df: DataFrame, key: str, values: str, labels: DataFrame, legacy: DataFrame, old: DataFrame) -> DataFrame:
-    """key, codes of df(key, values: an array of names or codes): each by the first that fits of labels(code, label), by code or by label, legacy(name, codes), the code in capitals, old(code, now); else UN. UN is left out if there is another. The tables are broadcast: they are lists of codes, some hundred rows."""
+    """key, codes of df(key, values: an array of names or codes): each by the first that fits of labels(code, label), by code or by label, legacy(name, codes), the code in capitals, old(code, now); else UN. UN is left out if there is another. Whether a table is small enough to be broadcast is for the planner to tell."""
     rows = df.select(key, F.posexplode_outer(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v) != "")).alias("_i", "_v")).withColumns({"_t": F.trim("_v"), "_k": code_key(F.col("_v")), "_u": F.upper(F.trim("_v"))})
-    small = lambda t, **c: F.broadcast(t.select(*(F.col(v).alias(n) if isinstance(v, str) else v.alias(n) for n, v in c.items())))
+    small = lambda t, **c: t.select(*(F.col(v).alias(n) for n, v in c.items()))
     by_label = labels.groupBy(code_key(F.col("label")).alias("_lk")).agg(F.max_by("code", "code").alias("_lc"))
-    rows = rows.join(small(labels, _c1="code"), F.col("_t") == F.col("_c1"), "left").join(F.broadcast(by_label), F.col("_k") == F.col("_lk"), "left").join(small(legacy, _gk="name", _gc="codes"), F.col("_k") == F.col("_gk"), "left").join(small(labels, _c2="code"), F.col("_u") == F.col("_c2"), "left").join(small(old, _ok="code", _oc="now"), F.col("_u") == F.col("_ok"), "left")
+    rows = rows.join(small(labels, _c1="code"), F.col("_t") == F.col("_c1"), "left").join(by_label, F.col("_k") == F.col("_lk"), "left").join(small(legacy, _gk="name", _gc="codes"), F.col("_k") == F.col("_gk"), "left").join(small(labels, _c2="code"), F.col("_u") == F.col("_c2"), "left").join(small(old, _ok="code", _oc="now"), F.col("_u") == F.col("_ok"), "left")
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
     rows = rows.withColumn("_x", F.coalesce(one("_c1"), one("_lc"), "_gc", one("_c2"), one("_oc"), F.array(F.lit("UN"))))
     all_ = rows.groupBy(key).agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]))).alias("codes"))
@@ -98,9 +98,9 @@ def description_key(text: Column) -> Column:
 
 
 def resolve_coverage(df: DataFrame, code: str, description: str, table: DataFrame) -> DataFrame:
-    """df with resolved: its code, in capitals, if table(code, description) has it; else the one code of its description, if there is only one. The table's codes are broadcast: some thousand rows."""
-    known = F.broadcast(table.select(F.col("code").alias("_kc")).distinct())
-    one = F.broadcast(table.groupBy(description_key(F.col("description")).alias("_dk")).agg(F.min("code").alias("_dc"), F.count_distinct("code").alias("_n")).where("_n = 1"))
+    """df with resolved: its code, in capitals, if table(code, description) has it; else the one code of its description, if there is only one."""
+    known = table.select(F.col("code").alias("_kc")).distinct()
+    one = table.groupBy(description_key(F.col("description")).alias("_dk")).agg(F.min("code").alias("_dc"), F.count_distinct("code").alias("_n")).where("_n = 1")
     rows = df.withColumns({"_u": F.upper(F.trim(code)), "_d": description_key(F.col(description))})
     rows = rows.join(known, F.col("_u") == F.col("_kc"), "left").join(one, F.col("_d") == F.col("_dk"), "left")
     return rows.withColumn("resolved", F.coalesce("_kc", "_dc")).drop("_u", "_d", "_kc", "_dk", "_dc", "_n")
@@ -108,5 +108,5 @@ def resolve_coverage(df: DataFrame, code: str, description: str, table: DataFram
 
 def line_label(df: DataFrame, value: str, labels: DataFrame) -> DataFrame:
     """df with label: the label of its code, else the value made readable; and whether the value is a code."""
-    rows = df.join(F.broadcast(labels.select(F.col("code").alias("_c"), F.col("label").alias("_l"))), F.trim(value) == F.col("_c"), "left")
+    rows = df.join(labels.select(F.col("code").alias("_c"), F.col("label").alias("_l")), F.trim(value) == F.col("_c"), "left")
     return rows.withColumns({"is_code": F.col("_c").isNotNull(), "label": F.coalesce("_l", T.title_case(F.trim(value)))}).drop("_c", "_l")

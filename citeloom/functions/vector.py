@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,27 @@ def cosine(a: Column, b: Column) -> Column:
     """0 if either vector is all zero."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
+
+
+#: Queries in a block.
+BLOCK = 256
+
+
+def scored(rows: DataFrame, asked: DataFrame, key: str, vector: str) -> DataFrame:
+    """query_id and score (cosine) with the columns of rows but vector, for each row and each query that isn't the row itself. asked: the queries, columns as in rows.
+
+    Rows and blocks of queries meet in a grid: a row goes once to each block of BLOCK queries, a block to each slice of
+    the rows, so that neither side is broadcast or collected and a cell is an equal share of the work. What follows
+    (the k best of each query) limits a cell's pairs before anything is shuffled.
+    """
+    spark = rows.sparkSession
+    n = asked.count()
+    blocks, slices = max(1, -(-n // BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.sqrt(dot(F.col(vector), F.col(vector)))  # once for each row, not for each pair
+    share = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of))
+    side = rows.withColumns({"_size": size, "_slice": share(key, slices), "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))})
+    other = asked.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), size.alias("_q_size")).withColumns({"_to": share("query_id", blocks), "_in": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>"))})
+    pairs = side.join(other, (F.col("_block") == F.col("_to")) & (F.col("_slice") == F.col("_in")) & (F.col(key) != F.col("query_id")))
+    both = F.col("_size") * F.col("_q_size")
+    score = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col(vector), F.col("_q")) / both)
+    return pairs.withColumn("score", score).select("query_id", *(c for c in rows.columns if c != vector), "score")

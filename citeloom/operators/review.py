@@ -162,32 +162,65 @@ def form_inventory(entries: DataFrame) -> DataFrame:
     return rows.select("doc_id", "form_number", "title", "page_start", "page_end", F.array_distinct(F.transform("l", lambda x: x["source"])).alias("sources"))
 
 
-def extraction_review(records: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
-    """doc_id, kind, seq, code, severity of extracted records(doc_id, seq, kind, name, form_number, page, section, original, limit, deductible, n_spans).
+def _with_sections(records: DataFrame) -> DataFrame:
+    """records, and where a document has no definitions (covered reasons) of its own, those of its sections that are some, once more as such."""
+    if "type" not in records.columns:
+        return records
+    out = records
+    for kind, is_one in (("definitions", F.col("type") == "definition"), ("coveredReasons", T.covered_reason(F.col("name"), F.col("type")))):
+        own = records.where(F.col("kind") == kind).select(F.col("doc_id").alias("_d")).distinct()
+        found = records.where((F.col("kind") == "sections") & F.coalesce(is_one, F.lit(False)))
+        out = out.unionByName(found.join(own, F.col("doc_id") == F.col("_d"), "left_anti").withColumn("kind", F.lit(kind)))
+    return out
+
+
+def extraction_review(records: DataFrame, mapped: DataFrame | None = None, forms: DataFrame | None = None, sources: bool = True) -> DataFrame:
+    """doc_id, kind, seq, code, severity of extracted records(doc_id, seq, kind, name, form_number, page, section, original, limit, deductible, n_spans, and of sections page_end and type where known).
 
-    kind: coverages, endorsements, exclusions, conditions, sections, definitions or coveredReasons. Checks: evidence of
-    every record; forms, pages, sections and wording of coverages, header and deductible rows among them, conflicts by
-    precedence; forms of endorsements; contents entries; and, with mapped(doc_id, kind), kinds that pages were given to
-    but that nothing was found of.
+    kind: coverages, endorsements, exclusions, conditions, sections, definitions or coveredReasons; original: a
+    record's wording, page: where it starts. Blocking: a record that says something without a span (unless sources is
+    false), an endorsement without a form, header and deductible rows among coverages, entries of a table of contents
+    among exclusions and conditions. Warnings: what lacks a page, a section or its wording; sections that look like
+    fragments; coverages that disagree with the one of highest precedence of their name and form; with mapped(doc_id,
+    kind), kinds that pages were given to but that nothing was found of; with forms(doc_id, form_number), forms that
+    aren't among these. (Forms count as known once a record names them, so without `forms` there is nothing to tell.)
     """
+    keep = ["doc_id", "kind", "seq"]
+    records = _with_sections(records)
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     of = lambda *kinds: F.col("kind").isin(*kinds)
-    coverage = of("coverages")
-    out = _raised(records, ["doc_id", "kind", "seq"], [
-        (F.coalesce(F.col("n_spans"), F.lit(0)) == 0, "missing_source_grounding", "warning"),
+    coverage, bare, nowhere = of("coverages"), text("original") == "", F.col("page").isNull()
+    said = reduce(lambda a, b: a | b, (text(c) != "" for c in ("name", "original", "limit", "deductible")))
+    whole = F.lit(True) if "page_end" not in records.columns else F.col("page_end").isNull() | (F.col("page_end") == F.col("page"))
+    contents = contents_entry(F.col("original"))
+    out = _raised(records, keep, [
+        (F.lit(sources) & said & (F.coalesce(F.col("n_spans"), F.lit(0)) == 0), "record_missing_source_span", "blocking"),
         (of("endorsements") & (text("form_number") == ""), "endorsement_missing_form_number", "blocking"),
         (coverage & text("name").rlike(r"(?i)coverage form\z"), "generic_form_row_as_coverage", "blocking"),
         (coverage & deductible_row(), "deductible_row_as_coverage_limit", "blocking"),
-        (coverage & F.col("page").isNull(), "coverage_missing_page_number", "warning"),
+        (coverage & nowhere, "coverage_missing_page_number", "warning"),
         (coverage & (text("section") == ""), "coverage_missing_section_ref", "warning"),
-        (coverage & (text("original") == ""), "coverage_missing_original_content", "warning"),
-        (of("exclusions", "conditions", "definitions", "coveredReasons", "sections") & contents_entry(F.col("original")), "toc_artifact", "warning"),
+        (coverage & bare, "coverage_missing_original_content", "warning"),
+        (of("exclusions") & nowhere, "exclusion_missing_page_number", "warning"),
+        (of("exclusions") & contents, "exclusion_toc_artifact", "blocking"),
+        (of("conditions") & nowhere, "condition_missing_page_number", "warning"),
+        (of("conditions") & contents, "condition_toc_artifact", "blocking"),
+        (of("definitions") & bare, "definition_missing_content", "warning"),
+        (of("definitions") & nowhere, "definition_missing_page_number", "warning"),
+        (of("coveredReasons") & bare, "covered_reason_missing_content", "warning"),
+        (of("coveredReasons") & nowhere, "covered_reason_missing_page_number", "warning"),
+        (of("sections") & F.col("original").isNotNull() & (F.length(text("original")) < 120) & ~nowhere & whole, "section_short_fragment", "warning"),
     ])
-    rank = Window.partitionBy("doc_id", F.lower(text("name")), F.lower(text("form_number"))).orderBy(F.desc(section_precedence(F.col("section"))), "seq")
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rank = Window.partitionBy("doc_id", low("name"), low("form_number")).orderBy(F.desc(section_precedence(F.col("section"))), "seq")
     rows = records.where(coverage).withColumns({"_k": F.row_number().over(rank), "_l": F.first("limit").over(rank), "_d": F.first("deductible").over(rank)})
     unlike = lambda a, b: (text(a) != "") & (text(b) != "") & (text(a) != text(b))
-    out = out.unionByName(_raised(rows.where("_k > 1"), ["doc_id", "kind", "seq"], [(unlike("limit", "_l") | unlike("deductible", "_d"), "coverage_precedence_conflict", "warning")]))
+    out = out.unionByName(_raised(rows.where("_k > 1"), keep, [(unlike("limit", "_l") | unlike("deductible", "_d"), "coverage_precedence_conflict", "warning")]))
+    if forms is not None:
+        known = forms.select(F.col("doc_id").alias("_d"), F.trim("form_number").alias("_f")).distinct()
+        unknown = records.where(of("coverages", "endorsements") & (text("form_number") != "")).join(known, (F.col("doc_id") == F.col("_d")) & (text("form_number") == F.col("_f")), "left_anti")
+        out = out.unionByName(_raised(unknown, keep, [(coverage, "coverage_form_missing_from_inventory", "warning"), (~coverage, "endorsement_form_missing_from_inventory", "warning")]))
     if mapped is not None:
         gone = mapped.select("doc_id", "kind").distinct().join(records.select("doc_id", "kind").distinct(), ["doc_id", "kind"], "left_anti").withColumn("seq", F.lit(None).cast(records.schema["seq"].dataType))
-        out = out.unionByName(_raised(gone, ["doc_id", "kind", "seq"], [(of("definitions"), "definitions_mapped_but_empty", "warning"), (of("coveredReasons"), "covered_reasons_mapped_but_empty", "warning")]))
+        out = out.unionByName(_raised(gone, keep, [(of("definitions"), "definitions_mapped_but_empty", "warning"), (of("coveredReasons"), "covered_reasons_mapped_but_empty", "warning")]))
     return out

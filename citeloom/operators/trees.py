@@ -21,32 +21,35 @@ def _descend(rows: DataFrame, level: DataFrame, most_depth: int) -> DataFrame:
 
 
 def paths(nodes: DataFrame, most_depth: int = 200, by: str | None = None) -> DataFrame:
-    """id, path: places among siblings (by ord, id) from the root, joined by dots. by: a column (the document) in which roots are numbered for themselves.
+    """id, path: places among siblings (by ord, id) from the root, joined by dots. by: a column (the document) in which nodes are numbered for themselves; without it the table is one tree.
 
     nodes(id, parent_id, ord). Roots are the nodes without a parent. Nodes that no root reaches, as a parent above them
     is unknown or in a cycle, come after these in the order of (ord, id): each that isn't below an earlier one of them
-    becomes a root, whose number is that of the nodes numbered before it, plus one; a cycle is cut where it was entered.
+    becomes a root, whose number is that of the document's nodes numbered before it, plus one; a cycle is cut where it was entered.
     """
-    place = F.row_number().over(Window.partitionBy("parent_id", *([by] if by else [])).orderBy("ord", "id"))
-    rows = cut(nodes.select("id", "ord", F.col("parent_id").alias("up"), place.cast("string").alias("place")))
-    out = _descend(rows.drop("ord"), rows.where("up IS NULL").select("id", F.col("place").alias("path")), most_depth)
+    whole = nodes.select("id", "ord", F.col("parent_id").alias("up"), (F.col(by) if by else F.lit(0)).alias("doc"))
+    place = F.row_number().over(Window.partitionBy("up", "doc").orderBy("ord", "id"))
+    rows = cut(whole.withColumn("place", place.cast("string")))
+    out = _descend(rows.select("id", "up", "place"), rows.where("up IS NULL").select("id", F.col("place").alias("path")), most_depth)
     left = cut(rows.join(out.select("id"), "id", "left_anti"))
     if left.isEmpty():
         return out
-    left = cut(left.withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord", "id"))))  # nodes out of reach, few in a sound tree
+    left = cut(left.withColumn("idx", F.row_number().over(Window.partitionBy("doc").orderBy("ord", "id"))))
     roots = _first_of_line(left)
     below = left.join(roots.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left").select("id", F.when(F.col("_r").isNull(), F.col("up")).alias("up"), "place")
     found = _descend(below, roots.select("id", F.col("idx").cast("string").alias("path")), most_depth)
-    top = F.substring_index("path", ".", 1).cast("int")
-    sizes = found.groupBy(top.alias("_t")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbers = sizes.select("_t", (before + 1 + out.count()).cast("string").alias("_no"))
-    more = found.withColumn("_top", top).join(numbers, F.col("_top") == F.col("_t"))
-    return out.unionByName(more.select("id", F.concat("_no", F.expr("substring(path, length(cast(_top AS string)) + 1)")).alias("path")))
+    found = found.join(left.select(F.col("id").alias("_i"), "doc"), F.col("id") == F.col("_i")).withColumn("top", F.substring_index("path", ".", 1).cast("int"))
+    # in a document: what roots reach, then one tree after the other
+    sizes = found.groupBy("doc", "top").agg(F.count("*").alias("_n"))
+    reached = rows.groupBy(F.col("doc").alias("_d")).agg(F.count("*").alias("_all")).join(left.groupBy(F.col("doc").alias("_e")).agg(F.count("*").alias("_left")), F.col("_d").eqNullSafe(F.col("_e")))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("doc").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = sizes.withColumn("_b", before).join(reached, F.col("doc").eqNullSafe(F.col("_d"))).select(F.col("doc").alias("_of"), F.col("top").alias("_t"), (F.col("_b") + F.col("_all") - F.col("_left") + 1).cast("string").alias("_no"))
+    more = found.join(numbers, F.col("doc").eqNullSafe(F.col("_of")) & (F.col("top") == F.col("_t")))
+    return out.unionByName(more.select("id", F.concat("_no", F.expr("substring(path, length(cast(top AS string)) + 1)")).alias("path")))
 
 
 def _first_of_line(left: DataFrame) -> DataFrame:
-    """Those of left(id, up, idx) that have a smaller idx than every other above them. By pointer doubling: after k rounds a node knows the smallest of the 2**k nodes above it."""
+    """Those of left(id, up, idx) that have a smaller idx than every other above them (all of one document). By pointer doubling: after k rounds a node knows the smallest of the 2**k nodes above it."""
     known = left.select(F.col("id").alias("_k"), F.col("idx").alias("_x"))
     now = cut(left.join(known, F.col("up") == F.col("_k"), "left").select("id", "idx", F.col("_k").alias("at"), F.col("_x").alias("low")))
     for _ in range(max(1, now.count().bit_length())):

@@ -117,7 +117,7 @@ def change_packets(spark, sf):
 
 
 @query("""WITH r AS (SELECT c_custkey AS c, CASE c_custkey % 4 WHEN 0 THEN 'Please add a vehicle. Change from "' || c_mktsegment || '" to BMW; now 1/2/24' WHEN 1 THEN 'Remove driver' WHEN 2 THEN 'Raise the limit to "' || c_custkey || '"' ELSE 'cancel it' END AS t, '"' || c_mktsegment || '"' AS q, c_mktsegment AS m FROM customer),
-s AS (SELECT o_custkey AS c, min(o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0 GROUP BY 1)
+s AS (SELECT o_custkey AS c, min(o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
 SELECT r.c AS case_id, CASE r.c % 4 WHEN 1 THEN 'remove' WHEN 0 THEN 'add' ELSE 'update' END AS action, CASE r.c % 4 WHEN 0 THEN 'vehicle_change' WHEN 1 THEN 'vehicle_change' WHEN 2 THEN 'limit_change' ELSE 'cancellation' END AS kind,
   CASE r.c % 4 WHEN 0 THEN 'auto.vehicles' WHEN 1 THEN 'auto.drivers' WHEN 2 THEN 'coverage.limit' ELSE 'policy.change' END AS field_path, CASE r.c % 4 WHEN 0 THEN 'Please add a vehicle' ELSE t END AS label, CASE WHEN r.c % 4 = 0 AND s.k IS NOT NULL THEN m END AS before_value,
   CASE WHEN r.c % 4 = 0 AND s.k IS NOT NULL THEN s.k::VARCHAR END AS source_id, CASE r.c % 4 WHEN 0 THEN 'BMW' WHEN 2 THEN r.c::VARCHAR END AS requested_value, CASE WHEN r.c % 4 = 0 THEN '1/2/24' END AS effective_date, coalesce('d' || s.k, 'unknown') AS policy_id, r.c % 4 IN (1, 3) AS asks FROM r LEFT JOIN s ON r.c = s.c""")
@@ -125,7 +125,7 @@ def change_requests(spark, sf):
     k = F.col("c_custkey")
     text = F.when(k % 4 == 0, F.concat(F.lit('Please add a vehicle. Change from "'), "c_mktsegment", F.lit('" to BMW; now 1/2/24'))).when(k % 4 == 1, "Remove driver").when(k % 4 == 2, F.concat(F.lit('Raise the limit to "'), k, F.lit('"'))).otherwise("cancel it")
     requests = _t(spark, sf, "customer").select(k.alias("case_id"), text.alias("text"), "c_mktsegment")
-    o = _t(spark, sf, "orders").where("o_orderkey % 2 = 0").join(requests.select(F.col("case_id").alias("_c"), "c_mktsegment"), F.col("o_custkey") == F.col("_c"))
+    o = _t(spark, sf, "orders").join(requests.select(F.col("case_id").alias("_c"), "c_mktsegment"), F.col("o_custkey") == F.col("_c"))
     sources = o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("source_id"), F.concat(F.lit("of "), F.lower("c_mktsegment")).alias("text"), F.concat(F.lit("d"), "o_orderkey").alias("document_id"))
     return C.request_items(requests.drop("c_mktsegment"), sources)
 
@@ -192,7 +192,7 @@ def line_labels(spark, sf):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 1 THEN 'CGL' WHEN p_size % 4 = 2 THEN 'UN' ELSE 'PROP' END AS lines, CASE p_size % 4 WHEN 0 THEN 'profile_hint' WHEN 1 THEN 'coverage' WHEN 2 THEN 'default' ELSE 'existing_hint' END AS source FROM part""")
-def profile_lines(spark, sf):
+def profile_line_sources(spark, sf):
     k = F.col("p_size") % 4
     a = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
     made = K.resolve_profile(F.when(k == 1, a("CGL")).otherwise(a()), F.when(k == 0, a("PROP")).otherwise(a("UN")), F.when(k == 3, a("PROP")).otherwise(a("UN")))

@@ -22,6 +22,8 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql
@@ -61,11 +63,8 @@ VEC = "WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
 
 def _searches(spark, sf):
     """The query set, every row whose id is divisible by 100, against all other rows."""
-    rows = _t(spark, sf, "embeddings").withColumn("size", F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))))  # once for each row, not for each pair
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("size").alias("q_size"))
-    size = F.col("size") * F.col("q_size")
-    score = F.when(size == 0, F.lit(0.0)).otherwise(V.dot(F.col("embedding"), F.col("q")) / size)
-    return rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", score.alias("score"))
+    rows = _t(spark, sf, "embeddings")
+    return V.scored(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
 @query(VEC + " SELECT * FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")

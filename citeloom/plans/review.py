@@ -121,9 +121,9 @@ def next_questions(spark, sf):
     return A.next_questions(active, fields.where("pos % 10 = 4 AND app_id % 3 = 0").select("app_id", "id"))
 
 
-@query(f"WITH {FIELDS}, u AS (SELECT *, required OR contains(lower(label), 'premium') OR contains(lower(label), 'effective') AS w FROM f WHERE coalesce(trim(value), '') = '' AND pos % (app_id + 1) = 0), n AS (SELECT *, count(*) OVER p AS n, sum(w::INT) OVER p AS k FROM u WINDOW p AS (PARTITION BY app_id)), z AS (SELECT app_id, id, row_number() OVER (PARTITION BY app_id ORDER BY pos) AS place FROM n WHERE w AND (n <= 5 OR 1 - k / n::DOUBLE <= 0.6)) SELECT * FROM z WHERE place <= 5")
+@query(f"WITH {FIELDS}, u AS (SELECT *, required OR contains(lower(label), 'premium') OR contains(lower(label), 'effective') AS w FROM f WHERE coalesce(trim(value), '') = ''), n AS (SELECT *, count(*) OVER p AS n, sum(w::INT) OVER p AS k FROM u WINDOW p AS (PARTITION BY app_id)), z AS (SELECT app_id, id, row_number() OVER (PARTITION BY app_id ORDER BY pos) AS place FROM n WHERE w AND (n <= 5 OR 1 - k / n::DOUBLE <= 0.6)) SELECT * FROM z WHERE place <= 5")
 def document_search_fields(spark, sf):
-    return A.search_fields(_fields(spark, sf).where(F.col("pos") % (F.col("app_id") + 1) == 0))
+    return A.search_fields(_fields(spark, sf))
 
 
 @query(f"WITH {FIELDS} SELECT app_id, n AS n_unfilled, app_id % 2 = 0 AND n > 0 AS run_backfill, app_id % 3 > 0 AND n > 0 AS run_context, n > 0 AS run_batching FROM (SELECT app_id, count(*) FILTER (coalesce(trim(value), '') = '') AS n FROM f GROUP BY app_id)")
@@ -141,10 +141,10 @@ def reply_plan(spark, sf):
     return A.reply_plan(rows)
 
 
-@query(f"WITH {FIELDS}, a AS (SELECT c_nationkey AS app_id, 'f' || c_custkey % 31 AS id, arg_max(CASE WHEN c_acctbal > 0 THEN c_name ELSE '' END, c_custkey) AS v, max(c_custkey) AS p FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL) SELECT f.app_id, f.pos, CASE WHEN a.id IS NULL THEN value ELSE a.v END AS value, CASE WHEN a.id IS NULL THEN f.source WHEN p % 3 = 0 THEN 'phone' ELSE 'user' END AS source, CASE WHEN a.id IS NULL THEN confidence ELSE 'confirmed' END AS confidence FROM f LEFT JOIN a ON f.app_id = a.app_id AND f.id = a.id")
+@query(f"WITH {FIELDS}, a AS (SELECT c_nationkey AS app_id, 'f' || c_custkey % 31 AS id, arg_max(CASE WHEN c_acctbal > 0 THEN c_name ELSE '' END, c_custkey) AS v, max(c_custkey) AS p FROM customer GROUP BY ALL) SELECT f.app_id, f.pos, CASE WHEN a.id IS NULL THEN value ELSE a.v END AS value, CASE WHEN a.id IS NULL THEN f.source WHEN p % 3 = 0 THEN 'phone' ELSE 'user' END AS source, CASE WHEN a.id IS NULL THEN confidence ELSE 'confirmed' END AS confidence FROM f LEFT JOIN a ON f.app_id = a.app_id AND f.id = a.id")
 def application_answers(spark, sf):
     k = F.col("c_custkey")
-    answers = _t(spark, sf, "customer").where(k % 2 == 0).select(F.col("c_nationkey").alias("app_id"), k.alias("pos"), F.concat(F.lit("f"), k % 31).alias("field_id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise("").alias("value"), F.when(k % 3 == 0, "phone").alias("source"), F.lit(None).cast("string").alias("confidence"))
+    answers = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("app_id"), k.alias("pos"), F.concat(F.lit("f"), k % 31).alias("field_id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise("").alias("value"), F.when(k % 3 == 0, "phone").alias("source"), F.lit(None).cast("string").alias("confidence"))
     return A.apply_answers(_fields(spark, sf), answers).select("app_id", "pos", "value", "source", "confidence")
 
 
@@ -214,26 +214,40 @@ def form_inventory(spark, sf):
     return R.form_inventory(rows).select("doc_id", "form_number", "title", "page_start", F.array_join("sources", ",").alias("sources"))
 
 
-@query(r"""WITH r AS (SELECT p_brand AS doc_id, p_partkey AS seq, CASE p_partkey % 4 WHEN 0 THEN 'coverages' WHEN 1 THEN 'endorsements' WHEN 2 THEN 'coverages' ELSE 'exclusions' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'Base Coverage Form' WHEN 1 THEN 'Wind - Deductible' ELSE p_type END AS name,
-  CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE 'F' || p_size % 2 END AS form_number, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS page, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Schedule A' WHEN 2 THEN 'Endorsement 3' ELSE 'Coverage Form' END AS section,
-  CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'flood retention of 5' WHEN 3 THEN 'Exclusions .....12' ELSE 'limit ' || p_name END AS original, CASE WHEN p_partkey % 9 > 0 THEN (p_size % 3)::VARCHAR END AS lim, CASE WHEN p_partkey % 10 = 0 THEN '1' END AS ded, p_partkey % 2 AS n FROM part),
-k AS (SELECT *, row_number() OVER w AS k, first_value(lim) OVER w AS l1, first_value(ded) OVER w AS d1 FROM r WHERE kind = 'coverages' WINDOW w AS (PARTITION BY doc_id, lower(name), lower(trim(form_number)) ORDER BY CASE section WHEN 'Schedule A' THEN 4 WHEN 'Endorsement 3' THEN 3 WHEN 'Coverage Form' THEN 1 ELSE 0 END DESC, seq)),
-x AS (SELECT *, lower(name) AS nm, lower(coalesce(original, name)) AS o FROM r)
-SELECT doc_id, kind, seq, 'missing_source_grounding' AS code FROM r WHERE n = 0
-UNION ALL SELECT doc_id, kind, seq, 'endorsement_missing_form_number' FROM r WHERE kind = 'endorsements' AND trim(form_number) = ''
-UNION ALL SELECT doc_id, kind, seq, 'generic_form_row_as_coverage' FROM r WHERE kind = 'coverages' AND name = 'Base Coverage Form'
-UNION ALL SELECT doc_id, kind, seq, 'deductible_row_as_coverage_limit' FROM x WHERE kind = 'coverages' AND regexp_matches(nm || ' ' || o, '\b(deductible|retention|sir)\b') AND ded IS NULL AND lim IS NOT NULL AND ((original IS NOT NULL AND regexp_matches(o, '\b(deductible|retention|sir)\b') AND NOT regexp_matches(o, '\b(limit|coverage)\b')) OR nm LIKE '%- deductible')
-UNION ALL SELECT doc_id, kind, seq, 'coverage_missing_page_number' FROM r WHERE kind = 'coverages' AND page IS NULL
-UNION ALL SELECT doc_id, kind, seq, 'coverage_missing_section_ref' FROM r WHERE kind = 'coverages' AND section IS NULL
-UNION ALL SELECT doc_id, kind, seq, 'coverage_missing_original_content' FROM r WHERE kind = 'coverages' AND original IS NULL
-UNION ALL SELECT doc_id, kind, seq, 'toc_artifact' FROM r WHERE kind = 'exclusions' AND original = 'Exclusions .....12'
+RECORDS = r"""r AS (SELECT p_brand AS doc_id, p_partkey AS seq, CASE p_partkey % 8 WHEN 0 THEN 'coverages' WHEN 1 THEN 'endorsements' WHEN 2 THEN 'coverages' WHEN 3 THEN 'exclusions' WHEN 4 THEN 'conditions' WHEN 5 THEN CASE WHEN p_brand > 'Brand#2' THEN 'definitions' ELSE 'exclusions' END WHEN 6 THEN CASE WHEN p_brand > 'Brand#3' THEN 'coveredReasons' ELSE 'coverages' END ELSE 'sections' END AS kind,
+  CASE p_size % 5 WHEN 0 THEN 'Base Coverage Form' WHEN 1 THEN 'Wind - Deductible' WHEN 2 THEN 'Plain' ELSE p_type END AS name, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE 'F' || p_size % 2 END AS form_number, CASE WHEN p_partkey % 7 > 0 THEN p_size END AS page,
+  CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Schedule A' WHEN 2 THEN 'Endorsement 3' ELSE 'Coverage Form' END AS section, CASE p_size % 8 WHEN 0 THEN NULL WHEN 1 THEN 'flood retention of 5' WHEN 3 THEN 'Exclusions .....12' WHEN 4 THEN repeat(p_name || ' ', 12) ELSE 'limit ' || p_name END AS original,
+  CASE WHEN p_partkey % 9 > 0 THEN (p_size % 3)::VARCHAR END AS lim, CASE WHEN p_partkey % 10 = 0 THEN '1' END AS ded, p_partkey % 5 AS n, CASE WHEN p_size % 4 > 0 THEN p_size + p_size % 3 - 1 END AS page_end, CASE WHEN p_size % 3 = 0 THEN 'definition' WHEN p_size % 3 = 1 THEN 'covered_reason' ELSE 'other' END AS type FROM part)"""
+
+
+@query(rf"""WITH {RECORDS}, d AS (SELECT DISTINCT doc_id FROM r), has AS (SELECT DISTINCT doc_id, kind FROM r),
+x AS (SELECT * FROM r UNION ALL SELECT * REPLACE ('definitions' AS kind) FROM r WHERE kind = 'sections' AND type = 'definition' AND doc_id NOT IN (SELECT doc_id FROM has WHERE kind = 'definitions')
+  UNION ALL SELECT * REPLACE ('coveredReasons' AS kind) FROM r WHERE kind = 'sections' AND type = 'covered_reason' AND doc_id NOT IN (SELECT doc_id FROM has WHERE kind = 'coveredReasons')),
+k AS (SELECT *, row_number() OVER w AS k, first_value(lim) OVER w AS l1, first_value(ded) OVER w AS d1 FROM x WHERE kind = 'coverages' WINDOW w AS (PARTITION BY doc_id, lower(name), lower(form_number) ORDER BY CASE section WHEN 'Schedule A' THEN 4 WHEN 'Endorsement 3' THEN 3 WHEN 'Coverage Form' THEN 1 ELSE 0 END DESC, seq)),
+y AS (SELECT *, lower(name) AS nm, lower(coalesce(original, name)) AS o FROM x), f AS (SELECT DISTINCT doc_id, trim(form_number) AS f FROM r WHERE kind = 'exclusions'),
+i AS (SELECT doc_id, kind, seq, 'record_missing_source_span' AS code FROM x WHERE n = 0
+UNION ALL SELECT doc_id, kind, seq, 'endorsement_missing_form_number' FROM x WHERE kind = 'endorsements' AND trim(form_number) = ''
+UNION ALL SELECT doc_id, kind, seq, 'generic_form_row_as_coverage' FROM x WHERE kind = 'coverages' AND regexp_matches(name, '(?i)coverage form$')
+UNION ALL SELECT doc_id, kind, seq, 'deductible_row_as_coverage_limit' FROM y WHERE kind = 'coverages' AND regexp_matches(nm || ' ' || o, '\b(deductible|retention|sir)\b') AND ded IS NULL AND lim IS NOT NULL AND ((original IS NOT NULL AND regexp_matches(o, '\b(deductible|retention|sir)\b') AND NOT regexp_matches(o, '\b(limit|coverage)\b')) OR nm LIKE '%- deductible')
+UNION ALL SELECT doc_id, kind, seq, CASE kind WHEN 'coverages' THEN 'coverage' WHEN 'exclusions' THEN 'exclusion' WHEN 'conditions' THEN 'condition' WHEN 'definitions' THEN 'definition' ELSE 'covered_reason' END || '_missing_page_number' FROM x WHERE kind NOT IN ('sections', 'endorsements') AND page IS NULL
+UNION ALL SELECT doc_id, kind, seq, 'coverage_missing_section_ref' FROM x WHERE kind = 'coverages' AND section IS NULL
+UNION ALL SELECT doc_id, kind, seq, 'coverage_missing_original_content' FROM x WHERE kind = 'coverages' AND original IS NULL
+UNION ALL SELECT doc_id, kind, seq, CASE kind WHEN 'definitions' THEN 'definition_missing_content' ELSE 'covered_reason_missing_content' END FROM x WHERE kind IN ('definitions', 'coveredReasons') AND original IS NULL
+UNION ALL SELECT doc_id, kind, seq, CASE kind WHEN 'exclusions' THEN 'exclusion_toc_artifact' ELSE 'condition_toc_artifact' END FROM x WHERE kind IN ('exclusions', 'conditions') AND regexp_matches(original, '\.{{4,}}\d{{1,3}}$')
+UNION ALL SELECT doc_id, kind, seq, 'section_short_fragment' FROM x WHERE kind = 'sections' AND length(trim(original)) < 120 AND page IS NOT NULL AND (page_end IS NULL OR page_end = page)
 UNION ALL SELECT doc_id, kind, seq, 'coverage_precedence_conflict' FROM k WHERE k > 1 AND ((lim IS NOT NULL AND l1 IS NOT NULL AND lim <> l1) OR (ded IS NOT NULL AND d1 IS NOT NULL AND ded <> d1))
-UNION ALL SELECT DISTINCT doc_id, 'definitions', NULL::BIGINT, 'definitions_mapped_but_empty' FROM r
-UNION ALL SELECT DISTINCT doc_id, 'coveredReasons', NULL::BIGINT, 'covered_reasons_mapped_but_empty' FROM r""")
+UNION ALL SELECT x.doc_id, kind, seq, CASE kind WHEN 'coverages' THEN 'coverage' ELSE 'endorsement' END || '_form_missing_from_inventory' FROM x LEFT JOIN f ON x.doc_id = f.doc_id AND trim(form_number) = f WHERE kind IN ('coverages', 'endorsements') AND trim(form_number) <> '' AND f IS NULL
+UNION ALL SELECT doc_id, 'definitions', NULL::BIGINT, 'definitions_mapped_but_empty' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE kind = 'definitions')
+UNION ALL SELECT doc_id, 'coveredReasons', NULL::BIGINT, 'covered_reasons_mapped_but_empty' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE kind = 'coveredReasons'))
+SELECT *, CASE WHEN code IN ('record_missing_source_span', 'endorsement_missing_form_number', 'generic_form_row_as_coverage', 'deductible_row_as_coverage_limit', 'exclusion_toc_artifact', 'condition_toc_artifact') THEN 'blocking' ELSE 'warning' END AS severity FROM i""")
 def extraction_review(spark, sf):
     k, z = F.col("p_partkey"), F.col("p_size")
-    pick = lambda n, *values: F.when(F.lit(False), None) if not values else F.element_at(F.array(*(v if not isinstance(v, (str, type(None))) else F.lit(v).cast("string") for v in values)), (k % n + 1).cast("int"))
-    original = pick(8, None, "flood retention of 5", *([F.concat(F.lit("limit "), "p_name")]), "Exclusions .....12", *([F.concat(F.lit("limit "), "p_name")] * 4))
-    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), k.alias("seq"), pick(4, "coverages", "endorsements", "coverages", "exclusions").alias("kind"), pick(5, "Base Coverage Form", "Wind - Deductible", *([F.col("p_type")] * 3)).alias("name"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("F"), z % 2)).alias("form_number"), F.when(k % 7 > 0, z).alias("page"), pick(6, None, "Schedule A", "Endorsement 3", *(["Coverage Form"] * 3)).alias("section"), original.alias("original"), F.when(k % 9 > 0, (z % 3).cast("string")).alias("limit"), F.when(k % 10 == 0, "1").alias("deductible"), (k % 2).alias("n_spans"))
+    col = lambda v: v if not isinstance(v, (str, type(None))) else F.lit(v).cast("string")
+    pick = lambda key, *values: F.element_at(F.array(*map(col, values)), (key % len(values) + 1).cast("int"))
+    limit = F.concat(F.lit("limit "), "p_name")
+    kind = pick(k, "coverages", "endorsements", "coverages", "exclusions", "conditions", F.when(F.col("p_brand") > "Brand#2", "definitions").otherwise("exclusions"), F.when(F.col("p_brand") > "Brand#3", "coveredReasons").otherwise("coverages"), "sections")
+    name = pick(z, "Base Coverage Form", "Wind - Deductible", "Plain", F.col("p_type"), F.col("p_type"))
+    original = pick(z, None, "flood retention of 5", limit, "Exclusions .....12", F.repeat(F.concat("p_name", F.lit(" ")), F.lit(12)), limit, limit, limit)
+    rows = _t(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), k.alias("seq"), kind.alias("kind"), name.alias("name"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("F"), z % 2)).alias("form_number"), F.when(k % 7 > 0, z).alias("page"), pick(k, None, "Schedule A", "Endorsement 3", *(["Coverage Form"] * 3)).alias("section"), original.alias("original"), F.when(k % 9 > 0, (z % 3).cast("string")).alias("limit"), F.when(k % 10 == 0, "1").alias("deductible"), (k % 5).alias("n_spans"), F.when(z % 4 > 0, z + z % 3 - 1).alias("page_end"), pick(z, "definition", "covered_reason", "other").alias("type"))
     mapped = rows.select("doc_id", F.explode(F.array(F.lit("definitions"), F.lit("coveredReasons"), F.lit("exclusions"))).alias("kind")).distinct()
-    return R.extraction_review(rows, mapped).drop("severity")
+    return R.extraction_review(rows, mapped, rows.where("kind = 'exclusions'").select("doc_id", "form_number"))

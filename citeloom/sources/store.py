@@ -1,122 +1,129 @@
-"""Tables of spans, chunks, turns and documents as Parquet, in buckets of the document id.
+"""Tables of spans, chunks, turns and documents as Parquet, partitioned by a hash of the document id.
 
-A table is a folder of immutable data folders and of numbered manifests. A manifest names, for each bucket that has
-rows, the folder they lie in. A change writes new folders for the buckets it touches and then a manifest of the next
-number, which must not be there yet: readers see a change whole or not at all, and of two writers at once one fails.
+Changes are Spark's own dynamic partition overwrite: only partitions that lose or get rows are read and written again.
+A reader that starts while one is committed may see some partitions before and some after it, and a table takes one
+writer at a time; where that isn't enough, give the tables to a format with transactions.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..operators.spans import last_wins
+from .embed import embedded
+from .scratch import cut
 
+ROWS = 1_000_000
 
-class Store:
-    """One folder with a table for each name; reads by document open the bucket it can be in alone."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+class Store:
+    """One folder with a table for each name, in partitions of=<how many buckets>/bucket=<number>: reads by document open one of them."""
 
-    # files, by Spark's own file systems
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, embed=None):
+        """buckets: of tables made from now on; by default one for each ROWS they start with, 16 at least. embed: a function from texts to vectors, called in tasks for what is written to spans, source_chunks and chunks."""
+        self.spark, self.root, self.buckets, self.embed = spark, root.rstrip("/"), buckets, embed
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def _path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
     def _names(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _manifest(self, table: str) -> tuple[int, dict]:
-        numbers = [int(n[9:-5]) for n in self._names(self._path(table)) if n.startswith("manifest-") and n.endswith(".json")]
-        if not numbers:
-            raise FileNotFoundError(f"no table {table} in {self.root}")
-        fs, p = self._fs(f"{self._path(table)}/manifest-{max(numbers):09d}.json")
-        stream = fs.open(p)
-        try:
-            text = bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-        return max(numbers), json.loads(text)
-
-    def _commit(self, table: str, number: int, manifest: dict) -> None:
-        fs, p = self._fs(f"{self._path(table)}/manifest-{number:09d}.json")
-        stream = fs.create(p, False)  # fails if another writer was first
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
-    def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def _all(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(self._path(table))
 
-    def _bucket(self, key, buckets: int):
-        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    def _placed(self, rows: DataFrame, of: int) -> DataFrame:
+        return rows.withColumns({"of": F.lit(of), "bucket": F.pmod(F.xxhash64("document_id"), F.lit(of)).cast("int")})
 
-    def _read(self, table: str, manifest: dict, buckets=None) -> DataFrame:
-        schema = StructType.fromJson(manifest["schema"])
-        paths = [f"{self._path(table)}/{folder}/bucket={b}" for b, folder in sorted(manifest["buckets"].items()) if buckets is None or int(b) in buckets]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _write(self, rows: DataFrame, table: str, mode: str) -> None:
+        # the hint lets adaptive execution split the rows of a large bucket over several tasks and files
+        rows.hint("rebalance", "bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(self._path(table))
 
-    def _written(self, table: str, rows: DataFrame, buckets: int) -> dict[str, str]:
-        folder = f"data-{uuid.uuid4().hex}"
-        placed = rows.withColumn("bucket", self._bucket(F.col("document_id"), buckets))
-        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self._path(table)}/{folder}")
-        return {n[7:]: folder for n in self._names(f"{self._path(table)}/{folder}") if n.startswith("bucket=")}
+    def _of(self, table: str) -> int:
+        found = [n[3:] for n in self._names(self._path(table)) if n.startswith("of=")]
+        if not found:
+            raise FileNotFoundError(f"no table {table} in {self.root}")
+        return int(found[0])
+
+    def _replace(self, table: str, touched: set[int], rows: DataFrame) -> None:
+        """rows (placed) are from now on all that the touched buckets hold."""
+        rows = cut(rows)
+        left = self._touched(rows)
+        self._write(rows, table, "overwrite")
+        for bucket in touched - left:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/of={self._of(table)}/bucket={bucket}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _touched(self, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select("bucket").distinct().collect()}  # bucket numbers
+
+    def _with_vectors(self, table: str, rows: DataFrame) -> tuple[DataFrame, dict]:
+        if self.embed is None or table not in ("spans", "source_chunks", "chunks"):
+            return rows, {}
+        seen = Observation("embedding")
+        made = embedded(rows.drop("embedding"), self.embed).observe(seen, F.count("*").alias("rows"), F.count_if(F.col("embedding").isNull()).alias("failed"))
+        return cut(made), seen.get
 
     # tables
 
-    def create(self, table: str, rows: DataFrame) -> None:
-        self._commit(table, 1, {"n": self.buckets, "schema": rows.schema.jsonValue(), "buckets": self._written(table, rows, self.buckets)})
+    def create(self, table: str, rows: DataFrame) -> dict:
+        """Writes a new table. With embed: how many rows there were and how many have no vector."""
+        rows, told = self._with_vectors(table, rows)
+        of = self.buckets or max(16, rows.count() // ROWS)
+        if self.exists(table):
+            raise FileExistsError(f"there is a table {table} in {self.root}")
+        # an empty file keeps the columns when all rows are gone
+        rows.limit(0).coalesce(1).write.parquet(f"{self._path(table)}/of={of}/bucket=-1")
+        self._write(self._placed(rows, of), table, "append")
+        return told
 
     def exists(self, table: str) -> bool:
-        return any(n.startswith("manifest-") for n in self._names(self._path(table)))
+        return any(n.startswith("of=") for n in self._names(self._path(table)))
 
     def read(self, table: str) -> DataFrame:
-        return self._read(table, self._manifest(table)[1])
+        return self._all(table).drop("of", "bucket")
 
     def by_document(self, table: str, document_id: str) -> DataFrame:
-        manifest = self._manifest(table)[1]
-        bucket = self.spark.range(1).select(self._bucket(F.lit(document_id), manifest["n"])).first()[0]
-        return self._read(table, manifest, {bucket}).where(F.col("document_id") == document_id).orderBy("id")
+        """A document's rows in the order of ids. The condition on the bucket is one on partitions alone: the others aren't opened."""
+        here = F.col("bucket") == F.pmod(F.xxhash64(F.lit(document_id)), F.col("of"))
+        return self._all(table).where(here & (F.col("document_id") == document_id)).drop("of", "bucket").orderBy("id")
 
     def get(self, table: str, key: str) -> DataFrame:
-        """The row of an id, if there is one."""
+        """The row of an id, if there is one: a scan of that column, narrowed by the files' statistics."""
         return self.read(table).where(F.col("id") == key)
 
-    def upsert(self, table: str, rows: DataFrame, order: str | None = None) -> None:
-        """Rows replace those of the same id, wherever they are; of several new ones of an id the last by `order` counts (without it the one of the highest hash). Only buckets that lose or get rows are written again."""
-        number, manifest = self._manifest(table)
-        old = self._read(table, manifest)
-        new = last_wins(rows, ["id"], order or rows.columns[0])
-        place = self._bucket(F.col("document_id"), manifest["n"])
+    def upsert(self, table: str, rows: DataFrame, order: str | None = None) -> dict:
+        """Rows replace those of the same id, wherever they are; of several new ones of an id the last by `order` counts (without it the one of the highest hash). With embed: as create()."""
+        new, told = self._with_vectors(table, last_wins(rows, ["id"], order or rows.columns[0]))
+        old = self._all(table)
+        new = self._placed(new, self._of(table)).select(*old.columns)
         ids = new.select("id")
-        touched = {r[0] for r in new.select(place).distinct().union(old.join(ids, "id", "left_semi").select(place).distinct()).distinct().collect()}  # bucket numbers
-        stay = self._read(table, manifest, touched).join(ids, "id", "left_anti")
-        self._replace(table, number, manifest, touched, stay.unionByName(new.select(*old.columns)))
+        touched = self._touched(new) | self._touched(old.join(ids, "id", "left_semi"))
+        self._replace(table, touched, old.where(F.col("bucket").isin(*touched)).join(ids, "id", "left_anti").unionByName(new))
+        return told
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def append(self, table: str, rows: DataFrame) -> dict:
         """New rows; an id that is there already, or comes twice, is an error."""
-        number, manifest = self._manifest(table)
-        twice = rows.groupBy("id").count().where("count > 1").select("id").union(rows.join(self._read(table, manifest).select("id"), "id", "left_semi").select("id"))
+        twice = rows.groupBy("id").count().where("count > 1").select("id").union(rows.join(self._all(table).select("id"), "id", "left_semi").select("id"))
         found = twice.first()
         if found:
             raise ValueError(f"id {found[0]} is there already")
-        touched = {r[0] for r in rows.select(self._bucket(F.col("document_id"), manifest["n"])).distinct().collect()}
-        old = self._read(table, manifest, touched)
-        self._replace(table, number, manifest, touched, old.unionByName(rows.select(*old.columns)))
+        rows, told = self._with_vectors(table, rows)
+        self._write(self._placed(rows, self._of(table)).select(*self._all(table).columns), table, "append")
+        return told
+
+    def delete_documents(self, table: str, ids: DataFrame) -> None:
+        """ids(document_id): all rows of these documents go, by one anti-join over the buckets they are in. A null isn't an id."""
+        ids = ids.where("document_id IS NOT NULL").select("document_id").distinct()
+        touched = self._touched(self._placed(ids, self._of(table)))
+        rows = self._all(table).where(F.col("bucket").isin(*touched))
+        self._replace(table, touched, rows.join(ids.withColumnRenamed("document_id", "_gone"), F.col("document_id") == F.col("_gone"), "left_anti"))
 
     def delete_document(self, table: str, document_id: str) -> None:
-        number, manifest = self._manifest(table)
-        bucket = self.spark.range(1).select(self._bucket(F.lit(document_id), manifest["n"])).first()[0]
-        self._replace(table, number, manifest, {bucket}, self._read(table, manifest, {bucket}).where(F.col("document_id") != document_id))
+        self.delete_documents(table, self.spark.range(1).select(F.lit(document_id).alias("document_id")))
 
     def delete_source(self, document_id: str, tables: tuple[str, ...] = ("spans", "source_chunks")) -> None:
         """A document's spans and chunks go."""
@@ -132,8 +139,7 @@ class Store:
         else:
             self.upsert("documents", rows)
         if cascade and self.exists("chunks"):
-            for r in rows.select("id").distinct().collect():
-                self.delete_document("chunks", r[0])
+            self.delete_documents("chunks", rows)
 
     def save_section(self, rows: DataFrame) -> bool:
         """Section checkpoints(id, document_id, ..); a failure to save is told, not raised."""
@@ -143,10 +149,6 @@ class Store:
         except Exception:  # noqa: BLE001  (a checkpoint is never worth a run)
             return False
 
-    def _replace(self, table: str, number: int, manifest: dict, touched: set[int], rows: DataFrame) -> None:
-        left = {b: f for b, f in manifest["buckets"].items() if int(b) not in touched}
-        self._commit(table, number + 1, manifest | {"buckets": left | self._written(table, rows, manifest["n"])})
-
 
 def search_documents(df: DataFrame, kind: str = "", holder: str = "", number: str = "", carrier: str = "", quote: str = "", json: str | None = None) -> DataFrame:
     """Filters joined by AND; an empty one doesn't count. Holder and carrier are matched anywhere, without regard to case; numbers have to be equal. json: the column of a JSON text that carrier, holder and numbers are read from."""

@@ -204,7 +204,7 @@ def test_rows_of_equal_place_are_always_the_same(spark):
     assert len({S.first_wins(df.repartition(n), ["k"], "pos").first().v for n in (1, 2, 5)}) == 1
 
 
-def test_store_replaces_by_id_and_keeps_versions(spark, tmp_path):
+def test_store_replaces_by_id(spark, tmp_path):
     store = Store(spark, str(tmp_path), buckets=4)
     make = lambda *rows: spark.createDataFrame(list(rows), "id string, document_id string, text string")
     store.create("spans", make(("1", "a", "x"), ("2", "b", "y")))
@@ -232,6 +232,120 @@ def test_store_replaces_by_id_and_keeps_versions(spark, tmp_path):
     assert sorted(r.id for r in store.read("spans").collect()) == ["5", "9"] and store.by_document("spans", "none").count() == 0
 
 
+def test_store_keeps_rows_without_a_document_and_columns_of_an_empty_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=1)
+    rows = spark.createDataFrame([("1", "d1", "x"), ("2", None, "y"), ("3", "d2", "z")], "id string, document_id string, text string")
+    store.create("spans", rows)
+    store.delete_document("spans", "d1")
+    assert sorted((r.id, r.document_id) for r in store.read("spans").collect()) == [("2", None), ("3", "d2")]
+    store.upsert("spans", spark.createDataFrame([("2", "d3", "moved")], rows.schema))
+    store.delete_documents("spans", spark.createDataFrame([("d2",), ("d3",), (None,), ("d2",)], "document_id string"))
+    assert store.read("spans").count() == 0 and store.read("spans").columns == ["id", "document_id", "text"] and store.by_document("spans", "d1").count() == 0
+    store.upsert("spans", rows)
+    assert store.read("spans").count() == 3
+    plan = store.by_document("spans", "d2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_store_embeds_what_it_writes(spark, tmp_path):
+    import time
+
+    def embed(text):
+        if text == "slow":
+            time.sleep(3)
+        return [float(len(text)), 1.0] if text != "bad" else [1.0, "no number"]
+
+    from citeloom.sources.embed import embedded
+
+    rows = spark.createDataFrame([("1", "a", "xyz"), ("2", "a", "bad"), ("3", "b", None), ("4", "b", "")], "id string, document_id string, text string")
+    store = Store(spark, str(tmp_path), buckets=2, embed=embed)
+    assert store.create("spans", rows) == {"rows": 4, "failed": 2}
+    assert {r.id: r.embedding for r in store.read("spans").collect()} == {"1": [3.0, 1.0], "2": None, "3": None, "4": [0.0, 1.0]}
+    assert store.upsert("spans", spark.createDataFrame([("2", "a", "fine")], rows.schema)) == {"rows": 1, "failed": 0}
+    assert store.append("spans", spark.createDataFrame([("9", "c", "12345")], rows.schema)) == {"rows": 1, "failed": 0}
+    assert {r.id: r.embedding for r in store.read("spans").collect()}["2"] == [4.0, 1.0] and store.get("spans", "9").first().embedding == [5.0, 1.0]
+    slow = spark.createDataFrame([(str(i), "a", "slow" if i == 2 else "x") for i in range(9)], rows.schema).coalesce(1)
+    got = {r.id: r.embedding for r in embedded(slow, embed, seconds=0.5).collect()}
+    assert got.pop("2") is None and set(map(tuple, got.values())) == {(1.0, 1.0)}
+
+
+def plain_paths(nodes):
+    """Numbers of one document's nodes(id, parent, ord), in order: children of roots, then what no root reaches."""
+    under = {}
+    for n in sorted(nodes, key=lambda n: (n[2], n[0])):
+        under.setdefault(n[1], []).append(n)
+    out = {}
+
+    def visit(node, path):
+        if node[0] not in out:
+            out[node[0]] = path
+            for i, child in enumerate(under.get(node[0], [])):
+                visit(child, f"{path}.{i + 1}")
+
+    for i, root in enumerate(under.get(None, [])):
+        visit(root, str(i + 1))
+    for n in sorted(nodes, key=lambda n: (n[2], n[0])):
+        if n[0] not in out:
+            visit(n, str(len(out) + 1))
+    return out
+
+
+def test_paths_of_orphans_and_cycles_are_numbered_within_a_document(spark):
+    import random
+
+    rng = random.Random(1)
+    docs = {"A": [("a1", None, 1), ("a2", "a1", 1), ("a3", "a1", 2), ("a4", "gone", 1)], "B": [("b1", None, 1), ("b2", "none", 1), ("b3", "b2", 1)], "C": [("c1", "c2", 1), ("c2", "c1", 2), ("c3", "c2", 1)], None: [("n1", "x", 1), ("n2", None, 2)]}
+    for d in "DEF":
+        docs[d] = [(f"{d}{i}", rng.choice([None, "lost", *[f"{d}{j}" for j in range(12)]]), rng.randrange(3)) for i in range(12)]
+    rows = [(i, p, o, d) for d, nodes in docs.items() for i, p, o in nodes]
+    df = spark.createDataFrame(rows, "id string, parent_id string, ord long, document_id string")
+    got = {r.id: r.path for r in R.paths(df, by="document_id").collect()}
+    assert got == {k: v for nodes in docs.values() for k, v in plain_paths(nodes).items()} and got["a4"] == "4" and got["b3"] == "2.1"
+
+
+def test_names_of_queries_are_their_own():
+    from citeloom.plans.queries import QUERIES, query
+
+    def claim_detector(spark, sf):
+        return None
+
+    before = dict(QUERIES)
+    try:
+        query(None)(claim_detector)
+        raise AssertionError("a name twice")
+    except ValueError:
+        assert QUERIES == before and {"profile_lines", "profile_line_sources"} <= set(QUERIES)
+
+
+#: Codes of an extraction's review and how grave each is.
+CODES = {"record_missing_source_span": "blocking", "definitions_mapped_but_empty": "warning", "covered_reasons_mapped_but_empty": "warning", "endorsement_missing_form_number": "blocking", "endorsement_form_missing_from_inventory": "warning", "generic_form_row_as_coverage": "blocking", "deductible_row_as_coverage_limit": "blocking", "coverage_missing_page_number": "warning", "coverage_missing_section_ref": "warning", "coverage_missing_original_content": "warning", "coverage_form_missing_from_inventory": "warning", "coverage_precedence_conflict": "warning", "exclusion_missing_page_number": "warning", "exclusion_toc_artifact": "blocking", "condition_missing_page_number": "warning", "condition_toc_artifact": "blocking", "definition_missing_content": "warning", "definition_missing_page_number": "warning", "covered_reason_missing_content": "warning", "covered_reason_missing_page_number": "warning", "section_short_fragment": "warning"}
+
+
+def test_extraction_review_codes(spark):
+    from citeloom.operators import review
+
+    schema = "doc_id string, seq int, kind string, name string, form_number string, page int, section string, original string, limit string, deductible string, n_spans int, page_end int, type string"
+    rows = [
+        ("d", 1, "coverages", "Auto Coverage Form", "F1", None, " ", None, "1", None, 0, None, None), ("d", 2, "coverages", "Wind deductible", "F2", 1, "Declarations", "wind deductible 5", "5", None, 1, None, None),
+        ("d", 3, "coverages", "Fire", "F2", 1, "Coverage Form", "limit 5", "5", None, 1, None, None), ("d", 4, "coverages", "FIRE", "f2", 2, "Schedule", "limit 6", "6", None, 1, None, None), ("d", 5, "endorsements", "E", " ", 1, None, "x", None, None, 1, None, None),
+        ("d", 6, "endorsements", "E", "F9", 1, None, "x", None, None, 1, None, None), ("d", 7, "exclusions", "X", None, None, None, "Exclusions .....12", None, None, 1, None, None), ("d", 8, "conditions", "X", None, None, None, "1. Of Cancelling ...3", None, None, 1, None, None),
+        ("d", 9, "sections", "S", None, 3, None, "short", None, None, 1, 3, "definition"), ("d", 10, "sections", "S", None, 3, None, "short", None, None, 1, 4, "covered_reason"), ("e", 1, "definitions", "T", None, None, None, " ", None, None, 1, None, None),
+        ("e", 2, "coveredReasons", "T", None, None, None, None, None, None, 1, None, None), ("e", 3, "definitions", " ", None, 1, None, "", None, None, 0, None, None), ("e", 4, "definitions", "1. Of ...3", None, 1, None, "Terms .....12", None, None, 1, None, None), ("f", 1, "sections", "S", None, 3, None, "long " * 40, None, None, 1, None, None),
+    ]
+    records = spark.createDataFrame(rows, schema)
+    mapped = spark.createDataFrame([("d", "definitions"), ("f", "definitions"), ("f", "coveredReasons"), ("f", "exclusions")], "doc_id string, kind string")
+    forms = spark.createDataFrame([("d", " F2 ")], "doc_id string, form_number string")
+    got = [(r.doc_id, r.seq, r.code) for r in review.extraction_review(records, mapped, forms).collect()]
+    found = review.extraction_review(records, mapped, forms).select("code", "severity").distinct().collect()
+    assert {r.code: r.severity for r in found} == CODES and len(found) == len(CODES)
+    assert sorted(got, key=str) == sorted([("d", 1, c) for c in ("record_missing_source_span", "generic_form_row_as_coverage", "coverage_missing_page_number", "coverage_missing_section_ref", "coverage_missing_original_content", "coverage_form_missing_from_inventory")]
+        + [("d", 2, "deductible_row_as_coverage_limit"), ("d", 3, "coverage_precedence_conflict"), ("d", 4, "coverage_form_missing_from_inventory"), ("d", 5, "endorsement_missing_form_number"), ("d", 6, "endorsement_form_missing_from_inventory"), ("d", 7, "exclusion_missing_page_number"), ("d", 7, "exclusion_toc_artifact"), ("d", 8, "condition_missing_page_number"), ("d", 8, "condition_toc_artifact"), ("d", 9, "section_short_fragment")]
+        + [("e", 1, "definition_missing_content"), ("e", 1, "definition_missing_page_number"), ("e", 2, "covered_reason_missing_content"), ("e", 2, "covered_reason_missing_page_number"), ("e", 3, "definition_missing_content")]
+        + [("f", None, "definitions_mapped_but_empty"), ("f", None, "covered_reasons_mapped_but_empty")], key=str)
+    assert review.extraction_review(records, sources=False).where("code = 'record_missing_source_span'").count() == 0
+    assert {r.doc_id: r.status for r in review.status(review.extraction_review(records, mapped), records, "doc_id").collect()} == {"d": "failed", "e": "warning", "f": "warning"}
+
+
 def test_documents_by_json(spark):
     from citeloom.sources.store import list_templates, search_documents
 
