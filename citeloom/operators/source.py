@@ -292,8 +292,3 @@ def ledger(spans: DataFrame, nodes: DataFrame, processed: DataFrame | None = Non
     complete = (F.col("n_projected") == F.col("n_eligible")) & (F.col("_open") == 0)
     return rows.select("document_id", "fingerprint", "n_eligible", "n_projected", complete.alias("complete"), "ambiguous", F.coalesce("regions", F.lit("not_observed")).alias("regions"))
 
-
-def valid_sections(results: DataFrame, asked: DataFrame) -> DataFrame:
-    """Saved results(section, fingerprint, version, extractor, ids, degraded, hash, own_hash) that may be taken for asked(section, fingerprint, version, extractor, ids): all of these equal, not degraded, and the hash right."""
-    keys = ["section", "fingerprint", "version", "extractor", "ids"]
-    return results.where(~F.col("degraded") & (F.col("hash") == F.col("own_hash"))).join(asked.select(*keys), keys, "left_semi")

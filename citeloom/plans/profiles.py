@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profiles as P
+from ..operators import sections as S
+from ..sources.scratch import cut
 from .changes import _tables
 from .queries import _t, query
+from .source import DIGEST
 
 
 def _arr(*ids: str):
@@ -102,3 +105,47 @@ def merged_profiles(spark, sf):
 @query(f"WITH {FACTS} SELECT document_id, array_to_string(lines, ',') AS lines, source AS lines_source FROM l")
 def merged_profile_lines(spark, sf):
     return merged(spark, sf).select("document_id", F.array_join(F.array_sort("profile.linesOfBusiness"), ",").alias("lines"), "lines_source")
+
+
+ASKED = f"""a AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS document_id, s.section, s.i, c_mktsegment AS seg, CASE WHEN c_custkey % 3 = 0 THEN 'f2-' || c_name ELSE 'f1-' || c_name END AS fingerprint, CASE WHEN c_custkey % 5 = 0 AND s.i = 1 THEN '"s1","s2"' ELSE '"s1"' END AS ids FROM customer, (VALUES ('extraction_policy_core', 0), ('extraction_policy_coverage', 1)) s(section, i)),
+b AS (SELECT *, i = 1 AND k % 7 = 0 AS bare, i = 0 AND k % 11 = 0 OR i = 1 AND k % 13 = 0 AS bad, k % 3 > 0 AND NOT (i = 1 AND k % 5 = 0) AND NOT (i = 0 AND k % 11 = 0 OR i = 1 AND k % 13 = 0 AND k % 7 > 0) AND k % 17 > 0 AS reused FROM a),
+c AS (SELECT *, CASE WHEN bare THEN 'not_applicable' WHEN bad THEN 'degraded' ELSE 'complete' END AS status, CASE WHEN bare THEN '{{"coverages":[]}}' WHEN NOT bad AND i = 0 THEN '{{"coverages":[],"premium":{{"rate":' || CASE k % 4 WHEN 0 THEN k::VARCHAR ELSE k || '.' || CASE k % 4 WHEN 1 THEN '25' WHEN 2 THEN '5' ELSE '75' END END || ',"value":"' || seg || '"}}}}' WHEN NOT bad THEN '{{"coverages":[{{"limits":[1,{{"a":null,"b":[]}}],"name":"' || seg || '"}}],"warnings":["w"]}}' END AS profile FROM b),
+e AS (SELECT *, '{{' || CASE WHEN status = 'degraded' THEN '"error":"output is not JSON",' ELSE '' END || '"extractorVersion":"4.x",' || CASE WHEN profile IS NULL THEN '' ELSE '"operationalProfile":' || profile || ',' END || '"sectionId":"' || section || '","sourceFingerprint":"' || fingerprint || '","sourceSpanIds":[' || ids || '],"status":"' || status || '","version":"extraction-section-result-v1","warnings":[]}}' AS x FROM c),
+r AS (SELECT *, {DIGEST} AS hash FROM e)"""
+
+
+def _sections(spark, sf):
+    """What is asked now, what was stored by an earlier run over other fingerprints and spans, and the outputs of models. Some stored results are damaged."""
+    k, null = F.col("c_custkey"), F.lit(None).cast("string")
+    both = F.explode(F.array(F.lit(S.CORE), F.lit(S.COVERAGE))).alias("section")
+    rows = _t(spark, sf, "customer").select(k, k.cast("string").alias("document_id"), "c_name", "c_mktsegment", both, F.lit("4.x").alias("extractor"))
+    coverage = F.col("section") == S.COVERAGE
+    old, now = F.concat(F.lit("f1-"), "c_name"), F.concat(F.when(k % 3 == 0, "f2-").otherwise("f1-"), "c_name")
+    asked = rows.select("document_id", "section", now.alias("fingerprint"), "extractor", F.when((k % 5 == 0) & coverage, _arr("s1", "s2")).otherwise(_arr("s1")).alias("ids"))
+    core = F.concat(F.lit('{"premium" : {"value":"'), "c_mktsegment", F.lit('", "rate": '), k, F.when(k % 4 == 0, ".0").when(k % 4 == 1, ".250").when(k % 4 == 2, ".5e0").otherwise(".75"), F.lit("}, \"coverages\": [7]}"))
+    cover = F.concat(F.lit('{"warnings":["w"],"left":"out","coverages":[{"name":"'), "c_mktsegment", F.lit('","limits":[1.0,{"b":[],"a":null}]}]}'))
+    bad = (~coverage & (k % 11 == 0)) | (coverage & (k % 13 == 0))
+    outputs = rows.select("document_id", "section", F.when(bad, "{oh").when(coverage, cover).otherwise(core).alias("json"))
+    nothing = rows.where(coverage & (k % 7 == 0)).select("document_id", "section")
+    earlier = S.resumed(rows.select("document_id", "section", old.alias("fingerprint"), "extractor", _arr("s1").alias("ids")), S.hashed(spark.createDataFrame([], S.RESULT)), S.from_outputs(outputs), nothing)
+    stored = earlier.drop("reused").withColumn("warnings", F.when(F.col("document_id").cast("long") % 17 == 0, _arr("not as it was")).otherwise(F.col("warnings")))
+    return asked, cut(stored), outputs, nothing
+
+
+@query(f"WITH {ASKED} SELECT document_id, section, status, reused, hash FROM r")
+def resumed_sections(spark, sf):
+    """Sections taken from a store or made anew: each as a full run makes it."""
+    asked, stored, outputs, nothing = _sections(spark, sf)
+    return S.resumed(asked, stored, S.from_outputs(outputs), nothing).select("document_id", "section", "status", "reused", "hash")
+
+
+@query(rf"""WITH {ASKED}, m AS (SELECT document_id, k, min(fingerprint) AS f, bool_and(status <> 'degraded') AS whole, string_agg('{{"resultHash":"' || hash || '","sectionId":"' || section || '","sourceSpanIds":[' || ids || '],"status":"' || status || '"}}', ',' ORDER BY i) AS l, bool_or(status <> 'degraded') AS s1, bool_or(status <> 'degraded' AND ids LIKE '%s2%') AS s2 FROM r GROUP BY ALL),
+n AS (SELECT *, concat_ws(',', CASE WHEN s1 THEN '"s1"' END, CASE WHEN s2 THEN '"s2"' END) AS p, whole AND (s2 OR k % 10 > 0) AS complete FROM m),
+x AS (SELECT *, '{{"completeSourceCoverage":' || complete || ',"eligibleSourceSpanIds":["s1"' || CASE WHEN k % 10 = 0 THEN ',"s2"' ELSE '' END || '],"evidenceLedgerHash":"L","extractorVersion":"4.x","processedSourceSpanIds":[' || p || '],"protocolVersion":"source-tree-v2","sections":[' || l || '],"sourceFingerprint":"' || f || '","version":"extraction-completion-manifest-v1"}}' AS x FROM n)
+SELECT document_id, complete, replace(p, '"', '') AS processed, {DIGEST} AS hash FROM x""")
+def completion_manifests(spark, sf):
+    asked, stored, outputs, nothing = _sections(spark, sf)
+    results = S.resumed(asked, stored, S.from_outputs(outputs), nothing)
+    k = F.col("document_id").cast("long")
+    documents = asked.select("document_id", "fingerprint", "extractor").distinct().withColumns({"eligible": F.when(k % 10 == 0, _arr("s1", "s2")).otherwise(_arr("s1")), "ledger_hash": F.lit("L")})
+    return S.manifests(results, documents).select("document_id", "complete", F.array_join("processed", ",").alias("processed"), "hash")
