@@ -133,62 +133,55 @@ def match_scope(primary: DataFrame, found: DataFrame) -> DataFrame:
 
 #: A coverage of a profile as the merge takes it; a term's value conflicts with another of its kind, label and scope.
 FACT = "document_id string, seq int, recovered boolean, name string, line string, form string, section string, endorsement string, first int, last int, limit string, deductible string, terms array<struct<kind:string,label:string,value:string,applies:string>>"
-MERGED = "document_id string, seq int, name string, line string, form string, section string, endorsement string, limit string, deductible string, n_terms int, n_found int, conflicts int"
+
+
+_TERM = "struct<kind string, label string, value string, applies string, scope string, said string>"
+_HELD = f"struct<at struct<recovered boolean, seq int>, name string, line string, form string, section string, endorsement string, first int, last int, limit string, deductible string, terms array<{_TERM}>, n_found int, conflicts int>"
+_FILLED = ("limit", "deductible", "form", "section", "endorsement")
+
+
+def _of_one_scope(a: Column, b: Column) -> Column:
+    """same_scope() of two coverages of equal name that are held as structs."""
+    agree = lambda c: (label(a[c]) == "") | (label(b[c]) == "") | (label(a[c]) == label(b[c]))
+    line = (F.coalesce(a["line"], F.lit("")) == "") | (F.coalesce(b["line"], F.lit("")) == "") | (a["line"] == b["line"])
+    both = (label(a["endorsement"]) == "") == (label(b["endorsement"]) == "")
+    near = F.coalesce((a["first"] <= b["last"] + 1) & (b["first"] <= a["last"] + 1), F.lit(True))
+    return line & agree("form") & agree("section") & agree("endorsement") & both & near
+
+
+def _joined(held: Column, new: Column) -> Column:
+    """A coverage with a recovered one merged in: what it lacks is filled, terms it doesn't have come after its own, and those that conflict are counted."""
+    def add(s: Column, t: Column) -> Column:
+        near = F.filter(s["terms"], lambda x: x["scope"] == t["scope"])
+        known = F.exists(near, lambda x: x["said"] == t["said"])
+        more = F.struct(F.concat(s["terms"], F.array(t)).alias("terms"), (s["found"] + 1).alias("found"), (s["conflicts"] + F.when(F.size(near) > 0, 1).otherwise(0)).alias("conflicts"))
+        return F.when(known, s).otherwise(more)
+
+    start = F.struct(held["terms"].alias("terms"), F.lit(0).alias("found"), F.lit(0).alias("conflicts"))
+    terms = T.let(F.aggregate(new["terms"], start, add), lambda s: F.struct(s["terms"].alias("terms"), (held["n_found"] + s["found"]).alias("n_found"), (held["conflicts"] + s["conflicts"]).alias("conflicts")))
+    own = {"at": held["at"], "name": held["name"], "line": held["line"], **{c: F.coalesce(held[c], new[c]) for c in _FILLED}, "first": F.least(held["first"], new["first"]), "last": F.greatest(held["last"], new["last"])}
+    order = [x.split(" ")[0] for x in ("at", "name", "line", "form", "section", "endorsement", "first", "last", "limit", "deductible")]
+    return T.let(terms, lambda t: F.struct(*(own[c].alias(c) for c in order), *(t[c].alias(c) for c in ("terms", "n_found", "conflicts")))).cast(_HELD)
 
 
 def merge_recovered(facts: DataFrame) -> DataFrame:
-    """Coverages of each document with recovered ones merged in, in order: each goes to the first of the same scope, also to one added before it, else is added. Empty values are filled, new terms appended; terms that conflict are kept and counted.
+    """Coverages of each document (FACT) with recovered ones merged in, in order: each goes to the first of the same scope, also to one added before it, else is added. Empty values are filled, new terms appended; terms that conflict are kept and counted. A coverage spans the pages of all that went into it.
 
-    The order matters, so a document's facts (FACT) meet in one group: they are a profile's rows, not its text.
+    An ordered fold over the facts of one document and one name, for only these can be of one scope: an aggregate over
+    a sorted array whose state is the coverages held so far.
     """
-
-    import re
-
-    def plain(text) -> str:
-        return re.sub("[^a-z0-9]+", " ", (text or "").lower().replace("&", " and ")).strip()
-
-    def fits(a, b) -> bool:
-        """Of two coverages of equal name."""
-        if a["line"] and b["line"] and a["line"] != b["line"]:
-            return False
-        for c in ("form", "section", "endorsement"):
-            x, y = plain(a[c]), plain(b[c])
-            if (x and y and x != y) or (c == "endorsement" and bool(x) != bool(y)):
-                return False
-        if None in (a["first"], a["last"], b["first"], b["last"]):
-            return True
-        return a["first"] <= b["last"] + 1 and b["first"] <= a["last"] + 1
-
-    def one(table):
-        import pyarrow as pa
-
-        rows = sorted(table.to_pylist(), key=lambda r: (r["recovered"], r["seq"]))
-        kept, named = [], {}
-        for r in rows:
-            r["terms"] = [dict(t) for t in r["terms"] or []]
-            alike = named.setdefault(plain(r["name"]), [])
-            into = next((k for k in alike if fits(k, r)), None) if r["recovered"] else None
-            if into is None:
-                alike.append(r | {"n_found": len(r["terms"]) if r["recovered"] else 0, "conflicts": 0})
-                kept.append(alike[-1])
-                continue
-            for c in ("limit", "deductible", "form", "section", "endorsement"):
-                into[c] = into[c] if into[c] is not None else r[c]
-            scope = lambda t: (t["kind"], plain(t["label"]), plain(t["applies"]))
-            for t in r["terms"]:
-                near = [x for x in into["terms"] if scope(x) == scope(t)]
-                if any(plain(x["value"]) == plain(t["value"]) for x in near):
-                    continue
-                into["conflicts"] += bool(near)
-                into["terms"].append(t)
-                into["n_found"] += 1
-        names = [f.split()[0] for f in MERGED.split(", ")]
-        for i, k in enumerate(kept):
-            k |= {"seq": i, "n_terms": len(k["terms"])}
-        kinds = [pa.string(), pa.int32(), *[pa.string()] * 7, *[pa.int32()] * 3]
-        return pa.table({n: pa.array([k[n] for k in kept], t) for n, t in zip(names, kinds)})
-
-    return facts.groupBy("document_id").applyInArrow(one, MERGED)
+    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<kind:string,label:string,value:string,applies:string>>")), lambda t: F.struct(t["kind"].alias("kind"), t["label"].alias("label"), t["value"].alias("value"), t["applies"].alias("applies"), F.concat_ws("|", F.coalesce(t["kind"], F.lit("")), label(t["label"]), label(t["applies"])).alias("scope"), label(t["value"]).alias("said")))
+    fact = F.struct(F.struct("recovered", "seq").alias("at"), "name", "line", "form", "section", "endorsement", "first", "last", "limit", "deductible", terms.alias("terms"), F.when(F.col("recovered"), F.size(terms)).otherwise(0).alias("n_found"), F.lit(0).alias("conflicts")).cast(_HELD)
+    rows = facts.select("document_id", label(F.col("name")).alias("key"), fact.alias("f"))
+    rows = rows.groupBy("document_id", "key").agg(F.array_sort(F.collect_list("f")).alias("l"))
+
+    def step(state: Column, r: Column) -> Column:
+        place = F.when(r["at"]["recovered"], F.array_position(F.transform(state, lambda x: _of_one_scope(x, r)), True)).otherwise(0)
+        return T.let(place, lambda p: F.when(p == 0, F.concat(state, F.array(r))).otherwise(F.transform(state, lambda x, i: F.when(i + 1 == p, _joined(x, r)).otherwise(x))))
+
+    held = rows.select("document_id", F.explode(F.aggregate("l", F.array().cast(f"array<{_HELD}>"), step)).alias("c")).select("document_id", "c.*")
+    place = (F.row_number().over(Window.partitionBy("document_id").orderBy("at.recovered", "at.seq", "name")) - 1).alias("seq")
+    return held.select("document_id", place, "name", "line", "form", "section", "endorsement", "limit", "deductible", F.size("terms").alias("n_terms"), "n_found", "conflicts", F.transform("terms", lambda t: F.struct(*(t[c].alias(c) for c in ("kind", "label", "value", "applies")))).alias("terms"), "first", "last")
 
 
 def append_unique(rows: DataFrame, more: DataFrame, keys: list[str], pos: str) -> DataFrame:

@@ -119,13 +119,23 @@ def scope_matches(spark, sf):
     return V.match_scope(primary, found).select("document_id", "seq", "match")
 
 
-@query(None)
+FITS = "(x.form IS NULL OR r[1].form IS NULL OR x.form = r[1].form) AND x.a <= r[1].z + 1 AND r[1].a <= x.z + 1"
+KNOWN = "list_contains(x.terms, r[1].terms[1])"
+NEAR = "len(list_filter(x.terms, lambda t: t.l = r[1].terms[1].l)) > 0"
+
+
+@query(f"""WITH f AS (SELECT p_brand AS d, p_partkey AS k, p_partkey % 2 AS rec, p_name AS name, CASE WHEN p_size % 3 > 0 THEN 'F' || p_size % 3 END AS form, p_size AS a, CASE WHEN p_size % 2 = 0 THEN '1' END AS lim, p_type AS l, (p_size % 4)::VARCHAR AS v FROM part),
+g AS (SELECT d, lower(name) AS key, list([{{rec: rec, k: k, name: name, form: form, a: a, z: a, lim: lim, terms: [{{l: l, v: v}}], n_found: rec, conflicts: 0::BIGINT}}] ORDER BY rec, k) AS l FROM f GROUP BY ALL),
+h AS (SELECT d, unnest(list_reduce(l, lambda s, r: CASE WHEN r[1].rec = 0 OR coalesce(list_position(list_transform(s, lambda x: {FITS}), true), 0) = 0 THEN s || r
+  ELSE list_transform(s, lambda x, i: CASE WHEN i = list_position(list_transform(s, lambda x: {FITS}), true) THEN {{rec: x.rec, k: x.k, name: x.name, form: coalesce(x.form, r[1].form), a: least(x.a, r[1].a), z: greatest(x.z, r[1].z), lim: coalesce(x.lim, r[1].lim),
+    terms: CASE WHEN {KNOWN} THEN x.terms ELSE x.terms || r[1].terms END, n_found: x.n_found + CASE WHEN {KNOWN} THEN 0 ELSE 1 END, conflicts: x.conflicts + CASE WHEN NOT {KNOWN} AND {NEAR} THEN 1 ELSE 0 END}} ELSE x END) END)) AS c FROM g)
+SELECT d AS document_id, (row_number() OVER (PARTITION BY d ORDER BY c.rec, c.k) - 1)::INTEGER AS seq, c.name AS name, c.form AS form, c.lim AS limit_text, len(c.terms)::INTEGER AS n_terms, c.n_found::INTEGER AS n_found, c.conflicts::INTEGER AS conflicts FROM h""")
 def recovery_merge(spark, sf):
-    """Parts of a brand as coverages: even ones there, odd ones recovered. Order-dependent; tests hold it against a plain loop."""
+    """Parts of a brand as coverages: even ones there, odd ones recovered."""
     z, none = F.col("p_size"), F.lit(None).cast("string")
     term = F.struct(F.lit("other").alias("kind"), F.col("p_type").alias("label"), (z % 4).cast("string").alias("value"), none.alias("applies"))
     rows = _t(spark, sf, "part").select(F.col("p_brand").alias("document_id"), F.col("p_partkey").cast("int").alias("seq"), (F.col("p_partkey") % 2 == 1).alias("recovered"), F.col("p_name").alias("name"), none.alias("line"), F.when(z % 3 > 0, F.concat(F.lit("F"), z % 3)).alias("form"), none.alias("section"), none.alias("endorsement"), z.alias("first"), z.alias("last"), F.when(z % 2 == 0, "1").alias("limit"), none.alias("deductible"), F.array(term).alias("terms"))
-    return V.merge_recovered(rows)
+    return V.merge_recovered(rows).select("document_id", "seq", "name", "form", F.col("limit").alias("limit_text"), "n_terms", "n_found", "conflicts")
 
 
 @query("WITH a AS (SELECT p_name AS n, p_partkey AS k FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS n, min(p_partkey) AS k FROM part WHERE p_partkey % 3 > 0 GROUP BY 1) SELECT n, k FROM a UNION ALL SELECT n, k FROM b WHERE n NOT IN (SELECT n FROM a)")
