@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import drivers as D
 from ..operators import profiles as P
 from ..operators import sections as S
 from ..sources.scratch import cut
@@ -149,3 +150,73 @@ def completion_manifests(spark, sf):
     k = F.col("document_id").cast("long")
     documents = asked.select("document_id", "fingerprint", "extractor").distinct().withColumns({"eligible": F.when(k % 10 == 0, _arr("s1", "s2")).otherwise(_arr("s1")), "ledger_hash": F.lit("L")})
     return S.manifests(results, documents).select("document_id", "complete", F.array_join("processed", ",").alias("processed"), "hash")
+
+
+def _recovered(spark, sf):
+    """Brands as documents, parts as coverages and as what models found again. One brand's models said something useless."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    parts = _t(spark, sf, "part").withColumnRenamed("p_brand", "document_id")
+    coverages = parts.where(k % 3 == 0).select("document_id", k.cast("int").alias("seq"), F.concat(F.lit("Cover "), k).alias("name"), *(none.alias(c) for c in ("line", "form", "section", "endorsement")), *(F.lit(None).cast("int").alias(c) for c in ("first", "last")), none.alias("limit"), none.alias("deductible"), F.array().cast("array<struct<kind:string,label:string,value:string,applies:string>>").alias("terms"))
+    term = F.concat(F.lit('{"kind":"other","label":"L","value":"'), F.when(k % 4 == 0, "$900").otherwise("$500"), F.lit('","sourceSpanIds":["'), F.when(k % 5 == 0, "lost").otherwise(F.concat("document_id", F.lit("-s"))), F.lit('"]}'))
+    cover = F.concat(F.lit('{"name":" COVER  '), k - 1, F.lit('","limits":['), term, F.lit('],"sourceNodeIds":["'), F.when(k % 7 == 0, "lost").otherwise(F.concat("document_id", F.lit("-n"))), F.lit('"]}'))
+    useless = F.when(F.col("document_id") == "Brand#1", F.when(k % 2 == 0, "{").otherwise('{"coverages":[{"limit":"5"}]}'))
+    candidates = parts.where(k % 3 == 1).select("document_id", k.alias("seq"), F.coalesce(useless, F.concat(F.lit('{"coverages":['), cover, F.lit('],"warnings":["seen"]}'))).alias("json"))
+    documents = parts.select("document_id").distinct()
+    nodes = documents.select("document_id", F.concat("document_id", F.lit("-n")).alias("id"))
+    spans = documents.select("document_id", F.concat("document_id", F.lit("-s")).alias("id"), F.lit("of $500 each").alias("text"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return D.recover(documents, coverages, candidates, nodes, spans)
+
+
+RECOVERED = r"""b AS (SELECT p_brand AS d, p_partkey AS k FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_brand AS d, p_partkey AS k, p_partkey % 7 > 0 AS ok, p_partkey % 4 > 0 AND p_partkey % 5 > 0 AS term, p_brand = 'Brand#1' AS bad FROM part WHERE p_partkey % 3 = 1),
+m AS (SELECT c.*, b.k IS NOT NULL AS met FROM c LEFT JOIN b ON c.d = b.d AND b.k = c.k - 1), f AS (SELECT d, bool_or(bad) AS failed, arg_min(k, k) AS k1 FROM c GROUP BY d)"""
+
+
+@query(rf"""WITH {RECOVERED}, s AS (SELECT d, count(*) FILTER (ok AND NOT met AND NOT bad) AS n_coverages, count(*) FILTER (ok AND term AND NOT bad) AS n_terms, sum(CASE WHEN bad THEN 0 ELSE (NOT ok)::INT + (NOT term)::INT END) AS n_rejected FROM m GROUP BY d)
+SELECT p.d AS document_id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS status, coalesce(n_coverages, 0) AS n_coverages, coalesce(n_terms, 0) AS n_terms, coalesce(n_rejected, 0)::BIGINT AS n_rejected,
+CASE WHEN failed THEN 'Coverage recovery failed: ' || CASE WHEN k1 % 2 = 0 THEN 'candidate is not JSON' ELSE 'a coverage has no name' END WHEN f.d IS NULL THEN '' ELSE 'seen' END AS warnings FROM (SELECT DISTINCT p_brand AS d FROM part) p LEFT JOIN f USING (d) LEFT JOIN s USING (d)""")
+def recovery_diagnostics(spark, sf):
+    return _recovered(spark, sf).diagnostics.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(rf"""WITH {RECOVERED} SELECT d AS document_id, 'Cover ' || k AS name, coalesce((SELECT count(*) FROM m WHERE m.d = b.d AND m.k = b.k + 1 AND ok AND term AND NOT bad), 0) AS n_terms FROM b
+UNION ALL SELECT d, ' COVER  ' || (k - 1), term::INT FROM m WHERE ok AND NOT met AND NOT bad""")
+def recovered_coverages(spark, sf):
+    return _recovered(spark, sf).coverages.select("document_id", "name", F.col("n_terms").cast("long").alias("n_terms"))
+
+
+@query("SELECT p_brand AS document_id, p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'candidate is not JSON' ELSE 'a coverage has no name' END AS error FROM part WHERE p_partkey % 3 = 1 AND p_brand = 'Brand#1'")
+def recovery_quarantine(spark, sf):
+    return _recovered(spark, sf).quarantine.drop("json")
+
+
+def _extracted(spark, sf):
+    """Customers as documents, two sections of each, outputs of models of which some are useless; a cleanup of some."""
+    asked, stored, _, nothing = _sections(spark, sf)
+    k = F.col("c_custkey")
+    rows = _t(spark, sf, "customer").withColumn("document_id", k.cast("string"))
+    core = F.concat(F.lit('{"namedInsured":{"value":"'), "c_name", F.lit('","sourceSpanIds":["'), F.when(k % 4 == 0, "zz").otherwise("s1"), F.lit('"]},"warnings":["core"]}'))
+    cover = F.concat(F.lit('{"coverages":[{"name":"'), "c_mktsegment", F.lit(' flood","sourceNodeIds":["n1"]},{"name":"lost","sourceNodeIds":["n9"]}]}'))
+    bad_core, bad_cover = k % 11 == 0, k % 13 == 0
+    one = lambda section, json: rows.select("document_id", F.lit(section).alias("section"), json.alias("json"))
+    outputs = one(S.CORE, F.when(bad_core, "[1]").otherwise(core)).unionByName(one(S.COVERAGE, F.when(bad_cover, "{").otherwise(cover))).unionByName(one(S.CLEANUP, F.when(k % 3 > 0, "{}").otherwise("no")))
+    ids = lambda x: rows.select("document_id", F.lit(x).alias("id"))
+    eligible = asked.groupBy("document_id").agg(F.min("fingerprint").alias("fingerprint"), F.min("extractor").alias("extractor"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("eligible")).withColumn("ledger_hash", F.lit("L"))
+    codes = spark.createDataFrame([("Z", "nothing of the kind")], "code string, description string")
+    return D.extract(asked, outputs, stored.limit(0), ids("n1"), ids("s1"), (*_tables(spark), codes), eligible, nothing)
+
+
+EXTRACTED = "c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS document_id, c_name, c_mktsegment AS seg, c_custkey % 7 = 0 AS bare, c_custkey % 11 = 0 OR (c_custkey % 13 = 0 AND c_custkey % 7 > 0) AS bad, c_custkey % 3 = 0 AS dirty FROM customer)"
+
+
+@query(f"""WITH {EXTRACTED} SELECT document_id, CASE WHEN bad THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN NOT bad AND k % 4 > 0 THEN c_name END AS insured, CASE WHEN NOT bad AND NOT bare THEN seg || ' flood' END AS coverage, CASE WHEN NOT bad AND NOT bare THEN 'FLOOD' ELSE 'UN' END AS lines,
+CASE WHEN bad THEN CASE WHEN k % 13 = 0 AND NOT bare AND k % 11 > 0 THEN 'output is not JSON' ELSE 'output is not an object' END ELSE concat_ws(',', CASE WHEN dirty AND NOT bare THEN 'Operational profile cleanup pass failed; uncleaned profile used (output is not JSON)' END, 'core') END AS warnings FROM c""")
+def extracted_documents(spark, sf):
+    p = F.col("profile")
+    return _extracted(spark, sf).documents.select("document_id", "status", p["namedInsured"]["value"].alias("insured"), F.nullif(F.array_join(F.transform(p["coverages"], lambda c: c["name"]), ","), F.lit("")).alias("coverage"), F.array_join(p["linesOfBusiness"], ",").alias("lines"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"WITH {EXTRACTED} SELECT document_id, NOT bad AND (bare OR NOT dirty) AS complete, CASE WHEN bad OR (dirty AND NOT bare) THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 13 = 0 AND NOT bare THEN 1 ELSE 0 END AS n_degraded FROM c")
+def extraction_manifests(spark, sf):
+    made = _extracted(spark, sf)
+    bad = made.sections.groupBy("document_id").agg(F.count_if(F.col("status") == "degraded").cast("int").alias("n_degraded"))
+    return made.manifests.join(bad, "document_id").select("document_id", "complete", "n_degraded")
