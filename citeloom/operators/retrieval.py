@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+from . import search
+
 #: What evidence of a source counts for, and of how many turns.
 RELEVANCE = {"chunk": 0.8, "document": 0.9, "conversation": 0.6, "attachment": 0.95}
 TURNS = 5
@@ -49,6 +52,84 @@ def per_type(chunks: DataFrame, query: str, kind: str, most: int, kinds: int) ->
     return chunks.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= -(-most // kinds)).drop("_k")
 
 
+#: What evidence says of itself; what a source doesn't have is null.
+EVIDENCE = ("query_id", "source", "span_id", "chunk_id", "document_id", "turn_id", "attachment_id", "text", "relevance")
+_FILTERS = ("type", "carrier", "insured", "number", "quote")
+
+
+def _as_evidence(rows: DataFrame, source: str, relevance: Column) -> DataFrame:
+    own = {c: F.col(c).cast("string") for c in rows.columns if c in EVIDENCE}
+    own |= {"source": F.lit(source), "relevance": relevance.cast("double"), "query_id": F.col("query_id")}
+    return rows.select(*(own.get(c, F.lit(None).cast("string")).alias(c) for c in EVIDENCE))
+
+
+def found_documents(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents(document_id, type, carrier, insured, number, quote, text) that each question's filters (columns f_type .. f_quote, null or empty where not asked) let through; none for a question without filters.
+
+    Type and numbers have to be equal; carrier and insured are found anywhere in a name, without regard to case, by
+    grams of the distinct names. So every question meets documents by a key: the first of these filters that it gives.
+    """
+    f = {c: F.nullif(F.col(f"f_{c}"), F.lit("")) for c in _FILTERS}
+    asked = cut(questions.select("query_id", *(v.alias(f"f_{c}") for c, v in f.items())))
+    docs = documents.select("document_id", *_FILTERS, "text")
+    out = None
+    for i, c in enumerate(("number", "quote", "carrier", "insured", "type")):
+        before = [F.col(f"f_{x}").isNull() for x in ("number", "quote", "carrier", "insured", "type")[:i]]
+        some = asked.where(F.col(f"f_{c}").isNotNull())
+        for b in before:
+            some = some.where(b)
+        if c in ("carrier", "insured"):
+            names = docs.select(F.lower(c).alias("text")).where("text IS NOT NULL").distinct()
+            pairs = search.containing(some.select(F.lower(f"f_{c}").alias("term")), names).select(F.col("term").alias("_term"), F.col("text").alias("_name"))
+            some = some.join(pairs, F.lower(f"f_{c}") == F.col("_term"))
+            rows = some.join(docs, F.col("_name") == F.lower(c))
+        else:
+            rows = some.join(docs, F.col(f"f_{c}") == F.col(c))
+        for x in ("type", "number", "quote"):
+            rows = rows.where(F.col(f"f_{x}").isNull() | F.col(f"f_{x}").eqNullSafe(F.col(x)))
+        for x in ("carrier", "insured"):
+            rows = rows.where(F.col(f"f_{x}").isNull() | F.coalesce(F.contains(F.lower(x), F.lower(f"f_{x}")), F.lit(False)))
+        rows = rows.select("query_id", "document_id", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def retrieve(questions: DataFrame, spans: DataFrame, chunks: DataFrame, documents: DataFrame, turns: DataFrame, attachments: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """The evidence (EVIDENCE, and rank) of every question, at most `most` pieces of each, from all branches that its way of retrieval searches.
+
+    questions(query_id, question, way, chunk_types, conversation_id, f_type, f_carrier, f_insured, f_number, f_quote);
+    spans(span_id, document_id, text), chunks(chunk_id, document_id, type, text), documents as in found_documents(),
+    turns(turn_id, conversation_id, pos, role, text), attachments(query_id, attachment_id, text). Spans and turns come
+    by their share of the question's terms, as do chunks; of chunks asked for by type each type gets its share of
+    `most`, rounded up. Spans keep that relevance, the other sources have one of their own (RELEVANCE); of turns the TURNS best count.
+    """
+    rows = cut(questions.withColumn("b", branches(F.col("way"), F.lit(True), F.coalesce(*(F.nullif(F.col(f"f_{c}"), F.lit("")) for c in _FILTERS)).isNotNull(), F.col("conversation_id").isNotNull())))
+    best = lambda *by: Window.partitionBy(*by)
+    own = lambda df, key: df.select(F.col(key).alias("_k"), *(c for c in df.columns if c != key))
+
+    s = search.top(rows.where("b.spans"), spans, "span_id", most)
+    s = s.join(own(spans, "span_id"), F.col("span_id") == F.col("_k"))
+    c = search.lexical_hits(rows.where("b.chunks"), chunks, "chunk_id").join(own(chunks, "chunk_id").drop("text"), F.col("chunk_id") == F.col("_k"))
+    kinds = rows.select(F.col("query_id").alias("_q"), "chunk_types", F.coalesce(F.size("chunk_types"), F.lit(0)).alias("kinds"))
+    c = c.join(kinds, F.col("query_id") == F.col("_q")).where((F.col("kinds") <= 0) | F.array_contains("chunk_types", F.col("type")))
+    group = F.when(F.col("kinds") > 0, F.col("type"))
+    c = c.withColumn("_g", group).withColumn("_n", F.row_number().over(best("query_id", "_g").orderBy(F.desc("relevance"), "chunk_id"))).where(F.col("_n") <= F.when(F.col("kinds") > 0, F.ceil(F.lit(most) / F.col("kinds"))).otherwise(most))
+    c = c.select("query_id", "chunk_id", "document_id").join(chunks.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
+    d = found_documents(rows.where("b.documents"), documents)
+    # turns are searched within the question's own conversation
+    asked = rows.where("b.turns").select("query_id", F.col("conversation_id").alias("_conv"), search.T.tokens(F.col("question")).alias("_terms"))
+    t = turns.join(asked, F.col("conversation_id") == F.col("_conv")).withColumn("relevance", search.T.lexical_relevance(F.col("text"), F.col("_terms"))).where("relevance > 0")
+    t = t.withColumn("_n", F.row_number().over(best("query_id").orderBy(F.desc("relevance"), "pos", "turn_id"))).where(F.col("_n") <= TURNS)
+    t = t.withColumn("text", F.concat(F.lit("["), "role", F.lit("]: "), "text")).drop("document_id")
+    parts = [_as_evidence(s, "source_span", F.col("relevance")), _as_evidence(c, "chunk", F.lit(RELEVANCE["chunk"])), _as_evidence(d, "document", F.lit(RELEVANCE["document"])), _as_evidence(t, "conversation", F.lit(RELEVANCE["conversation"]))]
+    if attachments is not None:
+        parts.append(_as_evidence(attachments.join(rows.select(F.col("query_id").alias("_q")), F.col("query_id") == F.col("_q"), "left_semi"), "attachment", F.lit(RELEVANCE["attachment"])))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ranked(out, "query_id", most)
+
+
 def rendered(evidence: DataFrame, query: str) -> DataFrame:
     """query, text: its evidence(rank, source, .., relevance, text), numbered and labelled, an empty line between."""
     label = F.when(F.col("source") == "source_node", F.concat(F.lit("[source-node:"), "node_id", F.lit(" source-span:"), F.coalesce("span_id", F.lit("none")), F.lit("]")))
