@@ -205,13 +205,26 @@ def endorsement_groups(nodes: DataFrame) -> DataFrame:
     return moved.unionByName(new.select(*(c for c in nodes.columns if c in new.columns)), allowMissingColumns=True)
 
 
+def outermost(gone: DataFrame) -> DataFrame:
+    """gone(_g, _outer): what goes, and into what; with what that goes into at last. By pointer doubling: after k rounds a row has skipped 2**k of them."""
+    now = cut(gone)
+    for _ in range(32):
+        onward = now.select(F.col("_g").alias("_n"), F.col("_outer").alias("_far"))
+        rows = now.join(onward, F.col("_outer") == F.col("_n"), "left")
+        if rows.where("_far IS NOT NULL").isEmpty():
+            return now
+        now = cut(rows.select("_g", F.coalesce("_far", "_outer").alias("_outer")))
+    raise ValueError("forms within each other go round")
+
+
 def plain_forms(nodes: DataFrame) -> DataFrame:
-    """Declarations within a policy form go up beside it; the first policy form within one goes, and its children become the outer one's."""
+    """Declarations within a policy form go up beside it; the first policy form within one goes, and its children become the outer one's. Of forms within each other, however deep, the outermost takes all."""
     forms = nodes.where("kind = 'form' AND title = 'Policy Form'").select(F.col("id").alias("_f"), F.col("parent_id").alias("_up"))
     rows = nodes.join(forms, F.col("parent_id") == F.col("_f"), "left")
     inner = F.col("_f").isNotNull() & F.col("kind").isin("form", "page_group") & (F.col("title") == "Policy Form")
     rows = cut(rows.withColumn("_n", F.when(inner, F.row_number().over(Window.partitionBy("_f", inner).orderBy("ord", "id")))))
     gone = rows.where("_n = 1").select(F.col("id").alias("_g"), F.col("_f").alias("_outer"))
+    gone = outermost(gone)
     up = F.col("_f").isNotNull() & (F.col("kind") == "page_group") & (F.col("title") == "Declarations")
     rows = rows.where("_n IS NULL OR _n > 1").withColumn("parent_id", F.when(up, F.col("_up")).otherwise(F.col("parent_id")))
     rows = rows.join(gone, F.col("parent_id") == F.col("_g"), "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 MOST_IDS, MOST_SPANS, MOST_TEXT = 12, 8, 700
 #: Characters of a node's text in the cleanup's packet, by kind.
 CLEANUP_TEXT = {"page": 260, "page_group": 260, "table_row": 520, "table_cell": 520}
@@ -34,6 +36,34 @@ def outline(nodes: DataFrame) -> DataFrame:
     return rows.select("document_id", "id", F.when(F.col("_r").isNull(), F.col("parent_id")).alias("parent_id"), place.alias("place"), "title", F.col("kind").alias("type"), F.col("kind").alias("label"), "page_start", "page_end", F.col("text_excerpt").alias("excerpt"), "source_span_ids", hash_.alias("source_text_hash"))
 
 
+def nested_outline(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
+    """document_id, outline: the tree of outline() as one JSON text, a list of nodes with their children; what a node doesn't have is left out of it.
+
+    Folded from the deepest level up: a level's nodes take their children's texts by one join and are written, so that
+    no task holds more than one node's own outline. Nodes that no root reaches aren't in it.
+    """
+    rows = cut(outline(nodes))
+    own = F.struct("id", "title", "type", "label", F.col("page_start").alias("pageStart"), F.col("page_end").alias("pageEnd"), "excerpt", F.col("excerpt").alias("content"), F.col("source_span_ids").alias("sourceSpanIds"), F.col("source_text_hash").alias("sourceTextHash"), F.array("type").alias("interpretationLabels"))
+    rows = rows.select("document_id", "id", "parent_id", "place", F.to_json(own).alias("own"))
+    levels = [cut(rows.where("parent_id IS NULL"))]
+    while not levels[-1].isEmpty():
+        if len(levels) > most_depth:
+            raise ValueError(f"deeper than {most_depth} levels")
+        above = levels[-1].select(F.col("id").alias("_up"), F.col("document_id").alias("_d"))
+        levels.append(cut(rows.join(above, (F.col("parent_id") == F.col("_up")) & F.col("document_id").eqNullSafe(F.col("_d"))).select(rows.columns)))
+    told = None  # document_id, parent_id and the texts of its children
+    for level in reversed(levels):
+        if told is not None:
+            t = told.select(F.col("document_id").alias("_d"), F.col("parent_id").alias("_p"), "children")
+            level = level.join(t, (F.col("id") == F.col("_p")) & F.col("document_id").eqNullSafe(F.col("_d")), "left").withColumn("children", F.coalesce("children", F.lit("")))
+        else:
+            level = level.withColumn("children", F.lit(""))
+        whole = F.concat(F.left("own", F.length("own") - 1), F.lit(',"children":['), "children", F.lit("]}"))
+        told = level.groupBy("document_id", "parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", whole.alias("t")))), lambda x: x["t"]), ",").alias("children"))
+        told = cut(told)
+    return told.select("document_id", F.concat(F.lit("["), "children", F.lit("]")).alias("outline"))
+
+
 def said(*parts: Column) -> Column:
     """Parts that say something, between spaces."""
     return F.array_join(F.filter(F.array(*(p.cast("string") for p in parts)), lambda t: t != ""), " ")

@@ -209,9 +209,7 @@ def compact_nodes(spark, sf):
     return J.compact_nodes(rows, cleanup=True).select("id", "text", F.size("source_span_ids").alias("n"))
 
 
-@query("""SELECT n_nationkey::VARCHAR AS id, NULL AS parent_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place, 'n' || n_nationkey AS source_text_hash FROM nation
-UNION ALL SELECT 'c' || c_custkey, c_nationkey::VARCHAR, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 'c' || c_custkey FROM customer""")
-def tree_outline(spark, sf):
+def _tree(spark, sf):
     n = _t(spark, sf, "nation")
     null, spans = F.lit(None).cast("string"), lambda name, key: F.concat(F.lit(name), key)
     made = lambda df, doc, key, parent, kind, ord_, span: df.select(doc.alias("document_id"), key.alias("id"), parent.alias("parent_id"), F.lit(kind).alias("kind"), ord_.alias("ord"), F.lit("t").alias("title"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), null.alias("text_excerpt"), F.array(span).alias("source_span_ids"))
@@ -220,7 +218,23 @@ def tree_outline(spark, sf):
     tree = tree.unionByName(made(n, region, F.col("n_nationkey").cast("string"), spans("r", region), "page", F.col("n_nationkey").cast("long"), spans("n", F.col("n_nationkey"))))
     c = _t(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     tree = tree.unionByName(made(c, region, spans("c", F.col("c_custkey")), F.col("c_nationkey").cast("string"), "text", F.col("c_custkey"), spans("c", F.col("c_custkey"))))
-    return J.outline(tree).select("id", "parent_id", F.col("place").cast("long").alias("place"), "source_text_hash")
+    return tree
+
+
+@query("""SELECT n_nationkey::VARCHAR AS id, NULL AS parent_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place, 'n' || n_nationkey AS source_text_hash FROM nation
+UNION ALL SELECT 'c' || c_custkey, c_nationkey::VARCHAR, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 'c' || c_custkey FROM customer""")
+def tree_outline(spark, sf):
+    return J.outline(_tree(spark, sf)).select("id", "parent_id", F.col("place").cast("long").alias("place"), "source_text_hash")
+
+
+OUTLINE_NODE = """'{{"id":"' || {id} || '","title":"t","type":"{kind}","label":"{kind}","pageStart":1,"pageEnd":1,"sourceSpanIds":["' || {span} || '"],"sourceTextHash":"' || {span} || '","interpretationLabels":["{kind}"],"children":[' || {children} || ']}}'"""
+CUSTOMER = OUTLINE_NODE.format(id="'c' || c_custkey", kind="text", span="'c' || c_custkey", children="''")
+NATION = OUTLINE_NODE.format(id="n_nationkey", kind="page", span="'n' || n_nationkey", children="coalesce(l, '')")
+
+
+@query(f"WITH c AS (SELECT c_nationkey AS k, string_agg({CUSTOMER}, ',' ORDER BY c_custkey) AS l FROM customer GROUP BY 1), n AS (SELECT n_regionkey, n_nationkey, {NATION} AS t FROM nation LEFT JOIN c ON k = n_nationkey) SELECT n_regionkey AS document_id, '[' || string_agg(t, ',' ORDER BY n_nationkey) || ']' AS outline FROM n GROUP BY 1")
+def tree_outline_nested(spark, sf):
+    return J.nested_outline(_tree(spark, sf))
 
 
 @query("""SELECT c_custkey, 'Cover ' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ' GL' ELSE '' END || ' limit Each ' || c_mktsegment AS text, c_custkey % 3 = 0 AS named, CASE c_custkey % 3 WHEN 0 THEN '0,1' WHEN 1 THEN '1' ELSE '' END AS entries FROM customer""")

@@ -151,3 +151,35 @@ def test_documents_of_profiles(spark):
     assert (q["quoteNumber"], q["proposedExpirationDate"], "proposedEffectiveDate" in q, "policyNumber" in q) == ("Q", "2025", False, False)
     chunks = {r.id: r.text for r in document_chunks(made).collect()}
     assert chunks["p:vehicle:0"] == "Vehicle 7: 2020 m n\nVIN: v" and chunks["p:declaration:form:1"].startswith("Form: F2\nTitle: T")
+
+
+def test_forms_within_each_other_collapse_into_the_outermost(spark):
+    rows = []
+    for d in "ab":
+        rows.append((d, f"{d}0", "root", "form", "Policy Form", 0))
+        for i in range(1, 5):
+            rows += [(d, f"{d}{i}", f"{d}{i - 1}", "form", "Policy Form", 1), (d, f"{d}p{i}", f"{d}{i}", "page", "T", 2), (d, f"{d}d{i}", f"{d}{i}", "page_group", "Declarations", 3), (d, f"{d}q{i}", f"{d}p{i}", "text", "T", 1)]
+    df = spark.createDataFrame(rows, "document_id string, id string, parent_id string, kind string, title string, ord int")
+    from citeloom.operators import grouping as G
+
+    got = {r.id: r.parent_id for r in G.plain_forms(df).collect()}
+    assert got == {f"{d}0": "root" for d in "ab"} | {f"{d}{x}{i}": f"{d}0" for d in "ab" for i in range(1, 5) for x in "pd"} | {f"{d}q{i}": f"{d}p{i}" for d in "ab" for i in range(1, 5)}
+    try:
+        G.outermost(spark.createDataFrame([("x", "y"), ("y", "x")], "_g string, _outer string")).collect()
+        raise AssertionError("a circle")
+    except ValueError:
+        pass
+
+
+def test_nested_outline(spark):
+    import json
+
+    from citeloom.operators import projections as J
+
+    rows = [("d", "r", None, "document", 0, None, []), ("d", "b", "r", "page", 2, "B", ["s2"]), ("d", "a", "r", "page", 1, 'A "q"', ["s1", "s2"]), ("d", "a1", "a", "text", 1, None, []), ("d", "a2", "a1", "text", 1, "deep", ["s3"]), ("e", "x", None, "document", 0, None, []), ("e", "y", "x", "page", 0, None, []), ("e", "lost", "nowhere", "page", 0, None, [])]
+    df = spark.createDataFrame(rows, "document_id string, id string, parent_id string, kind string, ord int, text_excerpt string, source_span_ids array<string>").withColumns({"title": F.col("id"), "page_start": F.lit(1), "page_end": F.lit(None).cast("int")})
+    got = {r.document_id: json.loads(r.outline) for r in J.nested_outline(df).collect()}
+    a, b = got["d"]
+    assert (a["id"], b["id"]) == ("a", "b") and a["excerpt"] == a["content"] == 'A "q"' and a["sourceTextHash"] == "s1:s2" and "pageEnd" not in a and a["interpretationLabels"] == ["page"]
+    assert a["children"][0]["children"][0]["id"] == "a2" and "excerpt" not in a["children"][0] and b["children"] == [] and [n["id"] for n in got["e"]] == ["y"]
+    assert J.nested_outline(df.limit(0)).count() == 0
