@@ -64,3 +64,14 @@ def canonical_json(text: Column) -> Column:
 def value_hash(text: Column) -> Column:
     """The stable hash of a JSON value: equal for values that differ in the order of keys, spaces or spelling of numbers alone."""
     return T.stable_hash(canonical_json(text))
+
+
+_PLAIN = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def without_nulls(text: Column) -> Column:
+    """JSON without the fields of objects that are null, at any depth; nulls within lists stay, as their places count. Null if it isn't JSON, or null."""
+    bare = F.to_json(F.try_parse_json(text))
+    # strings are matched whole, so nothing within one is taken for a field
+    fields = F.regexp_replace(bare, f"{_PLAIN}:null,?+|({_PLAIN})", "$1")
+    return F.nullif(F.regexp_replace(fields, rf"({_PLAIN})|,(?=\}})", "$1"), F.lit("null"))

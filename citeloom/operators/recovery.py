@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import source as S
+from .ordered import even_sample
 from .spans import pack
 
 #: Pages looked at together, pages of a region, characters of a batch and beside each entry, of an entry; kinds that give context and how many.
@@ -32,6 +33,24 @@ def page_layout(spans: DataFrame) -> DataFrame:
     return out
 
 
+def page_sketch(spans: DataFrame, nodes: DataFrame, most_nodes: int = 20, most_texts: int = 18) -> DataFrame:
+    """page_layout() with forms (of its spans, each once, in their order), structure (id, kind, title, path and first six spans of nodes on the page) and samples (span id, unit, table and the first 280 characters of texts), of both an even sample. For the pages that have spans."""
+    a, z = S.page_start(spans, True), F.coalesce(S.page_end(spans, True), S.page_start(spans, True))
+    on = spans.where((a > 0) & (z >= a)).withColumns({"page": F.explode(F.sequence(a, z)), "_c": F.coalesce(S.has(spans, "char_start", "long"), F.lit(S.LATE)), "_text": T.normalize_ws(F.col("text")), "_unit": S.unit(spans), "_table": S.table_of(spans), "_form": S.has(spans, "form_number")})
+    row = F.struct("_c", "id", "_form", "_unit", "_table", F.substring("_text", 1, 280).alias("text"))
+    held = on.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(row)).alias("l"))  # a page's spans
+    forms = F.array_distinct(F.filter(F.transform("l", lambda x: x["_form"]), lambda f: F.trim(f) != ""))
+    texts = F.transform(F.filter("l", lambda x: x["text"] != ""), lambda x: F.struct(x["id"].alias("span_id"), x["_unit"].alias("unit"), x["_table"].alias("table"), x["text"].alias("text")))
+    held = held.select(F.col("document_id").alias("_d"), F.col("page").alias("_p"), forms.alias("forms"), texts.alias("texts"))
+    first, last = F.col("page_start"), F.coalesce("page_end", "page_start")
+    some = nodes.where((F.col("kind") != "document") & (first > 0) & (last >= first)).withColumn("page", F.explode(F.sequence(first, last)))
+    node = F.struct("ord", "id", "kind", "title", "path", F.slice("source_span_ids", 1, 6).alias("source_span_ids"))
+    tree = some.groupBy(F.col("document_id").alias("_e"), F.col("page").alias("_n")).agg(F.array_sort(F.collect_list(node)).alias("s"))  # a page's nodes
+    rows = page_layout(spans).join(held, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("page") == F.col("_p"))).join(tree, F.col("document_id").eqNullSafe(F.col("_e")) & (F.col("page") == F.col("_n")), "left")
+    structure = F.transform("s", lambda x: x.dropFields("ord"))
+    return rows.select("document_id", "page", "tables", "rows", "cells", "units", "forms", even_sample(structure, most_nodes).alias("structure"), even_sample(F.col("texts"), most_texts).alias("samples"))
+
+
 def page_batches(pages: DataFrame, size: int = PAGES) -> DataFrame:
     """document_id, page, batch: pages in order, `size` together."""
     return pages.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("document_id").orderBy("page")) - 1) / size))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import budget as B
+from ..functions import canonical as C_
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import changes as C
@@ -429,10 +431,30 @@ def even_sample(spark, sf):
     return rows.select("user_id", F.array_join(O.even_sample(F.col("v"), 5), ",").alias("sample"))
 
 
-@query("SELECT role, count(*) AS calls, count(*) FILTER (text IS NOT NULL) AS with_usage, sum(ceil(octet_length(encode(text)) / 4.0))::BIGINT AS tokens, max(turn) AS rounds FROM conversations GROUP BY role")
+@query("SELECT role, count(*) AS calls, count(*) FILTER (text IS NOT NULL AND turn % 3 > 0) AS with_usage, count(*) FILTER (text IS NULL OR turn % 3 = 0) AS without_usage, coalesce(sum(ceil(octet_length(encode(text)) / 4.0)) FILTER (turn % 3 > 0), 0)::BIGINT AS input_tokens, coalesce(sum(turn) FILTER (text IS NOT NULL AND turn % 3 > 0), 0)::BIGINT AS output_tokens, sum(turn * 10)::BIGINT AS duration_ms FROM conversations GROUP BY role")
 def usage_totals(spark, sf):
-    rows = _t(spark, sf, "conversations")
-    return rows.groupBy("role").agg(F.count("*").alias("calls"), F.count("text").alias("with_usage"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"), F.max("turn").alias("rounds"))
+    told = F.col("text").isNotNull() & (F.col("turn") % 3 > 0)
+    calls = _t(spark, sf, "conversations").select("role", F.when(told, T.token_estimate(F.col("text"))).alias("input_tokens"), F.when(told, F.col("turn")).alias("output_tokens"), (F.col("turn") * 10).alias("duration_ms"))
+    return B.usage_totals(calls, "role")
+
+
+@query(r"""WITH t AS (SELECT p_partkey, 'Preface' || chr(10) || CASE p_size % 3 WHEN 0 THEN 'SECTION ' WHEN 1 THEN 'Exclusions: ' ELSE 'Scheduled ' END || p_name || chr(13) || chr(10) || repeat(p_type || '  ', 12) || 'CG ' || (1000 + p_size) || chr(10) || ' endorsement ' || p_size || chr(10) || repeat('x ', 70) AS x, p_size % 3 AS k, * EXCLUDE (p_partkey) FROM part),
+s AS (SELECT p_partkey, 1 AS section, CASE k WHEN 0 THEN 'SECTION ' ELSE 'Exclusions: ' END || p_name AS title, 2 AS n_lines, CASE k WHEN 0 THEN 'SECTION ' ELSE 'Exclusions: ' END || p_name || ' ' || repeat(p_type || ' ', 12) || 'CG ' || (1000 + p_size) AS text, 'CG ' || (1000 + p_size) AS form_number FROM t WHERE k < 2
+UNION ALL SELECT p_partkey, CASE WHEN k < 2 THEN 2 ELSE 1 END, 'endorsement ' || p_size, 2, 'endorsement ' || p_size || ' ' || trim(repeat('x ', 70)), NULL FROM t)
+SELECT p_partkey, section, title, n_lines, text, form_number FROM s WHERE length(text) >= 120""")
+def headed_sections(spark, sf):
+    """Sections by the words that head them, of pages made of parts."""
+    z = F.col("p_size")
+    head = F.when(z % 3 == 0, "SECTION ").when(z % 3 == 1, "Exclusions: ").otherwise("Scheduled ")
+    text = F.concat(F.lit("Preface\n"), head, "p_name", F.lit("\r\n"), F.repeat(F.concat("p_type", F.lit("  ")), F.lit(12)), F.lit("CG "), z + 1000, F.lit("\n endorsement "), z, F.lit("\n"), F.repeat(F.lit("x "), F.lit(70)))
+    return S.sections(_t(spark, sf, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+
+
+@query("""SELECT event_id, regexp_replace('{"a":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE event_id::VARCHAR END || ',"b":{"c":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"x\\":null,"' END || ',"d":[null,' || event_id || ']},"t":"' || event_type || '"}', '"[ac]":null,', '', 'g') AS json FROM events""")
+def nulls_stripped(spark, sf):
+    k = F.col("event_id")
+    json = F.concat(F.lit('{"t":"'), "event_type", F.lit('", "a":'), F.when(k % 2 == 0, "null").otherwise(k.cast("string")), F.lit(', "b": {"d": [null, '), k, F.lit('], "c":'), F.when(k % 3 == 0, "null").otherwise('"x\\":null,"'), F.lit("}}"))
+    return _t(spark, sf, "events").select("event_id", C_.without_nulls(json).alias("json"))
 
 
 @query("SELECT doc_id, doc_id || ':span:' || regexp_replace(source || ' x', '[^a-zA-Z0-9_.:-]', '_', 'g') AS id FROM documents")

@@ -325,3 +325,20 @@ def distinct_union(spark, sf):
     return rows.where("event_type < 'm'").union(rows.where("event_type >= 'e'")).distinct()
 
 
+
+
+@query("""WITH p AS (SELECT p_brand AS d, p_partkey AS k, p_size % 5 + 1 AS page, p_size % 3 AS u, p_name AS t, p_type AS form FROM part), e AS (SELECT *, row_number() OVER (PARTITION BY d, page ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY d, page) AS n FROM p),
+f AS (SELECT d, page, form, min(k) AS k FROM p GROUP BY ALL), g AS (SELECT d, page, string_agg(form, ',' ORDER BY k) AS forms FROM f GROUP BY ALL),
+w AS (SELECT DISTINCT d, page, n, CASE WHEN n <= 18 THEN j ELSE floor(j * (n - 1) / 17.0 + 0.5)::BIGINT END AS i, j FROM e, unnest(range(0, 18)) r(j) WHERE j < n),
+s AS (SELECT w.d, w.page, string_agg(e.k || '=' || t, '|' ORDER BY j) AS samples FROM w JOIN e ON w.d = e.d AND w.page = e.page AND w.i = e.i GROUP BY ALL),
+x AS (SELECT DISTINCT d, page, n, CASE WHEN n <= 20 THEN j ELSE floor(j * (n - 1) / 19.0 + 0.5)::BIGINT END AS i, j FROM e, unnest(range(0, 20)) r(j) WHERE j < n), y AS (SELECT x.d, x.page, string_agg('n' || e.k, ',' ORDER BY j) AS structure FROM x JOIN e ON x.d = e.d AND x.page = e.page AND x.i = e.i GROUP BY ALL)
+SELECT p.d AS document_id, p.page::INTEGER AS page, count(*) FILTER (u = 1) AS rows, count(*) FILTER (u = 2) AS cells, any_value(forms) AS forms, any_value(structure) AS structure, any_value(samples) AS samples FROM p JOIN g USING (d, page) JOIN s USING (d, page) JOIN y USING (d, page) GROUP BY p.d, p.page""")
+def page_sketches(spark, sf):
+    k = F.col("p_partkey")
+    page = (F.col("p_size") % 5 + 1).cast("int")
+    parts = _t(spark, sf, "part")
+    spans = parts.select(F.col("p_brand").alias("document_id"), F.lpad(k.cast("string"), 9, "0").alias("id"), page.alias("page_start"), page.alias("page_end"), F.when(F.col("p_size") % 3 == 1, "table_row").when(F.col("p_size") % 3 == 2, "table_cell").otherwise("text").alias("source_unit"), F.concat(F.lit("  "), "p_name").alias("text"), F.col("p_type").alias("form_number"))
+    nodes = parts.select(F.col("p_brand").alias("document_id"), F.concat(F.lit("n"), k).alias("id"), F.lit("page").alias("kind"), F.lit("T").alias("title"), F.lit("1").alias("path"), k.alias("ord"), page.alias("page_start"), page.alias("page_end"), F.array(F.lit("s")).alias("source_span_ids"))
+    rows = V.page_sketch(spans, nodes)
+    said = F.array_join(F.transform("samples", lambda x: F.concat(x["span_id"].cast("long").cast("string"), F.lit("="), x["text"])), "|")
+    return rows.select("document_id", "page", "rows", "cells", F.array_join("forms", ",").alias("forms"), F.array_join(F.transform("structure", lambda x: x["id"]), ",").alias("structure"), said.alias("samples"))

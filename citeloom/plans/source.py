@@ -205,3 +205,18 @@ z AS (SELECT *, min(CASE WHEN event_type = 'error' AND k > a THEN k END) OVER (P
 def first_run(spark, sf):
     rows = _t(spark, sf, "events").select("user_id", "event_id", F.col("user_id").alias("parent_id"), F.col("event_id").alias("ord"), F.col("event_id").alias("id"), "event_type")
     return ST.first_run(rows, F.col("event_type") == "purchase", F.col("event_type") == "error").select("user_id", "event_id", "in_run")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, 'r' || l_orderkey || '-' || l_linenumber AS row, l_partkey % 3 > 0 AS has_row, l_partkey % 4 AS cells FROM lineitem),
+s AS (SELECT row AS id, o AS document_id FROM r WHERE has_row UNION ALL SELECT row || ':' || c, o FROM r, unnest(range(0, cells)) u(c) WHERE row NOT IN (SELECT row FROM r WHERE has_row) UNION ALL SELECT row || ':t', o FROM r)
+SELECT id, document_id FROM s""")
+def chunkable_spans(spark, sf):
+    """Rows of orders as table rows and cells: cells whose row is there as a span go."""
+    row = F.concat(F.lit("r"), "l_orderkey", F.lit("-"), "l_linenumber")
+    lines = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), row.alias("row"), "l_partkey")
+    none = F.lit(None).cast("string")
+    span = lambda df, id_, kind, parent: df.select(id_.alias("id"), "document_id", F.lit(kind).alias("source_unit"), parent.alias("parent_span_id"))
+    rows = span(lines.where("l_partkey % 3 > 0"), F.col("row"), "table_row", none)
+    cells = span(lines.where("l_partkey % 4 > 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("l_partkey") % 4))), F.concat_ws(":", "row", F.col("c") - 1), "table_cell", F.col("row"))
+    texts = span(lines, F.concat_ws(":", "row", F.lit("t")), "text", F.col("row"))
+    return S.chunkable(rows.unionByName(cells).unionByName(texts)).select("id", "document_id")

@@ -80,3 +80,30 @@ def test_canonical_text_and_hash_of_any_value(spark):
     # a struct's absent fields aren't part of it, however it is written
     pair = spark.sql("SELECT to_json(named_struct('b', 2.50D, 'a', cast(null AS string), 'c', named_struct('y', array(1, 2), 'x', 'é'))) AS t")
     assert pair.select(C.canonical_json(F.col("t"))).first()[0] == '{"b":2.5,"c":{"x":"é","y":[1,2]}}'
+
+
+def test_nulls_of_objects_go_and_those_of_lists_stay(spark):
+    rng = random.Random(3)
+
+    def bare(v):
+        if isinstance(v, dict):
+            return {k: bare(x) for k, x in v.items() if x is not None}
+        return [bare(x) for x in v] if isinstance(v, list) else v
+
+    values = [anything(rng, 5) for _ in range(200)] + [{"a": None}, {"a": None, "b": None}, {"z": {"y": None}, "a": [None, {"b": None}]}, {'x":null,': 'y":null,"'}, None]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(values)]
+    got = {r.i: r.t for r in spark.createDataFrame(rows, "i int, t string").select("i", C.without_nulls(F.col("t")).alias("t")).collect()}
+    assert all((json.loads(got[i]) if got[i] is not None else None) == bare(v) for i, v in enumerate(values))
+
+
+def test_stored_rows_are_read_and_written(spark):
+    from citeloom.sources import rows as R
+
+    stored = spark.createDataFrame([("1", '{"tableId":"t","rowIndex":2}', '{"page":3}', '[{"page":1,"x":0.5}]', '{"k":"v"}'), ("2", None, "", "no", None)], "id string, table_location string, location string, bbox string, metadata string")
+    one, two = R.decoded(stored, R.SPANS).orderBy("id").collect()
+    assert one.table_location.tableId == "t" and one.table_location.rowIndex == 2 and one.location.page == 3 and one.bbox[0].x == 0.5 and one.metadata == {"k": "v"}
+    assert (two.table_location, two.location, two.bbox, two.metadata) == (None, None, None, {})
+    again = R.encoded(R.decoded(stored, R.SPANS), R.SPANS).orderBy("id").collect()
+    assert json.loads(again[0].table_location) == {"tableId": "t", "rowIndex": 2} and again[0].metadata == '{"k":"v"}' and (again[1].location, again[1].metadata) == (None, "{}")
+    chunks = spark.createDataFrame([("1", '["a","b"]', None), ("2", "", "x")], "id string, source_span_ids string, metadata string")
+    assert [r.source_span_ids for r in R.decoded(chunks, R.CHUNKS).orderBy("id").collect()] == [["a", "b"], []]
