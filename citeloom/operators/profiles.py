@@ -7,8 +7,9 @@ tables: which of the ids that a candidate cites the document has, and what its l
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -184,7 +185,7 @@ def _cited_ids(profile: Column, field: str) -> Column:
 
 def known_ids(candidates: DataFrame, ids: DataFrame, field: str, name: str) -> DataFrame:
     """Of the ids that a document's candidate cites those that ids(document_id, id) has, as an array: no longer than its own citations."""
-    cited = candidates.select("document_id", F.explode(_cited_ids(F.col("candidate"), field)).alias("id"))
+    cited = candidates.select("document_id", F.explode(_expressions(id(SparkContext._gateway))[field]).alias("id"))
     found = cited.join(ids.select(F.col("document_id").alias("_d"), F.col("id").alias("_i")), (F.col("document_id") == F.col("_d")) & (F.col("id") == F.col("_i")), "left_semi")
     return found.groupBy(F.col("document_id").alias(f"_{name}_of")).agg(F.collect_set("id").alias(name))
 
@@ -239,22 +240,29 @@ def merge_profiles(base: DataFrame, candidates: DataFrame, nodes: DataFrame, spa
     for ids, field, name in ((nodes, "sourceNodeIds", "nodes"), (spans, "sourceSpanIds", "spans")):
         found = known_ids(rows.where("candidate IS NOT NULL"), ids, field, name)
         rows = rows.join(found, F.col("document_id") == F.col(f"_{name}_of"), "left").drop(f"_{name}_of").withColumn(name, _list(F.col(name), "string"))
-    b, c, n, s = (F.col(x) for x in ("base", "candidate", "nodes", "spans"))
-    rows = rows.withColumn("chosen", chosen_coverages(b["coverages"], c["coverages"], n, s))
+    made = _expressions(id(SparkContext._gateway))
+    rows = rows.withColumn("chosen", made["chosen"])
     rows = _coded(cut(rows), labels, legacy, old, coverage_codes)
     # values are made once, in a projection of their own
+    rows = rows.select("*", made["values"].alias("v"), made["product"].alias("p")).withColumns(made["parts"])
+    rows = cut(rows.select("document_id", "candidate", "nodes", "spans", "lines_source", made["whole"].alias("profile")))  # its parts aren't made again for every id that is gathered from them
+    return rows.select("document_id", made["gathered"].alias("profile"), "lines_source")
+
+
+@lru_cache(maxsize=1)
+def _expressions(gateway: int) -> dict:
+    """The merge's expressions over the columns base, candidate, nodes, spans and what is made of them by name: they are large, the same for every table, and built once (for the JVM they are built in)."""
+    b, c, n, s = (F.col(x) for x in ("base", "candidate", "nodes", "spans"))
     values = {x: merged_value(b[x], c[x], n, s).alias(x) for x in VALUES}
     product = {x: merged_value(b["productIdentity"][x], c["productIdentity"][x], n, s).alias(x) for x in PRODUCT}
-    rows = rows.select("*", F.struct(*values.values()).alias("v"), F.struct(*product.values()).alias("p"))
     v = {x: F.col("v")[x] for x in VALUES}
     coverages = F.transform("chosen", lambda x, i: x.withField("lineOfBusiness", F.col("coded")[i]["line"]).withField("coverageCode", F.col("coded")[i]["code"]))
     parts = {
-        "declarationFacts": merged_facts(b["declarationFacts"], c["declarationFacts"], v, n, s),
-        "coverages": coverages,
-        "parties": merged_parties(b["parties"], c["parties"], v, n, s),
-        "endorsementSupport": merged_support(b["endorsementSupport"], c["endorsementSupport"], n, s),
+        "m_declarationFacts": merged_facts(b["declarationFacts"], c["declarationFacts"], v, n, s),
+        "m_coverages": coverages,
+        "m_parties": merged_parties(b["parties"], c["parties"], v, n, s),
+        "m_endorsementSupport": merged_support(b["endorsementSupport"], c["endorsementSupport"], n, s),
     }
-    rows = rows.withColumns({f"m_{k}": x for k, x in parts.items()})
     told = F.filter(_list(c["warnings"], "string"), lambda w: F.trim(w) != "")
     some = reduce(lambda x, y: x | y, (F.col("p")[x].isNotNull() for x in PRODUCT))
     made = {
@@ -262,14 +270,21 @@ def merge_profiles(base: DataFrame, candidates: DataFrame, nodes: DataFrame, spa
         "linesOfBusiness": F.col("lines"),
         **v,
         "productIdentity": F.when(some, F.col("p")),
-        **{k: F.col(f"m_{k}") for k in parts},
+        **{k[2:]: F.col(k) for k in parts},
         "warnings": F.array_distinct(F.concat(_list(b["warnings"], "string"), told)),
     }
     whole = F.struct(*(made.get(x.name, _list(b[x.name], "string")).alias(x.name) for x in null_fields()))
-    rows = cut(rows.select("document_id", "candidate", "nodes", "spans", "lines_source", whole.alias("profile")))  # its parts aren't made again for every id that is gathered from them
     p = F.col("profile")
-    ids = {f: _union(_list(p[f], "string"), kept(F.col("candidate")[f], F.col(x)), _cited_ids(p, f)) for f, x in (("sourceNodeIds", "nodes"), ("sourceSpanIds", "spans"))}
-    return rows.select("document_id", reduce(lambda x, f: x.withField(f, ids[f]), ids, p).alias("profile"), "lines_source")
+    ids = {f: _union(_list(p[f], "string"), kept(c[f], F.col(x)), _cited_ids(p, f)) for f, x in (("sourceNodeIds", "nodes"), ("sourceSpanIds", "spans"))}
+    return {
+        "chosen": chosen_coverages(b["coverages"], c["coverages"], n, s),
+        "values": F.struct(*values.values()),
+        "product": F.struct(*product.values()),
+        "parts": parts,
+        "whole": whole,
+        "gathered": reduce(lambda x, f: x.withField(f, ids[f]), ids, p),
+        **{f: _cited_ids(c, f) for f in ids},
+    }
 
 
 def null_fields() -> list[T_.StructField]:
