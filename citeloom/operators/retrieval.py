@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.scratch import cut
 from . import search
 
@@ -117,8 +118,8 @@ def retrieve(questions: DataFrame, spans: DataFrame, chunks: DataFrame, document
     c = c.select("query_id", "chunk_id", "document_id").join(chunks.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
     d = found_documents(rows.where("b.documents"), documents)
     # turns are searched within the question's own conversation
-    asked = rows.where("b.turns").select("query_id", F.col("conversation_id").alias("_conv"), search.T.tokens(F.col("question")).alias("_terms"))
-    t = turns.join(asked, F.col("conversation_id") == F.col("_conv")).withColumn("relevance", search.T.lexical_relevance(F.col("text"), F.col("_terms"))).where("relevance > 0")
+    asked = rows.where("b.turns").select("query_id", F.col("conversation_id").alias("_conv"), T.tokens(F.col("question")).alias("_terms"))
+    t = turns.join(asked, F.col("conversation_id") == F.col("_conv")).withColumn("relevance", T.lexical_relevance(F.col("text"), F.col("_terms"))).where("relevance > 0")
     t = t.withColumn("_n", F.row_number().over(best("query_id").orderBy(F.desc("relevance"), "pos", "turn_id"))).where(F.col("_n") <= TURNS)
     t = t.withColumn("text", F.concat(F.lit("["), "role", F.lit("]: "), "text")).drop("document_id")
     parts = [_as_evidence(s, "source_span", F.col("relevance")), _as_evidence(c, "chunk", F.lit(RELEVANCE["chunk"])), _as_evidence(d, "document", F.lit(RELEVANCE["document"])), _as_evidence(t, "conversation", F.lit(RELEVANCE["conversation"]))]
