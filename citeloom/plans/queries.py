@@ -503,4 +503,4 @@ def change_execution_modes(spark, sf):
     return C.execution_modes(cases, _changes(spark, sf))
 
 
-from . import changes as _changes_, documents as _documents, profiles as _profiles, recovery as _recovery, retrieval as _retrieval, review as _review, source as _source  # noqa: E402, F401  (they register their queries here)
+from . import change_cases as _change_cases, changes as _changes_, documents as _documents, profiles as _profiles, recovery as _recovery, retrieval as _retrieval, review as _review, source as _source  # noqa: E402, F401  (they register their queries here)
