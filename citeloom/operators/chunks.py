@@ -1,7 +1,7 @@
 """Chunks of validated documents: one row for each fact that can be searched.
 
-A document is JSON of any shape. A family says where its items lie and how one reads; families are rows of a literal array,
-so that a table of documents is scanned once and nothing is shuffled.
+A document is JSON of any shape. A family says where its items lie and how one reads; families are unrolled into plain
+expressions when the plan is built, a table of documents is scanned once and nothing is shuffled.
 
 A line is a template, or a bare key whose label follows from it (yearBuilt: 'Year Built: ...'). In a template {key} wants a
 value that counts (not missing, '', 0 or false), {key!} one that isn't missing; a line without such a value is left out. <...>
@@ -228,9 +228,6 @@ each coverages: {type!}: <Limit {limit}, ><Ded {deductible}, >{included:inout}""
 SUPPLEMENT = ["claimsContacts", "regulatoryContacts", "thirdPartyAdministrators"]  # lists that each take a number of the supplement
 NOTICES = ["cancellationNoticeDays", "nonrenewalNoticeDays"]  # together they take the next
 
-PIECE = "struct<pre:string,keys:array<string>,how:string,need:int,fall:string,post:string>"
-LINE = f"struct<each:string,pieces:array<{PIECE}>,tail:string>"
-FAMILY = f"struct<suffix:string,type:string,outer:array<string>,inner:string,lines:array<{LINE}>,metadata:array<struct<name:string,piece:{PIECE}>>,evidence:string,only:string,needs:string,least:int,rank:int>"
 OPTIONAL, COUNTS, THERE = 0, 1, 2
 TOKEN = re.compile(r"<([^<>{}]*)\{([^{}]*)\}([^<>{}]*)>|\{([^{}]*)\}")
 
@@ -273,25 +270,6 @@ def _metadata(said: str) -> list[tuple]:
     return found
 
 
-def _row(f: Family) -> tuple:
-    outer, _, inner = f.over.partition(".")
-    return f.suffix, f.type, outer.split("|") if outer else [], inner, [_line(x) for x in f.lines.split("\n")], _metadata(f.metadata), f.evidence, f.only, f.needs, f.least, f.rank
-
-
-def _literal(value, kind: str) -> Column:
-    """Nested tuples and lists as a literal of that type."""
-    import json
-
-    from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
-
-    def plain(v, t):
-        if isinstance(t, ArrayType):
-            return [plain(x, t.elementType) for x in v]
-        return {f.name: plain(x, f.dataType) for f, x in zip(t.fields, v, strict=True)} if isinstance(t, StructType) else v
-
-    return F.from_json(F.lit(json.dumps(plain(value, _parse_datatype_string(kind)))), kind)
-
-
 def _fields(v: Column) -> Column:
     """A variant's fields; one that isn't an object is its own field ''."""
     return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.when(v.isNotNull(), F.create_map(F.lit(""), v)))
@@ -315,77 +293,155 @@ def _told(v: Column) -> Column:
     return F.filter(F.transform(_list(v), _text), lambda t: F.trim(t) != "")
 
 
-def _counts(v: Column) -> Column:
-    s = _text(v)
-    return F.coalesce((s != "") & (s != "[]") & F.when(s.isin("0", "false"), F.schema_of_variant(v) == "STRING").otherwise(True), F.lit(False))
+# What follows is written as SQL text: a family has hundreds of expressions, and building them one by one from Python takes longer than running them.
+
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
-def _joined(values: Column, sep) -> Column:
-    return F.array_join(F.filter(values, lambda x: x != ""), sep)
 
+def _object(x: str) -> str:
+    return f"(try_variant_get({x}, '$', 'struct<_:string>') IS NOT NULL)"
 
-def _value(p: Column, m: Column, i: Column, j: Column) -> Column:
-    """What a piece says: null if nothing."""
-    found = F.transform(p["keys"], lambda k: F.try_element_at(m, k))
-    v = F.try_element_at(F.filter(found, lambda x: F.when(p["need"] == THERE, x.isNotNull()).otherwise(_counts(x))), F.lit(1))
-    how, yes = p["how"], _counts(v)
-    place = _fields(v)
-    address = _joined(F.transform(F.array(*map(F.lit, ("street1", "street2", "city", "state", "zip", "country"))), lambda k: F.coalesce(_text(F.try_element_at(place, k)), F.lit(""))), ", ")
-    title = lambda x, n: F.coalesce(_text(F.try_element_at(x, F.lit("title"))), _text(F.try_element_at(x, F.lit("originalTitle"))), F.concat(F.lit("Child "), n + 1))
-    said = (
-        F.when(F.try_element_at(p["keys"], F.lit(1)) == "#j", j.cast("string"))
-        .when(how == "", _text(v))
-        .when(how == "flag", F.when(yes, "Yes").otherwise("No"))
-        .when(how == "inout", F.when(yes, "Included").otherwise("Excluded"))
-        .when(how == "bar", _joined(F.transform(found, lambda x: F.when(_counts(x), _text(x)).otherwise("")), " | "))
-        .when(v.isNull(), F.lit(None).cast("string"))
-        .when(how == "yesno", F.when(yes, "Yes").otherwise("No"))
-        .when(how == "some", F.lit("true"))
-        .when(how == "address", address)
-        .when(how == "titles", F.array_join(F.transform(_records(v), title), ", "))
-        .otherwise(F.call_function("array_join", _told(v), how))
-    )
-    return F.coalesce(said, F.when(p["fall"] != "", F.concat_ws(" ", p["fall"], i + 1)))
 
+def _get(x: str, key: str, kind: str = "variant") -> str:
+    """A field of an object; '' is a value that isn't one."""
+    return f"try_variant_get({x}, '$.{key}', '{kind}')" if key else f"IF({_object(x)}, NULL, try_variant_get({x}, '$', '{kind}'))"
 
-def _said(pieces: Column, tail: Column, m: Column, i: Column, j: Column) -> Column:
-    one = lambda p: F.when(F.size(p["keys"]) == 0, p["pre"]).otherwise(F.coalesce(F.concat(p["pre"], _value(p, m, i, j), p["post"]), F.when(p["need"] == OPTIONAL, "")))
-    said = F.transform(pieces, one)
-    return F.when(~F.exists(said, lambda x: x.isNull()), F.concat(F.array_join(said, ""), tail))
 
+def _listed(v: str) -> str:
+    return f"coalesce(try_variant_get({v}, '$', 'array<variant>'), CASE WHEN {v} IS NOT NULL AND NOT is_variant_null({v}) THEN array({v}) END, CAST(array() AS array<variant>))"
 
-def _written(line: Column, m: Column, i: Column, j: Column) -> Column:
-    """A line of an item; null if it has nothing to say."""
-    texts = F.transform(F.filter(F.map_entries(m), lambda x: (F.schema_of_variant(x["value"]) == "STRING") & (_text(x["value"]) != "")), lambda x: F.concat(x["key"], F.lit(": "), _text(x["value"])))
-    each = F.transform(_records(F.try_element_at(m, line["each"])), lambda x: _said(line["pieces"], line["tail"], x, i, j))
-    many = F.when(line["each"] == "*", texts).otherwise(F.filter(each, lambda x: x.isNotNull()))
-    return F.nullif(F.when(line["each"] == "", _said(line["pieces"], line["tail"], m, i, j)).otherwise(F.array_join(many, "\n")), F.lit(""))
+
+def _spoken(v: str) -> str:
+    """A list's elements, without those that say nothing."""
+    return f"filter({_listed(v)}, r -> coalesce({_object('r')} OR trim(try_variant_get(r, '$', 'string')) <> '', false))"
+
+
+def _texts(v: str) -> str:
+    return f"filter(transform({_listed(v)}, t -> try_variant_get(t, '$', 'string')), t -> trim(t) <> '')"
+
+
+@dataclass(frozen=True)
+class Item:
+    """What a family reads: the item, the one above it, and their positions, by the names of their columns."""
+
+    x: str
+    above: str = "NULL"
+    i: str = "0"
+    j: str = "0"
+
+    def get(self, key: str, kind: str = "variant") -> str:
+        return _get(self.above, key[1:], kind) if key.startswith("^") else _get(self.x, key, kind)
+
+    def counted(self, key: str) -> str:
+        """A field's text if it counts, else null."""
+        s = self.get(key, "string")
+        return f"CASE WHEN {s} NOT IN ('', '[]', '0', 'false') THEN {s} WHEN {s} IN ('0', 'false') AND schema_of_variant({self.get(key)}) = 'STRING' THEN {s} END"
+
+    def counts(self, key: str) -> str:
+        return f"({self.counted(key)}) IS NOT NULL"
+
+    def value(self, piece: tuple) -> str:
+        """What a piece says: null if nothing."""
+        _, keys, how, need, fall, _ = piece
+        there = (lambda k: f"{self.get(k)} IS NOT NULL") if need == THERE else self.counts
+        if keys == ["#j"]:
+            said = f"CAST({self.j} AS string)"
+        elif how in ("flag", "inout"):
+            yes, no = ("Yes", "No") if how == "flag" else ("Included", "Excluded")
+            said = f"IF({' OR '.join(map(self.counts, keys))}, '{yes}', '{no}')"
+        elif how == "bar":
+            said = f"concat_ws(' | ', {', '.join(map(self.counted, keys))})"
+        elif how == "":
+            said = f"coalesce({', '.join(self.get(k, 'string') if need == THERE else self.counted(k) for k in keys)})"
+        else:
+            said = f"coalesce({', '.join(f'CASE WHEN {there(k)} THEN {self._how(k, how)} END' for k in keys)})"
+        return f"coalesce({said}, concat_ws(' ', {_lit(fall)}, {self.i} + 1))" if fall else said
+
+    def _how(self, key: str, how: str) -> str:
+        v = self.get(key)
+        if how == "yesno":
+            return f"IF({self.counts(key)}, 'Yes', 'No')"
+        if how == "some":
+            return "'true'"
+        if how == "address":
+            parts = (_get(v, k, "string") for k in ("street1", "street2", "city", "state", "zip", "country"))
+            told = ", ".join(f"IF({t} <> '', {t}, NULL)" for t in parts)
+            return f"concat_ws(', ', {told})"
+        if how == "titles":
+            return f"array_join(transform({_spoken(v)}, (c, n) -> coalesce({_get('c', 'title', 'string')}, {_get('c', 'originalTitle', 'string')}, concat('Child ', n + 1))), ', ')"
+        return f"array_join({_texts(v)}, {_lit(how)})"
+
+    def said(self, pieces: list[tuple], tail: str) -> str:
+        """A line; null if a value that it needs is missing, or if it says nothing."""
+        parts, sure = [], bool(tail)
+        for piece in pieces:
+            pre, keys, _, need, _, post = piece
+            if not keys:
+                parts.append(_lit(pre))
+                sure |= bool(pre)
+                continue
+            around = [_lit(pre)] * bool(pre) + [self.value(piece)] + [_lit(post)] * bool(post)
+            told = f"concat({', '.join(around)})"
+            parts.append(f"coalesce({told}, '')" if need == OPTIONAL else told)
+            sure |= need != OPTIONAL and bool(pre or post)
+        line = f"concat({', '.join(parts + [_lit(tail)] * bool(tail))})"
+        return line if sure else f"IF({line} <> '', {line}, NULL)"
+
+    def line(self, each: str, pieces: list[tuple], tail: str) -> str:
+        if not each:
+            return self.said(pieces, tail)
+        if each == "*":
+            text = "try_variant_get(e.value, '$', 'string')"
+            many = f"transform(filter(map_entries(try_variant_get({self.x}, '$', 'map<string,variant>')), e -> schema_of_variant(e.value) = 'STRING' AND {text} <> ''), e -> concat(e.key, ': ', {text}))"
+        else:
+            many = f"filter(transform({_spoken(self.get(each))}, y -> {Item('y', self.x, self.i, self.j).said(pieces, tail)}), t -> t IS NOT NULL)"
+        return f"nullif(array_join({many}, '\\n'), '')"
+
+
+def _chunk(f: Family, item: Item) -> str:
+    """An item's chunk: suffix of its id, type, text and metadata; null if it gives none."""
+    lines = [item.line(*_line(x)) for x in f.lines.split("\n")]
+    number = f"size(filter(slice(_told, 1, {f.rank}), t -> t))" if f.rank else "0"
+    suffix = _lit(f.suffix)
+    for name, value in (("{i}", item.i), ("{i+1}", f"{item.i} + 1"), ("{j}", item.j), ("{n}", number), ("{n+i}", f"{number} + {item.i}")):
+        if name in f.suffix:
+            suffix = f"replace({suffix}, '{name}', CAST({value} AS string))"
+    told = [(name, item.value((*p[:3], COUNTS if len(p[1]) > 1 else THERE, *p[4:])) if p[1] else _lit(p[0])) for name, p in _metadata(f.metadata)]
+    told += [("evidenceKind", _lit(f.evidence)), ("documentType", "_type"), ("linesOfBusiness", "_lob")]
+    metadata = "map_from_entries(filter(array({}), e -> e.value <> ''))".format(", ".join(f"struct('{k}' AS key, {v} AS value)" for k, v in told))
+    made = f"struct({suffix} AS suffix, '{f.type}' AS type, concat_ws('\\n', {', '.join(lines)}) AS text, {metadata} AS metadata)"
+    conditions = ([item.counts(f.needs)] if f.needs else []) + ([f"{' + '.join(f'int(({x}) IS NOT NULL)' for x in lines)} >= {f.least}"] if f.least else [])
+    if f.only:
+        conditions.append("NOT _type <=> 'policy'" if f.only == "!policy" else f"_type <=> {_lit(f.only)}")
+    return f"IF({' AND '.join(conditions)}, {made}, NULL)" if conditions else made
 
 
 def document_chunks(documents: DataFrame, families: list[Family] = FAMILIES) -> DataFrame:
-    """documents(document_id, json) -> id, document_id, type, text, metadata (a map of strings; empty values are left out)."""
-    first = lambda keys: F.try_element_at(F.filter(F.transform(keys, lambda k: F.try_element_at(F.col("_m"), k)), lambda x: x.isNotNull()), F.lit(1))
-    doc = documents.select("document_id", F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>").alias("_m")).where("_m IS NOT NULL")
-    at = lambda k: F.try_element_at(F.col("_m"), F.lit(k))
-    lists = [F.size(_records(at(k))) > 0 for k in SUPPLEMENT]
-    told = F.array(*lists, F.coalesce(*map(at, NOTICES)).isNotNull())
-    doc = doc.select("*", _text(at("type")).alias("_type"), F.array_join(_told(at("linesOfBusiness")), ",").alias("_lob"), told.alias("_told"))
-    fits = lambda f: ((f["only"] == "") | f["only"].eqNullSafe(F.col("_type")) | ((f["only"] == "!policy") & ~F.col("_type").eqNullSafe("policy"))) & ((F.size(f["outer"]) == 0) | first(f["outer"]).isNotNull())
-    rows = doc.select("*", F.explode(F.filter(_literal([_row(f) for f in families], f"array<{FAMILY}>"), fits)).alias("_f"))
-    f = F.col("_f")
-    whole = F.array(F.col("_m"))
-    rows = rows.select("*", F.posexplode(F.when(F.size(f["outer"]) == 0, whole).otherwise(_records(first(f["outer"])))).alias("_i", "_o"))
-    inner = F.transform(_records(F.try_element_at("_o", f["inner"])), lambda x: F.map_concat(F.transform_keys("_o", lambda k, v: F.concat(F.lit("^"), k)), x))
-    rows = rows.select("document_id", "_type", "_lob", "_told", "_f", "_i", F.posexplode(F.when(f["inner"] == "", F.array("_o")).otherwise(inner)).alias("_j", "_x"))
-    i, j, x = F.col("_i"), F.col("_j"), F.col("_x")
-    rows = rows.where((f["needs"] == "") | _counts(F.try_element_at(x, f["needs"])))
-    lines = F.filter(F.transform(f["lines"], lambda line: _written(line, x, i, j)), lambda s: s.isNotNull())
-    rows = rows.withColumn("_l", lines).where(F.size("_l") >= f["least"])
-    number = F.size(F.filter(F.slice("_told", 1, f["rank"]), lambda t: t))
-    suffix = f["suffix"]
-    for name, value in (("{i}", i), ("{i+1}", i + 1), ("{j}", j), ("{n}", number), ("{n+i}", number + i)):
-        suffix = F.replace(suffix, F.lit(name), value.cast("string"))
-    own = F.transform(f["metadata"], lambda e: F.struct(e["name"].alias("key"), F.when(F.size(e["piece"]["keys"]) == 0, e["piece"]["pre"]).otherwise(_value(F.struct(e["piece"]["keys"].alias("keys"), e["piece"]["how"].alias("how"), F.when(F.size(e["piece"]["keys"]) > 1, COUNTS).otherwise(THERE).alias("need"), e["piece"]["fall"].alias("fall")), x, i, j)).alias("value")))
-    fixed = [F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("evidenceKind", f["evidence"]), ("documentType", F.col("_type")), ("linesOfBusiness", F.col("_lob")))]
-    metadata = F.map_from_entries(F.filter(F.concat(own, F.array(*fixed)), lambda e: e["value"] != ""))
-    return rows.select(F.concat_ws(":", "document_id", suffix).alias("id"), "document_id", f["type"].alias("type"), F.array_join("_l", "\n").alias("text"), metadata.alias("metadata"))
+    """documents(document_id, json) -> id, document_id, type, text, metadata (a map of strings; empty values are left out).
+
+    Families of whole documents are told in the document's row, those of items in a row for each item.
+    """
+    found = ", ".join([f"size({_spoken(_get('_v', k))}) > 0" for k in SUPPLEMENT] + [f"coalesce({', '.join(_get('_v', k) for k in NOTICES)}) IS NOT NULL"])
+    doc = documents.select("document_id", F.try_parse_json("json").alias("_v")).where(_object("_v"))
+    doc = doc.selectExpr("document_id", "_v", f"{_get('_v', 'type', 'string')} AS _type", f"array_join({_texts(_get('_v', 'linesOfBusiness'))}, ',') AS _lob", f"array({found}) AS _told")
+    shape = "struct<f:int,i:int,j:int,x:variant,above:variant>"
+    made = "struct<suffix:string,type:string,text:string,metadata:map<string,string>>"
+    item = lambda n, i, j, x, above: f"struct({n} AS f, int({i}) AS i, int({j}) AS j, {x} AS x, CAST({above} AS variant) AS above)"
+    whole, items, cases = [], [], []
+    for n, f in enumerate(families):
+        if not f.over:
+            whole.append(_chunk(f, Item("_v")))
+            continue
+        outer, _, inner = f.over.partition(".")
+        over = _spoken(f"coalesce({', '.join(_get('_v', k) for k in outer.split('|'))})")
+        inside = f"transform({_spoken(_get('o', inner))}, (x, j) -> {item(n, 'i', 'j', 'x', 'o')})"
+        items.append(f"flatten(transform({over}, (o, i) -> {inside}))" if inner else f"transform({over}, (x, i) -> {item(n, 'i', 0, 'x', 'NULL')})")
+        cases.append(f"WHEN {n} THEN {_chunk(f, Item('_x', '_above', '_i', '_j'))}")
+    done = f"transform(filter(CAST(array({', '.join(whole)}) AS array<{made}>), c -> c IS NOT NULL), c -> struct(c AS done, CAST(NULL AS {shape}) AS item))"
+    todo = f"transform(concat(CAST(array() AS array<{shape}>), {', '.join(items)}), t -> struct(CAST(NULL AS {made}) AS done, t AS item))" if items else f"CAST(array() AS array<struct<done:{made},item:{shape}>>)"
+    rows = doc.selectExpr("document_id", "_type", "_lob", "_told", f"explode(concat({done}, {todo})) AS _r")
+    rows = rows.selectExpr("document_id", "_type", "_lob", "_told", "_r.done AS _done", *(f"_r.item.{c} AS _{c}" for c in ("f", "i", "j", "x", "above")))
+    rows = rows.selectExpr("document_id", f"coalesce(_done, CASE _f {' '.join(cases)} END) AS _c" if cases else "_done AS _c").where("_c IS NOT NULL")
+    return rows.selectExpr("concat_ws(':', document_id, _c.suffix) AS id", "document_id", "_c.type", "_c.text", "_c.metadata")
