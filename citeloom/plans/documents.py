@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contexts as X
 from ..operators import chunks as K
+from ..operators import templates as L
 from ..operators import evidence as E
 from ..operators import grouping as G
 from ..operators import materialize as M
@@ -288,3 +289,17 @@ def documents_of_profiles(spark, sf):
     made = M.documents_of_profiles(_t(spark, sf, "customer").select(k.cast("string").alias("document_id"), F.to_json(doc).alias("json")))
     at = lambda p: F.get_json_object("json", f"$.{p}")
     return made.select("document_id", at("type").alias("type"), F.coalesce(at("policyNumber"), at("quoteNumber")).alias("number"), at("carrier").alias("carrier"), at("insurer.address.city").alias("town"), at("insuredEntityType").alias("entity"), at("summary").alias("summary"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS d, ['renters_ho4', 'cyber', 'flood_nfip', 'nonsense', NULL][c_custkey % 5 + 1] AS t FROM customer), m AS (SELECT d, CASE t WHEN 'renters_ho4' THEN 'homeowners' WHEN 'cyber' THEN 'cyber' ELSE 'unknown' END AS template FROM n),
+w AS (SELECT d, template, unnest(CASE template WHEN 'homeowners' THEN ['declarations', 'conditions'] WHEN 'cyber' THEN ['breach', 'declarations'] ELSE ['carrier_info', 'named_insured', 'coverage_limits', 'endorsements', 'exclusions', 'conditions', 'premium_breakdown', 'sections'] END) AS section FROM m),
+h AS (SELECT DISTINCT o_custkey AS d, ['declarations', 'carrier_info', 'conditions', 'other'][o_orderkey % 4 + 1] AS section FROM orders)
+SELECT w.d AS document_id, template, section, CASE WHEN section IN ('declarations', 'breach', 'carrier_info', 'named_insured', 'coverage_limits') THEN 'required' ELSE 'expected' END AS standing, CASE WHEN section = 'breach' THEN 'last page' WHEN template = 'unknown' AND section = 'endorsements' THEN 'last 25%' WHEN template = 'homeowners' AND section = 'declarations' THEN 'first 3 pages' END AS hint FROM w ANTI JOIN h ON w.d = h.d AND w.section = h.section""")
+def section_gaps(spark, sf):
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    types = F.array(*(F.lit(t) for t in ("renters_ho4", "cyber", "flood_nfip", "nonsense", None)))
+    documents = _t(spark, sf, "customer").select(c.alias("document_id"), F.get(types, (c % 5).cast("int")).alias("policy_type"))
+    held = _t(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), F.get(F.array(*map(F.lit, ("declarations", "carrier_info", "conditions", "other"))), (k % 4).cast("int")).alias("section"))
+    rows = [("homeowners", ["declarations", "conditions"], ["declarations"], ["sections"], {"declarations": "first 3 pages"}), ("cyber", ["declarations"], ["breach", "declarations"], [], {"breach": "last page"})]
+    templates = spark.createDataFrame(rows, "type string, expected array<string>, required array<string>, optional array<string>, hints map<string,string>")
+    return L.section_gaps(documents, held, templates)

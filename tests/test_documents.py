@@ -183,3 +183,20 @@ def test_nested_outline(spark):
     assert (a["id"], b["id"]) == ("a", "b") and a["excerpt"] == a["content"] == 'A "q"' and a["sourceTextHash"] == "s1:s2" and "pageEnd" not in a and a["interpretationLabels"] == ["page"]
     assert a["children"][0]["children"][0]["id"] == "a2" and "excerpt" not in a["children"][0] and b["children"] == [] and [n["id"] for n in got["e"]] == ["y"]
     assert J.nested_outline(df.limit(0)).count() == 0
+
+
+def test_templates_of_documents(spark):
+    from citeloom.operators import templates as L
+
+    kinds = [*L.NAMED, *L.SAME]
+    docs = spark.createDataFrame([(str(i), k) for i, k in enumerate([*kinds, "zzz", None])], "document_id string, policy_type string")
+    names = sorted({*L.NAMED.values(), *L.SAME})
+    shape = "type string, expected array<string>, required array<string>, optional array<string>, hints map<string,string>"
+    table = spark.createDataFrame([(n, ["a"], ["b"], None, None) for n in names if n != "cyber"] + [("flood", ["z"], ["b"], None, None)], shape)
+    got = {r.policy_type: r for r in L.with_template(docs, table).collect()}
+    assert len(kinds) == 25 and got["condo_ho6"].template == "homeowners" and got["excess_liability"].template == "umbrella_excess" and got["watercraft"].template == "watercraft"
+    assert {k for k, r in got.items() if r.template == "unknown"} == {"cyber", "zzz", None} and got[None].required == list(L.DEFAULT["required"]) and got["cyber"].hints == L.DEFAULT["hints"]
+    assert got["watercraft"].optional == [] and got["watercraft"].hints == {} and got["flood_nfip"].expected == ["a"]  # of two floods one counts
+    gaps = L.section_gaps(docs.where("policy_type = 'watercraft'"), spark.createDataFrame([], "document_id string, section string"), table).collect()
+    assert {(r.section, r.standing, r.hint) for r in gaps} == {("b", "required", None), ("a", "expected", None)}
+    assert L.section_gaps(docs.limit(0), spark.createDataFrame([], "document_id string, section string"), table.limit(0)).count() == 0
