@@ -145,14 +145,16 @@ def backfill(fields: DataFrame, prior: DataFrame, least: float = 0.8) -> DataFra
 
 
 def memory_fill(fields: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Empty fields take the value of the first of chunks(app_id, pos, value, field_id, label) that has one and names the field or its label (an absent name fits)."""
+    """Empty fields take the value of the first of chunks(app_id, pos, value, field_id, label) that has one and names the field or its label (an absent name fits). Of chunks of equal names the first alone meets fields, and of fields of equal names one stands for all: ids may repeat."""
     c = chunks.where(F.trim("value") != "").select(F.col("app_id").alias("_a"), F.col("pos").alias("_p"), F.col("value").alias("_v"), F.nullif(F.col("field_id"), F.lit("")).alias("_f"), F.nullif(F.lower(F.trim("label")), F.lit("")).alias("_l")).where("_f IS NOT NULL OR _l IS NOT NULL")
-    empty = fields.where(unfilled()).select("app_id", "id", F.lower(F.trim("label")).alias("label"))
+    c = c.groupBy("_a", "_f", "_l").agg(F.min("_p").alias("_p"), F.min_by("_v", "_p").alias("_v"))
+    low = F.lower(F.trim("label"))
+    empty = fields.where(unfilled()).select("app_id", "id", low.alias("label")).distinct()
     by_id = empty.join(c, (F.col("app_id") == F.col("_a")) & (F.col("id") == F.col("_f"))).where(F.col("_l").isNull() | (F.col("_l") == F.col("label")))
     by_label = empty.join(c.where("_f IS NULL"), (F.col("app_id") == F.col("_a")) & (F.col("label") == F.col("_l")))
-    first = by_id.unionByName(by_label).groupBy(F.col("app_id").alias("_ba"), F.col("id").alias("_bi")).agg(F.min_by("_v", "_p").alias("_x"))
-    rows = fields.join(first, (F.col("app_id") == F.col("_ba")) & (F.col("id") == F.col("_bi")), "left")
-    return rows.withColumn("value", F.coalesce("_x", "value")).drop("_ba", "_bi", "_x")
+    first = by_id.unionByName(by_label).groupBy(F.col("app_id").alias("_ba"), F.col("id").alias("_bi"), F.col("label").alias("_bl")).agg(F.min_by("_v", "_p").alias("_x"))
+    rows = fields.join(first, (F.col("app_id") == F.col("_ba")) & (F.col("id") == F.col("_bi")) & low.eqNullSafe(F.col("_bl")), "left")
+    return rows.withColumn("value", F.when(unfilled(), F.coalesce("_x", "value")).otherwise(F.col("value"))).drop("_ba", "_bi", "_bl", "_x")
 
 
 def context_proposals(active_fields: DataFrame) -> DataFrame:

@@ -160,13 +160,9 @@ m AS (SELECT f.app_id, f.pos, arg_min(c.v, c.pos) AS v FROM f JOIN c ON f.app_id
 SELECT f.app_id, f.pos, coalesce(m.v, f.value) AS value FROM f LEFT JOIN m ON f.app_id = m.app_id AND f.pos = m.pos""")
 def memory_backfill(spark, sf):
     k = F.col("c_custkey")
-    fields = _fields(spark, sf).withColumns({"_id": F.col("id"), "id": F.concat_ws("#", "id", "pos")})
     chunks = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("app_id"), k.alias("pos"), F.when(k % 11 > 0, F.col("c_name")).otherwise(" ").alias("value"), F.when(k % 3 == 0, F.concat(F.lit("f"), k % 41)).alias("field_id"), F.when(k % 9 == 0, " Notes").when(k % 9 == 4, "Nick").alias("label"))
     # ids repeat within an application here: each field stands for itself
-    fields = _fields(spark, sf)
-    keyed = fields.select("app_id", "pos", "id").withColumnRenamed("pos", "fpos")
-    filled = A.memory_fill(fields.withColumn("app_id", F.concat_ws("/", "app_id", "pos")), chunks.join(keyed, "app_id").withColumn("app_id", F.concat_ws("/", "app_id", "fpos")).drop("fpos", "id"))
-    return filled.select(F.split("app_id", "/")[0].cast("int").alias("app_id"), "pos", "value")
+    return A.memory_fill(_fields(spark, sf), chunks).select("app_id", "pos", "value")
 
 
 @query(rf"WITH {ACTIVE} SELECT app_id, app_id || ':' || id || ':context' AS id, id AS field_id, regexp_replace(regexp_replace(lower(trim(section || '.' || label)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, value, section AS category, CASE WHEN source LIKE 'lookup:%' THEN 'lookup' ELSE 'application' END AS source FROM act WHERE coalesce(value, '') <> '' AND confidence = 'high'")
