@@ -66,7 +66,12 @@ def region_evidence(regions: DataFrame, spans: DataFrame) -> DataFrame:
     """region_id, seq, part, span_id, text: a region's spans in order, in pieces of 1,400 characters."""
     a, z = S.page_start(spans, True), S.page_end(spans, True)
     rows = spans.select(F.col("document_id").alias("_d"), F.col("id").alias("span_id"), F.coalesce(a, z).alias("_a"), F.coalesce(z, a).alias("_z"), S.has(spans, "char_start", "long").alias("_c"), T.normalize_ws(F.col("text")).alias("_t")).where("_t <> ''")
-    found = regions.join(rows, (F.col("document_id") == F.col("_d")) & (F.col("_a") <= F.col("stop")) & (F.col("_z") >= F.col("start")))
+    # ranges meet in the first stretch of REGION pages that both touch, so a document's rows are spread over its pages
+    low, high = (lambda x, y: F.floor(F.least(x, y) / REGION)), (lambda x, y: F.floor(F.greatest(x, y) / REGION))
+    rows = rows.withColumns({"_s": low("_a", "_z"), "_b": F.explode(F.sequence(low("_a", "_z"), high("_a", "_z")))})
+    held = regions.withColumns({"_rs": low("start", "stop"), "_rb": F.explode(F.sequence(low("start", "stop"), high("start", "stop")))})
+    on = (F.col("document_id") == F.col("_d")) & (F.col("_rb") == F.col("_b")) & (F.col("_b") == F.greatest("_s", "_rs")) & (F.col("_a") <= F.col("stop")) & (F.col("_z") >= F.col("start"))
+    found = held.join(rows, on)
     seq = F.row_number().over(Window.partitionBy("region_id").orderBy("_a", F.coalesce(F.col("_c"), F.lit(S.LATE)), "span_id"))
     found = found.withColumn("seq", seq).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.length("_t") / ENTRY).cast("int") - 1)))
     return found.select("region_id", "seq", "part", "span_id", F.substr("_t", F.col("part") * ENTRY + 1, F.lit(ENTRY)).alias("text"))
@@ -79,6 +84,14 @@ def evidence_batches(entries: DataFrame, most: int = BATCH, beside: int = BESIDE
     return rows.join(places, (F.col("region_id") == F.col("_r")) & (F.col("_k") == F.col("_p"))).drop("_k", "_n", "_r", "_p")
 
 
+def batched_evidence(regions: DataFrame, spans: DataFrame, most: int = BATCH, beside: int = BESIDE) -> DataFrame:
+    """evidence_batches() of region_evidence(): region_id, seq, part, span_id, text, batch. Regions of the same pages of a document have the same evidence: it is put in order and in batches once for all of them."""
+    named = regions.select("region_id", F.struct("document_id", "start", "stop").alias("_place"))
+    places = named.select(F.col("_place").alias("region_id")).distinct().select("region_id", "region_id.*")
+    rows = evidence_batches(region_evidence(places, spans), most, beside).withColumnRenamed("region_id", "_at")
+    return named.join(rows, F.col("_place") == F.col("_at")).select("region_id", "seq", "part", "span_id", "text", "batch")
+
+
 def prior_context(regions: DataFrame, nodes: DataFrame) -> DataFrame:
     """region_id, node_id, place: of the structural nodes that begin at or before a region, the newest twelve. Nodes are first reduced to the newest twelve of each of a document's pages, so a region meets twelve a page at most."""
     some = nodes.where(F.col("kind").isin(*CONTEXT)).select("document_id", F.col("id").alias("node_id"), F.coalesce("page_start", F.lit(0)).alias("_p"), "ord")

@@ -55,8 +55,7 @@ f AS (SELECT g, i, n AS size, 0 AS b FROM e WHERE i = 1 UNION ALL SELECT e.g, e.
 
 @query(f"{EVIDENCE} SELECT e.g AS region_id, k::VARCHAR AS span_id, b AS batch, t AS text FROM e JOIN f ON e.g = f.g AND e.i = f.i")
 def region_evidence_batches(spark, sf):
-    entries = V.region_evidence(_regions(spark, sf), _spans(spark, sf))
-    return V.evidence_batches(entries, 2000).select("region_id", "span_id", "batch", "text")
+    return V.batched_evidence(_regions(spark, sf), _spans(spark, sf), 2000).select("region_id", "span_id", "batch", "text")
 
 
 @query("WITH r AS (SELECT s_suppkey AS g, s_nationkey AS d, 1 + s_suppkey % 20 AS a FROM supplier), n AS (SELECT c_custkey AS k, c_nationkey AS d, c_custkey % 15 AS p, c_custkey % 7 AS o FROM customer WHERE c_custkey % 3 > 0), j AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY p DESC, o DESC, k::VARCHAR) AS place FROM r JOIN n ON r.d = n.d AND p <= a) SELECT g AS region_id, k::VARCHAR AS node_id, place::INT AS place FROM j WHERE place <= 12")

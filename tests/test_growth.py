@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from citeloom.operators import application as A
+from citeloom.operators import recovery as V
 
 
 def nodes_of(plan):
@@ -36,3 +37,14 @@ def test_memory_meets_names_not_fields(spark):
     fields = spark.range(400).select(F.lit(1).alias("app_id"), F.col("id").alias("pos"), F.lit("f").alias("id"), F.lit("Notes").alias("label"), F.lit("").alias("value"))
     chunks = spark.range(400).select(F.lit(1).alias("app_id"), F.col("id").alias("pos"), F.lit("v").alias("value"), F.lit("f").alias("field_id"), F.lit(None).cast("string").alias("label"))
     assert most_rows(A.memory_fill(fields, chunks), "Join") <= 400
+
+
+def test_regions_of_equal_pages_share_their_evidence(spark):
+    regions = spark.range(60).select(F.col("id").alias("region_id"), F.lit("d").alias("document_id"), (1 + F.col("id") % 2).cast("int").alias("start"), F.lit(6).alias("stop"))
+    spans = spark.range(50).select(F.lit("d").alias("document_id"), F.col("id").cast("string").alias("id"), (1 + F.col("id") % 9).cast("int").alias("page_start"), (1 + F.col("id") % 9 + F.col("id") % 3).cast("int").alias("page_end"), F.repeat(F.lit("word "), (F.col("id") * 13).cast("int")).alias("text"))
+    df = V.batched_evidence(regions, spans, 3000)
+    cols = ["region_id", "seq", "part", "span_id", "text", "batch"]
+    got = sorted(tuple(r) for r in df.collect())
+    want = sorted(tuple(r) for r in V.evidence_batches(V.region_evidence(regions, spans), 3000).select(*cols).collect())
+    assert got == want and {r[0] for r in got} == set(range(60))
+    assert most_rows(df, "Generate") < len(want) / 3
