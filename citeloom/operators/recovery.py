@@ -156,11 +156,14 @@ def same_scope(p: str, r: str) -> Column:
 
 
 def match_scope(primary: DataFrame, found: DataFrame) -> DataFrame:
-    """found(document_id, seq, name, ..) with match: seq of the first of primary, in order, of the same name and scope."""
-    key = lambda df, x: df.select(*(F.col(c).alias(f"{x}{c}") for c in df.columns)).withColumn(f"{x}key", label(F.col(f"{x}name")))
-    rows = key(found, "r_").join(key(primary, "p_"), (F.col("r_document_id") == F.col("p_document_id")) & (F.col("r_key") == F.col("p_key")) & same_scope("p_", "r_"))
-    first = rows.groupBy(F.col("r_document_id").alias("_d"), F.col("r_seq").alias("_s")).agg(F.min("p_seq").alias("match"))
-    return found.join(first, (F.col("document_id") == F.col("_d")) & (F.col("seq") == F.col("_s")), "left").drop("_d", "_s")
+    """found(document_id, seq, name, ..) with match: seq of the first of primary, in order, of the same name and scope. Rows of equal name and scope match the same, so scopes are held against each other, not rows."""
+    scope = {"document_id": F.col("document_id"), "key": label(F.col("name")), "line": F.col("line"), **{c: label(F.col(c)) for c in ("form", "section", "endorsement")}, "first": F.col("first"), "last": F.col("last")}
+    of = lambda x: [v.alias(f"{x}{c}") for c, v in scope.items()]
+    p = primary.groupBy(*of("p_")).agg(F.min("seq").alias("_seq"))
+    rows = found.select(*of("r_")).distinct().join(p, (F.col("r_document_id") == F.col("p_document_id")) & (F.col("r_key") == F.col("p_key")) & same_scope("p_", "r_"))
+    first = rows.groupBy(*(f"r_{c}" for c in scope)).agg(F.min("_seq").alias("match"))
+    on = [v.eqNullSafe(F.col(f"r_{c}")) for c, v in scope.items()]
+    return found.join(first, on, "left").drop(*(f"r_{c}" for c in scope))
 
 
 #: A coverage of a profile as the merge takes it; a term's value conflicts with another of its kind, label and scope.

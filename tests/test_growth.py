@@ -48,3 +48,13 @@ def test_regions_of_equal_pages_share_their_evidence(spark):
     want = sorted(tuple(r) for r in V.evidence_batches(V.region_evidence(regions, spans), 3000).select(*cols).collect())
     assert got == want and {r[0] for r in got} == set(range(60))
     assert most_rows(df, "Generate") < len(want) / 3
+
+
+def test_scopes_are_matched_once(spark):
+    rows = spark.range(600).select(F.lit("d").alias("document_id"), F.col("id").alias("seq"), F.lit("Wind & hail").alias("name"), F.lit(None).cast("string").alias("line"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("F-"), F.col("id") % 3)).alias("form"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("endorsement"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("int")).alias("first"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("int")).alias("last"))
+    primary, found = rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1").withColumn("name", F.lit("wind AND hail"))
+    df = V.match_scope(primary, found)
+    assert most_rows(df, "Join") <= 300 and set(df.columns) == {*found.columns, "match"}
+    p = primary.collect()
+    fits = lambda a, b: (not a.form or not b.form or a.form == b.form) and (a.first is None or b.first is None or abs(a.first - b.first) <= 1)
+    assert all(r.match == min(x.seq for x in p if fits(x, r)) for r in df.collect())
