@@ -83,15 +83,17 @@ def select_nodes(nodes: DataFrame, cited: DataFrame, terms: DataFrame, keyword:
     score = lambda df, s: df.select("document_id", "id", s.alias("score"))
     found = score(hit, F.lit(CITED))
     up = some.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    level = cut(hit.select("document_id", F.col("parent_id").alias("id")))
+    level = cut(hit.select("document_id", F.col("parent_id").alias("id")).distinct())
     for k in range(most_depth):
         level = cut(level.join(up, F.col("id") == F.col("_id")).select("document_id", "id", F.col("_up")))
         if level.isEmpty():
             break
         found = found.unionByName(score(level, F.lit(ABOVE - STEP * k)))
         level = level.select("document_id", F.col("_up").alias("id")).distinct()
-    kin = hit.select(F.col("parent_id").alias("_p"), F.col("ord").alias("_o"))
-    beside = some.join(kin, (F.col("parent_id") == F.col("_p")) & (F.abs(F.col("ord") - F.col("_o")) <= NEAR))
+    # a node stands in one stretch of places, a cited one in those that its neighbours may be in
+    stretch = lambda at: F.floor(at / (2 * NEAR))
+    kin = hit.select(F.col("parent_id").alias("_p"), F.col("ord").alias("_o"), F.explode(F.sequence(stretch(F.col("ord") - NEAR), stretch(F.col("ord") + NEAR))).alias("_b"))
+    beside = some.join(kin, (F.col("parent_id") == F.col("_p")) & (stretch(F.col("ord")) == F.col("_b")) & (F.abs(F.col("ord") - F.col("_o")) <= NEAR))
     found = cut(found.unionByName(score(beside, (F.lit(BESIDE) - F.abs(F.col("ord") - F.col("_o"))).cast("int"))).groupBy("document_id", "id").agg(F.max("score").alias("score")))
     child = F.row_number().over(Window.partitionBy("parent_id").orderBy("ord", "id"))
     below = some.withColumn("_k", child).where(F.col("_k") <= MOST_BELOW).join(found.select(F.col("id").alias("_f")), F.col("parent_id") == F.col("_f"))

@@ -1,8 +1,11 @@
 """Work that has to grow no faster than the input, and what it returns where rows repeat."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from citeloom.operators import application as A
+from citeloom.operators import cleanup as L
 from citeloom.operators import recovery as V
 
 
@@ -58,3 +61,13 @@ def test_scopes_are_matched_once(spark):
     p = primary.collect()
     fits = lambda a, b: (not a.form or not b.form or a.form == b.form) and (a.first is None or b.first is None or abs(a.first - b.first) <= 1)
     assert all(r.match == min(x.seq for x in p if fits(x, r)) for r in df.collect())
+
+
+def test_nodes_meet_those_near_them_alone(spark, monkeypatch):
+    plans, real = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    nodes = spark.range(40).select(F.lit("d").alias("document_id"), F.concat(F.lit("n"), "id").alias("id"), F.lit("p").alias("parent_id"), F.lit("text").alias("kind"), F.col("id").alias("ord"), F.lit(1).alias("page_start"), F.lit(None).cast("int").alias("page_end"), F.lit("t").alias("text"))
+    cited = nodes.where("ord IN (0, 20)").select("document_id", "id")
+    got = {r.id: r.score for r in L.select_nodes(nodes, cited, spark.createDataFrame([], "document_id string, term string"), "no such word").collect()}
+    assert got == {f"n{i}": (1000 if i in (0, 20) else 850 - min(i, abs(i - 20))) for i in range(40) if i <= 4 or 16 <= i <= 24}
+    assert any(re.search(r"Join \[parent_id#\d+, [^\]]*ord#", p) for p in plans)
