@@ -75,12 +75,13 @@ def row_text(headers: Column, cells: Column) -> Column:
 
 def grid_markdown(rows: Column) -> Column:
     """An array of rows (arrays of cells) as a markdown table whose first row is the head; short rows are filled up, bars escaped."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     cell = lambda r, i: F.replace(T.normalize_ws(F.coalesce(F.try_element_at(r, i), F.lit(""))), F.lit("|"), F.lit("\\|"))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), width), lambda i: cell(r, i)), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    lines = F.transform(rows, line)
-    return F.when((F.size(rows) > 0) & (width > 0), F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(rows) - 1, F.lit(0)))), "\n")).otherwise(F.lit(""))
+    line = lambda r, width: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), width), lambda i: cell(r, i)), " | "), F.lit(" |"))
+    rule = lambda width: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    # the rule is put behind the first line; rows and width are told once, not for each line
+    lines = lambda rs, width: F.transform(rs, lambda r, i: F.when(i == 0, F.concat_ws("\n", line(r, width), rule(width))).otherwise(line(r, width)))
+    made = lambda rs: T.let(F.array_max(F.transform(rs, lambda r: F.size(r))), lambda width: F.when(width > 0, F.array_join(lines(rs, width), "\n")))
+    return F.coalesce(T.let(rows, made), F.lit(""))
 
 
 def page_range_text(spans: DataFrame, first: int, last: int) -> DataFrame:

@@ -1,12 +1,14 @@
 """Work that has to grow no faster than the input, and what it returns where rows repeat."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from citeloom.operators import application as A
 from citeloom.operators import cleanup as L
 from citeloom.operators import recovery as V
+from citeloom.operators import source as S
 
 
 def nodes_of(plan):
@@ -71,3 +73,19 @@ def test_nodes_meet_those_near_them_alone(spark, monkeypatch):
     got = {r.id: r.score for r in L.select_nodes(nodes, cited, spark.createDataFrame([], "document_id string, term string"), "no such word").collect()}
     assert got == {f"n{i}": (1000 if i in (0, 20) else 850 - min(i, abs(i - 20))) for i in range(40) if i <= 4 or 16 <= i <= 24}
     assert any(re.search(r"Join \[parent_id#\d+, [^\]]*ord#", p) for p in plans)
+
+
+def seconds(df):
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_markdown_of_a_long_table(spark):
+    cells = F.when(F.col("id") % 3 == 0, F.array(F.lit(" a|b "))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    df = spark.range(20_000).agg(F.collect_list(cells).alias("rows")).select(S.grid_markdown(F.col("rows")).alias("t"))
+    assert seconds(df) < 20
+    lines = df.first().t.split("\n")
+    assert len(lines) == 20_001 and lines[:4] == ["| a\\|b |  |", "| --- | --- |", "| x | y |", "| x | y |"]
+    some = spark.createDataFrame([([],), (None,), ([[]],), ([["h"]],)], "rows array<array<string>>").select(S.grid_markdown(F.col("rows")).alias("t"))
+    assert [r.t for r in some.collect()] == ["", "", "", "| h |\n| --- |"]
