@@ -61,10 +61,24 @@ def cells(data: Column) -> Column:
 
 
 def grid(found: Column) -> Column:
-    """Cells as rows of texts; the last of those in one place counts."""
-    width = F.array_max(F.transform(found, lambda c: c["col"]))
-    row = lambda r: T.let(F.filter(found, lambda c: c["row"] == r), lambda held: F.transform(F.sequence(F.lit(0), width), lambda i: F.coalesce(F.try_element_at(F.filter(held, lambda c: c["col"] == i), F.lit(-1))["text"], F.lit(""))))
-    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.array_max(F.transform(found, lambda c: c["row"]))), row))
+    """Cells as rows of texts; the last of those in one place counts. Cells are put in order once, and each row takes the stretch of its own; those at negative places are in none."""
+    placed = F.filter(F.transform(found, lambda c, i: F.struct(c["row"].alias("row"), i.alias("i"), c["col"].alias("col"), c["text"].alias("text"))), lambda c: (c["row"] >= 0) & (c["col"] >= 0))
+    at = lambda s, i: F.element_at(s, i)["row"]
+
+    def row(held: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), width), lambda i: F.coalesce(F.try_element_at(F.filter(held, lambda c: c["col"] == i), F.lit(-1))["text"], F.lit("")))
+
+    def rows(s: Column, heads: Column, width: Column) -> Column:
+        def one(head: Column, k: Column) -> Column:
+            own = F.slice(s, head, F.coalesce(F.try_element_at(heads, k + 2), F.size(s) + 1) - head)
+            before = F.when(k == 0, -1).otherwise(at(s, F.greatest(head - 1, F.lit(1))))  # rows between without cells are blank
+            return T.let(own, lambda held: F.concat(F.array_repeat(F.array_repeat(F.lit(""), width + 1), at(s, head) - before - 1), F.array(row(held, width))))
+
+        return F.flatten(F.transform(heads, one))
+
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (at(s, i) != at(s, F.greatest(i - 1, F.lit(1)))))
+    made = lambda s: T.let(starts(s), lambda heads: T.let(F.array_max(F.transform(s, lambda c: c["col"])), lambda width: rows(s, heads, width)))
+    return T.let(F.sort_array(placed), lambda s: F.when(F.size(s) > 0, made(s)))
 
 
 def _joined(values: Column) -> Column:
@@ -78,10 +92,9 @@ def markdown(rows: Column) -> Column:
     return F.when(F.size(rows) == 1, _joined(rows[0])).otherwise(F.array_join(F.transform(F.concat(F.slice(rows, 1, 1), F.array(rule), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))), line), "\n"))
 
 
-def row_text(rows: Column, at: Column) -> Column:
+def row_text(row: Column, head: Column, at: Column) -> Column:
     """A row with its columns' heads; the head alone, and a table of one row, without."""
-    row = F.try_element_at(rows, at + 1)
-    said = F.zip_with(row, rows[0], lambda v, h: F.when(v == "", "").when(h != "", F.concat_ws(": ", h, v)).otherwise(v))
+    said = F.zip_with(row, head, lambda v, h: F.when(v == "", "").when(h != "", F.concat_ws(": ", h, v)).otherwise(v))
     return F.when(at == 0, _joined(row)).otherwise(_joined(said))
 
 
@@ -160,14 +173,16 @@ def parsed_spans(found: DataFrame, source_kind: str = "policy_pdf") -> DataFrame
     base = {"source_kind": F.lit(source_kind), "section_id": F.col("label"), "table_id": F.when(table, F.concat("ref", F.lit(":table")))}
     top = found.withColumns({**base, "source_unit": F.when(table, "table").otherwise(unit_of_label(F.col("label"))), "pos": F.col("i").cast("long") * 1000, "parent_span_id": null("string"), "table_span_id": null("string"), "row_span_id": null("string"), "row_index": null("int"), "column_index": null("int"), "column_name": null("string"), "is_header": null("boolean")})
     top = cut(S.build_spans(top, F.col("pos")))
-    headed = (F.size("rows") > 1) & (F.col("row_index") == 0)
-    held = top.where("rows IS NOT NULL").select(*(c for c in top.columns if c != "row_index"), F.explode(F.sequence(F.lit(0), F.size("rows") - 1)).alias("row_index"))
-    held = held.withColumns({"text": row_text(F.col("rows"), F.col("row_index")), "parent_span_id": F.col("id"), "table_span_id": F.col("id"), "source_unit": F.lit("table_row"), "is_header": headed, "pos": F.col("i").cast("long") * 1000 + 1 + F.col("row_index")}).where("text <> ''")
-    lines = cut(S.build_spans(held, F.col("pos")).select(*top.columns))
-    cell = lines.select(*(c for c in lines.columns if c not in ("column_index", "text")), F.posexplode(F.col("rows")[F.col("row_index")]).alias("column_index", "text")).where("text <> ''")
-    name = F.when(F.size("rows") > 1, F.nullif(F.try_element_at(F.col("rows")[0], F.col("column_index") + 1), F.lit("")))
+    # a line takes its own row and the head along, not the table
+    whole, many = F.lit(None).cast(top.schema["rows"].dataType), F.size("rows") > 1
+    held = top.where("rows IS NOT NULL").select(*(c for c in top.columns if c not in ("row_index", "rows")), F.col("rows")[0].alias("_head"), many.alias("_many"), F.posexplode("rows").alias("row_index", "_row")).withColumn("rows", whole)
+    headed = F.col("_many") & (F.col("row_index") == 0)
+    held = held.withColumns({"text": row_text(F.col("_row"), F.col("_head"), F.col("row_index")), "parent_span_id": F.col("id"), "table_span_id": F.col("id"), "source_unit": F.lit("table_row"), "is_header": headed, "pos": F.col("i").cast("long") * 1000 + 1 + F.col("row_index")}).where("text <> ''")
+    lines = cut(S.build_spans(held, F.col("pos")).select(*top.columns, "_row", "_head", "_many"))
+    cell = lines.select(*(c for c in lines.columns if c not in ("column_index", "text")), F.posexplode("_row").alias("column_index", "text")).where("text <> ''")
+    name = F.when(F.col("_many"), F.nullif(F.try_element_at("_head", F.col("column_index") + 1), F.lit("")))
     cell = cell.withColumns({"row_span_id": F.col("id"), "parent_span_id": F.col("id"), "source_unit": F.lit("table_cell"), "column_name": name, "pos": F.col("i").cast("long") * 1000 + 100 + F.col("row_index") * 100 + F.col("column_index")})
-    out = top.unionByName(lines).unionByName(S.build_spans(cell, F.col("pos")).select(*top.columns))
+    out = top.unionByName(lines.select(*top.columns)).unionByName(S.build_spans(cell, F.col("pos")).select(*top.columns))
     inside = F.col("parent_span_id").isNotNull()
     told = {"sourceSystem": F.lit("docling"), "sourceUnit": F.when(inside | F.col("rows").isNotNull(), F.col("source_unit")).otherwise("docling_item"), "doclingRef": F.col("ref"), "doclingLabel": F.nullif("label", F.lit("")), "tableId": F.when(inside, F.col("table_id")), "tableSpanId": F.col("table_span_id"), "rowSpanId": F.col("row_span_id"), "rowIndex": F.col("row_index").cast("string"), "columnIndex": F.col("column_index").cast("string"), "columnName": F.col("column_name"), "isHeader": F.col("is_header").cast("string")}
     metadata = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items())), lambda e: e["value"].isNotNull()))

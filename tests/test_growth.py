@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import application as A
 from citeloom.operators import cleanup as L
+from citeloom.operators import parsed as P
 from citeloom.operators import recovery as V
 from citeloom.operators import source as S
 
@@ -89,3 +90,28 @@ def test_markdown_of_a_long_table(spark):
     assert len(lines) == 20_001 and lines[:4] == ["| a\\|b |  |", "| --- | --- |", "| x | y |", "| x | y |"]
     some = spark.createDataFrame([([],), (None,), ([[]],), ([["h"]],)], "rows array<array<string>>").select(S.grid_markdown(F.col("rows")).alias("t"))
     assert [r.t for r in some.collect()] == ["", "", "", "| h |\n| --- |"]
+
+
+CELL = "array<struct<row:int,col:int,text:string>>"
+
+
+def test_grid_of_many_cells(spark):
+    cell = F.struct((F.col("id") * 2).cast("int").alias("row"), (F.col("id") % 2).cast("int").alias("col"), F.col("id").cast("string").alias("text"))
+    df = spark.range(6_000).agg(F.collect_list(cell).alias("l")).select(P.grid(F.col("l")).alias("g"))
+    assert seconds(df) < 10
+    got = df.first().g
+    assert len(got) == 11_999 and got[:4] == [["0", ""], ["", ""], ["", "1"], ["", ""]]
+    some = spark.createDataFrame([([(1, 1, "b"), (1, 0, "z"), (1, 1, "c"), (3, 2, "e")],), ([],), ([(0, 0, "a")],)], f"l {CELL}").select(P.grid(F.col("l")).alias("g"))
+    assert [r.g for r in some.collect()] == [[["", "", ""], ["z", "c", ""], ["", "", ""], ["", "", "e"]], None, [["a"]]]
+
+
+def test_lines_of_a_parsed_table_leave_the_table_behind(spark, monkeypatch):
+    kept, real = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: (kept.append(real(df)), kept[-1])[1])
+    n = 40
+    found = spark.createDataFrame([("d", 0, "#/tables/0", "table", "t", None, None, None, [["a", "b"], *([str(i), ""] for i in range(n - 1))])], "document_id string, i int, ref string, label string, text string, page_start int, page_end int, bboxes array<struct<page:int,x:double,y:double,width:double,height:double>>, rows array<array<string>>")
+    got = P.parsed_spans(found).collect()
+    assert sorted(r.text for r in got if r.source_unit == "table_row") == sorted(["a | b", *(f"a: {i}" for i in range(n - 1))])
+    assert {r.column_name for r in got if r.source_unit == "table_cell"} == {"a", "b"}
+    lines = kept[1]
+    assert lines.count() == n and lines.where("rows IS NOT NULL").count() == 0
