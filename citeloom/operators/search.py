@@ -3,6 +3,10 @@
 A term is a run of letters, digits and a few marks, so a text holds it where one of the text's own runs does. Runs are
 posted by the texts that have them, and the distinct runs by their grams of three letters (of two, for terms of two). A
 term looks up the rarest of its grams, and only runs posted there are tested for the whole term.
+
+Runs of texts are never written down: the distinct runs that hold a term are, with their terms, and each text meets them
+and keeps the terms it holds, one row for each text. Questions meet these rows where they are, so that of a question's
+relevant texts only the best of each task are shuffled.
 """
 
 from __future__ import annotations
@@ -52,11 +56,15 @@ def questions_terms(questions: DataFrame) -> DataFrame:
 def lexical_hits(questions: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """query_id, key, relevance of every text that holds a term of a question: the share of the question's terms that it holds. questions(query_id, question)."""
     terms = cut(questions_terms(questions))
-    posted = cut(runs(texts, key, text))
-    found = cut(containing(terms.select("term"), posted.select(F.col("run").alias("text"))))
+    named = terms.groupBy("term").agg(F.collect_list(F.struct("query_id", "n")).alias("asked"))
+    named = cut(named.withColumn("t", F.monotonically_increasing_id()))  # the questions' distinct terms, numbered
+    posted = runs(texts, key, text)
+    found = containing(named.select("term"), posted.select(F.col("run").alias("text"))).join(named.select(F.col("term").alias("_n"), "t"), F.col("term") == F.col("_n"))
+    found = cut(found.groupBy(F.col("text").alias("_run")).agg(F.collect_list("t").alias("ts")))
     # several of a text's runs may hold one term
-    held = posted.join(found, F.col("run") == F.col("text")).select(key, F.col("term").alias("_t")).distinct()
-    pairs = held.join(terms, F.col("_t") == F.col("term")).groupBy("query_id", key).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    held = posted.join(found, F.col("run") == F.col("_run")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("ts"))).alias("ts"))
+    asked = cut(named.select(F.col("t").alias("_t"), F.explode("asked").alias("a")).select("_t", "a.*"))
+    pairs = held.select(key, F.explode("ts").alias("t")).join(asked, F.col("t") == F.col("_t")).groupBy("query_id", key).agg(F.count("*").alias("k"), F.first("n").alias("n"))
     return pairs.select("query_id", key, F.least(F.lit(1.0), F.col("k") / F.col("n")).alias("relevance"))
 
 
