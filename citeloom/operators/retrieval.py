@@ -95,6 +95,16 @@ def found_documents(questions: DataFrame, documents: DataFrame) -> DataFrame:
     return out
 
 
+def _first_documents(questions: DataFrame, documents: DataFrame, most: int) -> DataFrame:
+    """found_documents(), but of each question only those that can be among its first `most` by order_key(): told by their ids, and before texts are read. Ids with a bar, whose order may depend on the text, all stay."""
+    d = F.coalesce("document_id", F.lit(""))
+    ids = found_documents(questions, documents.withColumn("text", F.lit(""))).select("query_id", "document_id").distinct()
+    plain = ids.where(~F.contains(d, F.lit("|"))).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.concat(d, F.lit("|"))))).where(F.col("_n") <= most).drop("_n")
+    ids = cut(plain.unionByName(ids.where(F.contains(d, F.lit("|")))).select(F.col("query_id").alias("_q"), F.col("document_id").alias("_d")))
+    few = documents.join(ids.select("_d").distinct(), F.col("document_id").eqNullSafe(F.col("_d")), "left_semi")
+    return found_documents(questions, cut(few)).join(ids, (F.col("query_id") == F.col("_q")) & F.col("document_id").eqNullSafe(F.col("_d")), "left_semi")
+
+
 def retrieve(questions: DataFrame, spans: DataFrame, chunks: DataFrame, documents: DataFrame, turns: DataFrame, attachments: DataFrame | None = None, most: int = 10) -> DataFrame:
     """The evidence (EVIDENCE, and rank) of every question, at most `most` pieces of each, from all branches that its way of retrieval searches.
 
@@ -108,15 +118,17 @@ def retrieve(questions: DataFrame, spans: DataFrame, chunks: DataFrame, document
     best = lambda *by: Window.partitionBy(*by)
     own = lambda df, key: df.select(F.col(key).alias("_k"), *(c for c in df.columns if c != key))
 
-    s = search.top(rows.where("b.spans"), spans, "span_id", most)
+    # what is best is found by ids, and its text is fetched afterwards
+    s = cut(search.top(rows.where("b.spans"), spans, "span_id", most))
     s = s.join(own(spans, "span_id"), F.col("span_id") == F.col("_k"))
     c = search.lexical_hits(rows.where("b.chunks"), chunks, "chunk_id").join(own(chunks, "chunk_id").drop("text"), F.col("chunk_id") == F.col("_k"))
     kinds = rows.select(F.col("query_id").alias("_q"), "chunk_types", F.coalesce(F.size("chunk_types"), F.lit(0)).alias("kinds"))
     c = c.join(kinds, F.col("query_id") == F.col("_q")).where((F.col("kinds") <= 0) | F.array_contains("chunk_types", F.col("type")))
     group = F.when(F.col("kinds") > 0, F.col("type"))
-    c = c.withColumn("_g", group).withColumn("_n", F.row_number().over(best("query_id", "_g").orderBy(F.desc("relevance"), "chunk_id"))).where(F.col("_n") <= F.when(F.col("kinds") > 0, F.ceil(F.lit(most) / F.col("kinds"))).otherwise(most))
-    c = c.select("query_id", "chunk_id", "document_id").join(chunks.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
-    d = found_documents(rows.where("b.documents"), documents)
+    c = c.withColumn("_g", group).withColumn("_n", F.row_number().over(best("query_id", "_g").orderBy(F.desc("relevance"), "chunk_id")))
+    c = c.where((F.col("_n") <= most) & (F.col("_n") <= F.when(F.col("kinds") > 0, F.ceil(F.lit(most) / F.col("kinds"))).otherwise(most)))  # the plain limit holds before the shuffle
+    c = cut(c.select("query_id", "chunk_id", "document_id")).join(chunks.select(F.col("chunk_id").alias("_c"), "text"), F.col("chunk_id") == F.col("_c"))
+    d = _first_documents(rows.where("b.documents"), documents, most)
     # turns are searched within the question's own conversation
     asked = rows.where("b.turns").select("query_id", F.col("conversation_id").alias("_conv"), T.tokens(F.col("question")).alias("_terms"))
     t = turns.join(asked, F.col("conversation_id") == F.col("_conv")).withColumn("relevance", T.lexical_relevance(F.col("text"), F.col("_terms"))).where("relevance > 0")
