@@ -63,20 +63,20 @@ COS = "list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(lis
 VEC = "WITH a AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, a.vec_id, a.label, " + COS + " AS score FROM a JOIN a q ON a.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)"
 
 
-def _searches(spark, sf):
+def _searches(spark, sf, k, by=None):
     """The query set, every row whose id is divisible by 100, against all other rows."""
     rows = _t(spark, sf, "embeddings")
-    return V.scored(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    return V.nearest(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", k, by)
 
 
 @query(VEC + " SELECT * FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
 def vector_topk(spark, sf):
-    return O.top_k(_searches(spark, sf).drop("label"), "query_id", [F.desc("score"), F.col("vec_id")], 10).withColumn("score", F.round("score", 6))
+    return O.top_k(_searches(spark, sf, 10).drop("label"), "query_id", [F.desc("score"), F.col("vec_id")], 10).withColumn("score", F.round("score", 6))
 
 
 @query(VEC + " SELECT * FROM (SELECT query_id, vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
 def vector_topk_per_label(spark, sf):
-    rows = _searches(spark, sf).withColumn("_g", F.struct("query_id", "label"))
+    rows = _searches(spark, sf, 3, "label").withColumn("_g", F.struct("query_id", "label"))
     return O.top_k(rows, "_g", [F.desc("score"), F.col("vec_id")], 3).drop("_g").withColumn("score", F.round("score", 6))
 
 
