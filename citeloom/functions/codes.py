@@ -2,65 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 
-#: What text names which line of business. Several may apply.
+#: What text names which line of business. Several may apply. Last the words, in small letters, one of which any match holds: most texts hold none.
 LINES = (
-    ("CGL", r"\b(?:commercial\s+)?general\s+liability\b|\bcgl\b"),
-    ("PROP", r"\bcommercial\s+property\b|\bproperty\s+insurance\b"),
-    ("PROP", r"\bproperty\b"),
-    ("AUTOB", r"\bcommercial\s+auto(?:mobile)?\b|\bbusiness\s+auto(?:mobile)?\b|\bauto(?:mobile)?\s+physical\s+damage\b"),
-    ("AUTOB", r"\b(?:hired\s+(?:and\s+)?)?non[-\s]?owned\s+auto\b"),
-    ("WORK", r"\bworkers['’]?\s+comp(?:ensation)?\b"),
-    ("UMBRC", r"\bcommercial\s+umbrella\b|\bumbrella\s+liability\b"),
-    ("EXLIA", r"\bexcess\s+liability\b"),
-    ("PL", r"\bprofessional\s+liability\b"),
-    ("EO", r"\berrors?\s*(?:and|&)\s*omissions?\b|\be&o\b"),
-    ("CYBER", r"\bcyber\b|\bnetwork\s+security\b|\bprivacy\s+liability\b"),
-    ("EPLI", r"\bemployment\s+practices?\s+liability\b|\bepli\b"),
-    ("DO", r"\bdirectors?\s*(?:and|&)\s*officers?\b|\bd&o\b"),
-    ("FIDUC", r"\bfiduciary\s+liability\b"),
-    ("CRIME", r"\bburglary\b"),
-    ("CRIM", r"\bcrime\b|\bemployee\s+dishonesty\b"),
-    ("FIDTY", r"\bfidelity\b"),
-    ("INMRC", r"\binland\s+marine\b|\bmotor\s+truck\s+cargo\b|\bcargo\s+legal\s+liability\b"),
-    ("INMRC", r"\bbuilders?\s+risk\b"),
-    ("OLIB", r"\bpollution\s+liability\b|\benvironmental\s+liability\b"),
-    ("COMR", r"\bocean\s+marine\b"),
-    ("SURE", r"\bsurety\b"),
-    ("OLIB", r"\bproduct\s+liability\b|\bproducts?\s+completed\s+operations\b"),
-    ("BOP", r"\bbusiness\s*owners?\s+policy\b|\bbop\b"),
-    ("MGMLI", r"\bmanagement\s+liability\b"),
-    ("HOME", r"\bhomeowners?\s*(?:ho[-\s]?[35])?\b|\bho[-\s]?[35]\b"),
-    ("HOME", r"\brenters?\b|\bho[-\s]?4\b"),
-    ("HOME", r"\bcondo(?:minium)?\b|\bho[-\s]?6\b"),
-    ("DFIRE", r"\bdwelling\s+fire\b"),
-    ("MHOME", r"\bmobile\s+home\b|\bmanufactured\s+home\b"),
-    ("AUTOP", r"\bpersonal\s+auto\b"),
-    ("UMBRP", r"\bpersonal\s+umbrella\b"),
-    ("FLOOD", r"\bflood\b"),
-    ("EQ", r"\bearthquake\b"),
-    ("INMRP", r"\bpersonal\s+(?:articles|inland\s+marine)\b"),
-    ("BOAT", r"\bwatercraft\b|\bboat\s+insurance\b"),
-    ("RECV", r"\brecreational\s+vehicle\b|\brv\s+insurance\b"),
-    ("CFRM", r"\bfarm\b|\branch\b"),
-    ("TRVL", r"\btravel\s+(?:insurance|delay|disruption|expenses?)\b|\btrip\s+(?:cancellation|interruption|delay)\b"),
-    ("TECH", r"\btechnology\s+(?:insurance|errors?\s*(?:and|&)\s*omissions?)\b"),
-    ("MEDIA", r"\bmedia\s+(?:professional|liability)\b"),
-    ("UN", r"\blife\s+insurance\b|\bterm\s+life\b|\bwhole\s+life\b|\buniversal\s+life\b"),
-    ("DISAB", r"\bcritical\s+illness\b|\bdisability\s+insurance\b|\btotal\s+disability\b"),
-    ("UN", r"\blong[-\s]?term\s+care\b|\bpet\s+insurance\b|\bidentity\s+theft\b|\btitle\s+insurance\b"),
+    ("CGL", r"\b(?:commercial\s+)?general\s+liability\b|\bcgl\b", "general cgl"),
+    ("PROP", r"\bcommercial\s+property\b|\bproperty\s+insurance\b", "property"),
+    ("PROP", r"\bproperty\b", "property"),
+    ("AUTOB", r"\bcommercial\s+auto(?:mobile)?\b|\bbusiness\s+auto(?:mobile)?\b|\bauto(?:mobile)?\s+physical\s+damage\b", "auto"),
+    ("AUTOB", r"\b(?:hired\s+(?:and\s+)?)?non[-\s]?owned\s+auto\b", "auto"),
+    ("WORK", r"\bworkers['’]?\s+comp(?:ensation)?\b", "workers"),
+    ("UMBRC", r"\bcommercial\s+umbrella\b|\bumbrella\s+liability\b", "umbrella"),
+    ("EXLIA", r"\bexcess\s+liability\b", "excess"),
+    ("PL", r"\bprofessional\s+liability\b", "professional"),
+    ("EO", r"\berrors?\s*(?:and|&)\s*omissions?\b|\be&o\b", "omission e&o"),
+    ("CYBER", r"\bcyber\b|\bnetwork\s+security\b|\bprivacy\s+liability\b", "cyber network privacy"),
+    ("EPLI", r"\bemployment\s+practices?\s+liability\b|\bepli\b", "employment epli"),
+    ("DO", r"\bdirectors?\s*(?:and|&)\s*officers?\b|\bd&o\b", "director d&o"),
+    ("FIDUC", r"\bfiduciary\s+liability\b", "fiduciary"),
+    ("CRIME", r"\bburglary\b", "burglary"),
+    ("CRIM", r"\bcrime\b|\bemployee\s+dishonesty\b", "crime employee"),
+    ("FIDTY", r"\bfidelity\b", "fidelity"),
+    ("INMRC", r"\binland\s+marine\b|\bmotor\s+truck\s+cargo\b|\bcargo\s+legal\s+liability\b", "inland cargo"),
+    ("INMRC", r"\bbuilders?\s+risk\b", "builder"),
+    ("OLIB", r"\bpollution\s+liability\b|\benvironmental\s+liability\b", "pollution environmental"),
+    ("COMR", r"\bocean\s+marine\b", "ocean"),
+    ("SURE", r"\bsurety\b", "surety"),
+    ("OLIB", r"\bproduct\s+liability\b|\bproducts?\s+completed\s+operations\b", "product"),
+    ("BOP", r"\bbusiness\s*owners?\s+policy\b|\bbop\b", "business bop"),
+    ("MGMLI", r"\bmanagement\s+liability\b", "management"),
+    ("HOME", r"\bhomeowners?\s*(?:ho[-\s]?[35])?\b|\bho[-\s]?[35]\b", "ho"),
+    ("HOME", r"\brenters?\b|\bho[-\s]?4\b", "renter ho"),
+    ("HOME", r"\bcondo(?:minium)?\b|\bho[-\s]?6\b", "condo ho"),
+    ("DFIRE", r"\bdwelling\s+fire\b", "dwelling"),
+    ("MHOME", r"\bmobile\s+home\b|\bmanufactured\s+home\b", "mobile manufactured"),
+    ("AUTOP", r"\bpersonal\s+auto\b", "personal"),
+    ("UMBRP", r"\bpersonal\s+umbrella\b", "personal"),
+    ("FLOOD", r"\bflood\b", "flood"),
+    ("EQ", r"\bearthquake\b", "earthquake"),
+    ("INMRP", r"\bpersonal\s+(?:articles|inland\s+marine)\b", "personal"),
+    ("BOAT", r"\bwatercraft\b|\bboat\s+insurance\b", "watercraft boat"),
+    ("RECV", r"\brecreational\s+vehicle\b|\brv\s+insurance\b", "recreational rv"),
+    ("CFRM", r"\bfarm\b|\branch\b", "farm ranch"),
+    ("TRVL", r"\btravel\s+(?:insurance|delay|disruption|expenses?)\b|\btrip\s+(?:cancellation|interruption|delay)\b", "travel trip"),
+    ("TECH", r"\btechnology\s+(?:insurance|errors?\s*(?:and|&)\s*omissions?)\b", "technology"),
+    ("MEDIA", r"\bmedia\s+(?:professional|liability)\b", "media"),
+    ("UN", r"\blife\s+insurance\b|\bterm\s+life\b|\bwhole\s+life\b|\buniversal\s+life\b", "life"),
+    ("DISAB", r"\bcritical\s+illness\b|\bdisability\s+insurance\b|\btotal\s+disability\b", "critical disability"),
+    ("UN", r"\blong[-\s]?term\s+care\b|\bpet\s+insurance\b|\bidentity\s+theft\b|\btitle\s+insurance\b", "long pet identity title"),
 )
 
 
 def lines_of_text(text: Column) -> Column:
-    """The codes whose words a text holds, each once, in the order of the rules. A line is unrolled into one scan a rule, in one pass over the rows."""
-    low = T.normalize_ws(F.coalesce(text, F.lit("")))
-    found = lambda t: F.array_distinct(F.array_compact(F.array(*(F.when(t.rlike("(?i)" + p.replace(r"\b", T.B)), code) for code, p in LINES))))
-    return T.let(low, found)
+    """The codes whose words a text holds, each once, in the order of the rules. Rules are unrolled, in one pass over the rows; a pattern is tried only on texts that hold one of its words."""
+    plain = T.normalize_ws(F.coalesce(text, F.lit("")))
+    holds = lambda low, words: reduce(lambda x, y: x | y, (F.contains(low, F.lit(w)) for w in words.split()))
+    rule = lambda t, low, code, p, words: F.when(holds(low, words) & t.rlike("(?i)" + p.replace(r"\b", T.B)), code)
+    found = lambda t, low: F.array_distinct(F.array_compact(F.array(*(rule(t, low, *r) for r in LINES))))
+    return T.let(plain, lambda t: T.let(F.lower(t), lambda low: found(t, low)))
 
 
 def specific(codes: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import budget as B
 from ..functions import codes as K
 from ..functions import text as T
 from ..operators import changes as C
+from ..sources.scratch import spread
 from .queries import _t, query
 
 CASES = r"""i AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey::VARCHAR AS item_id, CASE o_orderkey % 5 WHEN 0 THEN 'limit_change' WHEN 1 THEN 'cancellation' WHEN 2 THEN 'coverage_change' WHEN 3 THEN 'certificate_endorsement_request' ELSE 'general_endorsement' END AS kind,
@@ -158,7 +159,7 @@ WORDS = ("General Liability", "flood and earthquake", "Farm property", "D&O cove
 @query("""WITH t AS (SELECT p_partkey, p_partkey % 7 AS k FROM part) SELECT p_partkey, CASE k WHEN 0 THEN 'CGL' WHEN 1 THEN 'FLOOD,EQ' WHEN 2 THEN 'PROP,CFRM' WHEN 3 THEN 'DO' WHEN 4 THEN '' WHEN 5 THEN 'UN' ELSE 'HOME' END AS codes FROM t""")
 def lines_of_text(spark, sf):
     text = F.concat("p_name", F.lit(" with  "), F.element_at(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % 7 + 1).cast("int")))
-    return _t(spark, sf, "part").select("p_partkey", F.array_join(K.lines_of_text(text), ",").alias("codes"))
+    return spread(_t(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", F.array_join(K.lines_of_text(text), ",").alias("codes"))
 
 
 def _tables(spark):

@@ -1,4 +1,4 @@
-"""Where intermediate tables go that cut lineage."""
+"""Where intermediate tables go that cut lineage, and how rows are dealt over cores."""
 
 from __future__ import annotations
 
@@ -21,3 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{str(root).rstrip('/')}/citeloom/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df dealt over all cores by keys that repeat little. For small rows of which much is made: their files are read by a few tasks, and small shuffles are joined into one."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -1,15 +1,21 @@
 """Work that has to grow no faster than the input, and what it returns where rows repeat."""
 
+import os
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from citeloom.functions import codes as K
 from citeloom.operators import application as A
 from citeloom.operators import cleanup as L
 from citeloom.operators import parsed as P
 from citeloom.operators import recovery as V
 from citeloom.operators import source as S
+from citeloom.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
 
 
 def nodes_of(plan):
@@ -115,3 +121,29 @@ def test_lines_of_a_parsed_table_leave_the_table_behind(spark, monkeypatch):
     assert {r.column_name for r in got if r.source_unit == "table_cell"} == {"a", "b"}
     lines = kept[1]
     assert lines.count() == n and lines.where("rows IS NOT NULL").count() == 0
+
+
+SAID = ["General  Liability", "a CGL form", "business automobile", "hired and non-owned auto", "worker's comp, workers’ compensation", "Umbrella Liability", "EXCESS liability", "professional  liability", "Errors & Omissions", "E&O", "privacy liability", "EPLI", "directors and officers", "D&O", "fiduciary liability", "burglary", "employee dishonesty", "fidelity", "motor truck cargo", "builder risk", "environmental liability", "ocean marine", "surety", "products completed operations", "businessowners policy", "BOP", "management liability", "HO-5", "renter", "ho 6", "condominium", "dwelling fire", "manufactured home", "personal auto", "personal umbrella", "flood", "earthquake", "personal articles", "watercraft", "RV insurance", "ranch", "trip delay", "technology insurance", "media liability", "whole life", "total disability", "pet insurance", "long-term care", "identity theft", "title insurance", "commercial property", "shop and boperty", "", None]
+
+
+def test_words_of_rules_are_in_all_they_find(spark):
+    rows = spark.createDataFrame(list(enumerate(SAID)), "i int, t string")
+    got = {r.i: r.l for r in rows.select("i", K.lines_of_text(F.col("t")).alias("l")).collect()}
+    for i, t in enumerate(SAID):
+        text = re.sub(r"\s+", " ", t or "").strip()
+        found = [code for code, p, _ in K.LINES if re.search(p, text, re.I | re.A)]
+        assert got[i] == list(dict.fromkeys(found)), t
+    assert {c for l in got.values() for c in l} == {r[0] for r in K.LINES}
+
+
+def test_lines_of_texts_without_any_word_are_quick(spark):
+    words = " blue worthless pieces of a thing that has no name".split()
+    df = spark.range(40_000, numPartitions=1).select(K.lines_of_text(F.concat_ws(" ", *(F.concat(F.lit(w), F.col("id")) for w in words))).alias("l"))
+    assert seconds(df) < 5 and df.where("size(l) > 0").count() == 0
+
+
+@pytest.mark.parametrize("name", ["lines_of_text", "headed_sections"])
+def test_small_rows_are_dealt_over_cores(spark, name):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4
