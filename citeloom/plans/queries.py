@@ -16,6 +16,7 @@ from ..operators import evidence as E
 from ..operators import ordered as O
 from ..operators import spans as S
 from ..operators import trees as R
+from ..sources.scratch import spread
 from ..sources.store import search_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,7 +448,8 @@ def headed_sections(spark, sf):
     z = F.col("p_size")
     head = F.when(z % 3 == 0, "SECTION ").when(z % 3 == 1, "Exclusions: ").otherwise("Scheduled ")
     text = F.concat(F.lit("Preface\n"), head, "p_name", F.lit("\r\n"), F.repeat(F.concat("p_type", F.lit("  ")), F.lit(12)), F.lit("CG "), z + 1000, F.lit("\n endorsement "), z, F.lit("\n"), F.repeat(F.lit("x "), F.lit(70)))
-    return S.sections(_t(spark, sf, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    parts = spread(_t(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+    return S.sections(parts.select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @query("""SELECT event_id, regexp_replace('{"a":' || CASE WHEN event_id % 2 = 0 THEN 'null' ELSE event_id::VARCHAR END || ',"b":{"c":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"x\\":null,"' END || ',"d":[null,' || event_id || ']},"t":"' || event_type || '"}', '"[ac]":null,', '', 'g') AS json FROM events""")
