@@ -44,10 +44,14 @@ def _rolling(units: Column, seed: int, factor: int, with_index: bool) -> Column:
     return F.aggregate(indexed, F.lit(seed).cast("long"), lambda h, u: h.bitwiseXOR(u).bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(factor) % F.lit(1 << 32))
 
 
+#: Fixed values of the stable hash's two halves.
+SEEDS, FACTORS = (0x811C9DC5, 0x45D9F3B), (0x01000193, 0x27D4EB2D)
+
+
 def stable_hash(canonical: Column) -> Column:
     """Two 32-bit multiplicative hashes over UTF-16 units of a canonical (JSON) string, as 16 hex digits. Seeds and factors are fixed values."""
     units = code_units(canonical)
-    halves = _rolling(units, 0x811C9DC5, 0x01000193, False), _rolling(units, 0x45D9F3B, 0x27D4EB2D, True)
+    halves = _rolling(units, SEEDS[0], FACTORS[0], False), _rolling(units, SEEDS[1], FACTORS[1], True)
     return F.concat(*(F.lower(F.lpad(F.hex(h), 8, "0")) for h in halves))
 
 

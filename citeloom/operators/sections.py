@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
-from ..sources.scratch import cut
+from ..sources.scratch import cut, spread
 
 #: Versions of results and manifests, and the sections in order.
 RESULT_VERSION, MANIFEST_VERSION = "extraction-section-result-v1", "extraction-completion-manifest-v1"
@@ -24,25 +24,25 @@ KEY = ["document_id", "section", "fingerprint", "extractor"]
 NO_COVERAGE = '{"coverages":[]}'
 
 
-def result_hash() -> Column:
-    """Over a result's parts by their names, the profile whatever its shape."""
+def _said() -> Column:
+    """A result's parts by their names, the profile whatever its shape."""
     parts = {"version": F.lit(RESULT_VERSION), "sectionId": F.col("section"), "status": F.col("status"), "sourceFingerprint": F.col("fingerprint"), "extractorVersion": F.col("extractor"), "sourceSpanIds": F.col("ids"), "operationalProfile": F.try_parse_json("profile"), "warnings": F.col("warnings"), "error": F.col("error")}
-    return C.value_hash(F.to_json(F.struct(*(c.alias(n) for n, c in parts.items()))))
+    return F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())))
 
 
 def hashed(results: DataFrame) -> DataFrame:
-    """results (RESULT) with version and hash, as they are stored."""
+    """results (RESULT) with version and hash, as they are stored. They are dealt over all cores first."""
     names = [c.split(" ")[0] for c in RESULT.split(", ")]
-    return results.select(*names).withColumns({"version": F.lit(RESULT_VERSION), "hash": result_hash()})
+    return C.with_value_hash(spread(results.select(*names), *KEY[:2]).withColumn("version", F.lit(RESULT_VERSION)), _said(), "hash")
 
 
 def usable(stored: DataFrame, asked: DataFrame) -> DataFrame:
     """Stored results that may be taken for asked(document_id, section, fingerprint, extractor, ids): all of these equal, of this version, not degraded, and the hash right. Of several for one section that of the smallest hash."""
-    sound = stored.where((F.col("version") == RESULT_VERSION) & (F.col("status") != "degraded") & (F.col("hash") == result_hash()))
-    rows = sound.join(asked.select(*KEY, F.col("ids").alias("_ids")), KEY)
+    rows = stored.where((F.col("version") == RESULT_VERSION) & (F.col("status") != "degraded")).join(asked.select(*KEY, F.col("ids").alias("_ids")), KEY)
     rows = rows.where(F.col("ids") == F.col("_ids")).drop("_ids")
+    sound = C.with_value_hash(spread(rows.select(*stored.columns), *KEY[:2]), _said(), "_hash").where("hash = _hash").drop("_hash")
     whole = F.struct(*stored.columns)
-    return rows.groupBy(*KEY).agg(F.min_by(whole, "hash").alias("r")).select("r.*")
+    return sound.groupBy(*KEY).agg(F.min_by(whole, "hash").alias("r")).select("r.*")
 
 
 def resumed(asked: DataFrame, stored: DataFrame, make: Callable[[DataFrame], DataFrame], nothing: DataFrame | None = None) -> DataFrame:
@@ -98,7 +98,8 @@ def manifests(results: DataFrame, documents: DataFrame, protocol: str = "source-
     whole = F.coalesce(F.size(done) == F.size("sections"), F.lit(False)) & (F.size(F.array_except("eligible", "processed")) == 0)
     rows = rows.withColumn("complete", whole)
     parts = {"version": F.lit(MANIFEST_VERSION), "protocolVersion": F.lit(protocol), "extractorVersion": F.col("extractor"), "sourceFingerprint": F.col("fingerprint"), "eligibleSourceSpanIds": F.col("eligible"), "sections": F.coalesce("sections", F.array().cast("array<struct<sectionId string, status string, sourceSpanIds array<string>, resultHash string>>")), "processedSourceSpanIds": F.col("processed"), "completeSourceCoverage": F.col("complete"), "evidenceLedgerHash": F.col("ledger_hash")}
-    return rows.select("document_id", "complete", "processed", C.value_hash(F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())))).alias("hash"))
+    told = F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())))
+    return C.with_value_hash(spread(rows.select("document_id", "complete", "processed", told.alias("_told")), "document_id"), F.col("_told"), "hash").drop("_told")
 
 
 def asked_sections(assigned: DataFrame, fingerprints: DataFrame, extractor: str) -> DataFrame:

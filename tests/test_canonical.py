@@ -3,10 +3,13 @@
 import json
 import math
 import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citeloom.functions import canonical as C
+from citeloom.functions import text as T
 
 
 def js_number(x):
@@ -107,3 +110,17 @@ def test_stored_rows_are_read_and_written(spark):
     assert json.loads(again[0].table_location) == {"tableId": "t", "rowIndex": 2} and again[0].metadata == '{"k":"v"}' and (again[1].location, again[1].metadata) == (None, "{}")
     chunks = spark.createDataFrame([("1", '["a","b"]', None), ("2", "", "x")], "id string, source_span_ids string, metadata string")
     assert [r.source_span_ids for r in R.decoded(chunks, R.CHUNKS).orderBy("id").collect()] == [["a", "b"], []]
+
+
+def test_hashes_of_many_texts_at_once(spark):
+    texts = [None, "", "a", "é\U0001f600z", "x" * 5000, *("t" * (i % 7) + chr(0x4E00 + i) * (i % 11) for i in range(60))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [r.h for r in rows.select("i", T.stable_hash(F.col("t")).alias("h")).orderBy("i").collect()]
+    assert C.stable_hashes(pa.array(texts)).to_pylist() == want
+    long = [f'{{"k":{i},"t":"{"word " * 200}"}}' for i in range(2000)]
+    given = spark.createDataFrame([(t,) for t in long], "t string").coalesce(1)
+    df = C.with_value_hash(given, F.col("t"), "h")
+    assert df.first().h == given.select(C.value_hash(F.col("t")).alias("h")).first().h
+    df.count()
+    began = time.time()
+    assert len({r.h for r in df.collect()}) == 2000 and time.time() - began < 4
