@@ -12,6 +12,7 @@ from ..operators import grouping as G
 from ..operators import materialize as M
 from ..operators import parsed as D
 from ..operators import projections as J
+from ..sources.scratch import spread
 from .queries import _t, query
 
 
@@ -286,7 +287,7 @@ def documents_of_profiles(spark, sf):
     number = F.when(k % 5 != 0, F.struct(F.lit("raw").alias("value"), F.concat(F.lit("P"), k).alias("normalizedValue")))
     facts = F.when(k % 4 == 0, F.array(F.struct(F.lit("entityType").alias("field"), F.lit("LLC").alias("value"), source)))
     doc = F.struct(F.when(k % 3 == 0, "quote").otherwise("policy").alias("documentType"), number.alias("policyNumber"), F.struct(F.col("c_name").alias("value")).alias("namedInsured"), F.array(party(" A", F.when(k % 2 > 1, home)), party(" B", F.when(k % 2 == 0, home))).alias("parties"), facts.alias("declarationFacts"))
-    made = M.documents_of_profiles(_t(spark, sf, "customer").select(k.cast("string").alias("document_id"), F.to_json(doc).alias("json")))
+    made = M.documents_of_profiles(spread(_t(spark, sf, "customer"), "c_custkey").select(k.cast("string").alias("document_id"), F.to_json(doc).alias("json")))
     at = lambda p: F.get_json_object("json", f"$.{p}")
     return made.select("document_id", at("type").alias("type"), F.coalesce(at("policyNumber"), at("quoteNumber")).alias("number"), at("carrier").alias("carrier"), at("insurer.address.city").alias("town"), at("insuredEntityType").alias("entity"), at("summary").alias("summary"))
 

@@ -142,7 +142,7 @@ def test_lines_of_texts_without_any_word_are_quick(spark):
     assert seconds(df) < 5 and df.where("size(l) > 0").count() == 0
 
 
-@pytest.mark.parametrize("name", ["lines_of_text", "headed_sections"])
+@pytest.mark.parametrize("name", ["lines_of_text", "headed_sections", "documents_of_profiles"])
 def test_small_rows_are_dealt_over_cores(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
