@@ -13,6 +13,10 @@ B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 #: The same without the plain space.
 ODD_WS = WS.replace("\\r ", "\\r", 1)
+#: Both as cheap classes: Java asks every part of WS for every character, so two ranges that most characters are in are asked first.
+_LONG, _ODD = rf"[[^!-~\u00a1-\u167f]&&{WS}]", rf"[[^ -~\u00a1-\u167f]&&{ODD_WS}]"
+#: The characters of WS themselves, for trimming.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, use) -> Column:
@@ -22,7 +26,7 @@ def let(value: Column, use) -> Column:
 
 def normalize_ws(text: Column) -> Column:
     """Runs of white space become one space; none at the ends. Single spaces are left as they are."""
-    return F.trim(F.regexp_replace(text, f"{WS}{{2,}}|{ODD_WS}", " "))
+    return F.trim(F.regexp_replace(text, f" {_LONG}+|{_ODD}{_LONG}*", " "))
 
 
 def code_units(text: Column) -> Column:

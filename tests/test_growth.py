@@ -1,6 +1,7 @@
 """Work that has to grow no faster than the input, and what it returns where rows repeat."""
 
 import os
+import random
 import re
 import time
 
@@ -8,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import codes as K
+from citeloom.functions import text as T
 from citeloom.operators import application as A
 from citeloom.operators import cleanup as L
 from citeloom.operators import parsed as P
+from citeloom.operators import profiles as PR
 from citeloom.operators import recovery as V
 from citeloom.operators import source as S
 from citeloom.plans.queries import QUERIES
@@ -147,3 +150,18 @@ def test_small_rows_are_dealt_over_cores(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test tables")
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4
+
+
+OLD_WS = r"[\t\n\x0B\f\r    -     　﻿]"
+
+
+def test_white_space_and_marks_go_quickly_and_as_patterns_would_have_it(spark):
+    random.seed(3)
+    signs = ":;#-.,ab& \t\n ﻿ 　᠎\u0085​ é\U0001f600"
+    rows = [("".join(random.choice(signs) for _ in range(random.randint(0, 9))),) for _ in range(5_000)] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    one = lambda t: F.trim(F.regexp_replace(t, f"{OLD_WS}+", " "))
+    bare = F.nullif(one(F.regexp_replace("t", rf"^(?:[:;#-]|{OLD_WS})+|(?:[;,.]|{OLD_WS})+\z", "")), F.lit(""))
+    assert df.where(~T.normalize_ws(F.col("t")).eqNullSafe(one(F.col("t"))) | ~PR.cleaned(F.col("t")).eqNullSafe(bare)).count() == 0
+    many = spark.range(300_000, numPartitions=1).select(F.transform(F.array(F.concat(F.lit("# Cust omer"), "id", F.lit("  cover."))), PR.cleaned).alias("l"))
+    assert seconds(many) < 4
