@@ -60,7 +60,9 @@ def clean(text, unit=None):
     strip = lambda t: F.when(t.ilike("%page%of%") | t.ilike("%specimen%"), T.normalize_ws(F.regexp_replace(t, inline, " "))).otherwise(t)
     line = lambda t: boilerplate(t) | (t.ilike("%claims-made%") & t.rlike(rf"(?i)^{_CLAIMS_MADE}\z"))
     rest = lambda t: T.let(strip(t), lambda u: F.when((u != "") & ~line(u), u))
-    return T.let(T.normalize_ws(text), lambda t: F.when((t != "") & ~boilerplate(t, unit), rest(t)))
+    # most texts hold none of these words and end as no mark does: they are kept as they are, without any pattern
+    plain = lambda t: ~F.right(t, F.lit(1)).rlike("[0-9yY:]") & T.let(F.lower(t), lambda low: ~(F.contains(low, F.lit("page")) | F.contains(low, F.lit("specimen")) | F.contains(low, F.lit("claims-made"))))
+    return T.let(T.normalize_ws(text), lambda t: F.when((t != "") & plain(t), t).when((t != "") & ~boilerplate(t, unit), rest(t)))
 
 
 def drop_boilerplate(df: DataFrame, key: str, parent: str, pos: str, text: str, unit: str | None = None) -> DataFrame:

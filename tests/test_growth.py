@@ -16,6 +16,7 @@ from citeloom.operators import parsed as P
 from citeloom.operators import profiles as PR
 from citeloom.operators import recovery as V
 from citeloom.operators import source as S
+from citeloom.operators import spans as SP
 from citeloom.plans.queries import QUERIES
 from citeloom.sources.scratch import cut
 
@@ -173,3 +174,12 @@ def test_lines_of_a_profile_are_told_without_the_rest_of_it(spark, monkeypatch):
     monkeypatch.setattr(PR, "cut", lambda df: written.append(df.schema.simpleString()) or cut(df))
     got = QUERIES["merged_profile_lines"](spark, SF)
     assert len(written) == 1 and "declarationFacts" not in written[0] and got.count() > 0
+
+
+def test_lines_without_marks_are_cleaned_quickly(spark):
+    said = ["plain words", "ends with 7", "Page 1 of 3", "a PAGE 2 OF 3 b", "AB-CD 12 34", "AB-CD 12 34 | Page 1 of 2", "Column 1: Page 1 of 2", "Column 2:", "SPECIMEN POLICY - FOR TESTING ONLY", "see specimen policy — for testing only there", "This is a CLAIMS-MADE and reported policy. Please read it carefully", "a claims-made form", "", "  ", None]
+    got = [r.c for r in spark.createDataFrame(list(enumerate(said)), "i int, t string").select("i", SP.clean(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got == ["plain words", "ends with 7", None, "a b", None, None, None, "Column 2:", None, "see there", None, "a claims-made form", None, None, None]
+    words = " blue worthless parts of a thing that has no name and is told at some length so that a line is long".split()
+    df = spark.range(60_000, numPartitions=1).select(SP.clean(F.concat_ws(" ", *(F.concat(F.lit(w), F.col("id")) for w in words), F.lit("end"))).alias("c"))
+    assert seconds(df) < 3 and df.where("c IS NULL").count() == 0
