@@ -171,17 +171,16 @@ FACT = "document_id string, seq int, recovered boolean, name string, line string
 
 
 _TERM = "struct<kind string, label string, value string, applies string, scope string, said string>"
-_HELD = f"struct<at struct<recovered boolean, seq int>, name string, line string, form string, section string, endorsement string, first int, last int, limit string, deductible string, terms array<{_TERM}>, n_found int, conflicts int>"
+_HELD = f"struct<at struct<recovered boolean, seq int>, name string, line string, form string, section string, endorsement string, first int, last int, limit string, deductible string, terms array<{_TERM}>, n_found int, conflicts int, form_said string, section_said string>"
 _FILLED = ("limit", "deductible", "form", "section", "endorsement")
 
 
 def _of_one_scope(a: Column, b: Column) -> Column:
-    """same_scope() of two coverages of equal name that are held as structs."""
-    agree = lambda c: (label(a[c]) == "") | (label(b[c]) == "") | (label(a[c]) == label(b[c]))
+    """same_scope() of two coverages of equal name and endorsement that are held as structs, with labels as they were made. What is cheap is asked first."""
+    agree = lambda c: (a[c] == "") | (b[c] == "") | (a[c] == b[c])
     line = (F.coalesce(a["line"], F.lit("")) == "") | (F.coalesce(b["line"], F.lit("")) == "") | (a["line"] == b["line"])
-    both = (label(a["endorsement"]) == "") == (label(b["endorsement"]) == "")
     near = F.coalesce((a["first"] <= b["last"] + 1) & (b["first"] <= a["last"] + 1), F.lit(True))
-    return line & agree("form") & agree("section") & agree("endorsement") & both & near
+    return near & agree("form_said") & agree("section_said") & line
 
 
 def _joined(held: Column, new: Column) -> Column:
@@ -195,26 +194,31 @@ def _joined(held: Column, new: Column) -> Column:
     start = F.struct(held["terms"].alias("terms"), F.lit(0).alias("found"), F.lit(0).alias("conflicts"))
     terms = T.let(F.aggregate(new["terms"], start, add), lambda s: F.struct(s["terms"].alias("terms"), (held["n_found"] + s["found"]).alias("n_found"), (held["conflicts"] + s["conflicts"]).alias("conflicts")))
     own = {"at": held["at"], "name": held["name"], "line": held["line"], **{c: F.coalesce(held[c], new[c]) for c in _FILLED}, "first": F.least(held["first"], new["first"]), "last": F.greatest(held["last"], new["last"])}
+    told = [F.when(held[c].isNull(), new[f"{c}_said"]).otherwise(held[f"{c}_said"]).alias(f"{c}_said") for c in ("form", "section")]
     order = [x.split(" ")[0] for x in ("at", "name", "line", "form", "section", "endorsement", "first", "last", "limit", "deductible")]
-    return T.let(terms, lambda t: F.struct(*(own[c].alias(c) for c in order), *(t[c].alias(c) for c in ("terms", "n_found", "conflicts")))).cast(_HELD)
+    return T.let(terms, lambda t: F.struct(*(own[c].alias(c) for c in order), *(t[c].alias(c) for c in ("terms", "n_found", "conflicts")), *told)).cast(_HELD)
 
 
 def merge_recovered(facts: DataFrame) -> DataFrame:
     """Coverages of each document (FACT) with recovered ones merged in, in order: each goes to the first of the same scope, also to one added before it, else is added. Empty values are filled, new terms appended; terms that conflict are kept and counted. A coverage spans the pages of all that went into it.
 
-    An ordered fold over the facts of one document and one name, for only these can be of one scope: an aggregate over
-    a sorted array whose state is the coverages held so far.
+    An ordered fold over the recovered facts of one document, name and endorsement, for only these can be of one scope: an
+    aggregate over a sorted array whose state is the coverages held so far, which begins with those there were. Labels are made once.
     """
     terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<kind:string,label:string,value:string,applies:string>>")), lambda t: F.struct(t["kind"].alias("kind"), t["label"].alias("label"), t["value"].alias("value"), t["applies"].alias("applies"), F.concat_ws("|", F.coalesce(t["kind"], F.lit("")), label(t["label"]), label(t["applies"])).alias("scope"), label(t["value"]).alias("said")))
-    fact = F.struct(F.struct("recovered", "seq").alias("at"), "name", "line", "form", "section", "endorsement", "first", "last", "limit", "deductible", terms.alias("terms"), F.when(F.col("recovered"), F.size(terms)).otherwise(0).alias("n_found"), F.lit(0).alias("conflicts")).cast(_HELD)
-    rows = facts.select("document_id", label(F.col("name")).alias("key"), fact.alias("f"))
-    rows = rows.groupBy("document_id", "key").agg(F.array_sort(F.collect_list("f")).alias("l"))
+    fact = F.struct(F.struct("recovered", "seq").alias("at"), "name", "line", "form", "section", "endorsement", "first", "last", "limit", "deductible", terms.alias("terms"), F.when(F.col("recovered"), F.size(terms)).otherwise(0).alias("n_found"), F.lit(0).alias("conflicts"), label(F.col("form")).alias("form_said"), label(F.col("section")).alias("section_said")).cast(_HELD)
+    rows = facts.select("document_id", label(F.col("name")).alias("key"), label(F.col("endorsement")).alias("backed"), fact.alias("f"))
+    rows = rows.groupBy("document_id", "key", "backed").agg(F.array_sort(F.collect_list("f")).alias("l"))
 
     def step(state: Column, r: Column) -> Column:
-        place = F.when(r["at"]["recovered"], F.array_position(F.transform(state, lambda x: _of_one_scope(x, r)), True)).otherwise(0)
-        return T.let(place, lambda p: F.when(p == 0, F.concat(state, F.array(r))).otherwise(F.transform(state, lambda x, i: F.when(i + 1 == p, _joined(x, r)).otherwise(x))))
-
-    held = rows.select("document_id", F.explode(F.aggregate("l", F.array().cast(f"array<{_HELD}>"), step)).alias("c")).select("document_id", "c.*")
+        first = lambda held: F.array_position(F.transform(held, lambda x: _of_one_scope(x, r)), True).cast("int")
+        # the first ones span the more pages the more went into them, so most places are among them: all are asked only if none of these is one
+        place = T.let(first(F.slice(state, 1, 16)), lambda p: F.when(p > 0, p).otherwise(first(state)))
+        put = lambda p: F.concat(F.slice(state, 1, p - 1), F.array(T.let(F.element_at(state, p), lambda x: _joined(x, r))), F.slice(state, p + 1, F.size(state)))
+        return T.let(place, lambda p: F.when(p == 0, F.concat(state, F.array(r))).otherwise(put(p)))
+
+    again = lambda x: F.coalesce(x["at"]["recovered"], F.lit(False))
+    held = rows.select("document_id", F.explode(F.aggregate(F.filter("l", again), F.filter("l", lambda x: ~again(x)), step)).alias("c")).select("document_id", "c.*")
     place = (F.row_number().over(Window.partitionBy("document_id").orderBy("at.recovered", "at.seq", "name")) - 1).alias("seq")
     return held.select("document_id", place, "name", "line", "form", "section", "endorsement", "limit", "deductible", F.size("terms").alias("n_terms"), "n_found", "conflicts", F.transform("terms", lambda t: F.struct(*(t[c].alias(c) for c in ("kind", "label", "value", "applies")))).alias("terms"), "first", "last")
 

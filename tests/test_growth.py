@@ -183,3 +183,16 @@ def test_lines_without_marks_are_cleaned_quickly(spark):
     words = " blue worthless parts of a thing that has no name and is told at some length so that a line is long".split()
     df = spark.range(60_000, numPartitions=1).select(SP.clean(F.concat_ws(" ", *(F.concat(F.lit(w), F.col("id")) for w in words), F.lit("end"))).alias("c"))
     assert seconds(df) < 3 and df.where("c IS NULL").count() == 0
+
+
+def test_many_coverages_of_one_name_are_merged_quickly(spark):
+    i = F.col("id")
+    none = F.lit(None).cast("string")
+    term = F.struct(F.lit("other").alias("kind"), F.lit("L").alias("label"), i.cast("string").alias("value"), none.alias("applies"))
+    page = (i % 1500 * 3).cast("int")
+    facts = spark.range(3_000).select(F.lit("d").alias("document_id"), i.cast("int").alias("seq"), (i >= 1500).alias("recovered"), F.lit("Flood").alias("name"), none.alias("line"), F.when(i % 2 == 0, " F-1 ").alias("form"), none.alias("section"), F.when(i == 2999, "E 1").alias("endorsement"), page.alias("first"), page.alias("last"), none.alias("limit"), none.alias("deductible"), F.array(term).alias("terms"))
+    V.merge_recovered(facts.limit(20)).collect()  # plans and code are made
+    began = time.time()
+    got = [(r.seq, r.n_terms, r.n_found, r.conflicts, r.endorsement) for r in V.merge_recovered(facts).orderBy("seq").collect()]
+    assert got == [(k, 2, 1, 1, None) for k in range(1499)] + [(1499, 1, 0, 0, None), (1500, 1, 1, 0, "E 1")]
+    assert time.time() - began < 9
