@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,11 +119,21 @@ def empty_profile() -> Column:
 
 @dataclass
 class Extraction:
-    """documents(document_id, status, profile, warnings): extracted, or failed with an empty profile; sections: results with hash and reused, to be stored for the next run; manifests: sections.manifests()."""
+    """documents(document_id, status, profile, warnings): extracted, or failed with an empty profile; sections: results with hash and reused, to be stored for the next run; manifests: sections.manifests().
+    Hashes are taken, and written once, when sections or manifests are first asked for."""
 
     documents: DataFrame
-    sections: DataFrame
-    manifests: DataFrame
+    results: DataFrame
+    eligible: DataFrame
+    phases: Phases | None = None
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return _kept(self.phases, "extraction-hashed", lambda: S.with_hashes(self.results))
+
+    @cached_property
+    def manifests(self) -> DataFrame:
+        return S.manifests(self.sections, self.eligible)
 
 
 def extract(asked: DataFrame, outputs: DataFrame, stored: DataFrame, nodes: DataFrame, spans: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame, DataFrame], eligible: DataFrame, nothing: DataFrame | None = None, phases: Phases | None = None) -> Extraction:
@@ -136,7 +147,7 @@ def extract(asked: DataFrame, outputs: DataFrame, stored: DataFrame, nodes: Data
     section is degraded has failed, and its profile is empty. The cleanup section is degraded where coverage is, not
     applicable without coverages, and else what its output is; a bad one costs a warning, and the uncleaned profile is used.
     """
-    results = _kept(phases, "extraction-sections", lambda: S.resumed(asked, stored, S.from_outputs(outputs.where(F.col("section") != S.CLEANUP)), nothing))
+    results = _kept(phases, "extraction-sections", lambda: S.told(asked, stored, S.from_outputs(outputs.where(F.col("section") != S.CLEANUP)), nothing))
     failed = results.where("status = 'degraded'").groupBy("document_id").agg(F.min_by("error", "section").alias("error"))
     documents = eligible.select("document_id").distinct().join(failed.select(F.col("document_id").alias("_f"), F.lit(True).alias("bad")), F.col("document_id") == F.col("_f"), "left").select("document_id", F.coalesce("bad", F.lit(False)).alias("bad"))
 
@@ -146,7 +157,7 @@ def extract(asked: DataFrame, outputs: DataFrame, stored: DataFrame, nodes: Data
 
     def merged() -> DataFrame:
         first = P.merge_profiles(documents.select("document_id", empty_profile().alias("profile")), candidates(S.CORE), nodes, spans, *tables)
-        return P.merge_profiles(cut(first).select("document_id", "profile"), candidates(S.COVERAGE), nodes, spans, *tables).select("document_id", "profile")
+        return P.merge_profiles(first.select("document_id", "profile"), candidates(S.COVERAGE), nodes, spans, *tables).select("document_id", "profile")
 
     profiles = _kept(phases, "extraction-profiles", merged)
     cleanup = asked.where(F.col("section") == S.COVERAGE).select("document_id", F.lit(S.CLEANUP).alias("section"), "fingerprint", "extractor", "ids")
@@ -156,10 +167,9 @@ def extract(asked: DataFrame, outputs: DataFrame, stored: DataFrame, nodes: Data
     names = ["document_id", "section", "fingerprint", "extractor", "ids"]
     bare = state.where("_f IS NULL AND bare").select("document_id", "section")
     live = state.where("_f IS NULL").select(*names)
-    last = _kept(phases, "extraction-cleanup", lambda: S.resumed(live, stored, S.from_outputs(outputs.where(F.col("section") == S.CLEANUP)), bare).unionByName(S.hashed(skipped).withColumn("reused", F.lit(False))))
-    sections = results.unionByName(last)
+    last = _kept(phases, "extraction-cleanup", lambda: S.told(live, stored, S.from_outputs(outputs.where(F.col("section") == S.CLEANUP)), bare).unionByName(S.unhashed(skipped)))
     warned = last.where("status = 'degraded'").join(failed.select(F.col("document_id").alias("_f")), F.col("document_id") == F.col("_f"), "left_anti").select(F.col("document_id").alias("_w"), F.concat(F.lit("Operational profile cleanup pass failed; uncleaned profile used ("), "error", F.lit(")")).alias("w"))
     rows = documents.join(profiles.withColumnRenamed("document_id", "_p"), F.col("document_id") == F.col("_p")).join(warned, F.col("document_id") == F.col("_w"), "left").join(failed.select(F.col("document_id").alias("_e"), "error"), F.col("document_id") == F.col("_e"), "left")
     told = F.array_compact(F.array("w", "error"))
     out = rows.select("document_id", F.when(F.col("bad"), "failed").otherwise("extracted").alias("status"), "profile", F.concat(told, F.col("profile.warnings")).alias("warnings"))
-    return Extraction(out, sections, S.manifests(sections, eligible))
+    return Extraction(out, results.unionByName(last), eligible, phases)

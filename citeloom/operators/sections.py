@@ -46,7 +46,18 @@ def usable(stored: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def resumed(asked: DataFrame, stored: DataFrame, make: Callable[[DataFrame], DataFrame], nothing: DataFrame | None = None) -> DataFrame:
-    """A result, with its hash, for every asked section, and whether it was reused.
+    """A result, with its hash, for every asked section, and whether it was reused."""
+    return with_hashes(told(asked, stored, make, nothing))
+
+
+def with_hashes(results: DataFrame) -> DataFrame:
+    """The results of told() with the hashes of those that weren't reused."""
+    new = hashed(results.where("NOT reused")).withColumn("reused", F.lit(False))
+    return results.where("reused").unionByName(new)
+
+
+def told(asked: DataFrame, stored: DataFrame, make: Callable[[DataFrame], DataFrame], nothing: DataFrame | None = None) -> DataFrame:
+    """resumed() where only reused results have their version and hash yet, for those who need none.
 
     make(asked rows) gives results (RESULT) for those that have no usable one; it is given no others. nothing(document_id,
     section): sections without anything to extract; they are not_applicable, with no coverages, and aren't made.
@@ -59,9 +70,15 @@ def resumed(asked: DataFrame, stored: DataFrame, make: Callable[[DataFrame], Dat
         place = ["document_id", "section"]
         none = open_.join(nothing.select(*place).distinct(), place, "left_semi")
         none = none.withColumns({"status": F.lit("not_applicable"), "profile": F.lit(NO_COVERAGE), "warnings": F.array().cast("array<string>"), "error": F.lit(None).cast("string")})
-        out = out.unionByName(hashed(none).withColumn("reused", F.lit(False)))
+        out = out.unionByName(unhashed(none))
         open_ = open_.join(nothing.select(*place).distinct(), place, "left_anti")
-    return out.unionByName(hashed(make(cut(open_))).withColumn("reused", F.lit(False)))
+    return out.unionByName(unhashed(make(cut(open_))))
+
+
+def unhashed(results: DataFrame) -> DataFrame:
+    """New results (RESULT) in the shape of told()."""
+    names = [c.split(" ")[0] for c in RESULT.split(", ")]
+    return results.select(*names).withColumns({"version": F.lit(None).cast("string"), "hash": F.lit(None).cast("string"), "reused": F.lit(False)})
 
 
 def from_outputs(outputs: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -71,7 +88,7 @@ def from_outputs(outputs: DataFrame) -> Callable[[DataFrame], DataFrame]:
         place = ["document_id", "section"]
         first = outputs.groupBy(*place).agg(F.min("json").alias("json"), F.count("*").alias("n"))
         v = F.try_parse_json("json")
-        rows = asked.join(first, place, "left").withColumn("fields", F.try_variant_get(v, "$", "map<string,variant>"))
+        rows = spread(asked, *place).join(first, place, "left").withColumn("fields", F.try_variant_get(v, "$", "map<string,variant>"))
         keep = ("documentType", "linesOfBusiness", "coverages", "sourceNodeIds", "sourceSpanIds", "warnings")
         other = F.map_filter("fields", lambda k, _: k != "coverages")
         own = F.map_filter("fields", lambda k, _: k.isin(*keep))

@@ -196,3 +196,35 @@ def test_many_coverages_of_one_name_are_merged_quickly(spark):
     got = [(r.seq, r.n_terms, r.n_found, r.conflicts, r.endorsement) for r in V.merge_recovered(facts).orderBy("seq").collect()]
     assert got == [(k, 2, 1, 1, None) for k in range(1499)] + [(1499, 1, 0, 0, None), (1500, 1, 1, 0, "E 1")]
     assert time.time() - began < 9
+
+
+def test_extraction_takes_hashes_only_when_asked(spark, monkeypatch):
+    """Documents of an extraction need no hashes of its sections; sections and manifests take them once."""
+    from citeloom.operators import drivers as D
+    from citeloom.operators import sections as S
+    from citeloom.plans.changes import _tables
+
+    taken, whole = [], S.C.with_value_hash
+    monkeypatch.setattr(S.C, "with_value_hash", lambda df, text, name: taken.append(name) or whole(df, text, name))
+    asked = spark.createDataFrame([("a", s, "f", "4.x", ["s"]) for s in (S.CORE, S.COVERAGE)], "document_id string, section string, fingerprint string, extractor string, ids array<string>")
+    outputs = spark.createDataFrame([("a", S.CORE, "{}"), ("a", S.COVERAGE, "{}")], "document_id string, section string, json string")
+    ids = spark.createDataFrame([("a", "n")], "document_id string, id string")
+    eligible = spark.createDataFrame([("a", "f", "4.x", ["s"], "L")], "document_id string, fingerprint string, extractor string, eligible array<string>, ledger_hash string")
+    stored = spark.createDataFrame([], f"{S.RESULT}, version string, hash string")
+    made = D.extract(asked, outputs, stored, ids, ids, (*_tables(spark), spark.createDataFrame([], "code string, description string")), eligible)
+    assert [r.status for r in made.documents.collect()] == ["extracted"] and taken.count("hash") == 0
+    assert all(r.hash and r.version == S.RESULT_VERSION for r in made.sections.collect()) and made.sections.count() == 3
+    assert [r.complete for r in made.manifests.collect()] == [True] and taken.count("hash") == 2  # of sections, of manifests
+
+
+def test_lines_of_profiles_are_told_once_for_each_list(spark, monkeypatch):
+    from citeloom.operators import profiles as P
+    from citeloom.plans.changes import _tables
+
+    asked, whole = [], P.K.resolve_lines
+    monkeypatch.setattr(P.K, "resolve_lines", lambda df, key, *more: asked.append(df.count()) or whole(df, key, *more))
+    named = F.from_json(F.concat(F.lit('{"linesOfBusiness":["CGL"],"documentType":"d'), "id", F.lit('"}')), P.PROFILE).alias("profile")
+    base = spark.range(50).select(F.col("id").cast("string").alias("document_id"), named)
+    none = spark.createDataFrame([], "document_id string, id string")
+    rows = P.profile_lines(base, base.limit(0), none, none, *_tables(spark), spark.createDataFrame([], "code string, description string")).collect()
+    assert len(rows) == 50 and {(tuple(r.lines), r.lines_source) for r in rows} == {(("CGL",), "existing_hint")} and max(asked) <= 2
