@@ -16,7 +16,7 @@ that isn't a JSON object gives no chunk.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -304,9 +304,9 @@ def _object(x: str) -> str:
     return f"(try_variant_get({x}, '$', 'struct<_:string>') IS NOT NULL)"
 
 
-def _get(x: str, key: str, kind: str = "variant") -> str:
-    """A field of an object; '' is a value that isn't one."""
-    return f"try_variant_get({x}, '$.{key}', '{kind}')" if key else f"IF({_object(x)}, NULL, try_variant_get({x}, '$', '{kind}'))"
+def _fields_of(x: str, keys, kind: str = "variant") -> str:
+    """An object's fields of these names, each null where it is missing: read in one go, as Spark throws an exception within for each missing field that a path asks for."""
+    return f"try_variant_get({x}, '$', 'struct<{', '.join(f'`{k}`:{kind}' for k in sorted(keys) or ['_'])}>')"
 
 
 def _listed(v: str) -> str:
@@ -324,15 +324,24 @@ def _texts(v: str) -> str:
 
 @dataclass(frozen=True)
 class Item:
-    """What a family reads: the item, the one above it, and their positions, by the names of their columns."""
+    """What a family reads: the item, its fields and those of the one above it, and positions, by the names of their columns; keys: the fields that were asked for."""
 
     x: str
-    above: str = "NULL"
+    fields: str
+    above: str = ""
     i: str = "0"
     j: str = "0"
+    keys: set = field(default_factory=set)
+    keys_above: set = field(default_factory=set)
 
     def get(self, key: str, kind: str = "variant") -> str:
-        return _get(self.above, key[1:], kind) if key.startswith("^") else _get(self.x, key, kind)
+        """A field of the item, of the one above (^), or '': the item if it isn't an object."""
+        if not key:
+            return f"IF({_object(self.x)}, NULL, try_variant_get({self.x}, '$', '{kind}'))"
+        of, name, keys = (self.above, key[1:], self.keys_above) if key.startswith("^") else (self.fields, key, self.keys)
+        keys.add(name)
+        found = f"{of}.`{name}`" if of else "CAST(NULL AS variant)"
+        return found if kind == "variant" else f"try_variant_get({found}, '$', '{kind}')"
 
     def counted(self, key: str) -> str:
         """A field's text if it counts, else null."""
@@ -366,11 +375,12 @@ class Item:
         if how == "some":
             return "'true'"
         if how == "address":
-            parts = (_get(v, k, "string") for k in ("street1", "street2", "city", "state", "zip", "country"))
-            told = ", ".join(f"IF({t} <> '', {t}, NULL)" for t in parts)
-            return f"concat_ws(', ', {told})"
+            parts = ("street1", "street2", "city", "state", "zip", "country")
+            told = ", ".join(f"nullif(a.`{k}`, '')" for k in parts)
+            return f"element_at(transform(array({_fields_of(v, parts, 'string')}), a -> concat_ws(', ', {told})), 1)"
         if how == "titles":
-            return f"array_join(transform({_spoken(v)}, (c, n) -> coalesce({_get('c', 'title', 'string')}, {_get('c', 'originalTitle', 'string')}, concat('Child ', n + 1))), ', ')"
+            titles = _fields_of("c", ("title", "originalTitle"), "string")
+            return f"array_join(transform({_spoken(v)}, (c, n) -> coalesce({titles}.title, {titles}.originalTitle, concat('Child ', n + 1))), ', ')"
         return f"array_join({_texts(v)}, {_lit(how)})"
 
     def said(self, pieces: list[tuple], tail: str) -> str:
@@ -396,12 +406,14 @@ class Item:
             text = "try_variant_get(e.value, '$', 'string')"
             many = f"transform(filter(map_entries(try_variant_get({self.x}, '$', 'map<string,variant>')), e -> schema_of_variant(e.value) = 'STRING' AND {text} <> ''), e -> concat(e.key, ': ', {text}))"
         else:
-            many = f"filter(transform({_spoken(self.get(each))}, y -> {Item('y', self.x, self.i, self.j).said(pieces, tail)}), t -> t IS NOT NULL)"
+            one = Item("y.v", "y.f", self.fields, self.i, self.j, keys_above=self.keys)
+            told = one.said(pieces, tail)
+            many = f"filter(transform(transform({_spoken(self.get(each))}, v -> struct(v AS v, {_fields_of('v', one.keys)} AS f)), y -> {told}), t -> t IS NOT NULL)"
         return f"nullif(array_join({many}, '\\n'), '')"
 
 
 def _chunk(f: Family, item: Item) -> str:
-    """An item's chunk: suffix of its id, type, text and metadata; null if it gives none."""
+    """An item's chunk: suffix of its id, type, text and entries of its metadata, empty ones too; null if it gives none."""
     lines = [item.line(*_line(x)) for x in f.lines.split("\n")]
     number = f"size(filter(slice(_told, 1, {f.rank}), t -> t))" if f.rank else "0"
     suffix = _lit(f.suffix)
@@ -410,7 +422,7 @@ def _chunk(f: Family, item: Item) -> str:
             suffix = f"replace({suffix}, '{name}', CAST({value} AS string))"
     told = [(name, item.value((*p[:3], COUNTS if len(p[1]) > 1 else THERE, *p[4:])) if p[1] else _lit(p[0])) for name, p in _metadata(f.metadata)]
     told += [("evidenceKind", _lit(f.evidence)), ("documentType", "_type"), ("linesOfBusiness", "_lob")]
-    metadata = "map_from_entries(filter(array({}), e -> e.value <> ''))".format(", ".join(f"struct('{k}' AS key, {v} AS value)" for k, v in told))
+    metadata = "array({})".format(", ".join(f"struct('{k}' AS key, CAST({v} AS string) AS value)" for k, v in told))
     made = f"struct({suffix} AS suffix, '{f.type}' AS type, concat_ws('\\n', {', '.join(lines)}) AS text, {metadata} AS metadata)"
     conditions = ([item.counts(f.needs)] if f.needs else []) + ([f"{' + '.join(f'int(({x}) IS NOT NULL)' for x in lines)} >= {f.least}"] if f.least else [])
     if f.only:
@@ -423,25 +435,30 @@ def document_chunks(documents: DataFrame, families: list[Family] = FAMILIES) ->
 
     Families of whole documents are told in the document's row, those of items in a row for each item.
     """
-    found = ", ".join([f"size({_spoken(_get('_v', k))}) > 0" for k in SUPPLEMENT] + [f"coalesce({', '.join(_get('_v', k) for k in NOTICES)}) IS NOT NULL"])
-    doc = documents.select("document_id", F.try_parse_json("json").alias("_v")).where(_object("_v"))
-    doc = doc.selectExpr("document_id", "_v", f"{_get('_v', 'type', 'string')} AS _type", f"array_join({_texts(_get('_v', 'linesOfBusiness'))}, ',') AS _lob", f"array({found}) AS _told")
+    top, within = Item("_v", "_vf"), Item("_x", "_xf", "_af", "_i", "_j")
+    found = ", ".join([f"size({_spoken(top.get(k))}) > 0" for k in SUPPLEMENT] + [f"coalesce({', '.join(map(top.get, NOTICES))}) IS NOT NULL"])
+    said = (f"{top.get('type', 'string')} AS _type", f"array_join({_texts(top.get('linesOfBusiness'))}, ',') AS _lob", f"array({found}) AS _told")
     shape = "struct<f:int,i:int,j:int,x:variant,above:variant>"
-    made = "struct<suffix:string,type:string,text:string,metadata:map<string,string>>"
+    made = "struct<suffix:string,type:string,text:string,metadata:array<struct<key:string,value:string>>>"
     item = lambda n, i, j, x, above: f"struct({n} AS f, int({i}) AS i, int({j}) AS j, {x} AS x, CAST({above} AS variant) AS above)"
     whole, items, cases = [], [], []
     for n, f in enumerate(families):
         if not f.over:
-            whole.append(_chunk(f, Item("_v")))
+            whole.append(_chunk(f, top))
             continue
         outer, _, inner = f.over.partition(".")
-        over = _spoken(f"coalesce({', '.join(_get('_v', k) for k in outer.split('|'))})")
-        inside = f"transform({_spoken(_get('o', inner))}, (x, j) -> {item(n, 'i', 'j', 'x', 'o')})"
+        over = _spoken(f"coalesce({', '.join(map(top.get, outer.split('|')))})")
+        inside = f"transform({_spoken(_fields_of('o', [inner]) + f'.`{inner}`')}, (x, j) -> {item(n, 'i', 'j', 'x', 'o')})"
         items.append(f"flatten(transform({over}, (o, i) -> {inside}))" if inner else f"transform({over}, (x, i) -> {item(n, 'i', 0, 'x', 'NULL')})")
-        cases.append(f"WHEN {n} THEN {_chunk(f, Item('_x', '_above', '_i', '_j'))}")
-    done = f"transform(filter(CAST(array({', '.join(whole)}) AS array<{made}>), c -> c IS NOT NULL), c -> struct(c AS done, CAST(NULL AS {shape}) AS item))"
+        cases.append(f"WHEN {n} THEN {_chunk(f, within)}")
+    done = f"array({', '.join(f'struct({c} AS done, CAST(NULL AS {shape}) AS item)' for c in whole or [f'CAST(NULL AS {made})'])})"
     todo = f"transform(concat(CAST(array() AS array<{shape}>), {', '.join(items)}), t -> struct(CAST(NULL AS {made}) AS done, t AS item))" if items else f"CAST(array() AS array<struct<done:{made},item:{shape}>>)"
-    rows = doc.selectExpr("document_id", "_type", "_lob", "_told", f"explode(concat({done}, {todo})) AS _r")
+    # What is filtered or exploded is made in a projection of its own, compiled and once: a filter after a projection would make it a second time, a generator without compiling it.
+    doc = documents.select("document_id", F.array(F.try_parse_json("json")).alias("_vs")).selectExpr("document_id", "explode_outer(_vs) AS _v").where(_object("_v")).selectExpr("document_id", "_v", f"{_fields_of('_v', top.keys)} AS _vf")
+    doc = doc.selectExpr("document_id", "_v", "_vf", *said)
+    rows = doc.selectExpr("document_id", "_type", "_lob", "_told", f"concat({done}, {todo}) AS _rs").selectExpr("document_id", "_type", "_lob", "_told", "explode_outer(_rs) AS _r")
     rows = rows.selectExpr("document_id", "_type", "_lob", "_told", "_r.done AS _done", *(f"_r.item.{c} AS _{c}" for c in ("f", "i", "j", "x", "above")))
-    rows = rows.selectExpr("document_id", f"coalesce(_done, CASE _f {' '.join(cases)} END) AS _c" if cases else "_done AS _c").where("_c IS NOT NULL")
-    return rows.selectExpr("concat_ws(':', document_id, _c.suffix) AS id", "document_id", "_c.type", "_c.text", "_c.metadata")
+    rows = rows.selectExpr("document_id", "_type", "_lob", "_told", "_done", "_f", "_i", "_j", "_x", f"{_fields_of('_x', within.keys)} AS _xf", f"{_fields_of('_above', within.keys_above)} AS _af")
+    rows = rows.selectExpr("document_id", f"array(coalesce(_done, CASE _f {' '.join(cases)} END)) AS _cs" if cases else "array(_done) AS _cs")
+    rows = rows.selectExpr("document_id", "explode_outer(_cs) AS _c").where("_c IS NOT NULL")
+    return rows.selectExpr("concat_ws(':', document_id, _c.suffix) AS id", "document_id", "_c.type", "_c.text", "map_from_entries(filter(_c.metadata, e -> e.value <> '')) AS metadata")

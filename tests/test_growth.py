@@ -228,3 +228,30 @@ def test_lines_of_profiles_are_told_once_for_each_list(spark, monkeypatch):
     none = spark.createDataFrame([], "document_id string, id string")
     rows = P.profile_lines(base, base.limit(0), none, none, *_tables(spark), spark.createDataFrame([], "code string, description string")).collect()
     assert len(rows) == 50 and {(tuple(r.lines), r.lines_source) for r in rows} == {(("CGL",), "existing_hint")} and max(asked) <= 2
+
+
+def test_chunks_ask_for_no_missing_field_by_a_path():
+    """Spark throws an exception within for each missing field that a path asks for; fields are read all at once."""
+    from citeloom.operators import chunks as CH
+
+    asked = {f.over: CH._chunk(f, CH.Item("_x", "_xf", "_af", "_i", "_j")) for f in CH.FAMILIES}
+    assert len(asked) > 30 and not [over for over, sql in asked.items() if "'$." in sql]
+
+
+def test_chunks_of_items_above_and_within(spark):
+    from citeloom.operators.chunks import document_chunks
+
+    doc = '{"type":"policy","sections":[{"title":"A","type":"t","pageStart":1,"subsections":[{"title":"B"},{"originalTitle":"C"},"plain",{}]}],"vehicles":[{"number":1,"year":2,"make":"m","model":"o","vin":"v","coverages":[{"type":"x","included":true},{"limit":"5"}]}],"locations":[{"number":1,"address":{"street1":"s","street2":"","zip":9}},{"number":2,"address":"no"}]}'
+    got = {r.id: r.text for r in document_chunks(spark.createDataFrame([("d", doc)], "document_id string, json string")).collect()}
+    assert got["d:section:0"] == "Section: A\nType: t\nPages: 1\nSubsections: B, C, Child 3, Child 4"
+    assert got["d:section:0:sub:0"] == "Section: A > B" and got["d:vehicle:0"].split("\n")[0] == "Vehicle 1: 2 m o" and "x: Included" in got["d:vehicle:0"]
+    assert got["d:location:0"] == "Location 1: s, 9" and got["d:location:1"] == "Location 2: "
+
+
+def test_chunks_are_made_once(spark):
+    """A filter pushed below the projection that makes chunks would make each of them a second time."""
+    from citeloom.operators.chunks import document_chunks
+
+    plan = document_chunks(spark.createDataFrame([("d", "{}")], "document_id string, json string"))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter " in line]
+    assert filters and max(map(len, filters)) < 1000
