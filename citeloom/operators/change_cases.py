@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import cut
+from ..sources import scratch
 from . import changes as C
 from . import evidence as E
 
@@ -50,6 +50,11 @@ class Cases:
     quarantine: DataFrame
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """scratch.cut() for tables of cases, which grow with each other: they meet in a shuffle, so none of them goes through the driver."""
+    return scratch.cut(df).hint("merge")
+
+
 def _at(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 

@@ -255,3 +255,11 @@ def test_chunks_are_made_once(spark):
     plan = document_chunks(spark.createDataFrame([("d", "{}")], "document_id string, json string"))._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.split("\n") if "Filter " in line]
     assert filters and max(map(len, filters)) < 1000
+
+
+def test_tables_of_cases_are_not_sent_to_the_driver(spark):
+    from citeloom.operators import change_cases as CC
+
+    one, two = (CC.cut(spark.range(5).select(F.col("id").alias("case_id"), F.col("id").alias(c))) for c in "xy")
+    met = one.join(two.where("y > 1").groupBy("case_id").agg(F.max("y").alias("y")), "case_id", "left")
+    assert met.count() == 5 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
